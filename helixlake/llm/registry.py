@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filter
+from . import line_dedup, simhash, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLES = {
