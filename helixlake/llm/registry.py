@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash, url_filter
+from . import lang_id, line_dedup, simhash, token_count, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op7_token_counts": token_count.op7_token_counts,
+    "op8_language_id": lang_id.op8_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
