@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from . import chat_format, lang_id, line_dedup, simhash, token_count, url_filter, warc
+from . import chat_format, decontaminate, lang_id, line_dedup, mixing, search, simhash, token_count, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_exact_search": search.op4_exact_search,
     "op5_warc_revisits": warc.op5_warc_revisits,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_token_counts": token_count.op7_token_counts,
     "op8_language_id": lang_id.op8_language_id,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
+    "op4_exact_search": search.ORACLE,
     "op5_warc_revisits": warc.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
 }
