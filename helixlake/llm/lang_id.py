@@ -8,6 +8,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import replacing, table, write_shared
-from .unigram import DEFAULT_MODEL, MARK, Memo, automaton, load_pieces, worker_state
+from .unigram import DEFAULT_MODEL, MARK, MEMO_ENTRIES, automaton, load_pieces, worker_state
 
-SAMPLE_DOCS, ROUNDS, MAX_LANGUAGES = 1_000, 2, 500
+SAMPLE_DOCS, ROUNDS, MAX_LANGUAGES = 500, 2, 500
 SMOOTHING, UNKNOWN_SHARE, SCALE, FLOOR = 0.05, 1e-3, 50.0, -700.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -40,10 +41,12 @@ class Model:
 
     def __setstate__(self, state):
         self.__init__(*state)
-        self.automaton = automaton(self.pieces)
+        self.automaton, self.plain = automaton(self.pieces), automaton(self.pieces, lengths=False)
         lengths = np.array([len(p) for p in self.pieces] + [1])[:, None]
-        self.rows = (self.table * SCALE**lengths).tolist()
+        self.lengths, self.scaled = lengths[:, 0], self.table * SCALE**lengths
+        self.rows = self.scaled.tolist()
         self.single = {p for p in self.pieces if len(p) == 1}
+        self.codes = np.array(sorted(map(ord, self.single)), np.uint32)
 
     def matches(self, word: str) -> list[tuple[int, int, int]]:
         """(end, start, piece), by end."""
@@ -78,8 +81,69 @@ class Model:
         return [off + (math.log(x) if x > 0 else FLOOR) for x in alpha[-1]]
 
 
-def _kept(model: Model) -> Memo:
-    return Memo(model.log_probabilities)
+    def many(self, words: list[str]) -> np.ndarray:
+        """log_probabilities of many words of at most LONG_WORD letters at once: one pass of the
+        automaton over all of them, then the forward sums of every word's prefixes of one length
+        together."""
+        marked = [MARK + w for w in words]
+        joined = "\n".join(marked)
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        found = np.fromiter(chain.from_iterable(self.plain.iter(joined)), np.int64).reshape(-1, 2)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        odd = np.flatnonzero(~np.isin(codes, self.codes))
+        odd = odd[codes[odd] != 10]
+        end = np.concatenate([found[:, 0], odd])
+        piece = np.concatenate([found[:, 1], np.full(len(odd), len(self.pieces))])
+        length = self.lengths[piece]
+        word = np.searchsorted(begins, end, "right") - 1
+        stop = end + 1 - begins[word]
+        order = np.lexsort((word, stop))
+        word, stop, piece, start = word[order], stop[order], piece[order], (stop - length)[order]
+        alpha = np.zeros((len(words), int(sizes.max()) + 1, len(self.languages)))
+        alpha[:, 0] = 1.0
+        steps = np.searchsorted(stop, np.arange(1, alpha.shape[1] + 1))
+        for at in range(1, alpha.shape[1]):
+            lo, hi = steps[at - 1], steps[at]
+            if lo < hi:
+                w = word[lo:hi]
+                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                alpha[w[first], at] = np.add.reduceat(alpha[w, start[lo:hi]] * self.scaled[piece[lo:hi]], first, axis=0)
+        last = alpha[np.arange(len(words)), sizes]
+        return np.where(last > 0, np.log(np.maximum(last, 1e-300)), FLOOR) - (sizes * math.log(SCALE))[:, None]
+
+
+LONG_WORD, WORDS_AT_ONCE, WORDS_HELD = 64, 4_000, 150_000
+
+
+class Scorer:
+    """Log probabilities of whole word lists. Words get rows of a matrix, which is emptied between
+    batches of texts when it has MEMO_ENTRIES."""
+
+    def __init__(self, model: Model):
+        self.model, self.matrix, self.rows = model, np.zeros((1024, len(model.languages))), {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Make sure that the words of these texts have rows."""
+        new = set(chain.from_iterable(texts)) - self.rows.keys()
+        if len(self.rows) + len(new) > MEMO_ENTRIES and self.rows:
+            self.rows.clear()
+            new = set(chain.from_iterable(texts))
+        words = sorted(new, key=len)
+        if len(self.rows) + len(words) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros((len(self.rows) + len(words), self.matrix.shape[1]))])
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            n = len(self.rows)
+            short = [w for w in some if len(w) <= LONG_WORD]
+            if short:
+                self.matrix[n : n + len(short)] = self.model.many(short)
+            for i, w in enumerate(some[len(short) :], n + len(short)):
+                self.matrix[i] = self.model.log_probabilities(w)
+            self.rows.update(zip(some, range(n, n + len(some)), strict=True))
+
+    def sums(self, words: list[str]) -> np.ndarray:
+        return self.matrix[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
 def training_rows(docs: DataFrame, text: str, lang: str, key: str, held_out, sample_docs: int) -> DataFrame:
@@ -159,17 +223,30 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        model = shared.value
-        memo = worker_state(shared, _kept) if model else None
+        out: list[dict] = []
+        part: list[list[str]] = []
+        held, model = 0, shared.value
+        scorer = worker_state(shared, Scorer) if model else None
+
+        def flush() -> None:
+            if scorer:
+                scorer.learn(part)
+            for words in part:
+                if not words:
+                    out.append({"lang_pred": "und", "score": 0.0})
+                    continue
+                sums = scorer.sums(words)
+                best = int(sums.argmax())
+                out.append({"lang_pred": model.languages[best], "score": float(1.0 / np.exp(np.maximum(sums - sums[best], FLOOR)).sum())})
+            part.clear()
+
         for t in texts:
-            words = words_of(t.as_py()) if model else []
-            if not words:
-                out.append({"lang_pred": "und", "score": 0.0})
-                continue
-            sums = np.fromiter((x for w in words for x in memo[w]), float, len(words) * len(model.languages)).reshape(len(words), -1).sum(axis=0)
-            best = int(sums.argmax())
-            out.append({"lang_pred": model.languages[best], "score": float(1.0 / np.exp(np.maximum(sums - sums[best], FLOOR)).sum())})
+            part.append(words_of(t.as_py()) if model else [])
+            held += len(part[-1])
+            if held > WORDS_HELD:
+                flush()
+                held = 0
+        flush()
         return pa.array(out, _OUT)
 
     met = docs.withColumn("__lang", run(F.col(text).cast("string")))

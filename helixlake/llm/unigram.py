@@ -11,7 +11,7 @@ import sentencepiece
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -22,11 +22,12 @@ def load_pieces(path: str = DEFAULT_MODEL) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not any(f(i) for f in special)]
 
 
-def automaton(pieces: list[str]) -> ahocorasick.Automaton:
-    """Its matches carry (index, length); those that end at one place come longest first."""
+def automaton(pieces: list[str], lengths: bool = True) -> ahocorasick.Automaton:
+    """Its matches carry (index, length), or the index alone; those that end at one place come
+    longest first."""
     out = ahocorasick.Automaton()
     for i, piece in enumerate(pieces):
-        out.add_word(piece, (i, len(piece)))
+        out.add_word(piece, (i, len(piece)) if lengths else i)
     out.make_automaton()
     return out
 
@@ -47,16 +48,18 @@ def units(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Results by unit, forgotten when there are MEMO_ENTRIES; long units aren't kept."""
+    """Results by unit, forgotten when there are `limit`; then long units aren't kept either."""
 
-    def __init__(self, compute: Callable):
+    def __init__(self, compute: Callable, limit: int | None = MEMO_ENTRIES):
         super().__init__()
-        self.compute = compute
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, unit: str):
         value = self.compute(unit)
-        if len(unit) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+        if self.limit is None:
+            self[unit] = value
+        elif len(unit) <= MEMO_CHARS:
+            if len(self) >= self.limit:
                 self.clear()
             self[unit] = value
         return value
