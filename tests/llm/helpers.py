@@ -1,0 +1,7 @@
+"""Awkward documents for all operators."""
+
+LONG = "word " * 60_000 + "end"
+
+
+def documents(spark, rows, columns="doc_id long, text string, lang string, source string, n_chars long"):
+    return spark.createDataFrame(rows, columns).repartition(3)
