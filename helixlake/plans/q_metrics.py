@@ -20,19 +20,19 @@ def candidates(spark, d):
 
 
 def rounded(df, *keep):
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
 def sql_describe(v: str) -> str:
-    pct = ", ".join(f"round(quantile_cont({v}, {p}), 4) AS p{round(p * 100)}" for p in stats.PERCENTILES)
-    le = ", ".join(f"round(100.0 * count(*) FILTER ({v} <= {t}) / nullif(count({v}), 0), 4) AS pct_le_{t}" for t in stats.DESCRIBE_THRESHOLDS)
-    return f"count(*) AS n_total, count({v}) AS n_with, count(*) - count({v}) AS n_missing, round(100.0 * count({v}) / count(*), 4) AS coverage_percent, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS std, round(min({v}), 4) AS min, {pct}, round(max({v}), 4) AS max, {le}"
+    pct = ", ".join(f"round(quantile_cont({v}, {p}), 9) AS p{round(p * 100)}" for p in stats.PERCENTILES)
+    le = ", ".join(f"round(100.0 * count(*) FILTER ({v} <= {t}) / nullif(count({v}), 0), 9) AS pct_le_{t}" for t in stats.DESCRIBE_THRESHOLDS)
+    return f"count(*) AS n_total, count({v}) AS n_with, count(*) - count({v}) AS n_missing, round(100.0 * count({v}) / count(*), 9) AS coverage_percent, round(avg({v}), 9) AS mean, round(stddev_samp({v}), 9) AS std, round(min({v}), 9) AS min, {pct}, round(max({v}), 9) AS max, {le}"
 
 
 def sql_final(v: str) -> str:
-    le = ", ".join(f"round(100.0 * count(*) FILTER ({v} <= {t}) / nullif(count({v}), 0), 4) AS pct_le_{t}" for t in stats.FINAL_THRESHOLDS)
+    le = ", ".join(f"round(100.0 * count(*) FILTER ({v} <= {t}) / nullif(count({v}), 0), 9) AS pct_le_{t}" for t in stats.FINAL_THRESHOLDS)
     q = lambda p: f"quantile_cont({v}, {p})"
-    return f"count(*) AS n_total, count({v}) AS n_valid, count(*) - count({v}) AS n_excluded_or_missing, round(100.0 * count({v}) / count(*), 4) AS coverage_percent, round({q(0.5)}, 4) AS median, round({q(0.25)}, 4) AS q25, round({q(0.75)}, 4) AS q75, round({q(0.75)} - {q(0.25)}, 4) AS iqr, round(avg({v}), 4) AS mean, round({q(0.9)}, 4) AS p90, round(max({v}), 4) AS max, {le}"
+    return f"count(*) AS n_total, count({v}) AS n_valid, count(*) - count({v}) AS n_excluded_or_missing, round(100.0 * count({v}) / count(*), 9) AS coverage_percent, round({q(0.5)}, 9) AS median, round({q(0.25)}, 9) AS q25, round({q(0.75)}, 9) AS q75, round({q(0.75)} - {q(0.25)}, 9) AS iqr, round(avg({v}), 9) AS mean, round({q(0.9)}, 9) AS p90, round(max({v}), 9) AS max, {le}"
 
 
 CAND = "(SELECT user_id AS pdb_id, event_id % 5 AS seed, event_id AS sample, value AS ranking_score, CASE WHEN event_type <> 'error' THEN value / 10 END AS rmsd, event_type, ts FROM events)"
@@ -44,8 +44,8 @@ WITH c AS {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY pdb_id ORDER B
   max(ranking_score) OVER (PARTITION BY pdb_id) AS top FROM c),
 g AS (SELECT pdb_id, count(*) AS candidate_count, count(rmsd) AS evaluated_count, min(rmsd) AS oracle_best, quantile_cont(rmsd, 0.5) AS median_metric,
   avg(rmsd) AS mean_metric, count(*) FILTER (top - ranking_score <= 1e-12) AS tie_count FROM r GROUP BY pdb_id)
-SELECT r.pdb_id, seed, sample, ranking_score, rmsd, 'OK' AS selection_status, candidate_count, evaluated_count, round(oracle_best, 4) AS oracle_best,
-  round(median_metric, 4) AS median_metric, round(mean_metric, 4) AS mean_metric, tie_count FROM r JOIN g USING (pdb_id) WHERE rn = 1""")
+SELECT r.pdb_id, seed, sample, ranking_score, rmsd, 'OK' AS selection_status, candidate_count, evaluated_count, round(oracle_best, 9) AS oracle_best,
+  round(median_metric, 9) AS median_metric, round(mean_metric, 9) AS mean_metric, tie_count FROM r JOIN g USING (pdb_id) WHERE rn = 1""")
 def rank1_strict(spark, d):
     c = candidates(spark, d)
     met = ranking.rank1(c).join(ranking.rank1_companions(c), "pdb_id").drop("eval_status", "event_type", "ts")
@@ -130,7 +130,7 @@ def ecdf(spark, d):
 
 
 @query("""
-SELECT t::DOUBLE AS threshold, count(*) FILTER (value > t) AS n_above, round(100.0 * count(*) FILTER (value > t) / count(*), 4) AS pct_above
+SELECT t::DOUBLE AS threshold, count(*) FILTER (value > t) AS n_above, round(100.0 * count(*) FILTER (value > t) / count(*), 9) AS pct_above
 FROM events, (VALUES (10), (20), (30), (50), (100)) AS x(t) GROUP BY t""")
 def exceedance(spark, d):
     return rounded(stats.exceedance(table(spark, d, "events"), F.col("value"), (10, 20, 30, 50, 100)))
@@ -141,7 +141,7 @@ def histogram(spark, d):
     return stats.histogram(table(spark, d, "events"), F.col("value"), 0, 20, 100)
 
 
-_DIST = "count(value) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.25), 4) AS q25, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.75), 4) AS q75, " + ", ".join(f"round(100.0 * count(*) FILTER (value < {t}) / count(value), 4) AS pct_lt_{t}" for t in (1, 2, 5))
+_DIST = "count(value) AS n, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.25), 9) AS q25, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q75, " + ", ".join(f"round(100.0 * count(*) FILTER (value < {t}) / count(value), 9) AS pct_lt_{t}" for t in (1, 2, 5))
 
 
 @query(f"SELECT event_type, {_DIST} FROM events GROUP BY ROLLUP(event_type)")
@@ -149,14 +149,14 @@ def distribution_rollup(spark, d):
     return rounded(stats.distribution(table(spark, d, "events"), F.col("value"), by="event_type"))
 
 
-@query("SELECT count(*) AS n, round(avg(r), 4) AS mean, round(quantile_cont(r, 0.5), 4) AS median, round(min(r), 4) AS min, round(100.0 * count(*) FILTER (r > 0.9) / count(*), 4) AS pct_above_90, count(*) FILTER (r = 0) AS n_zero FROM (SELECT 1 - l_discount * 2 AS r FROM lineitem)")
+@query("SELECT count(*) AS n, round(avg(r), 9) AS mean, round(quantile_cont(r, 0.5), 9) AS median, round(min(r), 9) AS min, round(100.0 * count(*) FILTER (r > 0.9) / count(*), 9) AS pct_above_90, count(*) FILTER (r = 0) AS n_zero FROM (SELECT 1 - l_discount * 2 AS r FROM lineitem)")
 def ratio_stats(spark, d):
     return rounded(stats.ratio_stats(table(spark, d, "lineitem"), 1 - F.col("l_discount") * 2))
 
 
 @query("""
-SELECT count(*) AS n, round(avg(b), 4) AS mean_before, round(avg(a), 4) AS mean_after, round(quantile_cont(b, 0.5), 4) AS median_before, round(quantile_cont(a, 0.5), 4) AS median_after,
-  round(avg(b - a), 4) AS mean_improvement, count(*) FILTER (b - a > 0) AS n_improved, round(100.0 * count(*) FILTER (b - a > 0) / count(*), 4) AS pct_improved
+SELECT count(*) AS n, round(avg(b), 9) AS mean_before, round(avg(a), 9) AS mean_after, round(quantile_cont(b, 0.5), 9) AS median_before, round(quantile_cont(a, 0.5), 9) AS median_after,
+  round(avg(b - a), 9) AS mean_improvement, count(*) FILTER (b - a > 0) AS n_improved, round(100.0 * count(*) FILTER (b - a > 0) / count(*), 9) AS pct_improved
 FROM (SELECT l_extendedprice / 1000 AS b, l_extendedprice / 1000 * (1 - l_discount) + l_tax * 40 AS a FROM lineitem)""")
 def before_after(spark, d):
     b = F.col("l_extendedprice") / 1000
@@ -164,11 +164,11 @@ def before_after(spark, d):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 4) AS improvement, round(CASE WHEN l_extendedprice > 0 THEN l_discount * 100 ELSE 0 END, 4) AS improvement_pct FROM lineitem""")
+SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 9) AS improvement, round(CASE WHEN l_extendedprice > 0 THEN l_discount * 100 ELSE 0 END, 9) AS improvement_pct FROM lineitem""")
 def improvement_rows(spark, d):
     before = F.col("l_extendedprice")
     gain, share = S.improvement(before, before * (1 - F.col("l_discount")))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(gain, 4).alias("improvement"), F.round(share, 4).alias("improvement_pct"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(gain, 9).alias("improvement"), F.round(share, 9).alias("improvement_pct"))
 
 
 @query("""
@@ -217,14 +217,14 @@ def signature_consistency(spark, d):
 
 @query("""
 WITH n AS (SELECT user_id, event_type, count(*) AS support FROM events GROUP BY 1, 2)
-SELECT user_id, event_type, support, round(support / sum(support) OVER (PARTITION BY user_id), 6) AS fraction, row_number() OVER (PARTITION BY user_id ORDER BY support DESC, event_type) AS variant,
+SELECT user_id, event_type, support, round(support / sum(support) OVER (PARTITION BY user_id), 9) AS fraction, row_number() OVER (PARTITION BY user_id ORDER BY support DESC, event_type) AS variant,
   count(*) OVER (PARTITION BY user_id) AS n_variants FROM n""")
 def mapping_variants(spark, d):
-    return stats.variants(table(spark, d, "events"), "user_id", "event_type").withColumn("fraction", F.round("fraction", 6))
+    return stats.variants(table(spark, d, "events"), "user_id", "event_type").withColumn("fraction", F.round("fraction", 9))
 
 
 @query("""
-SELECT o.o_orderkey, coalesce(n, 0) AS n_observed, round(coalesce(n, 0) / 7.0, 4) AS coverage, coalesce(n, 0) / 7.0 < 0.5 AS low_coverage
+SELECT o.o_orderkey, coalesce(n, 0) AS n_observed, round(coalesce(n, 0) / 7.0, 9) AS coverage, coalesce(n, 0) / 7.0 < 0.5 AS low_coverage
 FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
 def chain_coverage(spark, d):
     chains = table(spark, d, "orders").select("o_orderkey", F.lit(7).alias("length"))
