@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="helixlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    folder, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not folder and app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="helixlake-")
+    return (folder or _LOCAL[app]).rstrip("/")
 
 
 def write_shared(df: DataFrame, label: str) -> DataFrame:
