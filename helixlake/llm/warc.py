@@ -9,6 +9,7 @@ whole, file by file.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -83,9 +84,9 @@ def record_text(key: str, url: str, payload: str, date: str):
     return F.concat(head, F.when(revisit, "").otherwise(F.col(payload)))
 
 
-def write_archives(resolved: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(resolved: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     record = record_text(key, url, payload, date).alias("value")
-    resolved.select(record).write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path)
+    resolved.select(record).write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -116,7 +117,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 rows = []
-                for head, body in parse(content.as_py()):
+                whole = content.as_py()
+                for head, body in parse(gzip.decompress(whole) if whole[:2] == b"\x1f\x8b" else whole):
                     body = body[body.index(b"\r\n\r\n") + 4 :]
                     revisit, digest = head["warc-type"] == "revisit", head["warc-payload-digest"].removeprefix("sha1:")
                     if not revisit and payload_digest(body) != digest:
