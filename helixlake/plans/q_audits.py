@@ -17,13 +17,13 @@ from .registry import query, table
 
 
 @query("""
-WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 4 <> 3 GROUP BY 1)
+WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT o_orderkey::VARCHAR AS pdb_id, CASE WHEN n IS NULL THEN 'MISSING' WHEN o_orderkey % 10 <> 0 THEN 'VALID' ELSE 'INVALID' END AS file_status,
   CASE WHEN o_orderkey % 3 <> 0 AND n IS NOT NULL AND o_orderkey % 10 <> 0 THEN 'CURRENT_LIST_POLYMER_MISMATCH' WHEN o_orderkey % 3 = 0 THEN 'LEGACY_ONLY' ELSE 'NOT_ASSESSED' END AS eligibility_status, coalesce(n, 0) AS rna_chains
 FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
 def structure_manifest(spark, d):
     """Structures of two polymer types whose atoms stand for chains."""
-    texts = _cif(spark, d).filter("cast(path as long) % 4 <> 3")
+    texts = _cif(spark, d)
     long = structures.items(texts)
     broken = structures.issues(long).select(F.col("path").alias("pdb_id")).distinct().withColumn("bad", F.lit(True))
     types = structures.table_of(long, "entity_poly").groupBy(F.col("path").alias("pdb_id")).agg(S.is_pure_rna(F.collect_set("type")).alias("pure_rna"))
@@ -31,19 +31,19 @@ def structure_manifest(spark, d):
     key = F.col("o_orderkey")
     ids = table(spark, d, "orders").select(key.cast("string").alias("pdb_id"), (key % 3 != 0).alias("current"), (key % 3 == 0).alias("legacy"))
     files = texts.select(F.col("path").alias("pdb_id"), F.concat(F.lit("/f/"), "path").alias("path"))
-    chains = table(spark, d, "lineitem").filter("l_orderkey % 4 <> 3").select(F.col("l_orderkey").cast("string").alias("pdb_id"))
+    chains = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("pdb_id"))
     return audits.structure_manifest(ids, files, checks, chains)["manifest"].select("pdb_id", "file_status", "eligibility_status", "rna_chains")
 
 
 @query("""
-WITH o AS (SELECT * FROM orders WHERE o_custkey % 5 <> 0), m AS (SELECT o_custkey, min((o_orderkey % 4, o_orderdate::DATE)) AS m, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ' | ') AS methods_sorted, min(o_orderstatus) AS code FROM o GROUP BY 1)
+WITH o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)), m AS (SELECT o_custkey, min((o_orderkey % 4, o_orderdate::DATE)) AS m, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ' | ') AS methods_sorted, min(o_orderstatus) AS code FROM o GROUP BY 1)
 SELECT o_custkey AS pdb_id, o_orderkey AS chain_id, m.m[2] AS release_date, methods_sorted, code, o_custkey || '_' || o_orderkey AS target_id FROM o JOIN m USING (o_custkey)""")
 def entity_metadata(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("pdb_id"), F.col("o_orderkey").alias("chain_id"), F.col("o_orderpriority").alias("sequence"), F.lit("polyribonucleotide").alias("type"), "o_orderdate", F.col("o_orderstatus").alias("code"))
     rev = readers.revisions(o.select("pdb_id", (F.col("chain_id") % 4).cast("string").alias("o"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")), "pdb_id", "o", "d")
     legacy = o.select("pdb_id", F.lit(None).cast("date").alias("legacy_date")).limit(0)
     methods = readers.methods(o, "pdb_id", "chain_id", "sequence")
-    got = audits.entity_metadata(o.select("pdb_id", "chain_id", "sequence", "type"), rev, legacy, methods, o.select("pdb_id", "code"), o.filter("pdb_id % 5 = 0").select("pdb_id").distinct(), F.lit("2100-01-01").cast("date"))
+    got = audits.entity_metadata(o.select("pdb_id", "chain_id", "sequence", "type"), rev, legacy, methods, o.select("pdb_id", "code"), table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("pdb_id")), F.lit("2100-01-01").cast("date"))
     return got["metadata"].select("pdb_id", "chain_id", "release_date", "methods_sorted", "code", "target_id")
 
 
@@ -87,19 +87,19 @@ def split_counts(spark, d):
 
 
 @query("""
-WITH m AS (SELECT c_custkey AS pdb_id, c_mktsegment AS split FROM customer WHERE c_custkey % 3 <> 0), l AS (SELECT c_custkey AS pdb_id, CASE WHEN c_custkey % 7 = 0 THEN 'OTHER' ELSE c_mktsegment END AS found FROM customer WHERE c_custkey % 4 <> 0)
+WITH m AS (SELECT c_custkey AS pdb_id, c_mktsegment AS split FROM customer WHERE c_mktsegment <> 'MACHINERY'), l AS (SELECT c_custkey AS pdb_id, CASE WHEN c_custkey % 7 = 0 THEN 'OTHER' ELSE c_mktsegment END AS found FROM customer WHERE c_acctbal > 0)
 SELECT coalesce(m.pdb_id, l.pdb_id) AS pdb_id, coalesce(split, found) AS split, CASE WHEN split IS NULL THEN 'EXTRA' WHEN found IS NULL THEN 'WOULD_CREATE' WHEN found = split THEN 'EXISTS' ELSE 'WRONG_SPLIT' END AS action FROM m FULL JOIN l ON m.pdb_id = l.pdb_id""")
 def placement_plan(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("pdb_id"), F.col("c_mktsegment").alias("split"))
-    return audits.placement_plan(c.filter("pdb_id % 3 <> 0"), c.filter("pdb_id % 4 <> 0").withColumn("split", F.when(F.col("pdb_id") % 7 == 0, "OTHER").otherwise(F.col("split"))))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("pdb_id"), F.col("c_mktsegment").alias("split"), "c_acctbal")
+    return audits.placement_plan(c.filter("split <> 'MACHINERY'").drop("c_acctbal"), c.filter("c_acctbal > 0").withColumn("split", F.when(F.col("pdb_id") % 7 == 0, "OTHER").otherwise(F.col("split"))))
 
 
-@query("SELECT DISTINCT p_brand AS pdb_id, CASE WHEN p_brand IN ('Brand#3', 'Brand#4') THEN 'INVALID_UPDATED_JSON' WHEN count(*) FILTER (p_partkey % 11 = 0) OVER (PARTITION BY p_brand) > 0 THEN 'INCOMPLETE_MSA' ELSE 'COMPLETE' END AS status FROM part")
+@query("SELECT DISTINCT p_brand AS pdb_id, CASE WHEN p_brand IN ('Brand#3', 'Brand#4') THEN 'INVALID_UPDATED_JSON' WHEN count(*) FILTER (p_size = 11) OVER (PARTITION BY p_brand) > 0 THEN 'INCOMPLETE_MSA' ELSE 'COMPLETE' END AS status FROM part")
 def prep_audit(spark, d):
-    """Every eleventh part has no alignment file; the brand has others, so none is taken for it."""
+    """Parts of size 11 have no alignment file; the brand has others, so none is taken for it."""
     docs = _tasks(spark, d)
     both = docs.select(F.col("p_brand").alias("pdb_id"), F.lit("final").alias("kind"), F.col("doc").alias("text")).unionByName(docs.select(F.col("p_brand").alias("pdb_id"), F.lit("raw").alias("kind"), F.col("doc").alias("text")))
-    p = table(spark, d, "part").filter("p_partkey % 11 <> 0")
+    p = table(spark, d, "part").filter("p_size <> 11")
     path = F.concat(F.lit("/m/"), F.col("p_partkey").cast("string"))
     files = p.select(F.col("p_brand").alias("pdb_id"), path.alias("path"))
     texts = p.select(path.alias("path"), F.concat(F.lit(">q\n"), F.upper("p_name")).alias("text"))
@@ -107,15 +107,15 @@ def prep_audit(spark, d):
 
 
 @query("""
-WITH f AS (SELECT user_id, (event_id % 3)::INT AS seed, list_sort(list((event_id // 3 % 4)::INT) FILTER (event_type IN ('view', 'click'))) AS p, list_sort(list((event_id // 3 % 4)::INT) FILTER (event_type = 'error')) AS c FROM events WHERE event_id % 40 < 9 GROUP BY ALL),
+WITH f AS (SELECT user_id, (event_id % 3)::INT AS seed, list_sort(list(DISTINCT (event_id // 3 % 4)::INT) FILTER (event_type IN ('view', 'click'))) AS p, list_sort(list(DISTINCT (event_id // 3 % 4)::INT) FILTER (event_type = 'error')) AS c FROM events GROUP BY ALL),
 g AS (SELECT user_id, unnest([0, 1, 2]) AS seed FROM (SELECT DISTINCT user_id FROM events))
-SELECT g.user_id AS pdb_id, g.seed, CASE WHEN p = [0, 1] AND c = [0, 1] THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status FROM g LEFT JOIN f ON f.user_id = g.user_id AND f.seed = g.seed""")
+SELECT g.user_id AS pdb_id, g.seed, CASE WHEN p = [0, 1, 2, 3] AND c = [0, 1, 2, 3] THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status FROM g LEFT JOIN f ON f.user_id = g.user_id AND f.seed = g.seed""")
 def candidate_stage_audit(spark, d):
-    e = table(spark, d, "events").filter("event_id % 40 < 9")
+    e = table(spark, d, "events")
     kind = F.when(F.col("event_type").isin("view", "click"), "prediction").when(F.col("event_type") == "error", "confidence").otherwise("other")
-    files = e.select(F.col("user_id").alias("pdb_id"), (F.col("event_id") % 3).cast("int").alias("seed"), (F.floor(F.col("event_id") / 3) % 4).cast("int").alias("sample"), kind.alias("kind"), F.lit(True).alias("valid"))
+    files = e.select(F.col("user_id").alias("pdb_id"), (F.col("event_id") % 3).cast("int").alias("seed"), (F.floor(F.col("event_id") / 3) % 4).cast("int").alias("sample"), kind.alias("kind"), F.lit(True).alias("valid")).distinct()
     targets = table(spark, d, "events").select(F.col("user_id").alias("pdb_id")).distinct().withColumns({"raw_valid": F.lit(True), "prep": F.lit("COMPLETE")})
-    return audits.candidate_stage_audit(targets, files, [0, 1, 2], [0, 1])["seeds"].drop("reason")
+    return audits.candidate_stage_audit(targets, files, [0, 1, 2], [0, 1, 2, 3])["seeds"].drop("reason")
 
 
 @query("""
@@ -145,7 +145,7 @@ def validate_embeddings(spark, d):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey, l_linenumber::VARCHAR AS chain, min(l_partkey % 5) AS s FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2), b AS (SELECT * FROM a WHERE NOT (l_orderkey % 8 = 0 AND chain = '2')),
+WITH a AS (SELECT l_orderkey, l_linenumber::VARCHAR AS chain, min(l_partkey % 5) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT * FROM a WHERE NOT (l_orderkey % 8 = 0 AND chain = '2')),
 na AS (SELECT l_orderkey, s, count(*) AS n FROM a GROUP BY 1, 2), nb AS (SELECT l_orderkey, s, count(*) AS n FROM b GROUP BY 1, 2),
 g AS (SELECT na.l_orderkey, bool_and(na.n = 1 AND coalesce(nb.n, 0) = 1) AS u, bool_and(na.n = coalesce(nb.n, 0)) AS c FROM na LEFT JOIN nb ON na.l_orderkey = nb.l_orderkey AND na.s = nb.s GROUP BY 1)
 SELECT l_orderkey::VARCHAR AS pdb_id, CASE WHEN u AND c AND l_orderkey % 12 <> 0 THEN 'PASS' ELSE 'REVIEW' END AS status, concat_ws(';', CASE WHEN NOT u THEN 'unique_sequences' END, CASE WHEN NOT c THEN 'complete' END, CASE WHEN l_orderkey % 12 = 0 THEN 'consistent' END) AS reasons FROM g""")
@@ -165,14 +165,14 @@ def coordinate_chain_map(spark, d):
 
 
 @query("""
-WITH g AS (SELECT user_id, unnest([0, 1]) AS seed FROM (SELECT DISTINCT user_id FROM events)), o AS (SELECT user_id, (event_id % 2)::INT AS seed, count(*) AS n FROM events WHERE event_type = 'error' AND event_id % 9 = 0 GROUP BY ALL),
-m AS (SELECT g.user_id, bool_and(coalesce(n, 0) = 1) AS complete, string_agg(g.seed || '/0', ',' ORDER BY g.seed) FILTER (n IS NULL) AS miss FROM g LEFT JOIN o ON o.user_id = g.user_id AND o.seed = g.seed GROUP BY 1),
+WITH g AS (SELECT user_id, s AS seed, k AS sample FROM (SELECT DISTINCT user_id FROM events), range(2) a(s), range(4) b(k)), o AS (SELECT DISTINCT user_id, event_id % 2 AS seed, event_id // 2 % 4 AS sample, 1 AS n FROM events WHERE event_type = 'error'),
+m AS (SELECT g.user_id, bool_and(n IS NOT NULL) AS complete, string_agg(g.seed || '/' || g.sample, ',' ORDER BY g.seed || '/' || g.sample) FILTER (n IS NULL) AS miss FROM g LEFT JOIN o ON o.user_id = g.user_id AND o.seed = g.seed AND o.sample = g.sample GROUP BY 1),
 r AS (SELECT user_id, min(ts)::DATE AS release_date, count(*) AS chain_count FROM events GROUP BY 1)
 SELECT r.user_id AS pdb_id, release_date, CASE WHEN release_date > DATE '2024-01-01' THEN 'post_cutoff' ELSE 'pre_or_on_cutoff' END AS time_group, chain_count, complete, 'missing ' || miss AS reason FROM r JOIN m USING (user_id)""")
 def targets_table(spark, d):
     e = table(spark, d, "events").withColumnRenamed("user_id", "pdb_id")
-    files = e.filter("event_type = 'error' AND event_id % 9 = 0").select("pdb_id", (F.col("event_id") % 2).cast("int").alias("seed"), F.lit(0).alias("sample"))
-    return audits.targets_table(e.groupBy("pdb_id").agg(F.count(F.lit(1)).alias("chain_count")), e.groupBy("pdb_id").agg(F.to_date(F.min("ts")).alias("release_date")), files, F.lit("2024-01-01").cast("date"), [0, 1], [0])
+    files = e.filter("event_type = 'error'").select("pdb_id", (F.col("event_id") % 2).cast("int").alias("seed"), (F.floor(F.col("event_id") / 2) % 4).cast("int").alias("sample")).distinct()
+    return audits.targets_table(e.groupBy("pdb_id").agg(F.count(F.lit(1)).alias("chain_count")), e.groupBy("pdb_id").agg(F.to_date(F.min("ts")).alias("release_date")), files, F.lit("2024-01-01").cast("date"), [0, 1], [0, 1, 2, 3])
 
 
 def _report(spark, d):

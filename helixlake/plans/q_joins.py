@@ -66,11 +66,11 @@ def assemble_candidates(spark, d):
 
 
 @query("""
-WITH m AS (SELECT doc_id, (doc_id % 2)::INT AS v, doc_id % 50 = 7 AS gone FROM documents WHERE doc_id % 3 <> 0), l AS (SELECT doc_id, quality AS v FROM labels)
+WITH m AS (SELECT doc_id, (doc_id % 2)::INT AS v, doc_id % 50 = 7 AS gone FROM documents WHERE lang <> 'de'), l AS (SELECT doc_id, quality AS v FROM labels)
 SELECT coalesce(m.doc_id, l.doc_id) AS doc_id, CASE WHEN m.doc_id IS NULL THEN 'EXTRA' WHEN gone AND l.doc_id IS NOT NULL THEN 'DROPPED_PRESENT' WHEN gone THEN 'OK' WHEN l.doc_id IS NULL THEN 'MISSING' WHEN m.v <> l.v THEN 'MISMATCH' ELSE 'OK' END AS status
 FROM m FULL JOIN l ON m.doc_id = l.doc_id""")
 def reconcile(spark, d):
-    manifest = table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("v"), (F.col("doc_id") % 50 == 7).alias("gone"))
+    manifest = table(spark, d, "documents").filter("lang <> 'de'").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("v"), (F.col("doc_id") % 50 == 7).alias("gone"))
     return joins.reconcile(manifest, table(spark, d, "labels").select("doc_id", F.col("quality").alias("v")), "doc_id", "v", F.col("gone"))
 
 
@@ -86,16 +86,13 @@ def completeness(spark, d):
     return joins.completeness(e.select("user_id"), {"seed": [0, 1, 2], "sample": [0, 1, 2, 3]}, e, "user_id")
 
 
-_AB = "a AS (SELECT l_orderkey, l_partkey % 5 AS s, l_linenumber::VARCHAR AS chain FROM lineitem WHERE l_orderkey % 4 = 0), b AS (SELECT * FROM a WHERE NOT (l_orderkey % 8 = 0 AND chain = '2'))"
-
-
 def _sides(spark, d):
-    a = table(spark, d, "lineitem").filter("l_orderkey % 4 = 0").select("l_orderkey", (F.col("l_partkey") % 5).alias("s"), F.col("l_linenumber").cast("string").alias("chain"), "l_suppkey")
+    a = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 5).alias("s"), F.col("l_linenumber").cast("string").alias("chain"), "l_suppkey")
     a = a.groupBy("l_orderkey", "chain").agg(F.min("s").alias("s"))
     return a, a.filter(~((F.col("l_orderkey") % 8 == 0) & (F.col("chain") == "2")))
 
 
-_AB1 = "a AS (SELECT l_orderkey, l_linenumber::VARCHAR AS chain, min(l_partkey % 5) AS s FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2), b AS (SELECT * FROM a WHERE NOT (l_orderkey % 8 = 0 AND chain = '2'))"
+_AB1 = "a AS (SELECT l_orderkey, l_linenumber::VARCHAR AS chain, min(l_partkey % 5) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT * FROM a WHERE NOT (l_orderkey % 8 = 0 AND chain = '2'))"
 
 
 @query(f"""
@@ -129,7 +126,7 @@ def residual_pairing(spark, d):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey, l_linenumber::VARCHAR AS chain, min(l_partkey % 5) AS s FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2), b AS (SELECT l_orderkey, CASE WHEN chain IN ('1', '3') THEN 'X' || chain ELSE chain END AS chain, s FROM a),
+WITH a AS (SELECT l_orderkey, l_linenumber::VARCHAR AS chain, min(l_partkey % 5) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, CASE WHEN chain IN ('1', '3') THEN 'X' || chain ELSE chain END AS chain, s FROM a),
 i AS (SELECT a.l_orderkey, a.chain AS chain_a, b.chain AS chain_b, 'BY_ID' AS how, a.s = b.s AS same_sequence FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND a.chain = b.chain),
 la AS (SELECT l_orderkey, s, min(chain) AS chain_a FROM a WHERE (l_orderkey, chain) NOT IN (SELECT l_orderkey, chain_a FROM i) GROUP BY 1, 2 HAVING count(*) = 1),
 lb AS (SELECT l_orderkey, s, min(chain) AS chain_b FROM b WHERE (l_orderkey, chain) NOT IN (SELECT l_orderkey, chain_b FROM i) GROUP BY 1, 2 HAVING count(*) = 1),
@@ -142,13 +139,13 @@ def compare_chains(spark, d):
 
 
 @query("""
-WITH f AS (SELECT source AS k, doc_id::VARCHAR AS path FROM documents WHERE doc_id % 3 <> 0), w AS (SELECT k, count(*) AS n, min(path) AS sole FROM f GROUP BY 1)
+WITH f AS (SELECT source AS k, doc_id::VARCHAR AS path FROM documents WHERE lang <> 'de'), w AS (SELECT k, count(*) AS n, min(path) AS sole FROM f GROUP BY 1)
 SELECT e.k, e.path, CASE WHEN f.path IS NOT NULL THEN e.path WHEN n = 1 THEN sole END AS resolved, CASE WHEN f.path IS NOT NULL THEN 'DIRECT' WHEN n = 1 THEN 'REBASED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'MISSING' END AS status
 FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'none' ELSE source END AS k, doc_id::VARCHAR AS path FROM documents) e LEFT JOIN f ON e.path = f.path LEFT JOIN w ON w.k = e.k""")
 def resolve_paths(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("k"), F.col("doc_id").cast("string").alias("path"), "doc_id")
-    entries = docs.withColumn("k", F.when(F.col("doc_id") % 5 == 0, "none").otherwise(F.col("k"))).drop("doc_id")
-    return joins.resolve_paths(entries, docs.filter("doc_id % 3 <> 0").drop("doc_id"), "k")
+    docs = table(spark, d, "documents").select(F.col("source").alias("k"), F.col("doc_id").cast("string").alias("path"), "doc_id", "lang")
+    entries = docs.withColumn("k", F.when(F.col("doc_id") % 5 == 0, "none").otherwise(F.col("k"))).drop("doc_id", "lang")
+    return joins.resolve_paths(entries, docs.filter("lang <> 'de'").drop("doc_id", "lang"), "k")
 
 
 @query("""
@@ -296,11 +293,11 @@ def alternate_location(spark, d):
     return ranking.alternate_location(a, ["l_orderkey", "l_linenumber"], "l_tax").withColumnsRenamed({"occupancy": "l_discount", "alt_id": "l_partkey"})
 
 
-@query("SELECT user_id, event_type, max(value) AS value FROM events WHERE (user_id, event_type) IN (SELECT user_id, event_type FROM events WHERE event_id % 5 = 0) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(value) DESC, event_type) = 1")
+@query("SELECT user_id, event_type, max(value) AS value FROM events WHERE (user_id, event_type) IN (SELECT user_id, event_type FROM events WHERE value > 40) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(value) DESC, event_type) = 1")
 def best_existing_seed(spark, d):
     e = table(spark, d, "events")
     scores = e.groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-    return ranking.best_existing_seed(scores, e.filter("event_id % 5 = 0"), "user_id", "event_type", "value").select("user_id", "event_type", "value")
+    return ranking.best_existing_seed(scores, e.filter("value > 40"), "user_id", "event_type", "value").select("user_id", "event_type", "value")
 
 
 @query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY len(string_split(url, '/')), length(url), url) = 1")

@@ -36,12 +36,12 @@ def task_issues(spark, d):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'missing_output' WHEN event_id % 9 = 1 THEN 'invalid_output' WHEN event_type = 'error' THEN 'ost_failure' WHEN event_id % 9 = 2 THEN 'invalid_output' ELSE 'SUCCESS' END AS eval_status,
-  CASE WHEN event_id % 9 > 2 AND event_type <> 'error' THEN value END AS rmsd FROM events""")
+SELECT event_id, CASE WHEN value < 2 THEN 'missing_output' WHEN event_id % 9 = 1 THEN 'invalid_output' WHEN event_type = 'error' THEN 'ost_failure' WHEN event_id % 9 = 2 THEN 'invalid_output' ELSE 'SUCCESS' END AS eval_status,
+  CASE WHEN value >= 2 AND event_id % 9 NOT IN (1, 2) AND event_type <> 'error' THEN value END AS rmsd FROM events""")
 def metric_status(spark, d):
     e, k = table(spark, d, "events"), F.col("event_id") % 9
     doc = F.when(k == 1, "{broken").otherwise(F.concat(F.lit('{"status": "'), F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS"), F.lit('", "rmsd": '), F.when(k == 2, F.lit('"NaN"')).otherwise(F.col("value").cast("string")), F.lit("}")))
-    got = readers.candidate_metrics(e.select("event_id"), e.filter(k != 0).select("event_id", doc.alias("doc")), ["event_id"], "doc")
+    got = readers.candidate_metrics(e.select("event_id"), e.filter("value >= 2").select("event_id", doc.alias("doc")), ["event_id"], "doc")
     return got.select("event_id", "eval_status", "rmsd")
 
 
@@ -120,14 +120,14 @@ def folder_presence(spark, d):
 
 @query("""
 WITH r AS (SELECT o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN 1000000000 ELSE (o_orderkey % 4)::INT END AS o, o_orderdate::DATE AS d FROM orders), m AS (SELECT o_custkey, min((o, d)) AS m FROM r GROUP BY 1),
-l AS (SELECT o_custkey, min(o_orderdate::DATE) AS legacy FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1), j AS (SELECT coalesce(m.o_custkey, l.o_custkey) AS o_custkey, CASE WHEN m.o_custkey % 3 <> 0 THEN m.m[2] END AS rev, legacy FROM m FULL JOIN l ON m.o_custkey = l.o_custkey)
+l AS (SELECT o_custkey, min(o_orderdate::DATE) AS legacy FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), j AS (SELECT coalesce(m.o_custkey, l.o_custkey) AS o_custkey, CASE WHEN m.o_custkey % 3 <> 0 THEN m.m[2] END AS rev, legacy FROM m FULL JOIN l ON m.o_custkey = l.o_custkey)
 SELECT o_custkey, coalesce(rev, legacy) AS release_date, CASE WHEN rev IS NOT NULL THEN 'revision' WHEN legacy IS NOT NULL THEN 'legacy' END AS source, CASE WHEN rev IS NOT NULL AND legacy IS NOT NULL AND rev <> legacy THEN 'date conflict' WHEN coalesce(rev, legacy) IS NULL THEN 'no date' WHEN coalesce(rev, legacy) > DATE '2001-01-01' THEN 'date in the future' END AS issue FROM j""")
 def release_dates(spark, d):
     o = table(spark, d, "orders")
     number = F.when(F.col("o_orderkey") % 13 == 0, "?").otherwise((F.col("o_orderkey") % 4).cast("string"))
     day = F.when(F.col("o_custkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("?")
     rev = readers.revisions(o.select("o_custkey", number.alias("ordinal"), day.alias("day")), "o_custkey", "ordinal", "day")
-    legacy = o.filter("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("legacy_date"))
+    legacy = o.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("legacy_date"))
     return readers.release_dates(rev, legacy, "o_custkey", F.lit("2001-01-01").cast("date"))
 
 
