@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import replacing, table, write_shared
-from .unigram import DEFAULT_MODEL, MARK, MEMO_ENTRIES, automaton, load_pieces, worker_state
+from .unigram import DEFAULT_MODEL, MARK, MEMO_ENTRIES, automaton, load_pieces
 
 SAMPLE_DOCS, ROUNDS, MAX_LANGUAGES = 500, 2, 500
 SMOOTHING, UNKNOWN_SHARE, SCALE, FLOOR = 0.05, 1e-3, 50.0, -700.0
@@ -41,7 +41,7 @@ class Model:
 
     def __setstate__(self, state):
         self.__init__(*state)
-        self.automaton, self.plain = automaton(self.pieces), automaton(self.pieces, lengths=False)
+        self.automaton, self.sizes = automaton(self.pieces), list(map(len, self.pieces))
         lengths = np.array([len(p) for p in self.pieces] + [1])[:, None]
         self.lengths, self.scaled = lengths[:, 0], self.table * SCALE**lengths
         self.rows = self.scaled.tolist()
@@ -51,8 +51,8 @@ class Model:
     def matches(self, word: str) -> list[tuple[int, int, int]]:
         """(end, start, piece), by end."""
         found, unknown = [], len(self.pieces)
-        for end, (i, length) in self.automaton.iter(word):
-            found.append((end + 1, end + 1 - length, i))
+        for end, i in self.automaton.iter(word):
+            found.append((end + 1, end + 1 - self.sizes[i], i))
         if not self.single.issuperset(word):
             found.extend((at + 1, at, unknown) for at, c in enumerate(word) if c not in self.single)
             found.sort()
@@ -89,7 +89,7 @@ class Model:
         joined = "\n".join(marked)
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         begins = np.cumsum(sizes + 1) - sizes - 1
-        found = np.fromiter(chain.from_iterable(self.plain.iter(joined)), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         odd = np.flatnonzero(~np.isin(codes, self.codes))
         odd = odd[codes[odd] != 10]
@@ -123,6 +123,12 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.matrix, self.rows = model, np.zeros((1024, len(model.languages))), {}
 
+    def __getstate__(self):
+        return self.model
+
+    def __setstate__(self, model):
+        self.__init__(model)
+
     def learn(self, texts: list[list[str]]) -> None:
         """Make sure that the words of these texts have rows."""
         new = set(chain.from_iterable(texts)) - self.rows.keys()
@@ -147,13 +153,20 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, text: str, lang: str, key: str, held_out, sample_docs: int) -> DataFrame:
-    """(lang, text) of at most sample_docs rows of each language: those with the least hash of the
-    key. Rows that are held out, or without text or lang, are never learned from."""
+    """(lang, text) of at most sample_docs rows of each language, or as many as share the last of
+    their hashes: those with the least hash of the key. Rows that are held out, or without text
+    or lang, are never learned from."""
     usable = docs.filter(~F.coalesce(held_out, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).limit(MAX_LANGUAGES + 1).collect()  # a row per language
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # hashes are even, so of n rows about four times the sample lies under this; only these are ranked
+    likely = F.lit(False)
+    for row in counts:
+        top = row["least"] + int(2**64 * min(1.0, 4 * sample_docs / row["n"]))
+        likely = likely | ((F.col("lang") == row["lang"]) & (F.col("h") <= min(top, 2**63 - 1)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = usable.select("lang", "h").withColumn("nth", nth).filter(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h").alias("cut")).collect()  # a row per language
-    if len(cuts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(cuts)} languages; a model has at most {MAX_LANGUAGES}")
+    cuts = usable.select("lang", "h").filter(likely).withColumn("nth", nth).filter(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h").alias("cut")).collect()
     chosen = F.lit(False)
     for row in cuts:
         chosen = chosen | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["cut"]))
@@ -219,14 +232,13 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     text (0 to 1; equal priors, and of equal languages the first by name). Texts that are null or
     have no letter are `und` with score 0, as all are without a model. Input columns of these
     names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model) if model else None)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
         out: list[dict] = []
         part: list[list[str]] = []
-        held, model = 0, shared.value
-        scorer = worker_state(shared, Scorer) if model else None
+        held, scorer = 0, shared.value  # its rows last as long as a worker uses them
 
         def flush() -> None:
             if scorer:
@@ -237,11 +249,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     continue
                 sums = scorer.sums(words)
                 best = int(sums.argmax())
-                out.append({"lang_pred": model.languages[best], "score": float(1.0 / np.exp(np.maximum(sums - sums[best], FLOOR)).sum())})
+                out.append({"lang_pred": scorer.model.languages[best], "score": float(1.0 / np.exp(np.maximum(sums - sums[best], FLOOR)).sum())})
             part.clear()
 
         for t in texts:
-            part.append(words_of(t.as_py()) if model else [])
+            part.append(words_of(t.as_py()) if scorer else [])
             held += len(part[-1])
             if held > WORDS_HELD:
                 flush()

@@ -22,12 +22,11 @@ def load_pieces(path: str = DEFAULT_MODEL) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not any(f(i) for f in special)]
 
 
-def automaton(pieces: list[str], lengths: bool = True) -> ahocorasick.Automaton:
-    """Its matches carry (index, length), or the index alone; those that end at one place come
-    longest first."""
+def automaton(pieces: list[str]) -> ahocorasick.Automaton:
+    """Its matches carry the piece's index; those that end at one place come longest first."""
     out = ahocorasick.Automaton()
     for i, piece in enumerate(pieces):
-        out.add_word(piece, (i, len(piece)) if lengths else i)
+        out.add_word(piece, i)
     out.make_automaton()
     return out
 
@@ -64,13 +63,3 @@ class Memo(dict):
             self[unit] = value
         return value
 
-
-_STATE: dict = {}
-
-
-def worker_state(shared, make: Callable):
-    """make(shared.value), kept in this worker process for the broadcast asked for last."""
-    value = shared.value
-    if _STATE.get("value") is not value or _STATE.get("make") is not make:
-        _STATE.update(value=value, make=make, made=make(value))
-    return _STATE["made"]
