@@ -20,7 +20,7 @@ from .common import mix64, replacing, table
 
 SIMILARITY, REPETITIONS, SAMPLED_STEPS, MIN_WORDS, SEED = 0.8, 24, 2, 5, 20240229
 ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 5_000, 4_000_000
-LENGTH_STEP, VOCABULARY_BITS, CHUNK_BYTES = 1.15, 20, 2 << 20
+LENGTH_STEP, VOCABULARY_BITS, CHUNK_BYTES, PIECE_BYTES = 1.15, 20, 2 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -54,10 +54,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[data] * up[:n], out=sums[1:])
-    return mix64((sums[b] - sums[a]) * down[a]), np.searchsorted(a, offsets)
+    out, i = np.zeros(len(a), np.uint64), 0
+    while i < len(a):  # pieces of about PIECE_BYTES, so that a long text needs no long tables
+        j = max(i + 1, int(np.searchsorted(b, a[i] + PIECE_BYTES, "right")))
+        part = data[a[i] : b[j - 1]]
+        up, down = _powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LOWER[part] * up[: len(part)], out=sums[1:])
+        out[i:j] = (sums[b[i:j] - a[i]] - sums[a[i:j] - a[i]]) * down[a[i:j] - a[i]]
+        i = j
+    return mix64(out), np.searchsorted(a, offsets)
 
 
 def text_words(text: str | None) -> np.ndarray:

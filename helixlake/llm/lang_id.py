@@ -29,6 +29,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
+def has_letter(word: str) -> bool:
+    """Not only superscripts, fractions and the like."""
+    return any(map(str.isalpha, word))
+
+
 class Model:
     """Piece probabilities by language: row i of `table` is piece i, the last is an unknown
     character. Rows are scaled by a constant to the piece's length, against underflow."""
@@ -244,7 +249,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             if scorer:
                 scorer.learn(part)
             for words in part:
-                if not words:
+                if not any(map(has_letter, words)):
                     out.append({"lang_pred": "und", "score": 0.0})
                     continue
                 sums = scorer.sums(words)

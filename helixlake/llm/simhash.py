@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake.operators.graph import component_roots
+
 from .common import replacing, table, write_shared
 
 SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 12, 64
@@ -224,23 +226,6 @@ def links(points: DataFrame, radius: int = 4) -> DataFrame:
     return points.mapInArrow(deal, "shard int, fp bigint, home boolean").groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node that isn't its component's smallest, from edges (a, b), a != b
-    read without direction. Each round hooks the other ends of a node's edges to its smallest one
-    and lets every node jump to the parent's parent; no round groups the edges of a root."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().withColumn("new", F.lit(True))
-    for _ in range(max_rounds):
-        now = write_shared(now, "components")
-        if not now.filter("new").head(1):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        parent = now.groupBy("a").agg(F.min("b").alias("m"))
-        hooked = now.join(parent, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("new"))
-        above = parent.select(F.col("a").alias("m"), F.col("m").alias("up"))
-        jumped = parent.join(above, "m", "left").select("a", F.coalesce("up", "m").alias("b"), F.col("up").isNotNull().alias("new"))
-        now = jumped.unionByName(hooked).groupBy("a", "b").agg(F.max("new").alias("new"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """One row per row of docs: its key, fingerprint (16 hex digits) and component_id.
 
@@ -251,7 +236,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     """
     seen = write_shared(fingerprints(docs.select(F.col(key), F.col(text)), text, words=words, seed=seed, name="__fp").select(F.col(key).alias("key"), F.col("__fp").alias("fp")), "simhash")
     first = write_shared(seen.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
-    roots = components(links(first.select("fp"), radius))
+    roots = component_roots(links(first.select("fp"), radius))
     classed = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = classed.join(classed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return seen.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -20,6 +20,13 @@ def edited(rng, words, k):
     return words
 
 
+def test_words_of_long_texts_come_in_pieces(monkeypatch):
+    text = " ".join(VOCAB * 3) + " " + "x" * 500 + " end"
+    whole = D.text_words(text)
+    monkeypatch.setattr(D, "PIECE_BYTES", 64)
+    assert (D.text_words(text) == whole).all() and len(whole) == 3 * len(VOCAB) + 2
+
+
 def test_words_and_edit_distance():
     same = D.text_words("Hello, wORLD! éa 7")
     assert (same == D.text_words("HELLO world\n\néa...7")).all() and len(same) == 4

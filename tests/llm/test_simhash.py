@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 
 from helixlake.llm import simhash
+from helixlake.operators.graph import component_roots
 
 
 def brute_roots(points, radius):
@@ -85,5 +86,5 @@ def test_empty_table_and_long_chain(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "a long, b long")
-    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    got = {r.node: r.root for r in component_roots(edges).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1001: 1000}
