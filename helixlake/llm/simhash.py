@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from helixlake.operators.graph import component_roots
 
-from .common import replacing, table, write_shared
+from .common import mix64, replacing, table, write_shared
 
 SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 12, 64
 LEAF = 64
@@ -121,10 +121,10 @@ class TopTree:
             self.nodes[at] = (v, m, self._grow(points[d <= m], depth - 1), self._grow(points[d > m], depth - 1))
         return at
 
-    def route(self, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def route(self, points: np.ndarray, radius: int, guests: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, indexes of home points, indexes of guests): each pair within the radius meets
-        in a shard where one of the two is at home."""
-        todo = [(0, np.arange(len(points)), np.arange(0))]
+        in a shard where one of the two is at home. With `guests` no point is at home."""
+        todo = [(0, np.arange(0), np.arange(len(points))) if guests else (0, np.arange(len(points)), np.arange(0))]
         while todo:
             node, home, guest = todo.pop()
             if len(self.nodes[node]) == 1:
@@ -249,5 +249,148 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     return docs.join(gone, key, "left_anti")
 
 
+def _shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
+def _profiles(docs: DataFrame, text: str, words: int, seed: int) -> DataFrame:
+    """docs plus `p`: of the set of shingles a 64-bit name, its size, and two SimHash fingerprints."""
+    kind = pa.struct([("sig", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64())])
+
+    @F.arrow_udf("struct<sig:bigint,n:bigint,fp:bigint,fp2:bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        done: list[list[np.ndarray]] = []
+        sets: list[np.ndarray] = []
+        names: list[int] = []
+
+        def flush() -> None:
+            sizes = np.array([len(x) for x in sets], np.int64)
+            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            done.append([np.array(names, np.uint64).view(np.int64), sizes, _majority(every, sizes).view(np.int64), _majority(mix64(every), sizes).view(np.int64)])
+            sets.clear(), names.clear()
+
+        waiting = 0
+        for t in texts:
+            sets.append(_shingle_set(t.as_py(), words, seed))
+            names.append(xxhash.xxh64_intdigest(sets[-1].tobytes(), seed))
+            waiting += len(sets[-1])
+            if waiting > 500_000:
+                flush()
+                waiting = 0
+        flush()
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], fields=list(kind))
+
+    return docs.withColumn("p", run(F.col(text).cast("string")))
+
+
+def near_pairs(fps: np.ndarray, fps2: np.ndarray, home: np.ndarray, radius: int, both: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home point, other point, whether the home point has more): of each home point the `most`
+    nearest others within the radius, and within `both` by the two fingerprints together."""
+    own, out = np.flatnonzero(home), []
+    step = max(1, 2_000_000 // max(1, len(fps)))
+    for at in range(0, len(own), step):
+        mine = own[at : at + step]
+        d = _distance(fps[mine][:, None], fps[None, :])
+        row, col = np.nonzero(d <= radius)
+        d = d[row, col].astype(np.int64) + _distance(fps2[mine[row]], fps2[col])
+        good = (d <= both) & (mine[row] != col)
+        row, col, d = row[good], col[good], d[good]
+        order = np.lexsort((col, d, row))
+        row, col = row[order], col[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        more = np.bincount(row, minlength=len(mine))[row] > most
+        out.append((mine[row[nth < most]], col[nth < most], more[nth < most]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([*x]) for x in zip((none, none, none.astype(bool)), *out, strict=True))
+
+
+def _candidates(points: DataFrame, similarity: float, radius: int, both: int, most: int) -> DataFrame:
+    """(a, b, more) by name, see near_pairs. Sets of that similarity have sizes in one class or two
+    that adjoin, so each class is searched with the one below it for guests."""
+    n = points.count()
+    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / SHARD_POINTS))))))
+    sample = points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_SHARD << depth).collect()
+    tree = TopTree(np.array([r[0] for r in sample], np.int64).view(np.uint64), depth)
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, fps, fps2, size = (batch[c].to_numpy() for c in ("sig", "fp", "fp2", "n"))
+            kind = np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity)).astype(np.int64)
+            for guests in (False, True):
+                for shard, home, guest in shared.value.route(fps.view(np.uint64), radius, guests):
+                    at = np.concatenate([home, guest])
+                    if len(at):
+                        yield pa.record_batch({"kind": kind[at] + guests, "shard": np.full(len(at), shard, np.int32), "sig": sig[at], "fp": fps[at], "fp2": fps2[at], "home": np.arange(len(at)) < len(home)})
+
+    def search(group: pa.Table) -> pa.Table:
+        sig = group["sig"].to_numpy()
+        a, b, more = near_pairs(_unsigned(group["fp"]), _unsigned(group["fp2"]), group["home"].to_numpy(zero_copy_only=False), radius, both, most)
+        return pa.table({"a": sig[a], "b": sig[b], "more": more})
+
+    dealt = points.mapInArrow(deal, "kind bigint, shard int, sig bigint, fp bigint, fp2 bigint, home boolean")
+    return dealt.groupBy("kind", "shard").applyInArrow(search, "a bigint, b bigint, more boolean")
+
+
+def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, text: str, key: str, words: int, seed: int, similarity: float) -> DataFrame:
+    """The pairs of names whose sets of shingles have at least that Jaccard similarity, exactly."""
+
+    @F.arrow_udf("binary")
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([_shingle_set(t.as_py(), words, seed).tobytes() for t in texts], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    wanted = points.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig").select("sig", F.col("key").alias("__key"), F.col("row").alias("__row"))
+    own = docs.select(F.col(key).alias("__k"), F.col(text).cast("string").alias("t"))
+    met = own.join(wanted, (F.col("__k") == F.col("__key")) & (F.xxhash64("t") == F.col("__row"))).dropDuplicates(["sig"])
+    sets = write_shared(met.select("sig", shingles("t").alias("s")), "simhash-sets")
+    a, b = (sets.select(F.col("sig").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").filter(alike("sa", "sb")).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, words: int = 5, similarity: float = 0.8, radius: int = 18, both: int = 34, most: int = 16, seed: int = 42) -> DataFrame:
+    """(key, component_id), a row for each row of docs with a key: texts link when the sets of their
+    runs of so many words have at least that Jaccard similarity; component_id is the smallest key
+    reachable.
+
+    Pairs are found by SimHash: within `radius` bits of 64 and `both` of 128. At 0.8 a pair differs
+    in about 10 bits of 64, give or take 3. What is found is verified exactly. Points with more
+    than `most` others near go round again, with the components so far as one point and a higher
+    `most`, until none has more.
+    """
+    told = _profiles(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t")), "t", words, seed)
+    seen = write_shared(told.select("key", F.xxhash64(F.col("t").cast("string")).alias("row"), "p.*"), "simhash-profiles")
+    first = seen.groupBy("sig").agg(F.min(F.struct("key", "row")).alias("m"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
+    points = write_shared(first.select("sig", "m.key", "m.row", "n", "fp", "fp2"), "simhash-points")
+    live, found = points, None
+    while True:
+        pairs = write_shared(_candidates(live, similarity, radius, both, most).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"), "more"), "simhash-pairs")
+        good = write_shared(_verified(pairs, points, docs, text, key, words, seed, similarity), "simhash-links")
+        found = good if found is None else found.unionByName(good)
+        if pairs.filter("more").isEmpty():
+            break
+        live = write_shared(live.join(component_roots(good), F.col("sig") == F.col("node"), "left_anti"), "simhash-live")
+        most *= 4
+    roots = component_roots(found)
+    classed = write_shared(points.join(roots, points["sig"] == roots["node"], "left").select("sig", "key", F.coalesce("root", "sig").alias("root")), "simhash-classed")
+    named = classed.join(classed.groupBy("root").agg(F.min("key").alias("component_id")), "root").select("sig", "component_id")
+    return seen.join(named, "sig").select(F.col("key").alias(key), "component_id")
+
+
+def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs without the rows whose key is not the smallest of their component by similar_texts.
+    Rows of null key stay, and rows that repeat the smallest key."""
+    gone = similar_texts(docs, text, key, **options).filter(F.col("component_id") != F.col(key)).select(key).distinct()
+    return docs.join(gone, key, "left_anti")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

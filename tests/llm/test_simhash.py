@@ -1,6 +1,7 @@
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from helixlake.llm import simhash
 from helixlake.operators.graph import component_roots
 
@@ -88,3 +89,33 @@ def test_empty_table_and_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "a long, b long")
     got = {r.node: r.root for r in component_roots(edges).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1001: 1000}
+
+
+def test_similar_texts_match_exact_jaccard(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(vocab, int(rng.integers(60, 400))))
+        rows.append((i, " ".join(words)))
+        for at in np.linspace(5, len(words) - 5, max(1, round(len(words) * (0.01, 0.018, 0.035)[i % 3]))).astype(int):
+            words[at] = "X"
+        rows.append((100 + i, " ".join(words)))
+    base = list(rng.choice(vocab, 200))
+    for i in range(40):  # a group with more near copies than `most`
+        words = list(base)
+        words[5 * i] = "Y"
+        rows.append((300 + i, " ".join(words)))
+    rows += [(500, None), (501, ""), (502, "One two"), (503, "one  TWO"), (None, rows[0][1])]
+    sets = {k: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for k, t in rows for w in [(t or "").lower().split()] if k is not None}
+    keys = sorted(sets)
+    same = {(a, b) for a in keys for b in keys if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))}
+    least = {k: k for k in keys}
+    for _ in keys:
+        for a, b in same:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, most=4).collect()}
+    assert sum(1 for i in range(60) if (i, 100 + i) in same) >= 30
+    assert got == least
+    assert sorted(map(str, (r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))) == sorted(map(str, [*set(least.values()), None]))
