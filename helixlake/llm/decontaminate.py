@@ -5,6 +5,10 @@ at step j it reads the word under its pointer and a random function of (j, word)
 pointer goes on. A repetition samples a few steps of the walk as one hash key; windows of
 documents, of the items' size and at every word that can start a match, are looked up among the
 items' keys. What meets an item in any repetition is verified by exact edit distance.
+
+Walks drift apart with the number of edits, so long items would be lost that way. Each item is also
+cut into one piece more than edits are allowed: whatever the edits, one piece stays whole, and
+its words are looked up as they are.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from .common import mix64, replacing, table
 
 SIMILARITY, REPETITIONS, SAMPLED_STEPS, MIN_WORDS, SEED = 0.8, 24, 2, 5, 20240229
 ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 5_000, 4_000_000
+MOST_PIECE = 8
 LENGTH_STEP, VOCABULARY_BITS, CHUNK_BYTES, PIECE_BYTES = 1.15, 20, 2 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, bool)
@@ -77,6 +82,11 @@ def allowed_edits(n: int, similarity: float = SIMILARITY) -> int:
 
 def best_edits(item: np.ndarray, region: np.ndarray) -> int:
     """The least edit distance of the item to any stretch of the region, in words."""
+    return best_match(item, region)[0]
+
+
+def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
+    """The least edit distance of the item to any stretch of the region, and where the first such ends."""
     at = np.arange(len(region) + 1)
     row = np.zeros(len(region) + 1, np.int64)
     for i, word in enumerate(item):
@@ -84,7 +94,16 @@ def best_edits(item: np.ndarray, region: np.ndarray) -> int:
         np.minimum(new[1:], row[:-1] + (region != word), out=new[1:])
         new[0] = i + 1
         row = np.minimum.accumulate(new - at) + at
-    return int(row.min())
+    return int(row.min()), int(row.argmin())
+
+
+def runs_of(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """One number for each run of n words."""
+    keys = np.zeros(len(starts), np.uint64)
+    for j in range(n):
+        keys = (keys ^ words[starts + j]) * np.uint64(_BASE)
+        keys ^= keys >> np.uint64(29)
+    return keys
 
 
 class Items:
@@ -119,6 +138,41 @@ class Items:
             for i in own:
                 self.vocabulary[(words[i] & np.uint64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)] |= k
             self.groups.append((k, prefix, prefix - edits, steps, tables))
+        self.pieces = self.cut([i for i, w in enumerate(words) if len(w) >= max(1, min_words)])
+
+    def cut(self, own: list[int]) -> list[tuple]:
+        """By number of words: the pieces' sorted keys, a filter of their low bits, their items and
+        where they stand in these."""
+        by: dict[int, list[tuple[int, int]]] = {}
+        for i in own:
+            n, parts = len(self.words[i]), int(self.edits[i]) + 1
+            by.setdefault(min(MOST_PIECE, n // parts), []).extend((i, k * n // parts) for k in range(parts))
+        out = []
+        for n, some in sorted(by.items()):
+            item, offset = np.array(some, np.int64).T
+            base = np.cumsum([0] + [len(w) for w in self.words])
+            keys = runs_of(np.concatenate(self.words), base[item] + offset, n)
+            by_key = np.argsort(keys, kind="stable")
+            low = np.zeros(1 << VOCABULARY_BITS, bool)
+            low[(keys & np.uint64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)] = True
+            out.append((n, keys[by_key], low, item[by_key], offset[by_key]))
+        return out
+
+    def meetings(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Start times number of items plus item, where a piece of the item is met: the start that
+        the item has if no word before the piece was put in or taken out."""
+        found = [np.zeros(0, np.int64)]
+        for n, keys, low, item, offset in self.pieces:
+            starts = np.arange(max(0, len(words) - n + 1))
+            starts = starts[starts + n <= ends[starts]]
+            mine = runs_of(words, starts, n)
+            hit = np.flatnonzero(low[(mine & np.uint64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)])
+            first = np.searchsorted(keys, mine[hit])
+            size = np.searchsorted(keys, mine[hit], "right") - first
+            at = np.repeat(starts[hit], size)
+            piece = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            found.append(np.maximum(begins[at], at - offset[piece]) * len(self.words) + item[piece])
+        return np.concatenate(found)
 
     def walk(self, words: np.ndarray, starts: np.ndarray, repetition: int, steps: np.ndarray) -> np.ndarray:
         """The keys of the windows at these starts: the words at the sampled steps of their walks."""
@@ -133,14 +187,14 @@ class Items:
                 at += ((here >> self.bits[repetition, j]) & one ^ self.flips[repetition, j]).astype(np.int64)
         return keys
 
-    def candidates(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) pairs whose keys agree in some repetition. `ends`: where the text of each
-        word ends. Starts that can't begin a match are passed over: the first word, and all but
+    def candidates(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) pairs that share a piece, or whose keys agree in some repetition. `begins`
+        and `ends`: where the text of each word begins and ends. For the keys, starts that can't begin a match are passed over: the first word, and all but
         as many of the next ones as edits are allowed, must be words of items."""
         n = len(words)
         padded = np.append(words, np.zeros(self.bits.shape[1] + 1, np.uint64))
         seen = self.vocabulary[(words & np.uint64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)]
-        found = []
+        found = [self.meetings(words, begins, ends)]
         for k, prefix, least, steps, tables in self.groups:
             if n < prefix:
                 continue
@@ -160,7 +214,7 @@ class Items:
                     size = high - low[hit]
                     nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     found.append(np.repeat(starts[hit], size) * len(self.words) + items[np.repeat(low[hit], size) + nth])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        pairs = np.unique(np.concatenate(found))
         return pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
 
     def verify(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, items: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
@@ -169,24 +223,26 @@ class Items:
         for item in np.unique(items):
             want, d = self.words[item], int(self.edits[item])
             own = np.sort(starts[items == item])
-            span = np.arange(len(want) + d)
             bag = np.unique(want)
-            keep = []
-            for some in np.array_split(own, max(1, len(own) * len(span) // 4_000_000)):
-                at = some[:, None] + span
-                inside = at < ends[some][:, None]
-                there = words[np.where(inside, at, 0)]
-                keep.append(some[(inside & (bag[np.minimum(np.searchsorted(bag, there), len(bag) - 1)] == there)).sum(axis=1) >= len(want) - 2 * d])
-            own = np.concatenate(keep)
+            # Of a match all but d of the item's words stand between low and high; windows that overlap are counted over once.
+            low, high = np.maximum(begins[own], own - d), np.minimum(ends[own], own + len(want) + 2 * d)
+            head = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+            size = high[np.append(head[1:], len(own)) - 1] - low[head]
+            ahead = np.cumsum(size) - size
+            there = words[np.repeat(low[head] - ahead, size) + np.arange(size.sum())]
+            count = np.concatenate([[0], np.cumsum(bag[np.minimum(np.searchsorted(bag, there), len(bag) - 1)] == there)])
+            shift = np.repeat(ahead - low[head], np.diff(np.append(head, len(own))))
+            own = own[count[high + shift] - count[low + shift] >= len(want) - d]
             cuts = np.flatnonzero((np.diff(own) > len(want)) | (begins[own[1:]] != begins[own[:-1]])) + 1
             for part in np.split(own, cuts):
                 if not len(part):
                     continue
                 begin, end = begins[part[0]], ends[part[0]]
-                edits = best_edits(want, words[max(begin, part[0] - d) : min(end, part[-1] + len(want) + d)])
+                first = max(begin, part[0] - d)
+                edits, stop = best_match(want, words[first : min(end, part[-1] + len(want) + 2 * d)])
                 if edits <= d:
-                    key = (int(begin), int(item))
-                    best[key] = min(best.get(key, (edits, int(part[0] - begin))), (edits, int(part[0] - begin)))
+                    key, at = (int(begin), int(item)), max(0, int(first - begin) + stop - len(want))
+                    best[key] = min(best.get(key, (edits, at)), (edits, at))
         return best
 
 
@@ -212,7 +268,7 @@ def match_texts(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[lis
         begins, ends = np.repeat(begin[:-1], sizes), np.repeat(begin[1:], sizes)
         hits: dict[int, list] = {}
         if len(words) and items.groups:
-            for (b, item), (edits, at) in sorted(items.verify(words, begins, ends, *items.candidates(words, ends)).items()):
+            for (b, item), (edits, at) in sorted(items.verify(words, begins, ends, *items.candidates(words, begins, ends)).items()):
                 hits.setdefault(b, []).append((item, edits, at))
         out.extend(hits.get(int(b), []) if s else [] for b, s in zip(begin[:-1], sizes, strict=True))
     return out
@@ -244,8 +300,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text
     Items under min_words words are no evidence and match nothing, nor do null texts. Items of
     equal texts all match; repeated rows stay. A column of docs with that name is replaced.
     The benchmark is taken in blocks of bounded size, each broadcast on its own; every text meets
-    every block. Pairs within the allowed edits are found with high probability (measured in the
-    tests), and what is found is exact.
+    every block. All pairs within the allowed edits are found, as one piece of the item is whole in
+    each, and what is found is exact.
     """
     source = benchmark.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).cast("string").alias("t")).filter(F.col("t").isNotNull())
     n, size = source.agg(F.count("*"), F.sum(F.length("t"))).first()

@@ -72,3 +72,21 @@ def test_awkward_rows(spark, monkeypatch):
     assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {2, 3, 7}
     assert D.drop_contaminated(docs, bench).columns == docs.columns
     assert D.contaminated(docs.limit(0), bench).count() == 0 == D.contaminated(docs, bench.limit(0)).count()
+
+
+def test_recall_by_length_and_kind_of_edit():
+    rng = random.Random(21)
+    foreign = [f"zz{i}" for i in range(5000)]
+    items = [rng.choices(VOCAB, k=n) for n in (5, 9, 15, 59, 150, 400) for _ in range(3)]
+    held = D.make_items([" ".join(w) for w in items])
+    for around in (foreign, VOCAB):
+        for kind in ("delete", "insert", "replace"):
+            for i, words in enumerate(items):
+                d, body = D.allowed_edits(len(words)), list(words)
+                spots = sorted(rng.sample(range(len(words)), d), reverse=True)
+                for at in spots:
+                    body[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.choice(around)]
+                lead = rng.choices(around, k=30)
+                data = " ".join([*lead, *body, *rng.choices(around, k=30)]).encode()
+                found = {item: (edits, at) for item, edits, at in D.match_texts(held, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]}
+                assert i in found and found[i][0] <= d and abs(found[i][1] - len(lead)) <= 2 * d + 1, (kind, len(words))
