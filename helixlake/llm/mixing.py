@@ -3,24 +3,28 @@
 Rows of a source are numbered in a fixed random order and cut into blocks. A source of weight w
 has its i-th block released at floor((i - 1) / w) and due by ceil(i / w); earliest deadline first
 then fills one slot after another, and after every slot each source has had its share of the
-slots give or take less than one block. Weights are whole shares of a period, so the schedule
-repeats: one period (its length is a parameter, not the data) is scheduled on the driver, and
-each row finds its slot by arithmetic. When a source runs out, a new phase begins with the
-weights of those that are left.
+slots give or take less than one block. Weights are exact fractions and the driver schedules all
+blocks, which are far fewer than rows. With a `period` weights are rounded to whole shares of it
+instead, the schedule repeats, and the driver makes one period only. When a source runs out, a new
+phase begins with the weights of those that are left.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import replacing, table, write_shared
 
-PERIOD, BLOCK_ROWS, TEMPERATURE, BUCKET_ROWS, SEED = 1_000, 50, 0.5, 20_000, 7
+BLOCK_ROWS, TEMPERATURE, BUCKET_ROWS, SEED = 50, 0.5, 20_000, 7
 
 
 def shares(weights: list[float], period: int) -> list[int]:
@@ -85,17 +89,54 @@ def phases(blocks: list[int], weights: list[float], period: int) -> list[dict]:
     return out
 
 
-def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", *, weights: dict | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+def exact_schedule(blocks: list[int], weights: list[float]) -> dict[str, array]:
+    """The blocks of all sources in the order of their slots: source, number of the block in its
+    source, phase, and release and deadline in slots of the phase. Earliest deadline first by the
+    exact weights, over as many slots as there are blocks; a phase ends where phases() says."""
+    out = {c: array("q") for c in ("source", "block", "phase", "release", "deadline")}
+    left, done, phase = list(blocks), [0] * len(blocks), 0
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(w.denominator for w in exact))
+    whole = [int(w * unit) for w in exact]
+    live = [s for s in range(len(blocks)) if left[s]]
+    while live:
+        total = sum(whole[s] for s in live)
+        ready = [(-(-total // whole[s]), s, 0) for s in live]
+        heapq.heapify(ready)
+        waiting: dict[int, list[int]] = {}  # the sources whose next block is released at a slot
+        number = dict.fromkeys(live, 0)
+        slot = 0
+        while True:
+            for s in waiting.pop(slot, ()):
+                heapq.heappush(ready, (-(-(number[s] + 1) * total // whole[s]), s, number[s] * total // whole[s]))
+            due, s, released = heapq.heappop(ready)
+            if not left[s]:
+                break
+            for c, x in zip(out.values(), (s, done[s], phase, released, due), strict=True):
+                c.append(x)
+            left[s] -= 1
+            done[s] += 1
+            number[s] += 1
+            slot += 1
+            waiting.setdefault(max(slot, number[s] * total // whole[s]), []).append(s)
+        live = [s for s in live if left[s]]
+        phase += 1
+    return out
+
+
+def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", *, weights: dict | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = SEED) -> DataFrame:
     """docs plus mix_phase, mix_release and mix_deadline (of its block, in slots of the phase),
     mix_slot (over all phases), and mix_position, by which the mixed corpus is read.
 
     Every row is kept once. `weights` gives the target of each source (null is a source); those
     it leaves out, or all without it, get their number of blocks to the power `temperature`.
-    Weights are rounded to shares of `period` slots, at least one. Within a source rows go by a
+    At each slot of a phase a source is less than a block off its target. With a `period` that
+    holds for weights rounded to shares of so many slots, at least one. Within a source rows go by a
     seeded hash of the key, then the key; rows that repeat a key and source take any order among
     themselves. Null keys are ordinary. Only a source's last block is short. Input columns with
-    these names are replaced. The driver holds a count for each source, of which there can be
-    `period`, and one period for each phase, which is broadcast.
+    these names are replaced. The driver holds a count for each source and the schedule, 40 bytes
+    a block; with a `period` a count for each source, of which there can be `period`, and one
+    period for each phase, which is broadcast.
     """
     names = ("mix_phase", "mix_release", "mix_deadline", "mix_slot", "mix_position")
     rows = docs.count()
@@ -103,18 +144,21 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", *, weights
     order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
     dealt = docs.withColumns({"__src": F.col(source).cast("string"), "__h": order}).withColumn("__b", F.floor((F.col("__h") / 2.0**64 + 0.5) * buckets).cast("int"))
     counts = write_shared(dealt.groupBy("__src", "__b").agg(F.count("*").alias("n")), "mix-counts")
-    totals = sorted(((r["__src"] is not None, r["__src"] or "", r["n"]) for r in counts.groupBy("__src").agg(F.sum("n").alias("n")).limit(period + 1).collect()))
+    totals = sorted(((r["__src"] is not None, r["__src"] or "", r["n"]) for r in counts.groupBy("__src").agg(F.sum("n").alias("n")).limit(period + 1 if period else 2**31 - 1).collect()))
     labels = [s if known else None for known, s, _ in totals]
     blocks = [-(-n // block_rows) for *_, n in totals]
     target = [float((weights or {}).get(s, b**temperature)) for s, b in zip(labels, blocks, strict=True)]
     if any(w <= 0 for w in target):
         raise ValueError("weights must be above 0")
-    plan = phases(blocks, target, period)
-
     before = F.sum("n").over(Window.partitionBy("__src").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("__src").alias("__src2"), F.col("__b").alias("__b2"), F.coalesce(before, F.lit(0)).alias("__before"))
+    offsets = counts.select(F.col("__src").alias("__src2"), F.col("__b").alias("__b2"), F.col("n").alias("__n"), F.coalesce(before, F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("__src", "__b").orderBy("__h", F.col(key))) - 1
-    met = dealt.withColumn("__nth", nth).join(offsets, F.col("__src").eqNullSafe(F.col("__src2")) & (F.col("__b") == F.col("__b2")))
+    dealt = dealt.withColumn("__nth", nth)
+    own = ["__src", "__h", "__b", "__nth", "__i", "__block", "__src2", "__b2", "__before"]
+    if not period:
+        return _exact(dealt, offsets, labels, blocks, target, block_rows, names, own)
+    plan = phases(blocks, target, period)
+    met = dealt.join(offsets, F.col("__src").eqNullSafe(F.col("__src2")) & (F.col("__b") == F.col("__b2")))
     met = met.withColumn("__i", F.col("__before") + F.col("__nth")).withColumn("__block", F.floor(F.col("__i") / block_rows))
 
     spark = docs.sparkSession
@@ -126,7 +170,27 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", *, weights
     slot = F.col("start__") + in_phase
     values = (F.col("p__"), F.floor(k * period / share), F.ceil((k + 1) * period / share), slot, slot * block_rows + F.col("__i") % block_rows)
     met = replacing(met, **dict(zip(names, (v.cast("long") for v in values), strict=True)))
-    return met.drop("__src", "__h", "__b", "__src2", "__b2", "__before", "__nth", "__i", "__block", "__k", *steps.columns)
+    return met.drop(*own, "__n", "__k", *steps.columns)
+
+
+def _exact(dealt: DataFrame, offsets: DataFrame, labels: list, blocks: list[int], target: list[float], block_rows: int, names: tuple, own: list[str]) -> DataFrame:
+    """The end of mix by exact weights: each bucket of a source brings the slots of its blocks along."""
+    spark, plan = dealt.sparkSession, exact_schedule(blocks, target)
+    columns = {c: np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for c, x in plan.items()}
+    named = spark.createDataFrame(list(enumerate(labels)), "source long, s__ string")
+    slots = spark.createDataFrame(pa.table({**columns, "slot": np.arange(len(columns["source"]))})).join(named, "source")
+    first, last = F.floor(F.col("__before") / block_rows), F.floor((F.col("__before") + F.col("__n") - 1) / block_rows)
+    held = offsets.withColumn("block__", F.explode(F.sequence(first, last)))
+    held = held.join(slots, F.col("__src2").eqNullSafe(F.col("s__")) & (F.col("block__") == F.col("block")))
+    held = held.groupBy("__src2", "__b2", "__before").agg(F.array_sort(F.collect_list(F.struct("block", "phase", "release", "deadline", "slot"))).alias("held__"))
+    met = dealt.join(held, F.col("__src").eqNullSafe(F.col("__src2")) & (F.col("__b") == F.col("__b2")))
+    met = met.withColumn("__i", F.col("__before") + F.col("__nth")).withColumn("__block", F.floor(F.col("__i") / block_rows))
+    mine = F.element_at("held__", (F.col("__block") - F.floor(F.col("__before") / block_rows) + 1).cast("int"))
+    met = met.withColumn("mine__", mine)
+    slot = F.col("mine__.slot")
+    values = (F.col("mine__.phase"), F.col("mine__.release"), F.col("mine__.deadline"), slot, slot * block_rows + F.col("__i") % block_rows)
+    met = replacing(met, **dict(zip(names, (v.cast("long") for v in values), strict=True)))
+    return met.drop(*own, "held__", "mine__")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,32 @@ def test_weights_empty_table_and_errors(spark):
     assert M.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         M.mix(df, weights={"a": 0.0})
+
+
+def test_exact_weights_stay_within_a_block_over_many_periods():
+    weights = [0.2, *[0.8 / 19] * 18, 0.8 / 19 - 0.0007, 0.0007]
+    plan = M.exact_schedule([5_000] * 21, weights)
+    exact = [Fraction(w) for w in weights]
+    total, n = sum(exact), Counter()
+    first = [s for s, p in zip(plan["source"], plan["phase"], strict=True) if p == 0]
+    assert len(first) > 20_000
+    for slot, s in enumerate(first, 1):
+        n[s] += 1
+        if slot % 97 == 0:
+            assert all(abs(n[i] - w / total * slot) < 1 for i, w in enumerate(exact))
+    assert Counter(plan["source"]) == dict.fromkeys(range(21), 5_000)
+
+
+def test_more_sources_than_slots_of_a_period(spark):
+    rows = [(i, None if i % 1501 == 7 else f"host{i % 1501}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = M.mix(df, block_rows=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000)) and len({r.mix_position for r in got}) == 4000
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r.mix_slot, (r.source, r.mix_phase, r.mix_release, r.mix_deadline)) == (r.source, r.mix_phase, r.mix_release, r.mix_deadline)
+    assert sorted(slots) == list(range(len(slots)))
+    starts = {}
+    for k, (_, phase, *_) in sorted(slots.items()):
+        starts.setdefault(phase, k)
+    assert all(a <= k - starts[p] < b for k, (_, p, a, b) in slots.items())
