@@ -20,8 +20,8 @@ def _events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _stream(spark, d):
-    return P.read_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+def _stream(spark, d, files_per_trigger=64):
+    return P.read_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, files_per_trigger=files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drain(df, spark, name):
@@ -70,8 +70,11 @@ def sliding_progress(spark, d):
 
 @query()
 def stream_windowed_progress(spark, d):
-    """Windows that the watermark has closed."""
-    return _drain(P.windowed_counts(_stream(spark, d), "ts", "event_type", "1 hour", late="10 minutes"), spark, "windows")
+    """Windows that the watermark has closed, and from the batch twin those that are still open."""
+    closed = _drain(P.windowed_counts(_stream(spark, d, None), "ts", "event_type", "1 hour", late="10 minutes"), spark, "windows")
+    e = _events(spark, d)
+    twin = P.windowed_counts(e, "ts", "event_type", "1 hour")
+    return closed.unionByName(_plain(P.still_open(twin, e, "ts", F.col("window_start") + F.expr("INTERVAL 1 HOUR"), 600)))
 
 
 @query("""
@@ -92,8 +95,9 @@ def worker_liveness(spark, d):
 
 @query()
 def stream_liveness(spark, d):
-    e = _stream(spark, d).select(F.col("user_id").cast("string").alias("worker"), "ts", "event_type")
-    return _drain(P.live_status(e, "worker", "ts", "event_type", 3600), spark, "live")
+    """Each worker's status by its last event, and STALE too if that is an hour before the last of all."""
+    e = _stream(spark, d, None).select(F.col("user_id").cast("string").alias("worker"), "ts", "event_type")
+    return _drain(P.live_status(e, "worker", "ts", "event_type", 3600, late="0 seconds"), spark, "live")
 
 
 @query("""
@@ -106,7 +110,10 @@ def worker_sessions(spark, d):
 
 @query()
 def stream_sessions(spark, d):
-    return _drain(P.sessions(_stream(spark, d), "user_id", "ts", "6 hours", late="1 hour"), spark, "sessions")
+    """Sessions that the watermark has closed, and from the batch twin those that are still open."""
+    closed = _drain(P.sessions(_stream(spark, d, None), "user_id", "ts", "6 hours", late="1 hour"), spark, "sessions")
+    e = _events(spark, d)
+    return closed.unionByName(_plain(P.still_open(P.sessions(e, "user_id", "ts", "6 hours"), e, "ts", F.col("session_end"), 3600)))
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150)")

@@ -12,8 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 from helixlake.operators.ranking import first_by
 
 
-def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
+def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = 64) -> DataFrame:
+    """With None all files that are there make one batch: for backfills by watermark, as files
+    needn't be in the order of event times and what a later batch brings would count as late."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.format(fmt).load(path)
+
+
+def still_open(twin: DataFrame, events: DataFrame, ts: str, end, late_seconds: int) -> DataFrame:
+    """The rows of a batch twin whose end the watermark over all these events has not passed."""
+    mark = events.agg((F.unix_millis(F.max(ts)) - 1000 * late_seconds).alias("__mark"))
+    return twin.join(F.broadcast(mark), F.unix_micros(end) > 1000 * F.col("__mark")).drop("__mark")
 
 
 def first_seen(events: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
@@ -61,7 +72,7 @@ def liveness(events: DataFrame, worker: str, ts: str, state: str, now, stale_sec
     return last.select(worker, F.col("m.t").alias("last_seen"), status.alias("status"))
 
 
-def live_status(events: DataFrame, worker: str, ts: str, state: str, stale_seconds: int = 120) -> DataFrame:
+def live_status(events: DataFrame, worker: str, ts: str, state: str, stale_seconds: int = 120, late: str | None = None) -> DataFrame:
     """Stream: a worker's status when it reports, and STALE once it hasn't for so long (event time)."""
     out = "worker string, last_seen timestamp, status string"
 
@@ -82,7 +93,7 @@ def live_status(events: DataFrame, worker: str, ts: str, state: str, stale_secon
         state_.setTimeoutTimestamp(max(seen // 1000 + stale_seconds * 1000, state_.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"worker": [str(key[0])], "last_seen": [pd.Timestamp(seen, unit="us")], "status": [status]})
 
-    return events.withWatermark(ts, f"{stale_seconds} seconds").groupBy(worker).applyInPandasWithState(update, out, "seen long, status string", "append", "EventTimeTimeout")
+    return events.withWatermark(ts, late or f"{stale_seconds} seconds").groupBy(worker).applyInPandasWithState(update, out, "seen long, status string", "append", "EventTimeTimeout")
 
 
 def resume(manifest: DataFrame, results: DataFrame, keys: list[str], valid) -> DataFrame:

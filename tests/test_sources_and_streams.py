@@ -1,10 +1,12 @@
 import datetime as dt
+import os
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixlake.operators import joins
+from helixlake.plans import q_streaming
 from helixlake.sources import readers, sinks, structures
 from helixlake.streaming import progress as P
 
@@ -123,3 +125,18 @@ def test_streams_agree_with_batch(spark):
     done = P.progress(df, 500, "ts", F.col("state") == "complete").first()
     assert (done.done, done.remaining) == (100, 400)
     assert P.resume(df.select("id"), df, ["id"], F.col("state") == "complete").count() == 200
+
+
+def test_backfills_over_many_files_agree_with_batch(spark):
+    d, base = tempfile.mkdtemp(), dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=i * 7919 % 2_592_000), i % 9, ["view", "error", "complete"][i % 3], 1.0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.repartition(80).write.parquet(f"{d}/events.parquet")
+    assert len([x for x in os.listdir(f"{d}/events.parquet") if x.startswith("part-")]) > 64
+    for stream, twin in ((q_streaming.stream_windowed_progress, q_streaming.windowed_progress), (q_streaming.stream_sessions, q_streaming.worker_sessions)):
+        assert sorted(map(tuple, stream(spark, d).collect())) == sorted(map(tuple, twin(spark, d).collect()))
+    end = max(r[1] for r in rows)
+    want = {(str(r.user_id), r.last_seen, r.status) for r in P.liveness(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_type", F.lit(end), 3600).collect()}
+    got = [tuple(r) for r in q_streaming.stream_liveness(spark, d).withColumn("last_seen", F.col("last_seen").cast("timestamp")).collect()]
+    stale = {(w, t) for w, t, s in got if s == "STALE"}
+    assert {(w, t, s) for w, t, s in got if s != "FRESH" or (w, t) not in stale} == want and len({w for w, *_ in got}) == 9
