@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from helixlake.sources.shared import shared_folder, write_shared
 
-__all__ = ["mix64", "replacing", "shared_folder", "table", "write_shared"]
+__all__ = ["bounded", "mix64", "replacing", "shared_folder", "table", "without_keys", "write_shared"]
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,17 @@ def replacing(df: DataFrame, **columns) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """A written table of few short columns, marked for broadcast if it has BROADCAST_ROWS at most, so
+    that what it is joined to stays where it is; a larger one is joined as Spark sees fit."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def without_keys(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is one of gone's."""
+    return docs.join(bounded(write_shared(gone.select(key).distinct(), "gone")), key, "left_anti")
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over an array of uint64."""
     with np.errstate(over="ignore"):

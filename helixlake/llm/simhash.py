@@ -2,13 +2,19 @@
 
 Fingerprints are computed once per document and written; the search works on distinct ones. A
 top tree, fitted on a bounded sample, deals every fingerprint to its home shard and, as a guest,
-to the shards whose region its ball of the radius crosses. Each shard goes on with a tree of its
-own over its points and returns links to the smallest member of each local component, never all
-pairs. The components of these links are found by rounds of joins over written tables.
+to the shards whose region its ball of the radius crosses. Shards are cut into cells of a bounded
+number of home points and guests. Each cell goes on with a tree of its own over its points and
+returns links to the smallest member of each local component, never all pairs. The components of
+these links are found by rounds of joins over written tables.
+
+Radii that reach a Jaccard similarity of 0.8 are too wide for a tree to prune anything. For these,
+`similar_texts` deals longer fingerprints to shards by some of their bits, again and again until a
+pair has met with the wanted probability, and verifies what is near by its shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +25,12 @@ from pyspark.sql import functions as F
 
 from helixlake.operators.graph import component_roots
 
-from .common import mix64, replacing, table, write_shared
+from .common import bounded, mix64, replacing, table, without_keys, write_shared
 
-SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 12, 64
+SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 16, 64
 LEAF = 64
+LANES, SHARD_TEXTS, CELL_TEXTS, RECALL, SPREAD = 4, 4_096, 16_384, 0.995, 4.5
+CHAINS, NEAREST = 2, 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -121,10 +129,10 @@ class TopTree:
             self.nodes[at] = (v, m, self._grow(points[d <= m], depth - 1), self._grow(points[d > m], depth - 1))
         return at
 
-    def route(self, points: np.ndarray, radius: int, guests: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def route(self, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, indexes of home points, indexes of guests): each pair within the radius meets
-        in a shard where one of the two is at home. With `guests` no point is at home."""
-        todo = [(0, np.arange(0), np.arange(len(points))) if guests else (0, np.arange(len(points)), np.arange(0))]
+        in a shard where one of the two is at home."""
+        todo = [(0, np.arange(len(points)), np.arange(0))]
         while todo:
             node, home, guest = todo.pop()
             if len(self.nodes[node]) == 1:
@@ -156,16 +164,17 @@ class _Forest:
         self.parent[roots] = roots.min()
 
 
-def local_roots(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = LEAF) -> np.ndarray:
+def local_roots(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = LEAF, among_home: bool = True) -> np.ndarray:
     """For sorted distinct points the index of the smallest point each is connected to, over the
-    pairs within the radius that have a member at home. Branches that the triangle inequality
-    rules out, and those whose points are all connected already, are not entered."""
+    pairs within the radius that have a member at home (or, not among_home, just one). Branches
+    that the triangle inequality rules out, and those whose points are all connected already, are
+    not entered."""
     forest, rng = _Forest(len(points)), np.random.default_rng(len(points))
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
         own, guest = todo.pop()
         everyone = np.concatenate([own, guest])
-        if not len(own) or len(everyone) < 2:
+        if not len(own) or len(everyone) < 2 or not (among_home or len(guest)):
             continue
         roots = forest.roots(everyone)
         if (roots == roots[0]).all():
@@ -178,9 +187,10 @@ def local_roots(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = L
             d, g = every[: len(own)], every[len(own) :]
             m = _cut_at(d)
         if d is None or m < 0:
-            mine = points[own][:, None]
-            for at in range(0, len(everyone), max(1, 2_000_000 // len(own))):
-                some = everyone[at : at + max(1, 2_000_000 // len(own))]
+            mine, others = points[own][:, None], everyone if among_home else guest
+            step = max(1, 2_000_000 // len(own))
+            for at in range(0, len(others), step):
+                some = others[at : at + step]
                 row, col = np.nonzero(_distance(mine, points[some][None, :]) <= radius)
                 other = own[row] != some[col]
                 row, col = row[other], col[other]
@@ -189,8 +199,9 @@ def local_roots(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = L
                     forest.join(np.append(some[c], own[r]))
             continue
         near = own[d <= m]
+        over = near[d[d <= m] > m - radius] if among_home else near[:0]
         todo.append((near, guest[g <= m + radius]))
-        todo.append((own[d > m], np.concatenate([guest[g > m - radius], near[d[d <= m] > m - radius]])))
+        todo.append((own[d > m], np.concatenate([guest[g > m - radius], over])))
     return forest.roots(np.arange(len(points)))
 
 
@@ -198,11 +209,28 @@ def _unsigned(column) -> np.ndarray:
     return column.to_numpy().view(np.uint64)
 
 
-def links(points: DataFrame, radius: int = 4) -> DataFrame:
+def _cells(dealt: DataFrame, shard_points: int) -> DataFrame:
+    """Rows (shard, fp, home) plus the cells (a, k) they go to: home points in chunks `a`, and each
+    chunk with one chunk after another of what it has to meet. Guests' chunks have the numbers
+    from 0; the chunk's own pairs are found where k is 0. After them come the later home chunks,
+    as guests."""
+    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / shard_points)).cast("int").alias(c)
+    met = dealt.join(F.broadcast(sizes.select("shard", chunks("h"), chunks("g"))), "shard")  # a row for each leaf of the top tree
+    met = met.withColumn("c", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("h")).otherwise(F.col("g"))).cast("int"))
+    cell = lambda a, k, home: F.struct(a.cast("int").alias("a"), k.cast("int").alias("k"), F.lit(home).alias("home"))
+    first = F.sequence(F.lit(0), F.col("h") - 1)
+    as_home = F.transform(F.sequence(F.lit(0), F.col("g") + F.col("h") - F.col("c") - 2), lambda k: cell(F.col("c"), k, True))
+    later = F.transform(F.filter(first, lambda a: a < F.col("c")), lambda a: cell(a, F.col("g") - 1 + F.col("c") - a, False))
+    as_guest = F.transform(first, lambda a: cell(a, F.col("c"), False))
+    return met.select("shard", "fp", F.explode(F.when(F.col("home"), F.concat(as_home, later)).otherwise(as_guest)).alias("x")).select("shard", "fp", "x.*")
+
+
+def links(points: DataFrame, radius: int = 4, *, shard_points: int = SHARD_POINTS) -> DataFrame:
     """(a, b) with b < a, for a frame of one distinct long column `fp`: their components are
-    those of all pairs within the radius."""
+    those of all pairs within the radius. No task gets more than about twice shard_points."""
     n = points.count()
-    depth = min(MAX_DEPTH, max(MIN_DEPTH, int(np.ceil(np.log2(max(1, n / SHARD_POINTS))))))
+    depth = min(MAX_DEPTH, max(MIN_DEPTH, math.ceil(math.log2(max(1, n / shard_points)))))
     sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_SHARD << depth).collect()
     tree = TopTree(np.array([r[0] for r in sample], np.int64).view(np.uint64), depth)
     shared = points.sparkSession.sparkContext.broadcast(tree)
@@ -219,11 +247,12 @@ def links(points: DataFrame, radius: int = 4) -> DataFrame:
         fps = _unsigned(group["fp"])
         order = np.argsort(fps)
         fps, home = fps[order], group["home"].to_numpy(zero_copy_only=False)[order]
-        roots = local_roots(fps, home, radius)
+        roots = local_roots(fps, home, radius, among_home=group["k"][0].as_py() == 0)
         moved = np.flatnonzero(roots != np.arange(len(fps)))
         return pa.table({"a": fps[moved].view(np.int64), "b": fps[roots[moved]].view(np.int64)})
 
-    return points.mapInArrow(deal, "shard int, fp bigint, home boolean").groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+    dealt = write_shared(points.mapInArrow(deal, "shard int, fp bigint, home boolean"), "simhash-dealt")
+    return _cells(dealt, shard_points).groupBy("shard", "a", "k").applyInArrow(search, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -245,91 +274,162 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose key is not the smallest of their near-duplicate component.
     Rows of null key stay: nothing names them. Rows that repeat the smallest key stay."""
-    gone = near_duplicates(docs, text, key, **options).filter(F.col("component_id") != F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    return without_keys(docs, near_duplicates(docs, text, key, **options).filter(F.col("component_id") != F.col(key)), key)
 
 
 def _shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
 
 
+_F = [f"f{i}" for i in range(LANES)]
+
+
 def _profiles(docs: DataFrame, text: str, words: int, seed: int) -> DataFrame:
-    """docs plus `p`: of the set of shingles a 64-bit name, its size, and two SimHash fingerprints."""
-    kind = pa.struct([("sig", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64())])
+    """docs plus `p`: of the set of shingles a 64-bit name, its size, and LANES SimHash fingerprints."""
+    names = ["sig", "n", *_F]
 
-    @F.arrow_udf("struct<sig:bigint,n:bigint,fp:bigint,fp2:bigint>")
+    @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in names) + ">")
     def run(texts: pa.Array) -> pa.Array:
         done: list[list[np.ndarray]] = []
         sets: list[np.ndarray] = []
-        names: list[int] = []
+        sigs: list[int] = []
 
         def flush() -> None:
             sizes = np.array([len(x) for x in sets], np.int64)
             every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            done.append([np.array(names, np.uint64).view(np.int64), sizes, _majority(every, sizes).view(np.int64), _majority(mix64(every), sizes).view(np.int64)])
-            sets.clear(), names.clear()
+            lanes = [_majority(mix64(every, i) if i else every, sizes).view(np.int64) for i in range(LANES)]
+            done.append([np.array(sigs, np.uint64).view(np.int64), sizes, *lanes])
+            sets.clear(), sigs.clear()
 
         waiting = 0
         for t in texts:
             sets.append(_shingle_set(t.as_py(), words, seed))
-            names.append(xxhash.xxh64_intdigest(sets[-1].tobytes(), seed))
+            sigs.append(xxhash.xxh64_intdigest(sets[-1].tobytes(), seed))
             waiting += len(sets[-1])
             if waiting > 500_000:
                 flush()
                 waiting = 0
         flush()
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], fields=list(kind))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names=names)
 
     return docs.withColumn("p", run(F.col(text).cast("string")))
 
 
-def near_pairs(fps: np.ndarray, fps2: np.ndarray, home: np.ndarray, radius: int, both: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def differing_bits(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of about equal size and that Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _sampled(lanes: list[np.ndarray], positions: np.ndarray) -> np.ndarray:
+    """The bits at these positions of the lanes, as one number."""
+    out = np.zeros(len(lanes[0]), np.uint64)
+    for p in positions.tolist():
+        out = out << np.uint64(1) | lanes[p >> 6] >> np.uint64(p & 63) & np.uint64(1)
+    return out
+
+
+def near_pairs(n: np.ndarray, comp: np.ndarray, lanes: list[np.ndarray], home: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home point, other point, whether the home point has more): of each home point the `most`
-    nearest others within the radius, and within `both` by the two fingerprints together."""
-    own, out = np.flatnonzero(home), []
-    step = max(1, 2_000_000 // max(1, len(fps)))
-    for at in range(0, len(own), step):
-        mine = own[at : at + step]
-        d = _distance(fps[mine][:, None], fps[None, :])
-        row, col = np.nonzero(d <= radius)
-        d = d[row, col].astype(np.int64) + _distance(fps2[mine[row]], fps2[col])
-        good = (d <= both) & (mine[row] != col)
-        row, col, d = row[good], col[good], d[good]
-        order = np.lexsort((col, d, row))
-        row, col = row[order], col[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        more = np.bincount(row, minlength=len(mine))[row] > most
-        out.append((mine[row[nth < most]], col[nth < most], more[nth < most]))
+    nearest others of other components that can be so similar by their sizes and fingerprints."""
+    p = differing_bits(similarity)
+    one, every = (math.floor(b * p + SPREAD * math.sqrt(b * p * (1 - p))) for b in (64, 64 * LANES))
+    order = np.argsort(n, kind="stable")
+    size, comp, lanes = n[order], comp[order], [x[order] for x in lanes]
+    own, out, at = np.flatnonzero(home[order]), [], 0
+    low = np.searchsorted(size, np.ceil(size[own] * similarity - 1e-9))
+    high = np.searchsorted(size, np.floor(size[own] / similarity + 1e-9), "right")
+    while at < len(own):
+        stop = at + max(1, 2_000_000 // max(1, int(high[at] - low[at])))
+        while stop > at + 1 and (min(stop, len(own)) - at) * int(high[min(stop, len(own)) - 1] - low[at]) > 4_000_000:
+            stop = at + (stop - at) // 2
+        mine, first, last = own[at:stop], low[at], high[min(stop, len(own)) - 1]
+        row, col = np.nonzero(_distance(lanes[0][mine][:, None], lanes[0][None, first:last]) <= one)
+        a, b = mine[row], col + first
+        good = (comp[a] != comp[b]) & (b >= low[at + row]) & (b < high[at + row])
+        a, b = a[good], b[good]
+        d = sum(_distance(x[a], x[b]).astype(np.int64) for x in lanes)
+        a, b, d = a[d <= every], b[d <= every], d[d <= every]
+        by = np.lexsort((b, d, a))
+        a, b = a[by], b[by]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        more = np.bincount(a, minlength=len(n))[a] > most
+        out.append((order[a[nth < most]], order[b[nth < most]], more[nth < most]))
+        at = stop
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate([*x]) for x in zip((none, none, none.astype(bool)), *out, strict=True))
 
 
-def _candidates(points: DataFrame, similarity: float, radius: int, both: int, most: int) -> DataFrame:
-    """(a, b, more) by name, see near_pairs. Sets of that similarity have sizes in one class or two
-    that adjoin, so each class is searched with the one below it for guests."""
-    n = points.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / SHARD_POINTS))))))
-    sample = points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_SHARD << depth).collect()
-    tree = TopTree(np.array([r[0] for r in sample], np.int64).view(np.uint64), depth)
-    shared = points.sparkSession.sparkContext.broadcast(tree)
+def _chained(points: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """(a, b): pairs of near neighbours in a few orders of the points by a shuffle of their bits.
+    Large groups of near copies are chained by these before their members are compared."""
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(64 * LANES)[:64] for _ in range(CHAINS)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, fps, fps2, size = (batch[c].to_numpy() for c in ("sig", "fp", "fp2", "n"))
-            kind = np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity)).astype(np.int64)
-            for guests in (False, True):
-                for shard, home, guest in shared.value.route(fps.view(np.uint64), radius, guests):
-                    at = np.concatenate([home, guest])
-                    if len(at):
-                        yield pa.record_batch({"kind": kind[at] + guests, "shard": np.full(len(at), shard, np.int32), "sig": sig[at], "fp": fps[at], "fp2": fps2[at], "home": np.arange(len(at)) < len(home)})
+            lanes = [batch[c].to_numpy().view(np.uint64) for c in _F]
+            for i, positions in enumerate(orders):
+                rest = {c: batch[c] for c in ("sig", "n", *_F)}
+                yield pa.record_batch({"turn": np.full(batch.num_rows, i, np.int32), "at": _sampled(lanes, positions).view(np.int64), **rest})
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch] if last is None else [last, batch])
+            last = batch.slice(max(0, batch.num_rows - 1))
+            turn, sig, n = (part[c].to_numpy() for c in ("turn", "sig", "n"))
+            lanes = [_unsigned(part[c]) for c in _F]
+            p = differing_bits(similarity)
+            near = sum(_distance(x[1:], x[:-1]).astype(np.int64) for x in lanes) <= 64 * LANES * p + SPREAD * math.sqrt(64 * LANES * p * (1 - p))
+            near &= (turn[1:] == turn[:-1]) & (np.minimum(n[1:], n[:-1]) >= similarity * np.maximum(n[1:], n[:-1]) - 1e-9)
+            yield pa.record_batch({"a": sig[1:][near], "b": sig[:-1][near]})
+
+    columns = "sig bigint, n bigint, " + ", ".join(f"{c} bigint" for c in _F)
+    dealt = points.mapInArrow(deal, f"turn int, at bigint, {columns}").repartitionByRange("turn", "at").sortWithinPartitions("turn", "at")
+    return dealt.mapInArrow(chain, "a bigint, b bigint")
+
+
+def _candidates(points: DataFrame, similarity: float, most: int, seed: int, shard_texts: int, cell_texts: int) -> DataFrame:
+    """(a, b, more) by name, see near_pairs, of points (sig, n, comp, f0...). In each repetition a
+    point goes to the shard that some of its bits name. Of a shard with more than cell_texts the
+    points are cut into chunks, and what isn't of the shard's largest component meets them all."""
+    total = points.count()
+    bits = max(0, math.ceil(math.log2(max(1, total / shard_texts))))
+    meet = (1 - differing_bits(similarity)) ** bits
+    repetitions = 1 if meet == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    rng = np.random.default_rng(seed + 1)
+    positions = [rng.permutation(64 * LANES)[:bits] for _ in range(repetitions)]
+
+    def keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lanes = [batch[c].to_numpy().view(np.uint64) for c in _F]
+            for i, p in enumerate(positions):
+                yield pa.record_batch({"turn": np.full(batch.num_rows, i, np.int32), "shard": _sampled(lanes, p).view(np.int64), **{c: batch[c] for c in names}})
+
+    where, columns = "turn int, shard bigint", ("sig", "n", "comp", *_F)
+    few = points.mapInArrow(lambda b: keys(b, ("comp",)), f"{where}, comp bigint")
+    hot = write_shared(few.groupBy("turn", "shard").count().filter(F.col("count") > cell_texts), "simhash-hot")
+    dealt = points.mapInArrow(lambda b: keys(b, columns), f"{where}, " + ", ".join(f"{c} bigint" for c in columns))
+    if hot.isEmpty():
+        dealt = dealt.withColumns({"c": F.lit(0), "k": F.lit(0), "home": F.lit(True)})
+    else:
+        sizes = few.join(hot.drop("count"), ["turn", "shard"], "left_semi").groupBy("turn", "shard", "comp").count()
+        sizes = sizes.groupBy("turn", "shard").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("top"))
+        chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / cell_texts)).cast("int")
+        sizes = write_shared(sizes.select("turn", "shard", chunks(F.col("all")).alias("h"), chunks(F.col("all") - F.col("top.count")).alias("g"), F.col("top.comp").alias("top")), "simhash-hot-sizes")
+        met = dealt.join(sizes, ["turn", "shard"], "left").withColumns({"h": F.coalesce("h", F.lit(1)), "g": F.coalesce("g", F.lit(1))})
+        met = met.withColumns({"mine": F.pmod(F.xxhash64("sig"), F.col("h")).cast("int"), "guest": F.pmod(F.xxhash64("sig", F.lit(1)), F.col("g")).cast("int")})
+        cell = lambda c, k, home: F.struct(c.cast("int").alias("c"), k.cast("int").alias("k"), F.lit(home).alias("home"))
+        at_home = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: cell(F.col("mine"), k, True))
+        away = F.transform(F.filter(F.sequence(F.lit(0), F.col("h") - 1), lambda c: (c != F.col("mine")) & ~F.col("comp").eqNullSafe(F.col("top"))), lambda c: cell(c, F.col("guest"), False))
+        dealt = met.select("turn", "shard", *columns, F.explode(F.concat(at_home, away)).alias("x")).select("turn", "shard", *columns, "x.*")
 
     def search(group: pa.Table) -> pa.Table:
         sig = group["sig"].to_numpy()
-        a, b, more = near_pairs(_unsigned(group["fp"]), _unsigned(group["fp2"]), group["home"].to_numpy(zero_copy_only=False), radius, both, most)
+        a, b, more = near_pairs(group["n"].to_numpy(), group["comp"].to_numpy(), [_unsigned(group[c]) for c in _F], group["home"].to_numpy(zero_copy_only=False), similarity, most)
         return pa.table({"a": sig[a], "b": sig[b], "more": more})
 
-    dealt = points.mapInArrow(deal, "kind bigint, shard int, sig bigint, fp bigint, fp2 bigint, home boolean")
-    return dealt.groupBy("kind", "shard").applyInArrow(search, "a bigint, b bigint, more boolean")
+    return dealt.groupBy("turn", "shard", "c", "k").applyInArrow(search, "a bigint, b bigint, more boolean")
 
 
 def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, text: str, key: str, words: int, seed: int, similarity: float) -> DataFrame:
@@ -350,35 +450,44 @@ def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, text: str, k
 
     wanted = points.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig").select("sig", F.col("key").alias("__key"), F.col("row").alias("__row"))
     own = docs.select(F.col(key).alias("__k"), F.col(text).cast("string").alias("t"))
-    met = own.join(wanted, (F.col("__k") == F.col("__key")) & (F.xxhash64("t") == F.col("__row"))).dropDuplicates(["sig"])
+    met = own.join(bounded(write_shared(wanted, "simhash-wanted")), (F.col("__k") == F.col("__key")) & (F.xxhash64("t") == F.col("__row"))).dropDuplicates(["sig"])
     sets = write_shared(met.select("sig", shingles("t").alias("s")), "simhash-sets")
     a, b = (sets.select(F.col("sig").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").filter(alike("sa", "sb")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(alike("sa", "sb")).select("a", "b")
 
 
-def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, words: int = 5, similarity: float = 0.8, radius: int = 18, both: int = 34, most: int = 16, seed: int = 42) -> DataFrame:
+def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, words: int = 5, similarity: float = 0.8, seed: int = 42, nearest: int = NEAREST, shard_texts: int = SHARD_TEXTS, cell_texts: int = CELL_TEXTS) -> DataFrame:
     """(key, component_id), a row for each row of docs with a key: texts link when the sets of their
     runs of so many words have at least that Jaccard similarity; component_id is the smallest key
-    reachable.
-
-    Pairs are found by SimHash: within `radius` bits of 64 and `both` of 128. At 0.8 a pair differs
-    in about 10 bits of 64, give or take 3. What is found is verified exactly. Points with more
-    than `most` others near go round again, with the components so far as one point and a higher
-    `most`, until none has more.
+    reachable. Null, empty and blank texts have the empty set, and are alike.
+
+    Equal sets are one point with a SimHash of 256 bits. Points meet in shards named by some of
+    their bits, in as many repetitions as a pair of the least similarity needs to meet with
+    probability RECALL; nearer pairs meet more surely. What is near by size and bits is verified
+    exactly. Chains of neighbours connect large groups of near copies first; then each point
+    names its `nearest` near points of other components, and where it has more it goes round
+    again with the components so far and four times as many, until none has more.
     """
     told = _profiles(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t")), "t", words, seed)
     seen = write_shared(told.select("key", F.xxhash64(F.col("t").cast("string")).alias("row"), "p.*"), "simhash-profiles")
-    first = seen.groupBy("sig").agg(F.min(F.struct("key", "row")).alias("m"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
-    points = write_shared(first.select("sig", "m.key", "m.row", "n", "fp", "fp2"), "simhash-points")
-    live, found = points, None
+    first = seen.groupBy("sig").agg(F.min(F.struct("key", "row")).alias("m"), *[F.first(c).alias(c) for c in ("n", *_F)])
+    points = write_shared(first.select("sig", "m.key", "m.row", "n", *_F), "simhash-points")
+    verify = lambda pairs: write_shared(_verified(pairs, points, docs, text, key, words, seed, similarity), "simhash-links")
+    ordered = (F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
+    tried = write_shared(_chained(points, similarity, seed).select(*ordered).distinct(), "simhash-chains")
+    found, roots = verify(tried), None
     while True:
-        pairs = write_shared(_candidates(live, similarity, radius, both, most).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"), "more"), "simhash-pairs")
-        good = write_shared(_verified(pairs, points, docs, text, key, words, seed, similarity), "simhash-links")
-        found = good if found is None else found.unionByName(good)
-        if pairs.filter("more").isEmpty():
+        roots = component_roots(found)
+        live = write_shared(points.join(roots, points["sig"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "sig")).select("sig", "n", "comp", *_F), "simhash-live")
+        near = _candidates(live, similarity, nearest, seed, shard_texts, cell_texts).select(*ordered, "more")
+        near = write_shared(near.groupBy("a", "b").agg(F.max("more").alias("more")), "simhash-pairs")
+        new = write_shared(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), "simhash-new")
+        if not new.isEmpty():
+            found = found.unionByName(verify(new))
+            tried = tried.unionByName(new)
+        if near.filter("more").isEmpty():
             break
-        live = write_shared(live.join(component_roots(good), F.col("sig") == F.col("node"), "left_anti"), "simhash-live")
-        most *= 4
+        nearest *= 4
     roots = component_roots(found)
     classed = write_shared(points.join(roots, points["sig"] == roots["node"], "left").select("sig", "key", F.coalesce("root", "sig").alias("root")), "simhash-classed")
     named = classed.join(classed.groupBy("root").agg(F.min("key").alias("component_id")), "root").select("sig", "component_id")
@@ -388,8 +497,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, w
 def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose key is not the smallest of their component by similar_texts.
     Rows of null key stay, and rows that repeat the smallest key."""
-    gone = similar_texts(docs, text, key, **options).filter(F.col("component_id") != F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    return without_keys(docs, similar_texts(docs, text, key, **options).filter(F.col("component_id") != F.col(key)), key)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

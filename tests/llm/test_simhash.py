@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixlake.llm import simhash
@@ -115,7 +117,64 @@ def test_similar_texts_match_exact_jaccard(spark):
         for a, b in same:
             least[a] = least[b] = min(least[a], least[b])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, most=4).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, nearest=4).collect()}
     assert sum(1 for i in range(60) if (i, 100 + i) in same) >= 30
     assert got == least
     assert sorted(map(str, (r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))) == sorted(map(str, [*set(least.values()), None]))
+
+
+def test_cells_are_bounded_and_lose_no_pair(spark):
+    rng = np.random.default_rng(4)
+    points = np.unique(np.concatenate([near_points(rng, 100), rng.integers(0, 2**63, 3000, dtype=np.uint64)]))
+    frame = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(3)
+    found = simhash.links(frame, 4, shard_points=100).collect()
+    at = {int(x): i for i, x in enumerate(points.view(np.int64))}
+    forest = simhash._Forest(len(points))
+    for a, b in found:
+        forest.join(np.array([at[a], at[b]]))
+    assert forest.roots(np.arange(len(points))).tolist() == brute_roots(points, 4)
+    dealt = spark.createDataFrame([(s, i, i % 10 == 0) for s in (0, 1) for i in range(2000)] + [(2, 5, True), (3, 6, False)], "shard int, fp long, home boolean")
+    cells = simhash._cells(dealt, 50).groupBy("shard", "a", "k").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g")).collect()
+    assert max(max(r.h, r.g) for r in cells) < 100 and max(r.a for r in cells) == 3
+
+
+@pytest.mark.parametrize(("shard_texts", "cell_texts"), [(4096, 16384), (40, 30)])
+def test_shards_of_near_copies_lose_no_link(spark, shard_texts, cell_texts):
+    """A third of the texts are near copies of one, others stand near some of these, and shards are small."""
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows, base = [], list(rng.choice(vocab, 150))
+    for i in range(200):
+        words = list(base)
+        words[int(rng.integers(0, 150))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(200):
+        words = list(rng.choice(vocab, 150))
+        rows.append((1000 + 2 * i, " ".join(words)))
+        if i % 4 == 0:
+            words[3] = "Y"
+            rows.append((1001 + 2 * i, " ".join(words)))
+    far = list(base)  # alike to few of the copies only
+    for at in (20, 60, 100):
+        far[at] = "Z"
+    rows.append((5000, " ".join(far)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, shard_texts=shard_texts, cell_texts=cell_texts, nearest=4).collect()}
+    want = {k: 0 if k < 200 or k == 5000 else k - k % 2 for k, _ in rows}
+    wrong = sum(got[k] != c for k, c in want.items())
+    assert wrong <= 1 if shard_texts < 4096 else wrong == 0  # repetitions find a pair with probability 0.995 at least
+
+
+def test_similar_texts_of_an_empty_table(spark):
+    assert simhash.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sampled_bits_meet_as_often_as_planned():
+    rng = np.random.default_rng(2)
+    p, met, n = simhash.differing_bits(0.8), 0, 400
+    for _ in range(n):
+        common, a, b = (rng.integers(0, 2**64, k, dtype=np.uint64) for k in (160, 20, 20))
+        both = np.concatenate([common, a, common, b])
+        lanes = [simhash._majority(simhash.mix64(both, i), np.array([180, 180])) for i in range(simhash.LANES)]
+        met += sum(int(np.bitwise_count(x[0] ^ x[1])) for x in lanes)
+    assert abs(met / (n * 64 * simhash.LANES) - p) < 0.01
