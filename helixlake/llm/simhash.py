@@ -30,7 +30,7 @@ from .common import bounded, mix64, replacing, table, without_keys, write_shared
 SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 16, 64
 LEAF = 64
 LANES, SHARD_TEXTS, CELL_TEXTS, RECALL, SPREAD = 4, 4_096, 16_384, 0.995, 4.5
-CHAINS, NEAREST = 2, 16
+CHAINS, NEAREST, MARKS_PER_SHINGLE = 2, 8, 4
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -328,9 +328,52 @@ def _sampled(lanes: list[np.ndarray], positions: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(n: np.ndarray, comp: np.ndarray, lanes: list[np.ndarray], home: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marks_of(shingles: np.ndarray) -> bytes:
+    """A bit map of a set of hashes by their low bits, of a power of two of bits, at least 64 and
+    MARKS_PER_SHINGLE for each hash."""
+    size = max(64, 1 << math.ceil(math.log2(max(1, MARKS_PER_SHINGLE * len(shingles)))))
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Marks:
+    """The bit maps of a group of sets, and what they say of pairs: a bit that only one of two has is a
+    hash that the other hasn't."""
+
+    def __init__(self, maps: list[bytes], n: np.ndarray):
+        self.n, self.size = n, np.array([len(m) for m in maps], np.int64)
+        self.at, self.folded = np.zeros(len(maps), np.int64), {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            self.at[own] = np.arange(len(own))
+            self.folded[size, size] = np.frombuffer(b"".join(maps[i] for i in own), np.uint64).reshape(len(own), -1)
+
+    def rows(self, points: np.ndarray, own: int, size: int) -> np.ndarray:
+        """The maps, `own` bytes long, of these points, folded to `size` bytes."""
+        if (own, size) not in self.folded:
+            wide = self.folded[own, own]
+            self.folded[own, size] = np.bitwise_or.reduce(wide.reshape(len(wide), own // size, -1), axis=1)
+        return self.folded[own, size][self.at[points]]
+
+    def possible(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether pairs can be that similar: no pair that is, is ruled out."""
+        out = np.zeros(len(a), bool)
+        sizes = self.size[a] * (1 << 40) + self.size[b]
+        for both in np.unique(sizes).tolist():
+            own, other = divmod(both, 1 << 40)
+            same = np.flatnonzero(sizes == both)
+            for at in range(0, len(same), 100_000):
+                i = same[at : at + 100_000]
+                x, y = self.rows(a[i], own, min(own, other)), self.rows(b[i], other, min(own, other))
+                common = np.minimum(self.n[a[i]] - np.bitwise_count(x & ~y).sum(axis=1), self.n[b[i]] - np.bitwise_count(y & ~x).sum(axis=1))
+                out[i] = common * (1 + similarity) >= similarity * (self.n[a[i]] + self.n[b[i]]) - 1e-9
+        return out
+
+
+def near_pairs(n: np.ndarray, comp: np.ndarray, lanes: list[np.ndarray], home: np.ndarray, similarity: float, most: int, marks: Marks | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home point, other point, whether the home point has more): of each home point the `most`
-    nearest others of other components that can be so similar by their sizes and fingerprints."""
+    nearest others of other components that can be so similar by their sizes, fingerprints and marks."""
     p = differing_bits(similarity)
     one, every = (math.floor(b * p + SPREAD * math.sqrt(b * p * (1 - p))) for b in (64, 64 * LANES))
     order = np.argsort(n, kind="stable")
@@ -348,7 +391,10 @@ def near_pairs(n: np.ndarray, comp: np.ndarray, lanes: list[np.ndarray], home: n
         good = (comp[a] != comp[b]) & (b >= low[at + row]) & (b < high[at + row])
         a, b = a[good], b[good]
         d = sum(_distance(x[a], x[b]).astype(np.int64) for x in lanes)
-        a, b, d = a[d <= every], b[d <= every], d[d <= every]
+        good = d <= every
+        if marks is not None:
+            good[good] = marks.possible(order[a[good]], order[b[good]], similarity)
+        a, b, d = a[good], b[good], d[good]
         by = np.lexsort((b, d, a))
         a, b = a[by], b[by]
         nth = np.arange(len(a)) - np.searchsorted(a, a)
@@ -389,11 +435,11 @@ def _chained(points: DataFrame, similarity: float, seed: int) -> DataFrame:
     return dealt.mapInArrow(chain, "a bigint, b bigint")
 
 
-def _candidates(points: DataFrame, similarity: float, most: int, seed: int, shard_texts: int, cell_texts: int) -> DataFrame:
-    """(a, b, more) by name, see near_pairs, of points (sig, n, comp, f0...). In each repetition a
-    point goes to the shard that some of its bits name. Of a shard with more than cell_texts the
-    points are cut into chunks, and what isn't of the shard's largest component meets them all."""
-    total = points.count()
+def _candidates(points: DataFrame, total: int, similarity: float, most: int, seed: int, shard_texts: int, cell_texts: int) -> DataFrame:
+    """(a, b, more) by name, see near_pairs, of points (sig, n, comp, f0..., and marks if they are to be
+    used). In each repetition a point goes to the shard that some of its bits name. Of a shard with
+    more than cell_texts the points are cut into chunks, and what isn't of the shard's largest
+    component meets them all."""
     bits = max(0, math.ceil(math.log2(max(1, total / shard_texts))))
     meet = (1 - differing_bits(similarity)) ** bits
     repetitions = 1 if meet == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
@@ -406,10 +452,10 @@ def _candidates(points: DataFrame, similarity: float, most: int, seed: int, shar
             for i, p in enumerate(positions):
                 yield pa.record_batch({"turn": np.full(batch.num_rows, i, np.int32), "shard": _sampled(lanes, p).view(np.int64), **{c: batch[c] for c in names}})
 
-    where, columns = "turn int, shard bigint", ("sig", "n", "comp", *_F)
+    where, columns = "turn int, shard bigint", tuple(c for c in ("sig", "n", "comp", *_F, "marks") if c in points.columns)
     few = points.mapInArrow(lambda b: keys(b, ("comp",)), f"{where}, comp bigint")
     hot = write_shared(few.groupBy("turn", "shard").count().filter(F.col("count") > cell_texts), "simhash-hot")
-    dealt = points.mapInArrow(lambda b: keys(b, columns), f"{where}, " + ", ".join(f"{c} bigint" for c in columns))
+    dealt = points.mapInArrow(lambda b: keys(b, columns), f"{where}, " + ", ".join(f"{c} {'binary' if c == 'marks' else 'bigint'}" for c in columns))
     if hot.isEmpty():
         dealt = dealt.withColumns({"c": F.lit(0), "k": F.lit(0), "home": F.lit(True)})
     else:
@@ -425,8 +471,9 @@ def _candidates(points: DataFrame, similarity: float, most: int, seed: int, shar
         dealt = met.select("turn", "shard", *columns, F.explode(F.concat(at_home, away)).alias("x")).select("turn", "shard", *columns, "x.*")
 
     def search(group: pa.Table) -> pa.Table:
-        sig = group["sig"].to_numpy()
-        a, b, more = near_pairs(group["n"].to_numpy(), group["comp"].to_numpy(), [_unsigned(group[c]) for c in _F], group["home"].to_numpy(zero_copy_only=False), similarity, most)
+        sig, n = group["sig"].to_numpy(), group["n"].to_numpy()
+        marks = Marks(group["marks"].to_pylist(), n) if "marks" in columns else None
+        a, b, more = near_pairs(n, group["comp"].to_numpy(), [_unsigned(group[c]) for c in _F], group["home"].to_numpy(zero_copy_only=False), similarity, most, marks)
         return pa.table({"a": sig[a], "b": sig[b], "more": more})
 
     return dealt.groupBy("turn", "shard", "c", "k").applyInArrow(search, "a bigint, b bigint, more boolean")
@@ -435,10 +482,6 @@ def _candidates(points: DataFrame, similarity: float, most: int, seed: int, shar
 def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, text: str, key: str, words: int, seed: int, similarity: float) -> DataFrame:
     """The pairs of names whose sets of shingles have at least that Jaccard similarity, exactly."""
 
-    @F.arrow_udf("binary")
-    def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([_shingle_set(t.as_py(), words, seed).tobytes() for t in texts], pa.binary())
-
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -448,14 +491,25 @@ def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, text: str, k
             out.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
         return pa.array(out, pa.bool_())
 
-    wanted = points.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig").select("sig", F.col("key").alias("__key"), F.col("row").alias("__row"))
-    own = docs.select(F.col(key).alias("__k"), F.col(text).cast("string").alias("t"))
-    met = own.join(bounded(write_shared(wanted, "simhash-wanted")), (F.col("__k") == F.col("__key")) & (F.xxhash64("t") == F.col("__row"))).dropDuplicates(["sig"])
-    sets = write_shared(met.select("sig", shingles("t").alias("s")), "simhash-sets")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    sets = _of_texts(named, points, docs, text, key, "s", lambda t: _shingle_set(t, words, seed).tobytes())
     a, b = (sets.select(F.col("sig").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").filter(alike("sa", "sb")).select("a", "b")
 
 
+def _of_texts(named: DataFrame, points: DataFrame, docs: DataFrame, text: str, key: str, column: str, make) -> DataFrame:
+    """(sig, column) of the named points, written: what `make` makes of their texts."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([make(t.as_py()) for t in texts], pa.binary())
+
+    wanted = points.join(named, "sig").select("sig", F.col("key").alias("__key"), F.col("row").alias("__row"))
+    own = docs.select(F.col(key).alias("__k"), F.col(text).cast("string").alias("t"))
+    met = own.join(bounded(write_shared(wanted, "simhash-wanted")), (F.col("__k") == F.col("__key")) & F.xxhash64("t").eqNullSafe(F.col("__row")))
+    return write_shared(met.dropDuplicates(["sig"]).select("sig", run("t").alias(column)), f"simhash-{column}")
+
+
 def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, words: int = 5, similarity: float = 0.8, seed: int = 42, nearest: int = NEAREST, shard_texts: int = SHARD_TEXTS, cell_texts: int = CELL_TEXTS) -> DataFrame:
     """(key, component_id), a row for each row of docs with a key: texts link when the sets of their
     runs of so many words have at least that Jaccard similarity; component_id is the smallest key
@@ -465,8 +519,10 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, w
     their bits, in as many repetitions as a pair of the least similarity needs to meet with
     probability RECALL; nearer pairs meet more surely. What is near by size and bits is verified
     exactly. Chains of neighbours connect large groups of near copies first; then each point
-    names its `nearest` near points of other components, and where it has more it goes round
-    again with the components so far and four times as many, until none has more.
+    names its `nearest` near points of other components. What has more near points goes round
+    again, with bit maps of its shingles that rule out most pairs of less similarity, with the
+    components so far and four times as many, until none has more: a pair can only be missing if
+    both its points had more.
     """
     told = _profiles(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t")), "t", words, seed)
     seen = write_shared(told.select("key", F.xxhash64(F.col("t").cast("string")).alias("row"), "p.*"), "simhash-profiles")
@@ -475,20 +531,26 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, w
     verify = lambda pairs: write_shared(_verified(pairs, points, docs, text, key, words, seed, similarity), "simhash-links")
     ordered = (F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
     tried = write_shared(_chained(points, similarity, seed).select(*ordered).distinct(), "simhash-chains")
-    found, roots = verify(tried), None
+    roots, total, live = component_roots(verify(tried)), points.count(), points.select("sig", "n", *_F)
     while True:
-        roots = component_roots(found)
-        live = write_shared(points.join(roots, points["sig"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "sig")).select("sig", "n", "comp", *_F), "simhash-live")
-        near = _candidates(live, similarity, nearest, seed, shard_texts, cell_texts).select(*ordered, "more")
-        near = write_shared(near.groupBy("a", "b").agg(F.max("more").alias("more")), "simhash-pairs")
+        met = live.join(roots, live["sig"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "sig")).drop("node", "root")
+        near = _candidates(write_shared(met, "simhash-live"), total, similarity, nearest, seed, shard_texts, cell_texts)
+        near = near.groupBy(*ordered).agg(F.max(F.col("more") & (F.col("a") > F.col("b"))).alias("more_a"), F.max(F.col("more") & (F.col("a") < F.col("b"))).alias("more_b"))
+        near = write_shared(near, "simhash-pairs")
         new = write_shared(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), "simhash-new")
         if not new.isEmpty():
-            found = found.unionByName(verify(new))
+            good = verify(new)
+            roots = component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good.select("a", "b")))
             tried = tried.unionByName(new)
-        if near.filter("more").isEmpty():
+        again = write_shared(near.filter("more_a").select(F.col("a").alias("sig")).unionByName(near.filter("more_b").select(F.col("b").alias("sig"))).distinct(), "simhash-again")
+        if again.isEmpty():
             break
+        if "marks" not in live.columns:
+            marked = _of_texts(again, points, docs, text, key, "marks", lambda t: marks_of(_shingle_set(t, words, seed)))
+            live = live.join(marked, "sig")
+        else:
+            live = live.join(again, "sig", "left_semi")
         nearest *= 4
-    roots = component_roots(found)
     classed = write_shared(points.join(roots, points["sig"] == roots["node"], "left").select("sig", "key", F.coalesce("root", "sig").alias("root")), "simhash-classed")
     named = classed.join(classed.groupBy("root").agg(F.min("key").alias("component_id")), "root").select("sig", "component_id")
     return seen.join(named, "sig").select(F.col("key").alias(key), "component_id")

@@ -178,3 +178,42 @@ def test_sampled_bits_meet_as_often_as_planned():
         lanes = [simhash._majority(simhash.mix64(both, i), np.array([180, 180])) for i in range(simhash.LANES)]
         met += sum(int(np.bitwise_count(x[0] ^ x[1])) for x in lanes)
     assert abs(met / (n * 64 * simhash.LANES) - p) < 0.01
+
+
+def test_marks_rule_out_no_similar_pair():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 5, 9, 60, 146, 150, 1000, 1100):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.2, 0.4):
+            some = base.copy()
+            some[: round(share * n)] = rng.integers(0, 2**64, round(share * n), dtype=np.uint64)
+            sets.append(np.unique(some))
+    marks = simhash.Marks([simhash.marks_of(x) for x in sets], np.array([len(x) for x in sets]))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    got = marks.possible(a, b, 0.8)
+    like = np.array([len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert got[like >= 0.8].all() and got[like < 0.6].mean() < 0.02
+
+
+def test_many_near_copies_of_less_similarity(spark):
+    """Copies of one text with few to many edits: most pairs are near by their bits, and few are alike."""
+    rng = np.random.default_rng(10)
+    vocab = [f"w{i}" for i in range(3000)]
+    base, rows = list(rng.choice(vocab, 150)), []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    sets = [simhash._shingle_set(t, 5, 42) for _, t in rows]
+    least = list(range(len(rows)))
+    for _ in range(6):
+        for i in range(len(rows)):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                    least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs, nearest=2).collect()} == dict(enumerate(least))
+    assert len(set(least)) > 5
