@@ -14,13 +14,14 @@ its words are looked up as they are.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, replacing, table
+from .common import mix64, replacing, table, write_shared
 
 SIMILARITY, REPETITIONS, SAMPLED_STEPS, MIN_WORDS, SEED = 0.8, 24, 2, 5, 20240229
 ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 5_000, 4_000_000
@@ -44,16 +45,35 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scripts(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where letters of scripts without spaces begin (Thai, Lao, Khmer, kana, ideographs), each of which
+    is a word; general and ideographic punctuation is taken out of `inside`."""
+    lead = np.flatnonzero(data >= 0xE0)
+    lead = lead[lead + 2 < len(data)]
+    a, b = data[lead], data[lead + 1]
+    marks = lead[(a == 0xE2) & (b == 0x80) | (a == 0xE3) & (b == 0x80) | (a == 0xEF) & (b == 0xBC) & (data[lead + 2] < 0x90)]
+    for k in range(3):
+        inside[marks + k] = False
+    three = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & (b >= 0x9E) & (b <= 0x9F) | (a == 0xE3) & (b >= 0x81) | (a > 0xE3) & (a <= 0xE9)
+    return lead[three | (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)]
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, scripts: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts that stand one after another in bytes, and where each text's words
     start (n + 1 entries). Words are runs of ASCII letters, digits and non-ASCII bytes; A-Z are
-    lower-cased."""
+    lower-cased. With `scripts` typographic marks aren't part of words, and letters of scripts
+    without spaces are words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = _WORD[data]
+    alone = _scripts(data, inside) if scripts else np.zeros(0, np.int64)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
+    first[alone] = True
+    after = alone + np.where(data[alone] >= 0xF0, 4, 3)
+    after = after[after < n]
+    first[after] = inside[after]
     heads = offsets[:-1][offsets[:-1] < n]
     first[heads] = inside[heads]
     last = inside.copy()
@@ -71,9 +91,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix64(out), np.searchsorted(a, offsets)
 
 
-def text_words(text: str | None) -> np.ndarray:
+def text_words(text: str | None, scripts: bool = False) -> np.ndarray:
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return words_of(data, np.array([0, len(data)]))[0]
+    return words_of(data, np.array([0, len(data)]), scripts)[0]
 
 
 def allowed_edits(n: int, similarity: float = SIMILARITY) -> int:
@@ -138,7 +158,7 @@ class Items:
             for i in own:
                 self.vocabulary[(words[i] & np.uint64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)] |= k
             self.groups.append((k, prefix, prefix - edits, steps, tables))
-        self.pieces = self.cut([i for i, w in enumerate(words) if len(w) >= max(1, min_words)])
+        self.pieces = self.cut([i for i, w in enumerate(words) if len(w)])
 
     def cut(self, own: list[int]) -> list[tuple]:
         """By number of words: the pieces' sorted keys, a filter of their low bits, their items and
@@ -247,7 +267,7 @@ class Items:
 
 
 def make_items(texts: list[str | None], *, similarity: float = SIMILARITY, repetitions: int = REPETITIONS, sampled: int = SAMPLED_STEPS, min_words: int = MIN_WORDS, seed: int = SEED) -> Items:
-    return Items([text_words(t) for t in texts], similarity, repetitions, sampled, min_words, seed)
+    return Items([text_words(t, True) for t in texts], similarity, repetitions, sampled, min_words, seed)
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray):
@@ -263,11 +283,11 @@ def match_texts(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[lis
     """For each text the (item, edits, word) matches, by item."""
     out: list[list] = []
     for _, some, offs in _chunks(data, offsets):
-        words, begin = words_of(some, offs)
+        words, begin = words_of(some, offs, True)
         sizes = np.diff(begin)
         begins, ends = np.repeat(begin[:-1], sizes), np.repeat(begin[1:], sizes)
         hits: dict[int, list] = {}
-        if len(words) and items.groups:
+        if len(words) and items.pieces:
             for (b, item), (edits, at) in sorted(items.verify(words, begins, ends, *items.candidates(words, begins, ends)).items()):
                 hits.setdefault(b, []).append((item, edits, at))
         out.extend(hits.get(int(b), []) if s else [] for b, s in zip(begin[:-1], sizes, strict=True))
@@ -285,46 +305,59 @@ def _matcher(spark: SparkSession, ids: list[str | None], items: Items):
     def run(texts: pa.Array) -> pa.Array:
         ids, items = shared.value
         texts = texts.fill_null("")
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         found = match_texts(items, np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets) if len(texts) else []
         return pa.array([[{"item_id": ids[i], "n_words": len(items.words[i]), "edits": e, "at_word": a} for i, e, a in hits] for hits in found], pa.list_(_HIT))
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", *, name: str = "matches", **options) -> DataFrame:
-    """docs plus an array of (item_id, n_words, edits, at_word): the benchmark items of which some
-    stretch of the whole text is within the allowed edits (in words, (1 - similarity) of the
-    item's), the least number of edits, and the word near which that begins.
-
-    Items under min_words words are no evidence and match nothing, nor do null texts. Items of
-    equal texts all match; repeated rows stay. A column of docs with that name is replaced.
-    The benchmark is taken in blocks of bounded size, each broadcast on its own; every text meets
-    every block. All pairs within the allowed edits are found, as one piece of the item is whole in
-    each, and what is found is exact.
-    """
+def _blocks(benchmark: DataFrame, item_text: str, item_key: str, options: dict) -> Iterator:
+    """One matcher after another, each for a block of the benchmark's items."""
     source = benchmark.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).cast("string").alias("t")).filter(F.col("t").isNotNull())
     n, size = source.agg(F.count("*"), F.sum(F.length("t"))).first()
     blocks = max(1, -(-n // ITEMS_PER_BLOCK), -(-(size or 0) // CHARS_PER_BLOCK))
-    parts = [F.array().cast(_HITS_DDL)]
     for b in range(blocks):
         rows = sorted((r["id"] or "", r["id"], r["t"]) for r in source.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect())  # one block
         if rows:
-            parts.append(_matcher(docs.sparkSession, [r[1] for r in rows], make_items([r[2] for r in rows], **options))(F.col(text).cast("string")))
-    met = docs.withColumns({f"__hits{i}": p for i, p in enumerate(parts)})
-    mine = [f"__hits{i}" for i in range(len(parts))]
-    return replacing(met, **{name: F.concat(*mine)}).drop(*mine)
-
+            yield _matcher(benchmark.sparkSession, [r[1] for r in rows], make_items([r[2] for r in rows], **options))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row per document row and benchmark item found in it."""
-    found = matches(docs.select(F.col(key), F.col(text)), benchmark, text, name="__matches", **options)
-    return found.select(F.col(key), F.explode("__matches").alias("m")).select(key, F.col("m.item_id").cast("long").alias("item_id"), "m.n_words", "m.edits", F.round(1 - F.col("m.edits") / F.col("m.n_words"), 4).alias("similarity"), "m.at_word")
 
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", *, name: str = "matches", **options) -> DataFrame:
+    """docs plus an array of (item_id, n_words, edits, at_word): the benchmark items of which some
+    stretch of the whole text is within the allowed edits (in words, (1 - similarity) of the
+    item's), the least number of edits, and the word near which that begins.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs without the rows that hold a benchmark item."""
-    return matches(docs, benchmark, text, name="__matches", **options).filter(F.size("__matches") == 0).drop("__matches")
+    Items too short for an edit (under five words at 0.8) match where their words stand in a row;
+    items without a word, and null texts, match nothing. Items of equal texts all match; repeated
+    rows stay. A column of docs with that name is replaced. The benchmark is taken in blocks of
+    bounded size, one after another; between two the documents are written with what they hold so
+    far. All pairs within the allowed edits are found, as one piece of the item is whole in each,
+    and what is found is exact.
+    """
+    met, first = docs.withColumn("__hits", F.array().cast(_HITS_DDL)), True
+    for matcher in _blocks(benchmark, item_text, item_key, options):
+        met = met if first else write_shared(met, "matches")
+        met, first = met.withColumn("__hits", F.concat("__hits", matcher(F.col(text).cast("string")))), False
+    return replacing(met, **{name: F.col("__hits")}).drop("__hits")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", **options) -> DataFrame:
+    """One row per document row and benchmark item found in it. item_id has the items' own type."""
+    kind = benchmark.schema[item_key].dataType
+    found = matches(docs.select(F.col(key), F.col(text)), benchmark, text, item_text, item_key, name="__matches", **options)
+    return found.select(F.col(key), F.explode("__matches").alias("m")).select(key, F.col("m.item_id").cast(kind).alias("item_id"), "m.n_words", "m.edits", F.round(1 - F.col("m.edits") / F.col("m.n_words"), 4).alias("similarity"), "m.at_word")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", **options) -> DataFrame:
+    """docs without the rows that hold a benchmark item: of each block of items, in turn, those go that
+    hold one of it."""
+    kept, first = docs, True
+    for matcher in _blocks(benchmark, item_text, item_key, options):
+        kept = kept if first else write_shared(kept, "uncontaminated")
+        kept, first = kept.filter(F.size(matcher(F.col(text).cast("string"))) == 0), False
+    return kept
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

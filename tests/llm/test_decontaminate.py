@@ -64,12 +64,12 @@ def test_recall_against_brute_force(spark):
 
 def test_awkward_rows(spark, monkeypatch):
     item = " ".join(VOCAB[:20])
-    bench = spark.createDataFrame([(1, item), (2, item), (None, item), (3, None), (4, ""), (5, "too short"), (6, " ".join(VOCAB[30:90] * 40))], "item_id long, text string")
-    docs = spark.createDataFrame([(1, item.upper(), 0), (2, None, 0), (3, "", 0), (4, "zzz " * 60_000 + item.replace(" ", ", "), 0), (4, item, 0), (None, item, 0), (7, "clean words only", 0), (8, " ".join(VOCAB[30:90] * 40), 0)], "doc_id long, text string, edits int")
+    bench = spark.createDataFrame([(1, item), (2, item), (None, item), (3, None), (4, ""), (5, "too short"), (9, "in a row"), (6, " ".join(VOCAB[30:90] * 40))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.upper(), 0), (2, None, 0), (3, "", 0), (4, "zzz " * 60_000 + item.replace(" ", ", "), 0), (4, item, 0), (None, item, 0), (7, "clean words only", 0), (10, "clean, in (a) ROW then", 0), (11, "in a clean row", 0), (8, " ".join(VOCAB[30:90] * 40), 0)], "doc_id long, text string, edits int")
     monkeypatch.setattr(D, "ITEMS_PER_BLOCK", 2)
     got = sorted(((r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()), key=str)
-    assert got == sorted([(k, i) for k in (1, 4, 4, None) for i in (1, 2, None)] + [(8, 6)], key=str)
-    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {2, 3, 7}
+    assert got == sorted([(k, i) for k in (1, 4, 4, None) for i in (1, 2, None)] + [(8, 6), (10, 9)], key=str)
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {2, 3, 7, 11}
     assert D.drop_contaminated(docs, bench).columns == docs.columns
     assert D.contaminated(docs.limit(0), bench).count() == 0 == D.contaminated(docs, bench.limit(0)).count()
 
@@ -77,16 +77,26 @@ def test_awkward_rows(spark, monkeypatch):
 def test_recall_by_length_and_kind_of_edit():
     rng = random.Random(21)
     foreign = [f"zz{i}" for i in range(5000)]
-    items = [rng.choices(VOCAB, k=n) for n in (5, 9, 15, 59, 150, 400) for _ in range(3)]
+    items = [rng.choices(VOCAB, k=n) for n in (5, 9, 15, 59, 150, 400, 1000) for _ in range(3)]
     held = D.make_items([" ".join(w) for w in items])
     for around in (foreign, VOCAB):
-        for kind in ("delete", "insert", "replace"):
+        for kind in ("delete", "insert", "replace", "mixed"):
             for i, words in enumerate(items):
                 d, body = D.allowed_edits(len(words)), list(words)
                 spots = sorted(rng.sample(range(len(words)), d), reverse=True)
                 for at in spots:
-                    body[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.choice(around)]
+                    how = rng.choice(("delete", "insert", "replace")) if kind == "mixed" else kind
+                    body[at : at + (how != "insert")] = [] if how == "delete" else [rng.choice(around)]
                 lead = rng.choices(around, k=30)
                 data = " ".join([*lead, *body, *rng.choices(around, k=30)]).encode()
                 found = {item: (edits, at) for item, edits, at in D.match_texts(held, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]}
                 assert i in found and found[i][0] <= d and abs(found[i][1] - len(lead)) <= 2 * d + 1, (kind, len(words))
+
+
+def test_scripts_without_spaces_and_text_ids(spark):
+    item = "我们在学校里学习数学和语文" * 2
+    thai = "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
+    bench = spark.createDataFrame([("mmlu-7", item), ("mmlu-8", "the “quick” brown fox — it jumps over"), ("th-1", thai)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "前言。" + item[:9] + "改" + item[10:] + "，后记"), (2, 'so the "quick" brown fox, it jumps over all'), (3, "ก" + thai + "ข"), (4, "我在家")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in D.contaminated(docs, bench).collect()) == [(1, "mmlu-7", 1), (2, "mmlu-8", 0), (3, "th-1", 0)]
+    assert len(D.text_words("日本 a。b", True)) == 4 and len(D.text_words("日本 a。b")) == 2
