@@ -2,6 +2,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixlake.llm import mixing as M
 
@@ -63,7 +64,26 @@ def test_weights_empty_table_and_errors(spark):
     assert Counter(r.source for r in got) == {"a": 150, "b": 50}
     assert M.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        M.mix(df, weights={"a": 0.0})
+        M.mix(df, weights={"a": -1.0})
+
+
+@pytest.mark.parametrize("period", [None, 20])
+def test_sources_of_weight_0_come_last(spark, period):
+    df = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(400)], "doc_id long, source string")
+    got = M.mix(df, weights={"a": 0.0, "b": 1.0, "c": 1.0, "d": 0.0}, block_rows=5, period=period).orderBy("mix_position").collect()
+    assert Counter(r.source for r in got[:200]) == {"b": 100, "c": 100} and Counter(r.source for r in got[200:300])["a"] == 50
+    assert sorted(r.doc_id for r in got) == list(range(400))
+
+
+def test_null_keys_are_spread_and_blocks_grow_with_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "a", f"t{i}") for i in range(3000)], "doc_id long, source string, text string").repartition(3)
+    monkeypatch.setattr(M, "BUCKET_ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = M.mix(df).withColumn("p", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.mix_position for r in got) == list(range(3000)) and max(Counter(r.p for r in got).values()) < 1500
+    monkeypatch.setattr(M, "MOST_BLOCKS", 10)
+    assert {r.mix_slot for r in M.mix(df).collect()} == set(range(10))
 
 
 def test_exact_weights_stay_within_a_block_over_many_periods():
