@@ -1,9 +1,10 @@
 """WARC archives: write pages as records, resolve revisits by payload digest, read archives back.
 
-Only headers are grouped by digest. Each archive file is what Spark's text writer makes of
-records that are separated by the blank lines the format asks for, so the files are plain WARC
-and live wherever Spark writes. Archives are cut to a bounded number of records and are read back
-whole, file by file.
+Only headers (key, url, digest, length) are shuffled by digest; what comes back is the list of
+revisits, which the pages are joined to by key, where they lie if the list is small enough to be
+broadcast. Each archive file is what Spark's text writer makes of records that are separated by the
+blank lines the format asks for, so the files are plain WARC and live wherever Spark writes. Pages
+of about one size go to files of as many records as make a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import bounded, shared_folder, table, write_shared
 
-RECORDS_PER_FILE = 1_000
+RECORDS_PER_FILE, FILE_BYTES = 1_000, 64 << 20
 _END = "\r\n\r\n"
 #: The block of a response is these HTTP headers and the payload; that of a revisit only the headers.
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -33,29 +34,46 @@ def payload_digest(payload: bytes) -> str:
 
 
 def digest_column(payload):
-    """Bare upper-case base32 SHA-1 of a string's UTF-8 bytes: twenty bits make four letters."""
+    """Bare upper-case base32 SHA-1 of a string's UTF-8 bytes: forty bits at a time are eight digits to
+    the base of 32, whose signs are then exchanged."""
     hexed = F.sha1(payload)
-    letters = []
-    for i in range(8):
-        bits = F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+    digits = [F.lpad(F.conv(F.substring(hexed, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
-def resolve(pages: DataFrame, key: str = "page_id", payload: str = "html", *, min_bytes: int = 0) -> DataFrame:
-    """pages (key, url, payload) plus payload_bytes, payload_digest, record_type and refers_to.
+def with_headers(pages: DataFrame, payload: str) -> DataFrame:
+    """pages, null payloads empty, plus payload_bytes and payload_digest."""
+    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
+    return pages.withColumns({payload: body}).withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": digest_column(F.col(payload))})
+
+
+def revisits(headers: DataFrame, key: str, url: str, min_bytes: int) -> DataFrame:
+    """(key, digest, first, first url) of the rows that revisit another: those of a digest and at least
+    min_bytes whose key isn't the smallest. Headers are counted before they are shuffled, so a
+    digest that many pages share is one row for each task; the pages are found again by a join
+    from which adaptive execution splits a digest that stands out."""
+    known = headers.filter((F.col("payload_bytes") >= min_bytes) & F.col(key).isNotNull())
+    first = known.groupBy("payload_digest").agg(F.min(F.struct(F.col(key).alias("k"), F.col(url).cast("string").alias("u"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    met = known.join(first.select("payload_digest", "m"), "payload_digest").filter(F.col(key) != F.col("m.k"))
+    return met.select(F.col(key).alias("__key"), F.col("payload_digest").alias("__digest"), F.col("m.k").alias("refers_to"), F.col("m.u").alias("refers_to_url")).distinct()
+
+
+def resolve(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", *, min_bytes: int = 0) -> DataFrame:
+    """pages (key, url, payload) plus payload_bytes, payload_digest, record_type, refers_to and
+    refers_to_url.
 
     Of records with equal payloads of at least min_bytes the smallest key is the response and the
     others revisit it; below that all are responses. A null payload is empty. Rows that repeat
-    the smallest key are all responses, and so are rows of null key.
+    the smallest key are all responses, and so are rows of null key. Columns of pages with these
+    names are replaced. Payloads are scanned twice; they are shuffled only if there are more
+    revisits than can be broadcast, and then by key, never by digest.
     """
-    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    seen = pages.withColumns({payload: body}).withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": digest_column(F.col(payload))})
-    headers = seen.filter(F.col("payload_bytes") >= min_bytes).select(F.col("payload_digest").alias("__digest"), F.col(key).alias("__key"))
-    first = headers.groupBy("__digest").agg(F.min("__key").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    met = seen.join(first, seen["payload_digest"] == first["__digest"], "left")
-    again = F.coalesce((F.col("payload_bytes") >= min_bytes) & (F.col(key) != F.col("__first")), F.lit(False))
-    return met.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("__first"))}).drop("__digest", "__first")
+    made = ("payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_url")
+    pages = pages.drop(*[c for c in pages.columns if c.lower() in made])
+    heads = with_headers(pages.select(F.col(key), F.col(url), F.col(payload)), payload).drop(payload)
+    again = bounded(write_shared(revisits(write_shared(heads, "warc-headers"), key, url, min_bytes), "warc-revisits"))
+    met = with_headers(pages, payload).join(again, (F.col(key) == F.col("__key")) & (F.col("payload_digest") == F.col("__digest")), "left")
+    return met.withColumn("record_type", F.when(F.col("__key").isNotNull(), "revisit").otherwise("response")).drop("__key", "__digest")
 
 
 def record_id(key):
@@ -78,15 +96,24 @@ def record_text(key: str, url: str, payload: str, date: str):
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", record_id(k)), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _clean(F.col(url))), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Refers-To-Target-URI", _clean(F.col("refers_to_url"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(""),
         line("X-Page-Id", k), line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", (F.when(revisit, 0).otherwise(F.col("payload_bytes")) + len(HTTP)).cast("string")), F.lit("\r\n" + HTTP),
     )
     return F.concat(head, F.when(revisit, "").otherwise(F.col(payload)))
 
 
-def write_archives(resolved: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
-    record = record_text(key, url, payload, date).alias("value")
-    resolved.select(record).write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+def write_archives(resolved: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES, largest: int | None = None, compression: str = "gzip") -> None:
+    """Archives below path, one folder for each class of payload sizes. A file has records_per_file
+    records at most, and at most file_bytes of payload unless it is one record. `largest`: a bound of
+    the payloads' bytes, measured if it isn't given; classes beyond it are skipped."""
+    if largest is None:
+        largest = resolved.agg(F.max("payload_bytes")).first()[0] or 0
+    record, low, high = record_text(key, url, payload, date).alias("value"), -1, file_bytes // records_per_file
+    while low < largest or low < 0:
+        held = resolved.filter((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+        n = max(1, min(records_per_file, file_bytes // max(1, high)))
+        held.select(record).write.option("lineSep", _END).option("maxRecordsPerFile", n).option("compression", compression).text(f"{path}/{max(0, low)}")
+        low, high = high, (max(1, 8 * high) if n > 1 else 2**62)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -105,33 +132,40 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-RECORDS = "page_id bigint, url string, payload binary, payload_digest string, record_type string, refers_to bigint"
-_RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_RECORDS = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
+RECORDS = "page_id string, url string, payload binary, payload_digest string, record_type string, refers_to string"
+BATCH_RECORDS, BATCH_BYTES = 500, 32 << 20
+
 
+def read_archives(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
+    """One row per record, keys of the given type; a response's digest is computed from its payload and
+    has to agree with its header. The payload of a revisit is null until `original_payloads` joins
+    it. A file is one task's work."""
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record; a response's digest is computed from its payload and has to agree with
-    its header. The payload of a revisit is null until `original_payloads` joins it."""
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch["content"]:
-                rows = []
+        for part in batches:
+            for content in part["content"]:
+                rows, size = [], 0
                 whole = content.as_py()
                 for head, body in parse(gzip.decompress(whole) if whole[:2] == b"\x1f\x8b" else whole):
                     body = body[body.index(b"\r\n\r\n") + 4 :]
                     revisit, digest = head["warc-type"] == "revisit", head["warc-payload-digest"].removeprefix("sha1:")
                     if not revisit and payload_digest(body) != digest:
                         raise ValueError(f"payload of {head['warc-record-id']} isn't what its header says")
-                    rows.append((int(head["x-page-id"]) if head["x-page-id"] else None, head["warc-target-uri"], None if revisit else body, digest, "revisit" if revisit else "response", int(head["x-refers-to-page-id"]) if revisit else None))
-                    if len(rows) == 500:
-                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
-                        rows = []
+                    rows.append((head["x-page-id"] or None, head["warc-target-uri"], None if revisit else body, digest, "revisit" if revisit else "response", head["x-refers-to-page-id"] if revisit else None))
+                    size += len(body)
+                    if len(rows) == BATCH_RECORDS or size > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
+                    yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, RECORDS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    read = files.select("content").mapInArrow(run, RECORDS)
+    return read.withColumns({c: F.col(c).cast(key_type) for c in ("page_id", "refers_to")})
 
 
 def with_lengths(records: DataFrame) -> DataFrame:
@@ -150,8 +184,9 @@ def original_payloads(records: DataFrame) -> DataFrame:
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(resolve(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    path, pages = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}", table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    write_archives(resolve(pages), path, largest=largest)
     return with_lengths(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

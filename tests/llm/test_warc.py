@@ -12,7 +12,7 @@ def test_round_trip(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/w"
     resolved = warc.resolve(df)
     assert resolved.columns[:4] == df.columns
-    warc.write_archives(resolved, "file://" + path, records_per_file=3)
+    warc.write_archives(resolved, "file://" + path, records_per_file=3, file_bytes=30_000)
     records = warc.read_archives(spark, "file://" + path)
     lengths = {(r.page_id, r.url): r for r in warc.with_lengths(records).collect()}
     assert len(lengths) == len(ROWS)
@@ -28,7 +28,9 @@ def test_round_trip(spark):
         r = lengths[at]
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(body), warc.payload_digest(body), "revisit" if revisit else "response", first[h or ""] if revisit else None)
         assert back[at] == body
-    archives = [gzip.decompress(p.read_bytes()) for p in Path(path).glob("part-*")]
+    archives = [gzip.decompress(p.read_bytes()) for p in Path(path).glob("*/part-*")]
+    assert len({p.parent.name for p in Path(path).glob("*/part-*")}) > 1  # pages of several sizes
+    assert all(len(a) < 40_000 or len(list(warc.parse(a))) == 1 for a in archives)
     assert sum(len(list(warc.parse(a))) for a in archives) == len(ROWS)
 
 
@@ -36,3 +38,17 @@ def test_small_payloads_and_empty_table(spark):
     df = spark.createDataFrame(ROWS[:3], "page_id long, url string, html string")
     assert {r.record_type for r in warc.resolve(df, min_bytes=5).collect()} == {"response"}
     assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_text_keys_and_clashing_columns(spark):
+    df = spark.createDataFrame([("d2", "u", "same", "x"), ("d1", "v", "same", "y"), ("d3", None, None, "z")], "page_id string, url string, html string, refers_to string")
+    path = "file://" + tempfile.mkdtemp(prefix="spark-") + "/w"
+    warc.write_archives(warc.resolve(df), path)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.with_lengths(warc.read_archives(spark, path, "string")).collect()}
+    assert got == {"d1": ("response", None, 4), "d2": ("revisit", "d1", 4), "d3": ("response", None, 0)}
+
+
+def test_payloads_are_not_shuffled_by_digest(spark):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    plan = warc.resolve(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and plan.count("Join") == 1
