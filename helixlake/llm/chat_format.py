@@ -1,9 +1,10 @@
 """Chat formatting: conversations become one marked-up text each, with the spans that a model
 should learn from.
 
-A task's turns come sorted by conversation and turn. Segment lengths, cumulative offsets and
-scatter indexes are computed in numpy for a whole batch, and headers and contents are copied into
-one preallocated Arrow buffer.
+A task's turns come sorted by conversation and turn. From the offsets of Arrow's columns the lengths
+of all segments, their cumulative offsets and scatter indexes are computed in numpy for a whole
+batch; the bytes of headers, contents, escapes and ends then go from the column's buffer straight
+to their places in one preallocated Arrow buffer.
 """
 
 from __future__ import annotations
@@ -41,45 +42,94 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _MARKED.findall(formatted)]
 
 
-def assemble(segments: list[bytes], rows: np.ndarray, n_rows: int) -> pa.Array:
-    """Strings made of the segments of each row in order: `rows` is ascending, one entry a segment."""
-    lengths = np.fromiter(map(len, segments), np.int64, len(segments))
-    ends = np.cumsum(lengths)
-    source = np.frombuffer(b"".join(segments), np.uint8)
-    offsets = np.zeros(n_rows + 1, np.int64)
-    np.add.at(offsets, rows + 1, lengths)
-    offsets = np.cumsum(offsets)
-    within = ends - lengths - np.concatenate([[0], ends])[np.searchsorted(rows, rows)]  # bytes of the row before this segment
-    start = offsets[rows] + within
-    target = np.empty(int(offsets[-1]), np.uint8)
-    target[np.repeat(start - (ends - lengths), lengths) + np.arange(len(source))] = source
-    return pa.LargeStringArray.from_buffers(n_rows, pa.py_buffer(offsets), pa.py_buffer(target))
-
-
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, and the offsets of its rows in them."""
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def escapes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes after which an escape goes: escapes themselves, and the first of each control string
+    that stands in one text. No two control strings overlap."""
+    found = [np.flatnonzero(data == ord(ESCAPE))]
+    for control in CONTROLS:
+        want = np.frombuffer(control.encode(), np.uint8)
+        at = np.flatnonzero(data == want[0])
+        at = at[at + len(want) <= len(data)]
+        for k in range(1, len(want)):
+            at = at[data[at + k] == want[k]]
+        found.append(at[offsets[np.searchsorted(offsets, at, "right")] >= at + len(want)])
+    return np.sort(np.concatenate(found))
+
+
+def _copy(target: np.ndarray, to: np.ndarray, source: np.ndarray, since: np.ndarray, sizes: np.ndarray) -> None:
+    """sizes[i] bytes of source from since[i] on to target from to[i] on, CHUNK_BYTES at a time."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    for low in range(0, int(ends[-1]) if len(ends) else 0, CHUNK_BYTES):
+        i = np.arange(low, min(low + CHUNK_BYTES, int(ends[-1])))
+        row = np.searchsorted(ends, i, "right")
+        i -= begins[row]
+        target[to[row] + i] = source[since[row] + i]
+
+
+def assemble(heads: tuple[np.ndarray, np.ndarray], kind: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One buffer with each turn's header (number kind[i] of heads, given as bytes and offsets), its
+    content with escapes, and the end mark; and where turns, contents and end marks begin."""
+    after = escapes(data, offsets)
+    before = np.searchsorted(after, offsets)  # escapes before each text
+    head_n, text_n = np.diff(heads[1])[kind], np.diff(offsets) + np.diff(before)
+    end = np.frombuffer(END.encode(), np.uint8)
+    stops = np.cumsum(head_n + text_n + len(end))
+    turns = stops - head_n - text_n - len(end)
+    texts, ends = turns + head_n, stops - len(end)
+    target = np.empty(int(stops[-1]) if len(stops) else 0, np.uint8)
+    _copy(target, turns, heads[0], heads[1][kind], head_n)
+    # contents go in runs between escapes: each run of a text begins as many bytes later as escapes came before
+    cuts = np.unique(np.concatenate([offsets[:-1], after + 1, offsets[-1:]]))
+    runs = cuts[:-1]
+    row = np.searchsorted(offsets, runs, "right") - 1
+    to = texts[row] + runs - offsets[row] + np.searchsorted(after, runs) - before[row]
+    _copy(target, to, data, runs, np.diff(cuts))
+    row = np.searchsorted(offsets, after, "right") - 1
+    target[texts[row] + after - offsets[row] + np.arange(len(after)) - before[row] + 1] = ord(ESCAPE)
+    target[ends[:, None] + np.arange(len(end))] = end
+    return target, turns, texts, ends
+
+
+CHUNK_BYTES = 4 << 20
 SCHEMA = "conv_id bigint, n_turns bigint, formatted string, loss_starts array<int>, loss_ends array<int>"
 _FIELDS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.large_string()), ("loss_starts", pa.list_(pa.int32())), ("loss_ends", pa.list_(pa.int32()))])
 
 
-def _format(turns: list[tuple], learn: frozenset) -> pa.RecordBatch:
-    """Whole conversations, (conv_id, role, text) sorted: one output row each."""
-    ids = [t[0] for t in turns]
-    new = np.array([i == 0 or ids[i] != ids[i - 1] for i in range(len(ids))], bool)
-    row = np.cumsum(new) - 1
-    heads = [TURN + escape(r or "") + TEXT for _, r, _ in turns]
-    texts = [escape(t or "") for _, _, t in turns]
-    segments: list[bytes] = []
-    for head, text in zip(heads, texts, strict=True):
-        segments += [head.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass"), END.encode()]
-    formatted = assemble(segments, np.repeat(row, 3), int(row[-1]) + 1 if len(row) else 0)
-    head_n, text_n = np.fromiter(map(len, heads), np.int64, len(heads)), np.fromiter(map(len, texts), np.int64, len(texts))
-    total = np.cumsum(head_n + text_n + len(END))
+def _format(turns: pa.Table, learn: frozenset) -> pa.RecordBatch:
+    """Whole conversations, (conv, role, text) sorted: one output row each."""
+    conv, role, text = (turns[c].combine_chunks() for c in ("conv", "role", "text"))
+    new = _starts(conv)
+    roles = role.fill_null("").dictionary_encode()
+    names = roles.dictionary.to_pylist()
+    marked = [(TURN + escape(r) + TEXT).encode() for r in names]
+    heads = np.frombuffer(b"".join(marked), np.uint8), np.concatenate([[0], np.cumsum([len(h) for h in marked])]).astype(np.int64)
+    target, begins, texts, ends = assemble(heads, roles.indices.to_numpy(), *_bytes_of(text.fill_null("")))
     first = np.flatnonzero(new)
-    base = np.concatenate([[0], total])[first][row]  # code points before the conversation
-    starts = total - text_n - len(END) - base
-    learned = np.array([r in learn for _, r, _ in turns], bool)
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[learned], minlength=len(first)))]).astype(np.int32)
-    spans = [pa.ListArray.from_arrays(offsets, x[learned].astype(np.int32)) for x in (starts, starts + text_n)]
-    return pa.record_batch([pa.array([ids[i] for i in first], pa.int64()), pa.array(np.diff(np.append(first, len(ids))), pa.int64()), formatted, *spans], schema=_FIELDS)
+    offsets = np.append(begins[first], len(target))
+    formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(target))
+    points = np.concatenate([[0], np.cumsum(target & 0xC0 != 0x80)])  # code points before each byte
+    row = np.cumsum(new) - 1
+    learned = np.isin(roles.indices.to_numpy(), [k for k, r in enumerate(names) if r in learn])
+    base = points[offsets[row[learned]]]
+    lists = np.concatenate([[0], np.cumsum(np.bincount(row[learned], minlength=len(first)))]).astype(np.int32)
+    spans = [pa.ListArray.from_arrays(lists, (points[x[learned]] - base).astype(np.int32)) for x in (texts, ends)]
+    return pa.record_batch([conv.take(pa.array(first)), pa.array(np.diff(np.append(first, len(conv)))), formatted, *spans], schema=_FIELDS)
+
+
+def _starts(conv: pa.Array) -> np.ndarray:
+    """Whether each row begins a run of equal values or of nulls."""
+    values, null = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+    new = np.ones(len(conv), bool)
+    new[1:] = (values[1:] != values[:-1]) | (null[1:] != null[:-1])
+    return new
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", *, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -97,17 +147,21 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     roles = frozenset(learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[tuple] = []
+        open_: list[pa.RecordBatch] = []  # of the last conversation so far
         for batch in batches:
-            open_ += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            last = len(open_)
-            while last and open_[last - 1][0] == open_[-1][0]:
-                last -= 1
-            if last:
-                yield _format(open_[:last], roles)
-                open_ = open_[last:]
+            if not batch.num_rows:
+                continue
+            last = int(np.flatnonzero(_starts(batch["conv"]))[-1])
+            if open_ and (last or open_[0]["conv"][0].as_py() != batch["conv"][0].as_py()):
+                yield _format(pa.Table.from_batches([*open_, batch.slice(0, last)]), roles)
+                open_ = [batch.slice(last)]
+            elif last:
+                yield _format(pa.Table.from_batches([batch.slice(0, last)]), roles)
+                open_ = [batch.slice(last)]
+            else:
+                open_.append(batch)
         if open_:
-            yield _format(open_, roles)
+            yield _format(pa.Table.from_batches(open_), roles)
 
     return dealt.mapInArrow(run, SCHEMA)
 
