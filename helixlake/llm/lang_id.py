@@ -7,7 +7,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import replacing, table, write_shared
+from .common import bounded, replacing, table, write_shared
 from .unigram import DEFAULT_MODEL, MARK, MEMO_ENTRIES, automaton, load_pieces
 
-SAMPLE_DOCS, ROUNDS, MAX_LANGUAGES = 500, 2, 500
+SAMPLE_DOCS, ROUNDS, LANGUAGES_AT_ONCE = 500, 2, 500
 SMOOTHING, UNKNOWN_SHARE, SCALE, FLOOR = 0.05, 1e-3, 50.0, -700.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -34,6 +34,11 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
+def _log_add(a: float, b: float) -> float:
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 class Model:
     """Piece probabilities by language: row i of `table` is piece i, the last is an unknown
     character. Rows are scaled by a constant to the piece's length, against underflow."""
@@ -49,7 +54,6 @@ class Model:
         self.automaton, self.sizes = automaton(self.pieces), list(map(len, self.pieces))
         lengths = np.array([len(p) for p in self.pieces] + [1])[:, None]
         self.lengths, self.scaled = lengths[:, 0], self.table * SCALE**lengths
-        self.rows = self.scaled.tolist()
         self.single = {p for p in self.pieces if len(p) == 1}
         self.codes = np.array(sorted(map(ord, self.single)), np.uint32)
 
@@ -63,28 +67,37 @@ class Model:
             found.sort()
         return found
 
-    def forward(self, word: str, matches: list) -> tuple[list[list[float]], list[float]]:
-        """Scaled sums for each prefix and language; the logarithm taken out so far."""
-        n, rows, zero = len(word), self.rows, [0.0] * len(self.languages)
-        alpha = [zero] * (n + 1)
-        alpha[0], taken, done = [1.0] * len(self.languages), 0.0, 0
-        for end, start, i in matches:
-            alpha[end] = [x + a * p for x, a, p in zip(alpha[end], alpha[start], rows[i], strict=True)]
+    def log_probabilities(self, word: str) -> np.ndarray:
+        """By language, for words of any length: the sums of prefixes are scaled down as they grow."""
+        word, taken, done = MARK + word, 0.0, 0
+        alpha = np.zeros((len(word) + 1, len(self.languages)))
+        alpha[0] = 1.0
+        for end, start, i in self.matches(word):
+            alpha[end] += alpha[start] * self.scaled[i]
             if end - done > 40:
                 done = end - 1
-                top = max(alpha[done])
-                if not 1e-80 < top < 1e80 and top > 0:
+                top = alpha[done].max()
+                if top > 0 and not 1e-80 < top < 1e80:
                     taken += math.log(top)
-                    for at in range(max(0, end - 17), end + 1):
-                        alpha[at] = [x / top for x in alpha[at]]
-        return alpha, taken
-
-    def log_probabilities(self, word: str) -> list[float]:
-        word = MARK + word
-        alpha, taken = self.forward(word, self.matches(word))
+                    alpha[max(0, end - 17) : end + 1] /= top
         off = taken - len(word) * math.log(SCALE)
-        return [off + (math.log(x) if x > 0 else FLOOR) for x in alpha[-1]]
+        return off + np.where(alpha[-1] > 0, np.log(np.maximum(alpha[-1], 1e-300)), FLOOR)
 
+    def expected(self, word: str, k: int) -> list[tuple[int, float]]:
+        """(piece, expected number) in a word of language k, over all segmentations; by logarithms, as
+        words may have any length."""
+        word = MARK + word
+        matches = self.matches(word)
+        shares = np.log(np.maximum(self.scaled[[i for *_, i in matches], k], 1e-300)).tolist()
+        fwd, bwd = [-math.inf] * (len(word) + 1), [-math.inf] * (len(word) + 1)
+        fwd[0] = bwd[-1] = 0.0
+        for (end, start, _), p in zip(matches, shares, strict=True):
+            fwd[end] = _log_add(fwd[end], fwd[start] + p)
+        for (end, start, _), p in sorted(zip(matches, shares, strict=True), key=lambda x: -x[0][1]):
+            bwd[start] = _log_add(bwd[start], bwd[end] + p)
+        if fwd[-1] == -math.inf:
+            return []
+        return [(i, math.exp(fwd[start] + p + bwd[end] - fwd[-1])) for (end, start, i), p in zip(matches, shares, strict=True)]
 
     def many(self, words: list[str]) -> np.ndarray:
         """log_probabilities of many words of at most LONG_WORD letters at once: one pass of the
@@ -158,24 +171,18 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, text: str, lang: str, key: str, held_out, sample_docs: int) -> DataFrame:
-    """(lang, text) of at most sample_docs rows of each language, or as many as share the last of
-    their hashes: those with the least hash of the key. Rows that are held out, or without text
-    or lang, are never learned from."""
+    """(lang, text) of at most sample_docs rows of each language: those with the least hash of the key,
+    then of the text. Rows that are held out, or without text or lang, are never learned from."""
     usable = docs.filter(~F.coalesce(held_out, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).limit(MAX_LANGUAGES + 1).collect()  # a row per language
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # hashes are even, so of n rows about four times the sample lies under this; only these are ranked
-    likely = F.lit(False)
-    for row in counts:
-        top = row["least"] + int(2**64 * min(1.0, 4 * sample_docs / row["n"]))
-        likely = likely | ((F.col("lang") == row["lang"]) & (F.col("h") <= min(top, 2**63 - 1)))
+    # hashes are even, so of n rows about four times the sample lies under `top`; only these are ranked
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").cast("double").alias("least"))
+    tops = write_shared(counts.select("lang", (F.col("least") + 2.0**64 * F.least(F.lit(1.0), 4 * sample_docs / F.col("n"))).alias("top")), "language-tops")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = usable.select("lang", "h").filter(likely).withColumn("nth", nth).filter(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h").alias("cut")).collect()
-    chosen = F.lit(False)
-    for row in cuts:
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["cut"]))
-    return usable.filter(chosen).select("lang", "text")
+    likely = usable.select("lang", "h").join(bounded(tops), "lang").filter(F.col("h").cast("double") <= F.col("top"))
+    cuts = write_shared(likely.withColumn("nth", nth).filter(F.col("nth") <= sample_docs).groupBy("lang").agg(F.max("h").alias("cut")), "language-cuts")
+    chosen = usable.join(bounded(cuts), "lang").filter(F.col("h") <= F.col("cut"))  # and all that share the last hash
+    last = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    return chosen.withColumn("nth", last).filter(F.col("nth") <= sample_docs).select("lang", "text")
 
 
 def _expected(shared):
@@ -187,78 +194,77 @@ def _expected(shared):
         sums: dict = defaultdict(float)
         for batch in batches:
             for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-                word, k = MARK + word, at[lang]
-                matches = model.matches(word)
-                fwd = [0.0] * (len(word) + 1)
-                bwd = [0.0] * (len(word) + 1)
-                fwd[0] = bwd[-1] = 1.0
-                for end, start, i in matches:
-                    fwd[end] += fwd[start] * model.rows[i][k]
-                for end, start, i in sorted(matches, key=lambda m: -m[1]):
-                    bwd[start] += bwd[end] * model.rows[i][k]
-                if 0 < fwd[-1] < math.inf:
-                    for end, start, i in matches:
-                        sums[lang, i] += n * fwd[start] * model.rows[i][k] * bwd[end] / fwd[-1]
-        yield pa.record_batch({"lang": pa.array([l for l, _ in sums], pa.string()), "piece": pa.array([i for _, i in sums], pa.int32()), "n": pa.array(list(sums.values()), pa.float64())})
+                k = at[lang]
+                for i, share in model.expected(word, k):
+                    sums[k, i] += n * share
+        yield pa.record_batch({"lang": pa.array([k for k, _ in sums], pa.int32()), "piece": pa.array([i for _, i in sums], pa.int32()), "n": pa.array(list(sums.values()), pa.float64())})
 
     return run
 
 
-def fit(sample: DataFrame, *, model_path: str = DEFAULT_MODEL, rounds: int = ROUNDS) -> Model | None:
-    """Piece probabilities by expectation-maximisation over a frame of (lang, text); None without
-    a word. The word counts stay in Spark; the driver gets a row per language and piece."""
+def word_counts(sample: DataFrame) -> DataFrame:
+    """(lang, word, n) of a frame of (lang, text), written."""
 
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
         return pa.array([words_of(t.as_py()) for t in texts], pa.list_(pa.string()))
 
-    pieces, spark = [p for p, _ in load_pieces(model_path)], sample.sparkSession
-    counted = write_shared(sample.select("lang", F.explode(split("text")).alias("word")).filter(F.length("word") <= 60).groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    return write_shared(sample.select("lang", F.explode(split("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
+
+
+def languages_of(counted: DataFrame) -> list[str]:
+    return sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+
+
+def fit(counted: DataFrame, languages: list[str], *, model_path: str = DEFAULT_MODEL, rounds: int = ROUNDS) -> Model | None:
+    """Piece probabilities of these languages by expectation-maximisation over (lang, word, n); None
+    without a language. The word counts stay in Spark; the driver gets a number for each piece that
+    a language has."""
     if not languages:
         return None
+    pieces, spark = [p for p, _ in load_pieces(model_path)], counted.sparkSession
+    own = counted.join(F.broadcast(spark.createDataFrame([(x,) for x in languages], "lang string")), "lang")
     table_ = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
     table_[-1] *= UNKNOWN_SHARE
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(Model(pieces, languages, table_))
         counts = np.full(table_.shape, SMOOTHING)
-        for lang, piece, n in counted.mapInArrow(_expected(shared), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n")).collect():
-            counts[piece, languages.index(lang)] += n
+        got = own.mapInArrow(_expected(shared), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        counts[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
         table_ = counts / counts.sum(axis=0)
         table_[-1] *= UNKNOWN_SHARE
+        shared.unpersist()
     return Model(pieces, languages, table_)
 
 
-_OUT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+_OUT = pa.struct([("lang", pa.string()), ("best", pa.float64()), ("every", pa.float64())])
+_OUT_DDL = "struct<lang:string,best:double,every:double>"
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs plus lang_pred and score, the predicted language's share of the likelihood of the whole
-    text (0 to 1; equal priors, and of equal languages the first by name). Texts that are null or
-    have no letter are `und` with score 0, as all are without a model. Input columns of these
-    names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model) if model else None)
+def _likelihoods(spark: SparkSession, model: Model):
+    """The likeliest language of a text, its log likelihood, and that of all the model's languages
+    together; null for texts without a letter."""
+    shared = spark.sparkContext.broadcast(Scorer(model))
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf(_OUT_DDL)
     def run(texts: pa.Array) -> pa.Array:
-        out: list[dict] = []
+        out: list[dict | None] = []
         part: list[list[str]] = []
         held, scorer = 0, shared.value  # its rows last as long as a worker uses them
 
         def flush() -> None:
-            if scorer:
-                scorer.learn(part)
+            scorer.learn(part)
             for words in part:
                 if not any(map(has_letter, words)):
-                    out.append({"lang_pred": "und", "score": 0.0})
+                    out.append(None)
                     continue
                 sums = scorer.sums(words)
                 best = int(sums.argmax())
-                out.append({"lang_pred": scorer.model.languages[best], "score": float(1.0 / np.exp(np.maximum(sums - sums[best], FLOOR)).sum())})
+                out.append({"lang": scorer.model.languages[best], "best": float(sums[best]), "every": float(sums[best] + np.log(np.exp(np.maximum(sums - sums[best], FLOOR)).sum()))})
             part.clear()
 
         for t in texts:
-            part.append(words_of(t.as_py()) if scorer else [])
+            part.append(words_of(t.as_py()))
             held += len(part[-1])
             if held > WORDS_HELD:
                 flush()
@@ -266,8 +272,26 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         flush()
         return pa.array(out, _OUT)
 
-    met = docs.withColumn("__lang", run(F.col(text).cast("string")))
-    return replacing(met, lang_pred=F.col("__lang.lang_pred"), score=F.col("__lang.score")).drop("__lang")
+    return run
+
+
+def predict(docs: DataFrame, models: Iterable[Model], text: str = "text") -> DataFrame:
+    """docs plus lang_pred and score, the predicted language's share of the likelihood of the whole
+    text (0 to 1; equal priors, and of equal languages the first by name). Texts that are null or
+    have no letter are `und` with score 0, as all are without a model. Input columns of these
+    names are replaced. The languages of one model after another are broadcast and compared; what
+    all but the last find is written along with the documents and read again."""
+    seen, first = docs.withColumn("__lang", F.lit(None).cast(_OUT_DDL)), True
+    for model in models:
+        seen = seen if first else write_shared(seen, "languages-so-far")
+        now, last, first = F.col("__now"), F.col("__lang"), False
+        met = seen.withColumn("__now", _likelihoods(docs.sparkSession, model)(F.col(text).cast("string")))
+        high, low = F.greatest(last["every"], now["every"]), F.least(last["every"], now["every"])
+        both = F.struct(F.when(now["best"] > last["best"], now["lang"]).otherwise(last["lang"]).alias("lang"), F.greatest(last["best"], now["best"]).alias("best"), (high + F.log1p(F.exp(low - high))).alias("every"))
+        seen = met.withColumn("__lang", F.when(last.isNull(), now).otherwise(both)).drop("__now")
+    found = F.col("__lang").isNotNull()
+    score = F.when(found, F.exp(F.col("__lang.best") - F.col("__lang.every"))).otherwise(0.0)
+    return replacing(seen, lang_pred=F.when(found, F.col("__lang.lang")).otherwise("und"), score=score).drop("__lang")
 
 
 def held_out(key: str = "doc_id"):
@@ -275,9 +299,14 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 4 == 2
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, model_path: str = DEFAULT_MODEL, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Fit on a sample of at most sample_docs rows for each value of `lang` and predict every row."""
-    return predict(docs, fit(training_rows(docs, text, lang, key, held_out(key), sample_docs), model_path=model_path), text)
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, model_path: str = DEFAULT_MODEL, sample_docs: int = SAMPLE_DOCS, languages_at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
+    """Fit on a sample of at most sample_docs rows for each value of `lang` and predict every row. A
+    model has languages_at_once languages at most, about 260 KB each; more are learned and
+    compared one model after another."""
+    counted = word_counts(training_rows(docs, text, lang, key, held_out(key), sample_docs))
+    languages = languages_of(counted)
+    parts = (languages[at : at + languages_at_once] for at in range(0, len(languages), languages_at_once))
+    return predict(docs, (fit(counted, part, model_path=model_path) for part in parts), text)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

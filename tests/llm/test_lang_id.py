@@ -3,6 +3,7 @@ import pickle
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from helixlake.llm import lang_id as L
 
@@ -61,3 +62,46 @@ def test_without_anything_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in L.identify(df).collect()] == ["und"]
     assert L.identify(df.limit(0)).count() == 0
+
+
+def test_one_model_after_another_predicts_the_same(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnop")[k % 11 : k % 11 + 4], 5)) for _ in range(12)), f"l{k:02}") for i, k in enumerate(list(range(30)) * 8)]
+    df = spark.createDataFrame([*rows, (9000, None, None), (9001, "?!", "l01")], "doc_id long, text string, lang string").repartition(3)
+    one = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in L.identify(df).collect()}
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in L.identify(df, languages_at_once=7).collect()} == one
+    assert len({lang for lang, _ in one.values()}) > 20
+
+
+def test_samples_are_bounded_under_ties_and_take_long_words(spark):
+    rows = [(None, f"text {i}", "aa") for i in range(300)] + [(i, "word", "bb") for i in range(40)] + [(None, "same", "cc")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    sizes = {r.lang: r["count"] for r in L.training_rows(df, "text", "lang", "doc_id", F.lit(False), 25).groupBy("lang").count().collect()}
+    assert sizes == {"aa": 25, "bb": 25, "cc": 25}
+    long = [(i, "".join(SYLLABLES["aa" if i % 2 else "bb"] * 40), "aa" if i % 2 else "bb") for i in range(20)]
+    got = L.identify(spark.createDataFrame([*long, (99, "kalo", None), (98, "schein", None)], "doc_id long, text string, lang string")).filter("doc_id > 90").collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {99: "aa", 98: "bb"}
+
+
+def test_expected_counts_sum_over_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab"]
+    table = np.random.default_rng(1).random((len(pieces) + 1, 1)) / 5
+    model = pickle.loads(pickle.dumps(L.Model(pieces, ["x"], table)))
+    p = dict(zip(pieces, table[:, 0], strict=False))
+
+    def ways(word):
+        if not word:
+            yield 1.0, ()
+        for n in range(1, len(word) + 1):
+            if word[:n] in p:
+                for share, rest in ways(word[n:]):
+                    yield p[word[:n]] * share, (word[:n], *rest)
+
+    every = list(ways("▁abab"))
+    total = sum(x for x, _ in every)
+    want = {q: sum(x * w.count(q) for x, w in every) / total for q in pieces}
+    got = dict.fromkeys(pieces, 0.0)
+    for i, share in model.expected("abab", 0):
+        got[pieces[i]] += share
+    assert all(abs(want[q] - got[q]) < 1e-9 for q in pieces)
+    assert math.isfinite(sum(x for _, x in model.expected("ab" * 20_000, 0)))
