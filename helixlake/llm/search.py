@@ -3,9 +3,9 @@
 Documents are cut into shards of bounded size, each a row of the written index: its documents'
 keys and lengths, its sorted terms, and their postings. Global statistics (documents, average
 length, document frequencies) come from the index. Queries are taken in blocks of bounded size,
-each broadcast; in every shard a query skips blocks of documents, and within the others
-documents, whose upper bound is under the k-th best score that the task has seen. Each task
-returns k rows a query, and these are merged exactly.
+one after another, each broadcast and forgotten once its hits are written; in every shard a query
+skips blocks of documents, and within the others documents, whose upper bound is under the k-th
+best score that the task has seen. Each task returns k rows a query, and these are merged exactly.
 """
 
 from __future__ import annotations
@@ -235,6 +235,8 @@ def top_k(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "d
         rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # one block
         shared = docs.sparkSession.sparkContext.broadcast(Queries(sorted(map(tuple, rows)), n_docs or 0))
         hits = index.mapInArrow(_searcher(shared, average, k), "query_id bigint, doc_id bigint, micro bigint")
+        hits = write_shared(hits, "search-hits")
+        shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("micro"), "doc_id"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", (F.col("micro") / MICRO).alias("score"))
