@@ -1,6 +1,6 @@
 """Line dedup: lines held by several documents go from all of them but one.
 
-The repeated line keys are counted in Spark and dealt to shards by hash. Each shard gets a
+The line keys that stand in several documents are counted in Spark and dealt to shards by hash. Each shard gets a
 minimal perfect hash and three arrays at its indexes: the key's fingerprint, how many documents
 hold it (saturating), and the largest doc_id among them. Documents probe these arrays: where the
 index is small (its size is measured) every task holds all of it, beyond that the line hashes
@@ -22,6 +22,7 @@ from .common import table, write_shared
 BROADCAST_BYTES = 64 << 20
 SHARD_KEYS = 500_000
 PROBE_ROWS = 200_000
+_MADE = "__line_dedup_"  # columns made on the way start with this
 _INDEX = "shard int, shards int, sizes binary, words binary, fingerprints binary, counts binary, keepers binary"
 
 
@@ -54,10 +55,11 @@ def _distinct_hashes(min_chars: int):
 
 
 def line_index(docs: DataFrame, text: str = "text", key: str = "doc_id", *, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """One row per shard of the keys that at least min_docs distinct documents hold. A document
-    that repeats a line, or a repeated row, counts once; rows of null key don't count."""
+    """One row per shard of the keys that several distinct documents hold (or as few as min_docs);
+    whether they are enough is for the probe to say. A document that repeats a line, or a repeated
+    row, counts once; rows of null key don't count."""
     held = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.explode(_distinct_hashes(min_chars)(F.col(text).cast("string"))).alias("h"))
-    counted = held.groupBy("h").agg(F.countDistinct("k").alias("n"), F.max("k").alias("keeper")).filter(F.col("n") >= min_docs)
+    counted = held.groupBy("h").agg(F.countDistinct("k").alias("n"), F.max("k").alias("keeper")).filter(F.col("n") >= min(2, min_docs))
     counted = write_shared(counted, "line-counts")
     shards = max(1, -(-counted.count() // SHARD_KEYS))
 
@@ -145,15 +147,15 @@ def _routed(docs: DataFrame, index: DataFrame, shards: int, text: str, key: str,
     dealt = dealt.agg(F.collect_list(F.struct("k", "h")).alias("rows")).join(index, "shard")
     found = dealt.select("rows", probe(F.col("rows.k"), F.col("rows.h"), *(F.col(c) for c in ("sizes", "words", "fingerprints", "counts", "keepers"))).alias("drop"))
     found = found.select(F.explode(F.arrays_zip("rows", "drop")).alias("x")).filter("x.drop").select("x.rows.k", "x.rows.h")
-    gone = found.groupBy("k").agg(F.collect_set("h").alias("gone")).select(F.col("k").alias("__k"), F.col("gone").alias("__gone"))
+    gone = found.groupBy("k").agg(F.collect_set("h").alias("gone")).select(F.col("k").alias(f"{_MADE}k"), F.col("gone").alias(f"{_MADE}gone"))
 
     @F.arrow_udf(_CUT_DDL)
     def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
         rows = [_cut(*_hashes(t.as_py(), min_chars), set(g.as_py() or ())) for t, g in zip(texts, gone, strict=True)]
         return pa.array([dict(zip(("kept", "n_lines", "n_dropped"), r, strict=True)) for r in rows], _CUT)
 
-    met = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__k")), "left")
-    return met.withColumn("__cut", cut(F.col(text).cast("string"), F.col("__gone"))).drop("__k", "__gone")
+    met = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col(f"{_MADE}k")), "left")
+    return met.withColumn(f"{_MADE}cut", cut(F.col(text).cast("string"), F.col(f"{_MADE}gone"))).drop(f"{_MADE}k", f"{_MADE}gone")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", *, min_docs: int = 3, min_chars: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -163,18 +165,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", *, min
     stay only in the largest key holding it, with all its repeats there. Null and empty texts
     are one empty line. Rows that share a key are one document. A row of null key never counts
     and never keeps a repeated line. Input columns named n_lines or n_dropped are replaced.
-    Lines are told apart by 64 bits of hash.
+    Lines are told apart by 64 bits of hash. Column names are found in any case. The key has to be an
+    integer, or text that spells one; other text keys are an error of the cast.
     """
+    names = {c.lower(): c for c in docs.columns}
+    text, key = names[text.lower()], names[key.lower()]
     index = line_index(docs, text, key, min_docs=min_docs, min_chars=min_chars)
     size = index.agg(F.count("*"), F.max("shards"), F.sum(sum(F.length(c) for c in index.columns[2:]))).first()
     shards = size[1] or 1
     if (size[2] or 0) <= broadcast_bytes:
         parts = docs.sparkSession.sparkContext.broadcast([(r[0], *map(bytes, r[2:])) for r in index.collect()])  # of the size just measured
-        met = docs.withColumn("__cut", _probing(parts, shards, min_docs, min_chars)(F.col(text).cast("string"), F.col(key).cast("long")))
+        met = docs.withColumn(f"{_MADE}cut", _probing(parts, shards, min_docs, min_chars)(F.col(text).cast("string"), F.col(key).cast("long")))
     else:
         met = _routed(docs, index, shards, text, key, min_docs, min_chars)
-    out = {c: F.col("__cut.kept") if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")}
-    return met.select(*[v.alias(n) for n, v in out.items()], F.col("__cut.n_lines").alias("n_lines"), F.col("__cut.n_dropped").alias("n_dropped"))
+    out = {c: F.col(f"{_MADE}cut.kept") if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")}
+    return met.select(*[v.alias(n) for n, v in out.items()], F.col(f"{_MADE}cut.n_lines").alias("n_lines"), F.col(f"{_MADE}cut.n_dropped").alias("n_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,20 @@ def test_matches_brute_force_in_both_ways(spark, broadcast_bytes, monkeypatch):
     assert got == brute(ROWS)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_names_in_another_case_and_clashing_columns(spark, broadcast_bytes):
+    df = spark.createDataFrame([(i, A, 1, 2, 3) for i in range(3)], "Doc_ID long, Text string, __k int, __gone int, __cut int")
+    out = line_dedup.dedup_lines(df, broadcast_bytes=broadcast_bytes)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted((r.Doc_ID, r.Text, r.n_dropped, r["__k"]) for r in out.collect()) == [(0, "", 1, 1), (1, "", 1, 1), (2, A, 0, 1)]
+
+
+def test_one_index_serves_other_thresholds(spark):
+    df = spark.createDataFrame([(k, t) for k, t in ROWS], "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(df, min_docs=2).collect())
+    assert got == [(k, d) for k, _, d, _ in brute(ROWS, min_docs=2)]
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
