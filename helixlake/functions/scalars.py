@@ -5,6 +5,8 @@ Missing text is null, '', '.' or '?'; missing numbers are null, never NaN.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,23 @@ LDDT_MARKERS = ("Computing all-atom lDDT", "ValueError: need at least one array
 TM_MARKERS = ("Computing RMSD", "Computing patch TM-score", "ERROR! No assignable chain")
 ATOMIC_NUMBERS = {"C": 6, "N": 7, "O": 8, "P": 15, "S": 16, "MG": 12, "ZN": 30, "FE": 26}
 COMMON_RESIDUES = {"A": "A", "C": "C", "G": "G", "U": "U", "ADE": "A", "CYT": "C", "GUA": "G", "URA": "U"}
+FAILURE_CODES = (  # what the log holds in lower case, all of it, and the code; the first that fits
+    (("gdt", "window size"), "GDT_TOO_FEW_MAPPED_POSITIONS"),
+    (("arrays used as indices must be of integer (or boolean) type",), "CHAIN_MAPPING_INDEX_ERROR"),
+    (("need at least one array to concatenate",), "LDDT_EMPTY_ARRAY"),
+    (("computing rmsd", "error! no assignable chain"), "DOWNSTREAM_TM_NO_ASSIGNABLE_CHAIN_AFTER_RMSD"),
+    (("timeout after",), "TIMEOUT"),
+    (("ost status is 'failure'",), "OST_FAILURE_OTHER"),
+)
+FAILURE_STAGES = (  # likewise: the stage and its detail
+    (("gdt", "window size"), "RIGID_GDT", "Too few mapped positions for GDT before RMSD serialization"),
+    (("arrays used as indices must be of integer (or boolean) type",), "CHAIN_MAPPING", "OpenStructure 2.8 NumPy integer/boolean index error"),
+    (("computing rmsd", "error! no assignable chain"), "DOWNSTREAM_TM_SCORE", "USalign reported no assignable chain after RMSD stage was reached"),
+    (("need at least one array to concatenate",), "ALL_ATOM_LDDT", "OpenStructure 2.8 lDDT empty-array error"),
+    (("timeout after",), "TIMEOUT", "Per-candidate evaluation timeout"),
+    (("computing chain mapping",), "CHAIN_MAPPING", "Unclassified failure during/after chain mapping"),
+)
+UNKNOWN_STAGE = ("UNKNOWN", "See stderr excerpt")
 
 
 def finite_or_null(c: Column) -> Column:
@@ -152,8 +171,8 @@ def is_pure_rna(types: Column) -> Column:
 
 
 def contains_rna(types: Column) -> Column:
-    """The looser rule of the chain maps: a hybrid also counts."""
-    return F.exists(types, lambda t: F.lower(t).contains("ribonucleotide"))
+    """The looser rule of the chain maps: a hybrid of DNA and RNA also counts."""
+    return F.exists(types, lambda t: F.lower(t).contains(RNA_TYPE))
 
 
 def eligibility(current: Column, legacy: Column, valid: Column, pure: Column) -> Column:
@@ -172,33 +191,24 @@ def low_resolution_bucket(resolution: Column, threshold: float) -> Column:
     return F.when(resolution.isNull(), "no_resolution").when(resolution > threshold, "removed").otherwise("kept")
 
 
+def _first_fit(low: Column, rules, other: Column, value) -> Column:
+    out = other
+    for words, *rest in reversed(rules):
+        out = F.when(has_all(low, words), value(*rest)).otherwise(out)
+    return out
+
+
 def failure_code(rescue_log: Column, standard_log: Column, ok: Column) -> Column:
-    """Why a candidate has no metric; '' if it has one. The rules go in order."""
+    """Why a candidate has no metric; '' if it has one."""
     text = F.concat_ws("\n", rescue_log, standard_log)
-    low = F.lower(text)
-    return (
-        F.when(F.coalesce(ok, F.lit(False)), "").when(has_all(low, ("gdt", "window size")), "GDT_TOO_FEW_MAPPED_POSITIONS")
-        .when(low.contains("arrays used as indices must be of integer (or boolean) type"), "CHAIN_MAPPING_INDEX_ERROR")
-        .when(low.contains("need at least one array to concatenate"), "LDDT_EMPTY_ARRAY")
-        .when(has_all(low, ("computing rmsd", "error! no assignable chain")), "DOWNSTREAM_TM_NO_ASSIGNABLE_CHAIN_AFTER_RMSD")
-        .when(low.contains("timeout after"), "TIMEOUT").when(low.contains("ost status is 'failure'"), "OST_FAILURE_OTHER")
-        .when(text == "", "NO_ERROR_LOG").otherwise("OTHER")
-    )
+    rest = F.when(text == "", "NO_ERROR_LOG").otherwise("OTHER")
+    return F.when(F.coalesce(ok, F.lit(False)), "").otherwise(_first_fit(F.lower(text), FAILURE_CODES, rest, F.lit))
 
 
 def failure_stage(log: Column) -> Column:
     """(stage, detail); in another order than failure_code."""
-    low = F.lower(F.coalesce(log, F.lit("")))
     pair = lambda a, b: F.struct(F.lit(a).alias("stage"), F.lit(b).alias("detail"))
-    return (
-        F.when(has_all(low, ("gdt", "window size")), pair("RIGID_GDT", "too few mapped positions for GDT"))
-        .when(low.contains("arrays used as indices must be of integer (or boolean) type"), pair("CHAIN_MAPPING", "index type error"))
-        .when(has_all(low, ("computing rmsd", "error! no assignable chain")), pair("DOWNSTREAM_TM_SCORE", "no assignable chain after RMSD"))
-        .when(low.contains("need at least one array to concatenate"), pair("ALL_ATOM_LDDT", "empty array"))
-        .when(low.contains("timeout after"), pair("TIMEOUT", "evaluation timeout"))
-        .when(low.contains("computing chain mapping"), pair("CHAIN_MAPPING", "unclassified"))
-        .otherwise(pair("UNKNOWN", "see the excerpt"))
-    )
+    return _first_fit(F.lower(F.coalesce(log, F.lit(""))), FAILURE_STAGES, pair(*UNKNOWN_STAGE), pair)
 
 
 def log_error_class(log: Column) -> Column:
@@ -269,9 +279,19 @@ def target_action(prep: Column, missing_seeds: Column, excluded: Column) -> Colu
     return F.when(~prep.isin("COMPLETE", "COMPLETE_REBASABLE"), "DEFER_PREP").when(missing_seeds == 0, "COMPLETE").when(excluded, "QUARANTINE").otherwise("SCHEDULE")
 
 
-def same_document(a: Column, b: Column, ddl: str) -> Column:
-    """Equal JSON once read by a schema that leaves out what may differ."""
-    return F.to_json(F.from_json(a, ddl)).eqNullSafe(F.to_json(F.from_json(b, ddl)))
+def same_document(a: Column, b: Column, ignored: Sequence[str] = ()) -> Column:
+    """Whether two JSON texts are equal but for the text members of these names, at any depth, and the
+    order of members. Null if one of them can't be read."""
+    member = "|".join(ignored)
+    one = rf'"(?:{member})":(?:"(?:[^"\\]|\\.)*"|null)'
+
+    def plain(c: Column) -> Column:
+        text = F.to_json(F.try_parse_json(c))
+        for pattern in (f"{one},", f",{one}", one) if ignored else ():
+            text = F.regexp_replace(text, pattern, "")
+        return text
+
+    return plain(a) == plain(b)
 
 
 def fixed_number(c: Column, digits: int = 6) -> Column:

@@ -1,4 +1,10 @@
-"""Which predicted chain is which true chain: assignment by coordinates for symmetric copies."""
+"""Which predicted chain is which true chain, by the coordinates that they share.
+
+The error of a mapping after the best rigid motion only needs sums over its chain pairs: number of
+common residues, coordinate sums, cross products and squares. Spark aggregates these once for each
+pair of chains that may be mapped; what chooses a mapping gets one small table for each candidate
+and never sees a point.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.operators import coordinates, sequences
+from helixlake.operators.joins import common_residues
+
 SCHEMA = "target string, sample string, mapping_key string, rmsd double, exact boolean, issue string"
+COUNTS_DIFFER, SEQUENCES_DIFFER, FEW_ATOMS = "chain counts differ", "sequences differ", "under three common atoms"
+_XYZ = coordinates.XYZ
+_SUMS = ["n", *[f"p{c}" for c in _XYZ], *[f"t{c}" for c in _XYZ], *[f"p{a}t{b}" for a in _XYZ for b in _XYZ], "pp", "tt"]
 
 
 def cheapest(cost: np.ndarray) -> list[int]:
@@ -36,127 +48,120 @@ def cheapest(cost: np.ndarray) -> list[int]:
     return out
 
 
-def rigid_fit(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and shift that move points p onto q with least error."""
-    a, b = p.mean(axis=0), q.mean(axis=0)
-    u, _, vt = np.linalg.svd((p - a).T @ (q - b))
-    turn = np.diag([1.0, 1.0, -1.0 if np.linalg.det(u @ vt) < 0 else 1.0])
-    r = vt.T @ turn @ u.T
-    return r, b - r @ a
-
-
-class _Candidate:
-    """Representative atoms of one prediction and its truth: chain -> (sequence, place -> point)."""
-
-    def __init__(self, pred: pd.DataFrame, truth: pd.DataFrame):
-        self.pred, self.truth = self.chains(pred), self.chains(truth)
-
-    @staticmethod
-    def chains(rows: pd.DataFrame) -> dict:
-        return {c: (g["sequence"].iloc[0], dict(zip(g["seq_id"], g[["x", "y", "z"]].to_numpy(float), strict=True))) for c, g in rows.groupby("chain")}
-
-    def common(self, p: str, t: str) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.pred[p][1], self.truth[t][1]
-        both = sorted(a.keys() & b.keys())
-        return np.array([a[s] for s in both]).reshape(-1, 3), np.array([b[s] for s in both]).reshape(-1, 3)
-
-    def points(self, mapping: dict) -> tuple[np.ndarray, np.ndarray]:
-        got = [self.common(p, t) for p, t in sorted(mapping.items())]
-        return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.zeros((0, 3)),) * 2
-
-    def error(self, mapping: dict) -> float:
-        p, q = self.points(mapping)
-        if len(p) < 3:
-            return np.inf
-        r, t = rigid_fit(p, q)
-        return float(np.sqrt((((p @ r.T + t) - q) ** 2).sum(axis=1).mean()))
-
-    def groups(self) -> tuple[dict, list] | None:
-        """Chains whose sequence is unique, and groups of copies; None if the sequences differ."""
-        a, b = {}, {}
-        for side, out in ((self.pred, a), (self.truth, b)):
-            for c in sorted(side):
-                out.setdefault(side[c][0], []).append(c)
-        if {s: len(c) for s, c in a.items()} != {s: len(c) for s, c in b.items()}:
-            return None
-        return {a[s][0]: b[s][0] for s in a if len(a[s]) == 1}, [(a[s], b[s]) for s in sorted(a) if len(a[s]) > 1]
-
-    def assign(self, fixed: dict, groups: list, mapping: dict) -> dict | None:
-        """The groups dealt anew by distance once all is moved by the fit of this mapping."""
-        p, q = self.points(mapping)
-        if len(p) < 3:
-            return None
-        r, t = rigid_fit(p, q)
-        out = dict(fixed)
-        for ps, ts in groups:
-            cost = np.full((len(ps), len(ts)), 1e12)
-            for i, a in enumerate(ps):
-                for j, b in enumerate(ts):
-                    x, y = self.common(a, b)
-                    if len(x):
-                        cost[i, j] = (((x @ r.T + t) - y) ** 2).sum(axis=1).mean()
-            dealt = cheapest(cost)
-            if any(cost[i, j] >= 1e12 for i, j in enumerate(dealt)):
-                return None
-            out |= {ps[i]: ts[j] for i, j in enumerate(dealt)}
-        return out
-
-    def options(self, rounds: int, tolerance: float) -> tuple[dict[str, float], bool, str]:
-        name = lambda m: ",".join(f"{p}:{t}" for p, t in sorted(m.items()))
-        if len(self.pred) != len(self.truth):
-            return {}, False, "chain counts differ"
-        got = self.groups()
-        if got is None:
-            return {}, False, "sequences differ"
-        fixed, groups = got
-        if not groups:
-            error = self.error(fixed)
-            return ({name(fixed): error}, True, "") if np.isfinite(error) else ({}, True, "under three common atoms")
-        starts = [dict(fixed)]
-        if len(self.points(fixed)[0]) < 3:
-            ps, ts = max(groups, key=lambda g: (max(len(self.pred[p][1]) for p in g[0]), -len(g[0])))
-            starts = [fixed | {ps[0]: t} for t in ts]
-        best: dict[str, float] = {}
-        for mapping in starts:
-            for _ in range(rounds):
-                new = self.assign(fixed, groups, mapping)
-                if new is None or new == mapping:
-                    break
-                mapping = new
-            error = self.error(mapping) if len(mapping) == len(self.pred) else np.inf
-            if np.isfinite(error):
-                best[name(mapping)] = min(error, best.get(name(mapping), np.inf))
-        top = min(best.values(), default=np.inf)
-        return {k: e for k, e in best.items() if e <= top + tolerance}, True, "" if best else "no valid mapping"
+def motions(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotations, shifts and errors of the best rigid motions, of tables of sums (last axis _SUMS)."""
+    n = sums[..., :1]
+    p, t = sums[..., 1:4] / n, sums[..., 4:7] / n
+    cross = sums[..., 7:16].reshape(*sums.shape[:-1], 3, 3) / n[..., None] - p[..., :, None] * t[..., None, :]
+    u, s, vt = np.linalg.svd(cross)
+    s[..., 2] *= np.sign(np.linalg.det(u @ vt))
+    vt[..., 2, :] *= np.sign(np.linalg.det(u @ vt))[..., None]
+    rotation = np.swapaxes(u @ vt, -1, -2)
+    spread = sums[..., 16] / n[..., 0] - (p * p).sum(-1) + sums[..., 17] / n[..., 0] - (t * t).sum(-1)
+    return rotation, t - np.einsum("...ab,...b", rotation, p), np.sqrt(np.maximum(0.0, spread - 2 * s.sum(-1)))
+
+
+def distances(sums: np.ndarray, rotation: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Mean squared distance of each pair of chains once the predicted ones are moved."""
+    n, p, t = sums[..., 0], sums[..., 1:4], sums[..., 4:7]
+    cross = np.einsum("ab,...ba", rotation, sums[..., 7:16].reshape(*sums.shape[:-1], 3, 3))
+    total = sums[..., 16] + sums[..., 17] + n * (shift @ shift) + 2 * (p @ rotation.T @ shift - cross - t @ shift)
+    return np.maximum(0.0, total) / n
+
+
+def best_mappings(sums: np.ndarray, group: np.ndarray, rounds: int) -> dict[tuple[int, ...], float]:
+    """Errors of the mappings (the true chain of each predicted one) met on the way to those that a
+    refit doesn't change.
+
+    sums: predicted x true x _SUMS, whose n is 0 where two chains may not be mapped or share
+    nothing; group: for each predicted chain the number of its sequence. The first fit is of what is
+    certain, the chains without copies, or else of each pair of the sequence with fewest copies in
+    turn. Chains are then dealt at least cost and the whole is fitted anew, until it stays."""
+    copies = np.bincount(group)[group]
+    pairs = np.argwhere(sums[..., 0] >= 3)
+    rare = pairs[copies[pairs[:, 0]] == copies[pairs[:, 0]].min()] if len(pairs) else pairs
+    starts = [(sums[i, j], i, j) for i, j in rare]
+    sure = sums[copies == 1].sum(axis=(0, 1))
+    if sure[0] >= 3:
+        starts = [(sure, None, None)]
+    out: dict[tuple[int, ...], float] = {}
+    for whole, i, j in starts:
+        met = sums[..., 0] > 0
+        if i is not None:  # held for the first deal
+            met[i, np.arange(len(met)) != j] = False
+        for _ in range(rounds):
+            rotation, shift, _ = motions(whole)
+            cost = np.zeros(met.shape)
+            cost[met] = distances(sums[met], rotation, shift)
+            cost[~met] = 1 + len(met) * cost.max()
+            now = tuple(cheapest(cost))
+            if now in out or not met[range(len(now)), now].all():
+                break
+            whole = sums[range(len(now)), now].sum(axis=0)
+            out[now] = float(motions(whole)[2])
+            met = sums[..., 0] > 0
+    return out
+
+
+def _choose(rows: pd.DataFrame, rounds: int, tolerance: float) -> list[tuple]:
+    """(mapping_key, rmsd, exact, issue) of one candidate: rows of chain pairs with their sums."""
+    preds, trues = sorted(rows["chain_a"].unique()), sorted(rows["chain_b"].unique())
+    at = tuple(np.searchsorted(names, rows[c].to_numpy()) for names, c in ((preds, "chain_a"), (trues, "chain_b")))
+    sums = np.zeros((len(preds), len(trues), len(_SUMS)))
+    sums[at] = rows[_SUMS].fillna(0.0).to_numpy(float)
+    name = lambda m: ",".join(f"{p}:{trues[j]}" for p, j in zip(preds, m, strict=True))
+    if not rows["exact"].iloc[0]:
+        cost = np.ones((len(preds), len(trues)))
+        cost[at] = 1 - rows["identity"].to_numpy(float)
+        dealt = cheapest(cost)
+        whole = sums[range(len(dealt)), dealt].sum(axis=0)
+        return [(name(dealt), float(motions(whole)[2]) if whole[0] >= 3 else None, False, SEQUENCES_DIFFER)]
+    of = dict(zip(rows["chain_a"], rows["sequence"], strict=True))
+    _, group = np.unique([of[c] for c in preds], return_inverse=True)
+    found = best_mappings(sums, group, rounds)
+    if not found:
+        return [(None, None, True, FEW_ATOMS)]
+    top = min(found.values()) + tolerance
+    return sorted((name(m), e, True, "") for m, e in found.items() if e <= top)
 
 
 def mapping_options(predicted: DataFrame, truth: DataFrame, *, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(target, sample, mapping_key, rmsd, exact, issue): the near-best chain mappings of each
-    candidate; a candidate without one has a row that says why. predicted has target, sample,
-    chain, sequence, seq_id, x, y, z; truth the same without sample. A group is one structure.
-    Unique sequences are fixed; copies are dealt by distance after a fit of the whole complex,
-    again until nothing changes, from every equivalent anchor if too little is fixed."""
-    def run(key, pred: pd.DataFrame, true: pd.DataFrame) -> pd.DataFrame:
-        if pred.empty:
-            return pd.DataFrame([], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        found, exact, issue = _Candidate(pred, true.rename(columns=lambda c: c[2:])).options(rounds, tolerance)
-        rows = [(key[0], key[1], k, e, exact, issue) for k, e in sorted(found.items())] or [(key[0], key[1], None, None, exact, issue)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    samples = predicted.select("target", "sample").distinct()
-    names = ["target", "sample", "chain", "sequence", "seq_id", "x", "y", "z"]
-    spread = truth.join(samples, "target").select(*[F.col(c).alias(f"__{c}") for c in names])
-    return predicted.select(*names).groupBy("target", "sample").cogroup(spread.groupBy("__target", "__sample")).applyInPandas(run, SCHEMA)
+    """(target, sample, mapping_key, rmsd, exact, issue): the chain mappings of each candidate whose
+    error is within the tolerance of the best; a candidate without one has a row that says why.
+    predicted has target, sample, chain, sequence, seq_id, x, y, z; truth the same without sample.
+
+    Chains of equal sequence may be mapped, at residues that both have. Where as many chains have
+    other sequences, the mapping of least summed 1 - identity is given for inspection, with its
+    error, exact false and an issue; where their numbers differ there is none."""
+    candidate = ["target", "sample"]
+    of = lambda df, keys, out: df.groupBy(*keys, F.col("chain").alias(f"chain_{out}")).agg(F.min("sequence").alias(f"seq_{out}"))
+    pred, true = of(predicted, candidate, "a"), of(truth, ["target"], "b")
+    bag = lambda df, keys, c: df.groupBy(*keys).agg(F.array_sort(F.collect_list(f"seq_{c}")).alias(f"bag_{c}"))
+    both = bag(pred, candidate, "a").join(bag(true, ["target"], "b"), "target").select(*candidate, (F.size("bag_a") == F.size("bag_b")).alias("even"), (F.col("bag_a") == F.col("bag_b")).alias("exact"))
+    pairs = pred.join(both.filter("even").drop("even"), candidate).join(true, "target").filter(~F.col("exact") | (F.col("seq_a") == F.col("seq_b")))
+    unlike = sequences.pair_identity(pairs.filter(~F.col("exact")).select("seq_a", "seq_b").distinct(), "seq_a", "seq_b")
+    pairs = pairs.join(unlike, ["seq_a", "seq_b"], "left")
+
+    points = common_residues(coordinates.centre(predicted, candidate), coordinates.centre(truth, ["target"]), pairs.select(*candidate, "chain_a", "chain_b"), candidate, by=["target"])
+    p, t = {c: F.col(c) for c in _XYZ}, {c: F.col(f"{c}_b") for c in _XYZ}
+    every = [*p.values(), *t.values(), *[p[a] * t[b] for a in _XYZ for b in _XYZ], sum(x * x for x in p.values()), sum(x * x for x in t.values())]
+    sums = points.groupBy(*candidate, "chain_a", "chain_b").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x).alias(c) for c, x in zip(_SUMS[1:], every, strict=True)])
+    table = pairs.join(sums, [*candidate, "chain_a", "chain_b"], "left").withColumnRenamed("seq_a", "sequence").drop("seq_b")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *found) for found in _choose(rows, rounds, tolerance)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    uneven = both.filter(~F.col("even")).select(*candidate, F.lit(None).cast("string").alias("mapping_key"), F.lit(None).cast("double").alias("rmsd"), F.lit(False).alias("exact"), F.lit(COUNTS_DIFFER).alias("issue"))
+    return table.groupBy(*candidate).applyInPandas(run, SCHEMA).unionByName(uneven)
 
 
 def unequal_assignment(identities: DataFrame) -> DataFrame:
     """identities(target, pred, truth, identity): the pairs of least summed 1 - identity where both
-    sides have as many chains. Such maps never pass by themselves."""
+    sides have as many chains; a pair without an identity has 0. Such maps never pass by themselves."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        cost = part.pivot_table(index="pred", columns="truth", values="identity", aggfunc="max").sort_index(axis=0).sort_index(axis=1)
-        rows = []
-        if cost.shape[0] == cost.shape[1] and not cost.isna().any().any():
-            rows = [(part["target"].iloc[0], cost.index[i], cost.columns[j], float(cost.iat[i, j])) for i, j in enumerate(cheapest(1 - cost.to_numpy()))]
+        cost = 1 - part.pivot_table(index="pred", columns="truth", values="identity", aggfunc="max").sort_index(axis=0).sort_index(axis=1).fillna(0.0)
+        even = cost.shape[0] == cost.shape[1]
+        rows = [(part["target"].iloc[0], cost.index[i], cost.columns[j], 1 - float(cost.iat[i, j])) for i, j in enumerate(cheapest(cost.to_numpy()))] if even else []
         return pd.DataFrame(rows, columns=["target", "pred", "truth", "identity"])
 
     return identities.groupBy("target").applyInPandas(run, "target string, pred string, truth string, identity double").withColumn("exact", F.lit(False))

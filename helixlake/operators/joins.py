@@ -102,15 +102,19 @@ def pair_residual(pairs: DataFrame, group: str) -> DataFrame:
 def compare_chains(a: DataFrame, b: DataFrame, group: str, chain: str, sequence: str) -> DataFrame:
     """Chains of a with their partner in b: BY_ID if the id is in both, else BY_SEQUENCE if exactly
     one chain of each side that is left has the sequence, else UNRESOLVED. Uniqueness on both
-    sides makes the result independent of order."""
-    x, y = a.select(group, F.col(chain).alias("chain_a"), F.col(sequence).alias("s")), b.select(group, F.col(chain).alias("chain_b"), F.col(sequence).alias("s2"))
-    by_id = x.withColumn("chain_b", F.col("chain_a")).join(y, [group, "chain_b"]).select(group, "chain_a", "chain_b", F.lit("BY_ID").alias("how"), (F.col("s") == F.col("s2")).alias("same_sequence"))
-    left, right = x.join(by_id, [group, "chain_a"], "left_anti"), y.join(by_id, [group, "chain_b"], "left_anti")
-    once = lambda df, s, c: df.groupBy(group, F.col(s).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias(c)).filter("n = 1").drop("n")
-    by_seq = once(left, "s", "chain_a").join(once(right, "s2", "chain_b"), [group, "s"]).select(group, "chain_a", "chain_b", F.lit("BY_SEQUENCE").alias("how"), F.lit(True).alias("same_sequence"))
-    done = by_id.unionByName(by_seq)
-    rest = x.join(done, [group, "chain_a"], "left_anti").select(group, "chain_a", F.lit(None).cast("string").alias("chain_b"), F.lit("UNRESOLVED").alias("how"), F.lit(None).cast("boolean").alias("same_sequence"))
-    return done.unionByName(rest)
+    sides makes the result independent of order. One join by id, then one pass over what is left
+    by sequence."""
+    x, y = a.select(group, chain, F.col(sequence).alias("s1"), F.lit(True).alias("in_a")), b.select(group, chain, F.col(sequence).alias("s2"), F.lit(True).alias("in_b"))
+    met = x.join(y, [group, chain], "full_outer")
+    both, left, right = F.col("in_a") & F.col("in_b"), F.col("in_b").isNull(), F.col("in_a").isNull()
+    paired = F.coalesce(both, F.lit(False))
+    w = Window.partitionBy(group, F.when(paired, F.col(chain)), F.when(~paired, F.coalesce("s1", "s2").cast("string")))
+    rows = met.withColumns({"paired": paired, "one": (F.count_if(left).over(w) == 1) & (F.count_if(right).over(w) == 1), "other": F.max(F.when(right, F.col(chain))).over(w), "s": F.coalesce("s1", "s2")}).filter("in_a")
+    unique = F.col("one") & F.col("s").isNotNull()
+    how = F.when(F.col("paired"), "BY_ID").when(unique, "BY_SEQUENCE").otherwise("UNRESOLVED")
+    partner = F.when(F.col("paired"), F.col(chain)).when(unique, F.col("other"))
+    same = F.when(F.col("paired"), F.col("s1") == F.col("s2")).when(unique, F.lit(True))
+    return rows.select(group, F.col(chain).alias("chain_a"), partner.alias("chain_b"), how.alias("how"), same.alias("same_sequence"))
 
 
 def resolve_paths(entries: DataFrame, files: DataFrame, key: str) -> DataFrame:
@@ -178,12 +182,14 @@ def pair_atoms_by_map(truth: DataFrame, predicted: DataFrame, residue_map: DataF
     return pairs, ratio
 
 
-def common_residues(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def common_residues(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
     """Representative atoms of paired chains at the residues that both have: pairs(keys, chain_a,
-    chain_b); a and b have keys, chain, seq_id, x, y, z."""
-    left = pairs.join(a.withColumnRenamed("chain", "chain_a"), [*keys, "chain_a"])
-    right = b.select(*keys, F.col("chain").alias("chain_b"), "seq_id", *[F.col(c).alias(f"{c}_b") for c in "xyz"])
-    return left.join(right, [*keys, "chain_b", "seq_id"])
+    chain_b); a and b have keys, chain, seq_id, x, y, z. Where b has only some of the keys, `by`
+    names them."""
+    by = list(keys if by is None else by)
+    left = pairs.join(a.select(*keys, F.col("chain").alias("chain_a"), "seq_id", *"xyz"), [*keys, "chain_a"])
+    right = b.select(*by, F.col("chain").alias("chain_b"), "seq_id", *[F.col(c).alias(f"{c}_b") for c in "xyz"])
+    return left.join(right, [*by, "chain_b", "seq_id"])
 
 
 def consistent_copies(df: DataFrame, group: str, digest: str, position: str, vector: str) -> DataFrame:

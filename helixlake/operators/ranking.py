@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixlake.functions.scalars import finite_or_null
+from helixlake.sources.shared import write_shared
 
 
 def first_by(df: DataFrame, by: Sequence[str], *order: Column | str) -> DataFrame:
@@ -50,19 +51,25 @@ def merge_hits(*sources: tuple[DataFrame, bool]) -> DataFrame:
     return best.select("query", "target", "h.*")
 
 
+def counted_before(rows: DataFrame, count: str, *order: str) -> DataFrame:
+    """rows, distinct in `order`, plus `before`: the sum of their counts over all rows that come first.
+    They are cut into ranges, written, and summed range by range: no task holds all of them."""
+    held = write_shared(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = held.groupBy("__p").agg(F.sum(count).alias("n")).select("__p", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = F.coalesce(F.sum(count).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("__in", inside).join(F.broadcast(sums), "__p").withColumn("before", (F.col("__ahead") + F.col("__in")).cast("long")).drop("__p", "__in", "__ahead")
+
+
 def representatives(members: DataFrame, component: str, resolution: str, day: str, *ids: str) -> DataFrame:
     """Each component's member of best (lowest) resolution, then date, then ids."""
     return first_by(members, [component], F.col(resolution).asc_nulls_last(), F.col(day).asc_nulls_last(), *ids)
 
 
 def number_components(members: DataFrame, component: str, prefix: str = "cluster_", name: str = "cluster_id") -> DataFrame:
-    """Labels by the order of the components' smallest members. The components are ranked in ranges
-    of their key: no task holds all of them."""
-    keys = members.select(component).distinct().repartitionByRange(component).withColumn("__p", F.spark_partition_id())
-    sizes = keys.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).select(F.col("__p").alias("p2"), F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("__p").orderBy(component))
-    named = keys.withColumn("nth", nth).join(F.broadcast(sizes), F.col("__p") == F.col("p2")).select(component, F.format_string(prefix + "%04d", (F.col("before") + F.col("nth")).cast("long")).alias(name))
-    return members.join(named, component)
+    """Labels by the order of the components' smallest members."""
+    keys = counted_before(members.select(component).distinct().withColumn("__n", F.lit(1)), "__n", component)
+    return members.join(keys.select(component, F.format_string(prefix + "%04d", F.col("before") + 1).alias(name)), component)
 
 
 def alternate_location(atoms: DataFrame, keys: Sequence[str], *ties: str) -> DataFrame:
@@ -114,13 +121,14 @@ def by_cost(ready: DataFrame, weight: str, key: str, n: int, shortest: bool = Tr
 
 def repeatable_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows by a seeded hash of the key: the same whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def pack_batches(items: DataFrame, shard: str, order: str, length: str, *, special: int = 2, max_tokens: int = 4096, max_items: int = 64) -> DataFrame:
     """Batches in input order: a batch is closed when one more item would take its padded size over
     max_tokens or its number over max_items. Each shard (of bounded size, set by the caller) is
-    packed on its own; an item over the budget is a batch of its own."""
+    packed on its own, which against one pass costs at most one batch more for each shard; an item
+    over the budget is a batch of its own."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
@@ -137,7 +145,8 @@ def pack_batches(items: DataFrame, shard: str, order: str, length: str, *, speci
 
 
 def least_loaded(items: DataFrame, shard: str, order: Sequence[str], weight: str, bins: int) -> DataFrame:
-    """Each item, in order, to the bin with the least weight so far (then the first), shard by shard."""
+    """Each item, in order, to the bin with the least weight so far (then the first). Loads start anew
+    with each shard, so over all shards bins differ by at most the sum of the shards' heaviest items."""
 
     def assign(part: pd.DataFrame) -> pd.DataFrame:
         part, loads, out = part.sort_values(list(order)), [0] * bins, []
@@ -157,3 +166,10 @@ def run_length(events: DataFrame, by: Sequence[str], order: Sequence[str], faile
     marked = events.withColumn("__run", F.sum(F.when(failed, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(*by, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("failures_in_row", F.sum(F.when(failed, 1).otherwise(0)).over(inside)).drop("__run")
+
+
+def until_failures(events: DataFrame, by: Sequence[str], order: Sequence[str], failed: Column, limit: int = 3) -> DataFrame:
+    """Each group's events up to the first that is the limit-th failure in a row, itself included."""
+    runs = run_length(events, by, order, failed)
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("__stopped", F.coalesce(F.max(F.col("failures_in_row") >= limit).over(before), F.lit(False))).filter(~F.col("__stopped")).drop("__stopped")

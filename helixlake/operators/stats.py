@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from helixlake.functions.scalars import finite_or_null
+from helixlake.operators.ranking import counted_before, first_by
+
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 DESCRIBE_THRESHOLDS, FINAL_THRESHOLDS = (2, 4, 5, 10), (2, 5, 10, 20)
 
@@ -16,13 +19,15 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole)
 
 
-def description(value: Column, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS) -> list[Column]:
-    """Aggregates that describe a metric (null = missing): coverage is of all rows, the shares under
-    the thresholds are of the rows with a value, and so are all others."""
+def description(value: Column, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS, at: Column | None = None) -> list[Column]:
+    """Aggregates that describe a metric (what isn't finite is missing): coverage is of all rows, the
+    shares under the thresholds are of the rows with a value, and so are all others. `at`: an
+    aggregate of the percentiles, if they come from elsewhere."""
+    value = finite_or_null(value)
     n = F.count(F.lit(1))
     with_ = F.count(value)
     out = [n.alias("n_total"), with_.alias("n_with"), (n - with_).alias("n_missing"), _share(with_, n).alias("coverage_percent"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min")]
-    at = F.percentile(value, list(PERCENTILES))  # one aggregate for all
+    at = F.percentile(value, list(PERCENTILES)) if at is None else at  # one aggregate for all
     out += [at[i].alias(f"p{round(p * 100)}") for i, p in enumerate(PERCENTILES)]
     out += [F.max(value).alias("max")]
     return out + [_share(F.count_if(value <= t), with_).alias(f"pct_le_{t:g}") for t in thresholds]
@@ -35,6 +40,15 @@ def describe(df: DataFrame, value: Column, *by: str, thresholds: Sequence[float]
     return df.groupBy(*[F.coalesce(F.col(b).cast("string"), F.lit("missing")).alias(b) for b in by]).agg(*description(value, thresholds))
 
 
+def describe_large(df: DataFrame, value: str, by: str, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS) -> DataFrame:
+    """describe() for groups whose distinct values don't fit in a task."""
+    rows = df.select(F.coalesce(F.col(by).cast("string"), F.lit("missing")).alias(by), F.col(value).alias("__v"))
+    at = percentiles(rows, "__v", [by], PERCENTILES)
+    plain = rows.groupBy(by).agg(*description(F.col("__v"), thresholds, F.array([F.lit(None).cast("double")] * len(PERCENTILES))))
+    met = plain.join(at, by, "left")
+    return met.withColumns({f"p{round(p * 100)}": F.col("percentiles")[i] for i, p in enumerate(PERCENTILES)}).drop("percentiles")
+
+
 def describe_bins(df: DataFrame, value: Column, group: str, labels: Sequence[str]) -> DataFrame:
     """describe() by a group of known labels, which are there even if empty, in their order."""
     dim = df.sparkSession.createDataFrame(list(enumerate(labels)), f"bin_order int, {group} string")
@@ -54,6 +68,7 @@ def describe_populations(populations: dict[str, DataFrame], value: str) -> DataF
 
 def final_summary(value: Column, excluded: Column, thresholds: Sequence[float] = FINAL_THRESHOLDS) -> list[Column]:
     """Aggregates of the final report: valid values are those of 0 or more that aren't excluded."""
+    value = finite_or_null(value)
     v = F.when((value >= 0) & ~F.coalesce(excluded, F.lit(False)), value)
     n, ok = F.count(F.lit(1)), F.count(v)
     at = F.percentile(v, [0.25, 0.5, 0.75, 0.9])  # one aggregate for all
@@ -86,22 +101,34 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ecdf(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
-    """(x, y): one row for each value, ties kept, y its rank among them over their number. Ranks come
-    from counts of value ranges, so no task sorts all values."""
-    v = df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    per = v.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    lo, hi = (v.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first() or (None, None))[:2]
-    if lo is None:
-        return v.select("x", F.lit(None).cast("double").alias("y"))
-    width = (hi - lo) / buckets or 1.0
-    per = per.withColumn("b", F.least(F.floor((F.col("x") - lo) / width), F.lit(buckets - 1)))
-    sums = per.groupBy("b").agg(F.sum("n").alias("bn"))
-    w = Window.orderBy("b")
-    sums = sums.select(F.col("b").alias("b2"), F.coalesce(F.sum("bn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("bn").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("in_bucket", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(sums), F.col("b") == F.col("b2"))
-    return ranked.select("x", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "before", "in_bucket", "total").select("x", ((F.col("before") + F.col("in_bucket") + F.col("k")) / F.col("total")).alias("y"))
+def ecdf(df: DataFrame, value: str) -> DataFrame:
+    """(x, y): one row for each finite value, ties kept, y its rank among them over their number. Ranks
+    come from counts of value ranges, so no task sorts all values."""
+    per = df.select(finite_or_null(F.col(value)).alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted_before(per, "n", "x")
+    total = ranked.agg(F.sum("n").alias("total"))
+    return ranked.crossJoin(F.broadcast(total)).select("x", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "before", "total").select("x", ((F.col("before") + F.col("k")) / F.col("total")).alias("y"))
+
+
+def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Exact percentiles of each group, an array in the order of shares: what F.percentile gives, but
+    from ranks by ranges of (group, value), so that a group may be of any size. `by` may be empty;
+    groups without a finite value are left out."""
+    keys = list(by)
+    per = df.select(*keys, finite_or_null(F.col(value)).alias("__x")).filter(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = counted_before(per, "__n", *keys, "__x")
+    sizes = ranked.groupBy(*[F.col(k).alias(f"__of{i}") for i, k in enumerate(keys)]).agg(F.min("before").alias("__first"), F.sum("__n").alias("__all"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__of{i}"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("__all") - 1)).alias("p")) for i, s in enumerate(shares)])
+    met = ranked.join(sizes if keys else F.broadcast(sizes), same).select(*keys, "__x", "__n", (F.col("before") - F.col("__first")).alias("__at"), F.explode(wanted).alias("w"))
+    holds = lambda rank: (rank >= F.col("__at")) & (rank < F.col("__at") + F.col("__n"))
+    low, high = F.floor("w.p"), F.ceil("w.p")
+    met = met.filter(holds(low) | holds(high))
+    got = met.groupBy(*keys, F.col("w.i").alias("__i")).agg(F.max("w.p").alias("p"), F.max(F.when(holds(low), F.col("__x"))).alias("lo"), F.max(F.when(holds(high), F.col("__x"))).alias("hi"))
+    between = F.col("lo") + (F.col("p") - F.floor("p")) * (F.col("hi") - F.col("lo"))
+    return got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", between.alias("v")))), lambda s: s["v"]).alias("percentiles"))
 
 
 def exceedance(df: DataFrame, value: Column, thresholds: Sequence[float]) -> DataFrame:
@@ -193,6 +220,13 @@ def sequence_completeness(residues: DataFrame, keys: Sequence[str], number: str)
     return residues.groupBy(*keys).agg(n.alias("n_observed"), (span - n).alias("n_missing"), F.round(n / span, 4).alias("completeness"))
 
 
+def quality_filter(df: DataFrame, completeness: str, length: str, keys: Sequence[str], *order: str, least: float = 0.95, shortest: int = 30, longest: int = 1024) -> DataFrame:
+    """Rows that are complete enough and of a length within the bounds; of those that share the keys
+    the first in that order."""
+    good = df.filter((F.col(completeness) >= least) & F.col(length).between(shortest, longest))
+    return first_by(good, keys, *order)
+
+
 def rna_chains(residues: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Whether a chain is RNA: it has an RNA base, and not a DNA one without a U."""
     has = lambda *names: F.bool_or(F.upper(F.trim(F.col(name))).isin(*names))

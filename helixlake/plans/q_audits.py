@@ -9,9 +9,10 @@ from helixlake.operators import stats
 from helixlake.sources import readers, structures
 
 from . import audits
-from .q_coordinates import atoms
+from .q_coordinates import MAPS_SQL, atoms, halves
 from .q_joins import _sides
 from .q_metrics import CAND, candidates, rounded, sql_final
+from .q_sequences import name_pairs
 from .q_sources import _cif, _tasks
 from .registry import query, table
 
@@ -24,7 +25,7 @@ FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
 def structure_manifest(spark, d):
     """Structures of two polymer types whose atoms stand for chains."""
     texts = _cif(spark, d)
-    long = structures.items(texts)
+    long = structures.items(texts, "entity_poly", "atom_site")
     broken = structures.issues(long).select(F.col("path").alias("pdb_id")).distinct().withColumn("bad", F.lit(True))
     types = structures.table_of(long, "entity_poly").groupBy(F.col("path").alias("pdb_id")).agg(S.is_pure_rna(F.collect_set("type")).alias("pure_rna"))
     checks = types.join(broken, "pdb_id", "left").select("pdb_id", F.col("bad").isNull().alias("valid"), "pure_rna")
@@ -137,9 +138,12 @@ def embedding_manifest(spark, d):
     return audits.embedding_manifest(c)["entries"]
 
 
-@query("SELECT 21 * count(*) AS n_both, 0 AS n_absent, 0 AS n_unexpected, 0 AS bad_one FROM embeddings")
+@query("SELECT count(*) FILTER (i < 21 AND (vec_id + i) % 17 <> 0) AS n_both, count(*) FILTER (i < 21 AND (vec_id + i) % 17 = 0) AS n_absent, count(*) FILTER (i = 21 AND vec_id % 13 = 0) AS n_unexpected, 0 AS bad_one FROM embeddings, range(22) t(i)")
 def validate_embeddings(spark, d):
+    """Some places of the chains are missing, and some chains have one too many."""
     a = atoms(spark, d).select(F.col("label").alias("pdb_id"), F.col("vec_id").alias("chain_id"), F.col("atom").alias("index_in_chain"), F.array("x", "y", "z").alias("emb"))
+    over = a.filter("index_in_chain = 0 AND chain_id % 13 = 0").withColumn("index_in_chain", F.lit(21))
+    a = a.filter("(chain_id + index_in_chain) % 17 <> 0").unionByName(over)
     chains = table(spark, d, "embeddings").select(F.col("label").alias("pdb_id"), F.col("vec_id").alias("chain_id"), F.lit(21).alias("n"))
     return audits.validate_embeddings(a, chains)["indexes"]
 
@@ -155,13 +159,10 @@ def base_chain_map(spark, d):
     return audits.base_chain_map(a, b, sig)["targets"]
 
 
-@query()
+@query(f"WITH {MAPS_SQL}, v AS (SELECT label, mapping_key, count(*) AS n FROM best GROUP BY 1, 2), m AS (SELECT label, max(n) / sum(n) AS dominance FROM v GROUP BY 1) SELECT label::VARCHAR AS target, CASE WHEN dominance >= 0.8 THEN 'PASS' ELSE 'REVIEW' END AS status, CASE WHEN dominance >= 0.8 THEN '' ELSE 'dominance' END AS reasons FROM m")
 def coordinate_chain_map(spark, d):
-    a = atoms(spark, d).filter("atom < 20")
-    ref = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("ref"))
-    rows = a.join(F.broadcast(ref), "label").select(F.col("label").cast("string").alias("target"), F.col("vec_id").cast("string").alias("sample"), F.when(F.col("atom") < 10, "A").otherwise("B").alias("chain"), F.lit("ACGUACGUAC").alias("sequence"), (F.col("atom") % 10).alias("seq_id"), "x", "y", "z", (F.col("vec_id") == F.col("ref")).alias("is_ref"))
-    truth = rows.filter("is_ref").drop("sample", "is_ref")
-    return audits.coordinate_chain_map(rows.drop("is_ref"), truth, truth.select("target", "chain").distinct().withColumn("length", F.lit(10)))["targets"]
+    pred, truth = halves(spark, d)
+    return audits.coordinate_chain_map(pred, truth, truth.select("target", "chain").distinct().withColumn("length", F.lit(11)))["targets"]
 
 
 @query("""
@@ -210,9 +211,9 @@ def resource_coverage(spark, d):
 
 @query()
 def aligned_report(spark, d):
-    p = table(spark, d, "part")
-    pairs = p.groupBy(F.col("p_brand").alias("sample")).agg(F.upper(F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, 3), "")).alias("truth"), F.upper(F.min("p_name")).alias("predicted"))
-    return audits.aligned_report(pairs).withColumn("identity", F.round("identity", 6))
+    """Each part's name against its own followed by the next part's."""
+    p = name_pairs(spark, d)
+    return audits.aligned_report(p.select(F.col("p_partkey").alias("sample"), F.concat("a", "b").alias("truth"), F.col("a").alias("predicted"))).withColumn("identity", F.round("identity", 6))
 
 
 @query("""

@@ -38,21 +38,30 @@ _SPREAD = " + ".join(f"var_pop({c}) + var_pop({c}_pred)" for c in "xyz")
 _GRAM = ", ".join(f"{' + '.join(f'h{k}{a} * h{k}{b}' for k in 'xyz')} AS g{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
 
 
-@query(f"""
-WITH {_ATOMS_SQL}, c AS (SELECT vec_id, count(*) AS num_atoms, {_SPREAD} AS spread, {_COV} FROM q GROUP BY vec_id),
+def _kabsch_sql(source: str, keys: str) -> str:
+    """Tables from sums of x, y, z and x_pred, y_pred, z_pred to `err`: the least error over rigid motions."""
+    return f"""
+c AS (SELECT {keys}, count(*) AS num_atoms, {_SPREAD} AS spread, {_COV} FROM {source} GROUP BY ALL),
 g AS (SELECT *, {_GRAM}, hxx * (hyy * hzz - hyz * hzy) - hxy * (hyx * hzz - hyz * hzx) + hxz * (hyx * hzy - hyy * hzx) AS det FROM c),
 t AS (SELECT *, (gxx + gyy + gzz) / 3 AS m, sqrt(((gxx - (gxx + gyy + gzz) / 3) ** 2 + (gyy - (gxx + gyy + gzz) / 3) ** 2 + (gzz - (gxx + gyy + gzz) / 3) ** 2 + 2 * (gxy ** 2 + gxz ** 2 + gyz ** 2)) / 6) AS p FROM g),
 a AS (SELECT *, acos(greatest(-1, least(1, ((gxx - m) * ((gyy - m) * (gzz - m) - gyz * gyz) - gxy * (gxy * (gzz - m) - gyz * gxz) + gxz * (gxy * gyz - (gyy - m) * gxz)) / (2 * p ** 3)))) / 3 AS phi FROM t),
-s AS (SELECT *, m + 2 * p * cos(phi) AS e1, m + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM a)
-SELECT vec_id, num_atoms, round(sqrt(greatest(0, spread - 2 * (sqrt(greatest(0, e1)) + sqrt(greatest(0, 3 * m - e1 - e3)) + sign(det) * sqrt(greatest(0, e3))))), 3) + 0.0 AS rmsd FROM s""")
+s AS (SELECT *, m + 2 * p * cos(phi) AS e1, m + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM a),
+fit AS (SELECT {keys}, num_atoms, sqrt(greatest(0, spread - 2 * (sqrt(greatest(0, e1)) + sqrt(greatest(0, 3 * m - e1 - e3)) + sign(det) * sqrt(greatest(0, e3))))) AS err FROM s)"""
+
+
+_FIT_SQL = f"WITH {_ATOMS_SQL}, {_kabsch_sql('q', 'vec_id')} SELECT vec_id, num_atoms, round(err, 3) + 0.0 AS rmsd FROM fit"
+
+
+@query(_FIT_SQL)
 def rmsd_kabsch(spark, d):
-    return coordinates.superposition(pairs(spark, d), "vec_id").select("vec_id", "num_atoms", F.round("rmsd", 3).alias("rmsd"))
+    return coordinates.superposition(pairs(spark, d), "vec_id").select("vec_id", "num_atoms", (F.round("rmsd", 3) + 0.0).alias("rmsd"))
 
 
-@query()
+@query(_FIT_SQL)
 def superpose(spark, d):
+    """The error once the points are moved is that of the best motion."""
     moved = coordinates.superpose(pairs(spark, d), "vec_id")
-    return coordinates.rmsd(moved, "vec_id").withColumn("rmsd", F.round("rmsd", 4))
+    return coordinates.rmsd(moved, "vec_id").withColumn("rmsd", F.round("rmsd", 3) + 0.0)
 
 
 @query(f"WITH {_ATOMS_SQL} SELECT vec_id, atom, " + ", ".join(f"round({c} - avg({c}) OVER (PARTITION BY vec_id), 4) + 0.0 AS {c}" for c in "xyz") + " FROM p")
@@ -82,13 +91,22 @@ def _labelled(spark, d):
     return a, pred.filter((F.col("sample") % 7 != 0) | (F.col("residue_order") < 6))
 
 
-@query("SELECT vec_id AS sample, CASE WHEN vec_id % 3 = 0 THEN 'order' ELSE 'exact' END AS branch, 21 AS n FROM embeddings WHERE vec_id % 7 <> 0")
+_LABELLED_SQL = """
+g AS (SELECT vec_id AS sample, i AS ord FROM embeddings, range(21) t(i)),
+r AS (SELECT sample, ord, CASE WHEN sample % 3 = 0 THEN ord + 100 ELSE ord END AS residue FROM g WHERE sample % 7 <> 0 OR ord < 6)"""
+
+
+@query(f"""
+WITH {_LABELLED_SQL}, e AS (SELECT sample, count(*) AS n FROM g JOIN r USING (sample) WHERE g.ord = r.residue GROUP BY 1), o AS (SELECT sample, count(*) AS n FROM g JOIN r USING (sample, ord) GROUP BY 1)
+SELECT sample, 'exact' AS branch, n FROM e WHERE n >= 10 UNION ALL SELECT sample, 'order', n FROM o WHERE n >= 10 AND sample NOT IN (SELECT sample FROM e WHERE n >= 10)""")
 def atom_pairing(spark, d):
     got = joins.pair_atoms(*_labelled(spark, d), "sample")
     return got.groupBy("sample", "branch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT vec_id AS sample, CASE WHEN vec_id % 7 = 0 THEN 5 ELSE 20 END AS n_pairs, round(CASE WHEN vec_id % 7 = 0 THEN 5 ELSE 20 END / 21.0, 4) AS alignment_ratio FROM embeddings")
+@query(f"""
+WITH {_LABELLED_SQL}, m AS (SELECT g.sample, count(*) AS n FROM g JOIN r ON r.sample = g.sample AND r.ord = g.ord - 1 WHERE g.sample % 7 <> 0 OR r.ord < 5 GROUP BY 1), t AS (SELECT sample, count(*) AS n_true FROM g GROUP BY 1)
+SELECT t.sample, coalesce(n, 0) AS n_pairs, round(coalesce(n, 0) / n_true, 4) AS alignment_ratio FROM t LEFT JOIN m USING (sample)""")
 def atom_pairing_by_map(spark, d):
     truth, pred = _labelled(spark, d)
     shift = truth.select("sample", F.col("residue_order").alias("gt_idx"), (F.col("residue_order") - 1).alias("pred_idx")).filter("pred_idx >= 0")
@@ -97,18 +115,42 @@ def atom_pairing_by_map(spark, d):
     return ratio.withColumn("alignment_ratio", F.round("alignment_ratio", 4))
 
 
-@query()
-def chain_assignment(spark, d):
-    """Each structure of a label has two equal chains, its points before and after place 10, which the
-    prediction names the other way round."""
+#: Both ways to map the two halves of a structure on those of its label's reference, and the better.
+MAPS_SQL = f"""{_ATOMS_SQL},
+h AS (SELECT vec_id, label, atom < 10 AS first, CASE WHEN atom < 10 THEN atom ELSE atom - 10 END AS seq_id, x, y, z FROM p),
+w AS (SELECT a.vec_id, a.label, CASE WHEN a.first = b.first THEN 'X:B,Y:A' ELSE 'X:A,Y:B' END AS mapping_key, b.x, b.y, b.z, a.x AS x_pred, a.y AS y_pred, a.z AS z_pred
+  FROM h a JOIN ref USING (label) JOIN h b ON b.vec_id = ref AND b.seq_id = a.seq_id), {_kabsch_sql("w", "vec_id, label, mapping_key")},
+best AS (SELECT vec_id, label, mapping_key, err FROM fit QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY err) = 1)"""
+
+
+def halves(spark, d):
+    """Each structure of a label has two chains of one sequence, its points before place 10 and from it
+    on, and the prediction names them the other way round."""
     a = atoms(spark, d)
     ref = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("ref"))
-    rows = a.join(F.broadcast(ref), "label").withColumns({"target": F.col("label").cast("string"), "sample": F.col("vec_id").cast("string"), "half": F.when(F.col("atom") < 10, 0).otherwise(1), "seq_id": F.col("atom") % 10, "sequence": F.lit("ACGUACGUAC")}).filter("atom < 20")
-    pred = rows.withColumn("chain", F.when(F.col("half") == 0, "Y").otherwise("X")).select("target", "sample", "chain", "sequence", "seq_id", "x", "y", "z")
-    truth = rows.filter("vec_id = ref").withColumn("chain", F.when(F.col("half") == 0, "A").otherwise("B")).select("target", "chain", "sequence", "seq_id", "x", "y", "z")
-    options = assignment.mapping_options(pred, truth)
-    best = ranking.consensus(options.filter("mapping_key IS NOT NULL"), "sample", "target", "mapping_key", "rmsd")
-    return best.select("target", "sample", "mapping_key", F.round("rmsd", 4).alias("rmsd"), "support", "tie_break")
+    first = F.col("atom") < 10
+    rows = a.join(F.broadcast(ref), "label").select(F.col("label").cast("string").alias("target"), F.col("vec_id").cast("string").alias("sample"), first.alias("first"), F.lit("ACGUACGUACG").alias("sequence"), F.when(first, F.col("atom")).otherwise(F.col("atom") - 10).alias("seq_id"), "x", "y", "z", (F.col("vec_id") == F.col("ref")).alias("is_ref"))
+    pred = rows.withColumn("chain", F.when(F.col("first"), "Y").otherwise("X")).drop("first", "is_ref")
+    return pred, rows.filter("is_ref").withColumn("chain", F.when(F.col("first"), "A").otherwise("B")).drop("first", "is_ref", "sample")
+
+
+@query(f"WITH {MAPS_SQL} SELECT label::VARCHAR AS target, vec_id::VARCHAR AS sample, mapping_key, round(err, 3) + 0.0 AS rmsd, count(*) OVER (PARTITION BY label, mapping_key) AS support, false AS tie_break FROM best")
+def chain_assignment(spark, d):
+    best = ranking.consensus(assignment.mapping_options(*halves(spark, d)), "sample", "target", "mapping_key", "rmsd")
+    return best.select("target", "sample", "mapping_key", (F.round("rmsd", 3) + 0.0).alias("rmsd"), "support", "tie_break")
+
+
+_IDENTITY_SQL = "(p * 7 + t * 13 + p * t * 5 + c_custkey * 31) % 101 / 100"
+
+
+@query(f"""
+WITH i AS (SELECT c_custkey, p, t, {_IDENTITY_SQL} AS v FROM customer, range(1, 3) a(p), range(1, 3) b(t)), s AS (SELECT c_custkey, sum(v) FILTER (p = t) > sum(v) FILTER (p <> t) AS straight FROM i GROUP BY 1)
+SELECT c_custkey::VARCHAR AS target, 'P' || p AS pred, 'T' || t AS truth, round(v, 6) AS identity, false AS exact FROM i JOIN s USING (c_custkey) WHERE (p = t) = straight""")
+def unequal_assignment(spark, d):
+    two = F.array(F.lit(1), F.lit(2))
+    i = table(spark, d, "customer").select("c_custkey", F.explode(two).alias("p")).withColumn("t", F.explode(two))
+    i = i.select(F.col("c_custkey").cast("string").alias("target"), F.concat(F.lit("P"), "p").alias("pred"), F.concat(F.lit("T"), "t").alias("truth"), F.expr(_IDENTITY_SQL).alias("identity"))
+    return assignment.unequal_assignment(i).withColumn("identity", F.round("identity", 6))
 
 
 @query("SELECT label, count(*) AS n, 0 AS n_not_finite, count(*) FILTER (norm <= 0) AS n_zero, round(min(lo), 6) AS min_abs, round(max(hi), 6) AS max_abs, round(min(norm), 6) AS min_norm, round(max(norm), 6) AS max_norm FROM (SELECT label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm, list_min(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS lo, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS hi FROM embeddings) GROUP BY label")

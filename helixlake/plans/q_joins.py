@@ -128,10 +128,10 @@ def residual_pairing(spark, d):
 @query("""
 WITH a AS (SELECT l_orderkey, l_linenumber::VARCHAR AS chain, min(l_partkey % 5) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, CASE WHEN chain IN ('1', '3') THEN 'X' || chain ELSE chain END AS chain, s FROM a),
 i AS (SELECT a.l_orderkey, a.chain AS chain_a, b.chain AS chain_b, 'BY_ID' AS how, a.s = b.s AS same_sequence FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND a.chain = b.chain),
-la AS (SELECT l_orderkey, s, min(chain) AS chain_a FROM a WHERE (l_orderkey, chain) NOT IN (SELECT l_orderkey, chain_a FROM i) GROUP BY 1, 2 HAVING count(*) = 1),
-lb AS (SELECT l_orderkey, s, min(chain) AS chain_b FROM b WHERE (l_orderkey, chain) NOT IN (SELECT l_orderkey, chain_b FROM i) GROUP BY 1, 2 HAVING count(*) = 1),
+la AS (SELECT a.l_orderkey, a.s, min(a.chain) AS chain_a FROM a ANTI JOIN i ON i.l_orderkey = a.l_orderkey AND i.chain_a = a.chain GROUP BY 1, 2 HAVING count(*) = 1),
+lb AS (SELECT b.l_orderkey, b.s, min(b.chain) AS chain_b FROM b ANTI JOIN i ON i.l_orderkey = b.l_orderkey AND i.chain_b = b.chain GROUP BY 1, 2 HAVING count(*) = 1),
 q AS (SELECT * FROM i UNION ALL SELECT l_orderkey, chain_a, chain_b, 'BY_SEQUENCE', true FROM la JOIN lb USING (l_orderkey, s))
-SELECT * FROM q UNION ALL SELECT l_orderkey, chain, NULL, 'UNRESOLVED', NULL FROM a WHERE (l_orderkey, chain) NOT IN (SELECT l_orderkey, chain_a FROM q)""")
+SELECT * FROM q UNION ALL SELECT a.l_orderkey, a.chain, NULL, 'UNRESOLVED', NULL FROM a ANTI JOIN q ON q.l_orderkey = a.l_orderkey AND q.chain_a = a.chain""")
 def compare_chains(spark, d):
     a, _ = _sides(spark, d)
     b = a.withColumn("chain", F.when(F.col("chain").isin("1", "3"), F.concat(F.lit("X"), "chain")).otherwise(F.col("chain")))
@@ -300,10 +300,10 @@ def best_existing_seed(spark, d):
     return ranking.best_existing_seed(scores, e.filter("value > 40"), "user_id", "event_type", "value").select("user_id", "event_type", "value")
 
 
-@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY len(string_split(url, '/')), length(url), url) = 1")
+@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id % 3 = 0 DESC, len(string_split(url, '/')), length(url), url) = 1")
 def preferred_path(spark, d):
-    p = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "url")
-    return ranking.preferred_path(p, "host", "url", F.lit("none"))
+    p = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "url", "page_id")
+    return ranking.preferred_path(p, "host", "url", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("none")).select("host", "url")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error', event_id) = 1")

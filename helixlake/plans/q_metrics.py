@@ -251,7 +251,7 @@ def top_n(spark, d):
     return ranking.by_cost(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 20, shortest=False)
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('13:' || o_orderkey), o_orderkey LIMIT 100")
 def sample_n(spark, d):
     return ranking.repeatable_sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100, 13)
 
@@ -264,10 +264,24 @@ def low_resolution(spark, d):
     return table(spark, d, "part").groupBy(S.low_resolution_bucket(r, 3.5).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_retailprice BETWEEN 950 AND 2000 AND p_size >= 10 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY p_size) = 1")
+@query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE 1 - l_discount >= 0.95 AND l_quantity BETWEEN 10 AND 40 QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate) = 1")
 def quality_filter(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    return ranking.first_by(p.filter(F.col("p_retailprice").between(950, 2000) & (F.col("p_size") >= 10)), ["p_partkey"], "p_size")
+    li = table(spark, d, "lineitem").withColumn("completeness", F.round(1 - F.col("l_discount"), 6))
+    return stats.quality_filter(li, "completeness", "l_quantity", ["l_partkey", "l_suppkey"], "l_orderkey", "l_linenumber", "l_shipdate", shortest=10, longest=40).select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_returnflag, {sql_describe('l_extendedprice')} FROM lineitem GROUP BY 1")
+def describe_large(spark, d):
+    return rounded(stats.describe_large(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, event_type IN ('error', 'view') AS failed FROM events), r AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+f AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM r)
+SELECT event_id, n::BIGINT AS failures_in_row FROM f QUALIFY coalesce(max(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 3""")
+def failure_stop(spark, d):
+    """Each worker's events up to its third failure in a row."""
+    return ranking.until_failures(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "view")).select("event_id", "failures_in_row")
 
 
 @query("""

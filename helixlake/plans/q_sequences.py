@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixlake.functions import scalars as S
-from helixlake.operators import coordinates, ranking, sequences
+from helixlake.operators import coordinates, joins, ranking, sequences
 
 from .registry import query, table
 
@@ -76,6 +76,9 @@ SELECT event_id, CASE WHEN ok THEN '' WHEN contains(low, 'gdt') AND contains(low
   WHEN contains(low, 'timeout after') THEN 'TIMEOUT' WHEN contains(low, 'ost status is ''failure''') THEN 'OST_FAILURE_OTHER' WHEN log = '' THEN 'NO_ERROR_LOG' ELSE 'OTHER' END AS code,
   CASE WHEN contains(low, 'gdt') AND contains(low, 'window size') THEN 'RIGID_GDT' WHEN contains(low, 'arrays used as indices') THEN 'CHAIN_MAPPING' WHEN contains(low, 'computing rmsd') AND contains(low, 'error! no assignable chain') THEN 'DOWNSTREAM_TM_SCORE'
   WHEN contains(low, 'need at least one array') THEN 'ALL_ATOM_LDDT' WHEN contains(low, 'timeout after') THEN 'TIMEOUT' WHEN contains(low, 'computing chain mapping') THEN 'CHAIN_MAPPING' ELSE 'UNKNOWN' END AS stage,
+  CASE WHEN contains(low, 'gdt') AND contains(low, 'window size') THEN 'Too few mapped positions for GDT before RMSD serialization' WHEN contains(low, 'arrays used as indices') THEN 'OpenStructure 2.8 NumPy integer/boolean index error'
+  WHEN contains(low, 'computing rmsd') AND contains(low, 'error! no assignable chain') THEN 'USalign reported no assignable chain after RMSD stage was reached' WHEN contains(low, 'need at least one array') THEN 'OpenStructure 2.8 lDDT empty-array error'
+  WHEN contains(low, 'timeout after') THEN 'Per-candidate evaluation timeout' WHEN contains(low, 'computing chain mapping') THEN 'Unclassified failure during/after chain mapping' ELSE 'See stderr excerpt' END AS detail,
   CASE WHEN contains(log, 'Dataloader initialization failed') AND contains(log, 'mmcif directory') THEN 'missing_template_data' WHEN contains(log, 'use_template=false') THEN 'needs_no_template' WHEN contains(log, 'CUDA out of memory') OR contains(log, 'OOM') THEN 'out_of_memory'
   WHEN contains(log, 'FileNotFoundError') OR contains(log, 'No such file') THEN 'missing_input' ELSE 'other' END AS log_class,
   CASE WHEN ok THEN NULL WHEN contains(log, 'Computing all-atom lDDT') AND contains(log, 'ValueError: need at least one array to concatenate') THEN 'LDDT_EMPTY_ARRAY_BEFORE_RIGID_SCORE'
@@ -83,7 +86,7 @@ SELECT event_id, CASE WHEN ok THEN '' WHEN contains(low, 'gdt') AND contains(low
 def failure_classes(spark, d):
     logs = F.array(*[F.lit(x) for x in _LOGS])
     e = table(spark, d, "events").select("event_id", (F.col("event_type") == "view").alias("ok"), logs[(F.col("event_id") % 11).cast("int")].alias("log"))
-    return e.select("event_id", S.failure_code(F.lit(None).cast("string"), F.col("log"), F.col("ok")).alias("code"), S.failure_stage(F.col("log"))["stage"].alias("stage"), S.log_error_class(F.col("log")).alias("log_class"), S.rescue_reason(F.col("ok"), F.col("log")).alias("rescue"), S.first_line(F.col("log")).alias("line"))
+    return e.select("event_id", S.failure_code(F.lit(None).cast("string"), F.col("log"), F.col("ok")).alias("code"), S.failure_stage(F.col("log"))["stage"].alias("stage"), S.failure_stage(F.col("log"))["detail"].alias("detail"), S.log_error_class(F.col("log")).alias("log_class"), S.rescue_reason(F.col("ok"), F.col("log")).alias("rescue"), S.first_line(F.col("log")).alias("line"))
 
 
 @query("""
@@ -108,10 +111,13 @@ def number_rules(spark, d):
     return e.select("event_id", S.finite_or_null(k).alias("x"), F.round(S.fraction(k), 6).alias("share"), flag.alias("flag"), S.fixed_number(F.col("value")).alias("fixed"))
 
 
-@query("SELECT event_id, (props->>'$.k')::INT = (event_id % 100) AS same FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN (props->>'$.k')::INT = (event_id % 100) AND event_id % 5 <> 0 END AS same FROM events")
 def json_equality(spark, d):
-    other = F.to_json(F.struct((F.col("event_id") % 100).cast("int").alias("k"), F.lit("/tmp/x").alias("path")))
-    return table(spark, d, "events").select("event_id", S.same_document(F.col("props"), other, "struct<k:int>").alias("same"))
+    """Against documents with a path more, some with another member more, some broken."""
+    k, path = (F.col("event_id") % 100).cast("int"), F.concat(F.lit("/tmp/\""), "event_id")
+    plain = F.to_json(F.struct(path.alias("path"), k.alias("k")))
+    other = F.when(F.col("event_id") % 7 == 0, "{broken").when(F.col("event_id") % 5 == 0, F.to_json(F.struct(path.alias("path"), k.alias("k"), F.lit("x").alias("more")))).otherwise(plain)
+    return table(spark, d, "events").select("event_id", S.same_document(F.col("props"), other, ["path"]).alias("same"))
 
 
 @query("""
@@ -141,28 +147,83 @@ def observed_symbols(spark, d):
     return coordinates.observed_symbols(table(spark, d, "part"), "p_name", tokens)
 
 
-def _name_pairs(spark, d):
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"))
-    return p.withColumns({"a": F.upper(F.translate("a", " ", "")), "b": F.upper(F.translate("b", " ", ""))})
+def name_pairs(spark, d):
+    """(p_partkey, a, b): each part's name, and that of the next part."""
+    p = table(spark, d, "part").select("p_partkey", F.upper(F.translate("p_name", " ", "")).alias("a"))
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
 
 
 @query()
 def seq_identity(spark, d):
-    return sequences.pair_identity(_name_pairs(spark, d), "a", "b").withColumn("identity", F.round("identity", 6))
+    return sequences.pair_identity(name_pairs(spark, d), "a", "b").withColumn("identity", F.round("identity", 6))
 
 
 @query()
 def residue_maps(spark, d):
-    return sequences.residue_maps(_name_pairs(spark, d), "p_brand", "a", "b")
+    return sequences.residue_maps(name_pairs(spark, d), "p_partkey", "a", "b")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, n_chars + 2 AS n, doc_id // 1000 AS shard, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT doc_id, shard, i, 0 AS batch_no, n AS longest, 1 AS held FROM d WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.shard, d.i, batch_no + (CASE WHEN greatest(longest, n) * (held + 1) > 40000 OR held >= 64 THEN 1 ELSE 0 END), CASE WHEN greatest(longest, n) * (held + 1) > 40000 OR held >= 64 THEN n ELSE greatest(longest, n) END,
+    CASE WHEN greatest(longest, n) * (held + 1) > 40000 OR held >= 64 THEN 1 ELSE held + 1 END FROM r JOIN d ON d.shard = r.shard AND d.i = r.i + 1)
+SELECT doc_id, shard, batch_no FROM r""")
 def batch_pack(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars", (F.floor(F.col("doc_id") / 1000)).alias("shard"))
-    return ranking.pack_batches(docs, "shard", "doc_id", "n_chars", max_tokens=40_000)
+    return ranking.pack_batches(docs, "shard", "doc_id", "n_chars", max_tokens=40_000).select("doc_id", "shard", "batch_no")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, n_chars AS n, doc_id // 1000 AS shard, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY n_chars, doc_id) AS i FROM documents),
+r AS (SELECT doc_id, shard, i, 0 AS bin, [n, 0, 0, 0] AS loads FROM d WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.shard, d.i, list_position(loads, list_min(loads)) - 1, [loads[1] + (CASE WHEN list_position(loads, list_min(loads)) = 1 THEN n ELSE 0 END), loads[2] + (CASE WHEN list_position(loads, list_min(loads)) = 2 THEN n ELSE 0 END), loads[3] + (CASE WHEN list_position(loads, list_min(loads)) = 3 THEN n ELSE 0 END), loads[4] + (CASE WHEN list_position(loads, list_min(loads)) = 4 THEN n ELSE 0 END)]
+    FROM r JOIN d ON d.shard = r.shard AND d.i = r.i + 1)
+SELECT doc_id, shard, bin FROM r""")
 def least_loaded(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars", (F.floor(F.col("doc_id") / 1000)).alias("shard"))
-    return ranking.least_loaded(docs, "shard", ["n_chars", "doc_id"], "n_chars", 4)
+    return ranking.least_loaded(docs, "shard", ["n_chars", "doc_id"], "n_chars", 4).select("doc_id", "shard", "bin")
+
+
+_NAMES, _LETTERS = ("A", " ade ", "GUA", "5MC", "?", "u"), ("c", " G ", "xx")
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'A' WHEN 2 THEN 'G' WHEN 5 THEN 'U' ELSE CASE p_partkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'G' ELSE 'X' END END AS letter FROM part")
+def residue_letters(spark, d):
+    at = lambda values, k: F.array(*map(F.lit, values))[k.cast("int")]
+    return table(spark, d, "part").select("p_partkey", S.residue_letter(at(_NAMES, F.col("p_size") % 6), at(_LETTERS, F.col("p_partkey") % 3)).alias("letter"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_partkey % 8 WHEN 0 THEN 6 WHEN 1 THEN 7 WHEN 3 THEN 12 WHEN 4 THEN 30 WHEN 7 THEN 26 END AS number FROM lineitem WHERE l_partkey % 8 IN (0, 1, 3, 4, 7)")
+def atomic_numbers(spark, d):
+    """Atoms of hydrogen and of elements that aren't used go."""
+    symbol = F.array(*map(F.lit, ("C", "n", "H", "MG", "Zn", "Q", "D", " fe ")))[(F.col("l_partkey") % 8).cast("int")]
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.atomic_number(symbol).alias("number")).filter("number IS NOT NULL")
+
+
+@query("SELECT p_partkey, upper(replace(trim(p_name), 'o', chr(39))) AS atom FROM part")
+def atom_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.atom_name(F.concat(F.lit(" "), F.translate("p_name", "o", "*"))).alias("atom"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN 'e' || p_partkey END AS id, CASE WHEN p_size % 4 <> 0 THEN p_size::INT END AS seed, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS source FROM part")
+def sample_files(spark, d):
+    name = F.concat(F.lit("e"), F.col("p_partkey").cast("string"), F.lit("_x_s"), F.col("p_size").cast("string"), F.lit("_"), "p_brand", F.when(F.col("p_size") % 4 == 0, ".cif").otherwise(".pt"))
+    return table(spark, d, "part").withColumn("f", S.sample_file(name)).select("p_partkey", "f.id", "f.seed", "f.source")
+
+
+@query("SELECT doc_id, sha256(translate(right(coalesce(text, ''), 3000), chr(13) || chr(10), '  ')) AS excerpt, length(substr(text, 1, 32000)) AS cell FROM documents")
+def log_cells(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(S.log_excerpt(F.col("text")), 256).alias("excerpt"), F.length(S.sheet_cell(F.col("text"))).alias("cell"))
+
+
+@query("SELECT page_id, page_id % 5 <> 3 AS has_rna, page_id % 5 = 0 AS pure_rna FROM pages")
+def rna_entries(spark, d):
+    types = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in (("Polyribonucleotide",), ("polypeptide(L)", "polyribonucleotide"), ("polydeoxyribonucleotide/polyribonucleotide hybrid",), ("polydeoxyribonucleotide",), ("polyribonucleotide", "polydeoxyribonucleotide"))]), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", S.contains_rna(types).alias("has_rna"), S.is_pure_rna(types).alias("pure_rna"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS nth FROM (SELECT l_orderkey, l_returnflag, l_linenumber, l_partkey, min(l_suppkey) FROM lineitem GROUP BY ALL)")
+def occurrences(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey").distinct()
+    return joins.occurrence(li, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey"]).drop("l_returnflag")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from helixlake.functions import scalars as S
+from helixlake.operators import joins
 from helixlake.sources import readers, sinks, structures
 from helixlake.sources.shared import shared_folder
 
@@ -140,9 +141,12 @@ def method_lists(spark, d):
 
 @query("SELECT o_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey QUALIFY l_linenumber = min(l_linenumber) OVER (PARTITION BY o_orderkey)")
 def first_model(spark, d):
-    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("string").alias("model"), "l_partkey")
+    """Every fifth order has models with names, whose first isn't the smallest."""
+    number = F.col("l_linenumber")
+    model = F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("m"), (9 - number).cast("string"))).otherwise(number.cast("string"))
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), model.alias("model"), "l_linenumber", "l_partkey")
     keep = table(spark, d, "orders").select("o_orderkey")
-    return readers.first_model(a.join(keep, "o_orderkey", "left_semi"), "o_orderkey", "model").select("o_orderkey", F.col("model").cast("int").alias("l_linenumber"), "l_partkey")
+    return readers.first_model(a.join(keep, "o_orderkey", "left_semi"), "o_orderkey", "model", "l_linenumber", "l_partkey").select("o_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT l_orderkey, count(*) AS n_atoms, count(*) FILTER (l_partkey % 50 = 0) AS n_bad, min(CASE WHEN l_partkey % 50 = 0 THEN l_linenumber END) AS first_bad FROM lineitem GROUP BY 1")
@@ -164,7 +168,7 @@ def _cif(spark, d):
 
 @query("SELECT l_orderkey::VARCHAR AS path, count(*) AS n_atoms, round(sum(l_quantity), 3) AS sum_x, round(max(l_tax), 3) AS max_z FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1")
 def structure_atoms(spark, d):
-    atoms = structures.table_of(structures.items(_cif(spark, d)), "atom_site")
+    atoms = structures.table_of(structures.items(_cif(spark, d), "atom_site"), "atom_site")
     x, z = S.finite_or_null(F.col("Cartn_x")), S.finite_or_null(F.col("Cartn_z"))
     return atoms.groupBy("path").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum(x), 3).alias("sum_x"), F.round(F.max(z), 3).alias("max_z"))
 
@@ -172,3 +176,140 @@ def structure_atoms(spark, d):
 @query("SELECT DISTINCT l_orderkey::VARCHAR AS path, 'atom_site' AS category FROM lineitem WHERE l_orderkey % 10 = 0")
 def structure_issues(spark, d):
     return structures.issues(structures.items(_cif(spark, d))).select("path", "category")
+
+
+@query("SELECT l_orderkey::VARCHAR AS block, count(*) AS n_atoms, round(sum(l_quantity), 3) AS sum_x FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1")
+def structure_files(spark, d):
+    """The structure texts written to files, many blocks each, and read back."""
+    path = _folder(spark, "structures")
+    _cif(spark, d).select("text").write.text(path)
+    atoms = structures.table_of(structures.read_items(spark, path, "part-*"), "atom_site")
+    return atoms.groupBy("block").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum(S.finite_or_null(F.col("Cartn_x"))), 3).alias("sum_x"))
+
+
+def _id():
+    return F.lpad((F.col("o_orderkey") % 3000).cast("string"), 4, "0")
+
+
+_ID_SQL = "lpad((o_orderkey % 3000)::VARCHAR, 4, '0')"
+
+
+@query(f"SELECT DISTINCT {_ID_SQL} AS pdb_id FROM orders WHERE o_orderkey % 4 < 2")
+def exclusion_list(spark, d):
+    """A written list with comments, blanks and lines that are no ids."""
+    k, path = F.col("o_orderkey") % 4, _folder(spark, "exclusions")
+    line = F.when(k == 0, F.concat(_id(), F.lit(" # frozen"))).when(k == 1, F.concat(F.lit("  "), F.lower(_id()))).when(k == 2, F.concat(F.lit("# "), _id())).otherwise("no id")
+    table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    return readers.exclusion_list(spark, path, strict=False)
+
+
+@query(f"SELECT DISTINCT {_ID_SQL} AS pdb_id FROM orders WHERE o_orderkey % 5 > 0")
+def first_column_ids(spark, d):
+    path = _folder(spark, "sheet")
+    table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 > 0, _id()).otherwise("total").alias("entry"), "o_orderstatus").write.option("header", True).csv(path)
+    return readers.first_column(spark.read.option("header", True).csv(path))
+
+
+@query("SELECT o_orderstatus AS status, count(*) > 0 AS has_bytes FROM orders GROUP BY 1")
+def listed_folders(spark, d):
+    """Which folders of a written table hold files, by their listing alone."""
+    path = _folder(spark, "listing")
+    sinks.write_by(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
+    files = readers.listing(spark, path, "part-*")
+    return files.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]+)/", 1).alias("status")).agg((F.sum("length") > 0).alias("has_bytes"))
+
+
+def _files(spark, d):
+    """A listing: a file for each order, some in quarantine, under names in both cases."""
+    k = F.col("o_orderkey")
+    stem = F.when(k % 3 == 0, F.lower(F.concat(F.lit("x"), k.cast("string")))).otherwise(F.concat(F.lit("X"), k.cast("string")))
+    folder = F.when(k % 11 == 0, "/r/Quarantine/").otherwise("/r/a/")
+    kind = F.when(k % 4 == 0, "-final.json").when(k % 4 == 1, ".json").otherwise(".cif")
+    return table(spark, d, "orders").select(k, F.concat(folder, stem, kind).alias("path"), F.concat(stem, kind).alias("name"), stem.alias("stem"))
+
+
+_PATH_SQL = "(CASE WHEN o_orderkey % 11 = 0 THEN '/r/Quarantine/' ELSE '/r/a/' END || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'X' END || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '-final.json' WHEN 1 THEN '.json' ELSE '.cif' END)"
+
+
+@query(f"SELECT 'X' || o_custkey AS pdb_id, {_PATH_SQL} AS path FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 2 = 0 UNION ALL SELECT 'X' || o_orderkey, {_PATH_SQL} FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 2 = 1")
+def file_inventory(spark, d):
+    """Odd orders have files of their own name, even ones by an alias of their customer."""
+    name = lambda c: F.concat(F.lit("X"), F.col(c).cast("string"))
+    o = table(spark, d, "orders")
+    ids = o.filter("o_orderkey % 2 = 1").select(name("o_orderkey").alias("pdb_id"))
+    aliases = o.filter("o_orderkey % 2 = 0").select(F.lower(name("o_orderkey")).alias("alias"), name("o_custkey").alias("pdb_id"))
+    return readers.inventory(_files(spark, d), ids, aliases)
+
+
+@query(f"SELECT 'X' || o_orderkey AS pdb_id, {_PATH_SQL} AS path FROM orders")
+def unique_stem_index(spark, d):
+    return readers.unique_stems(_files(spark, d))
+
+
+@query(f"SELECT 'X' || o_orderkey AS pdb_id, CASE o_orderkey % 4 WHEN 0 THEN 'final' ELSE 'raw' END AS kind, {_PATH_SQL} AS path FROM orders WHERE o_orderkey % 4 < 2")
+def document_kinds(spark, d):
+    return readers.document_kind(_files(spark, d), {"raw": ".json", "final": "-final.json"})
+
+
+@query("SELECT lpad(p_partkey::VARCHAR, 4, '0') AS pdb_id, CASE WHEN p_size % 5 <> 0 THEN DATE '2024-01-01' + p_size::INT END AS release FROM part WHERE p_partkey < 10000")
+def metadata_scan(spark, d):
+    """A written table with another separator and header case, and a date that some rows lack."""
+    day = F.when(F.col("p_size") % 5 == 0, "?").otherwise(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).cast("string"))
+    p = table(spark, d, "part").select(F.when(F.col("p_partkey") < 10_000, F.lower(F.lpad(F.col("p_partkey").cast("string"), 4, "0"))).otherwise("none of them").alias("PDB_Id"), "p_size", day.alias("Release"))
+    path = _folder(spark, "metadata")
+    sinks.write_report(p, path, ["PDB_Id", "p_size", "Release"], sep=";")
+    return readers.metadata(readers.delimited(spark, path), "pdb_id", "release", F.try_to_date)
+
+
+@query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")
+def candidate_manifest(spark, d):
+    path = _folder(spark, "manifest")
+    table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey")).write.parquet(path)
+    return readers.manifest(spark.read.parquet(path), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderpriority AS kind, max(o_orderkey) AS run_id, '/runs/' || max(o_orderkey) AS path FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def latest_reports(spark, d):
+    runs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("FAIL").alias("status"), F.concat(F.lit("/runs/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return readers.latest_report(runs)
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'error') GROUP BY 1")
+def event_log_round_trip(spark, d):
+    path, e = _folder(spark, "log"), table(spark, d, "events").select("event_id", "user_id", "event_type")
+    sinks.append_events(e, path)
+    sinks.append_events(e.filter("event_type = 'error'"), path)
+    return spark.read.schema(e.schema).json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT 'orders' AS sheet, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_acctbal > 0")
+def table_set_round_trip(spark, d):
+    path = _folder(spark, "tables")
+    sinks.write_tables(path, orders=table(spark, d, "orders"), customer=table(spark, d, "customer").filter("c_acctbal > 0"))
+    count = lambda n: spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("sheet")).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+    return count("orders").unionByName(count("customer"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label < 5 AND vec_id % 3 = 0")
+def pair_samples(spark, d):
+    """The samples of a split that a list names, some of their fields only."""
+    e = table(spark, d, "embeddings").withColumn("split", F.when(F.col("label") < 5, "train").otherwise("test"))
+    return readers.samples_of(e, "train", e.filter("vec_id % 3 = 0").select("vec_id"), ["vec_id", "label"])
+
+
+@query("SELECT l_orderkey, count(*) AS n, sum(a.l_partkey - b.k) AS shift FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS k FROM lineitem WHERE l_discount > 0.03 GROUP BY 1, 2) b USING (l_orderkey, l_linenumber) GROUP BY 1")
+def common_residues(spark, d):
+    li = table(spark, d, "lineitem")
+    side = lambda df, c, x: df.groupBy("l_orderkey", F.col("l_linenumber").alias("seq_id")).agg(F.min(x).alias("x")).select("l_orderkey", F.lit(c).alias("chain"), "seq_id", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    pairs = li.select("l_orderkey", F.lit("A").alias("chain_a"), F.lit("X").alias("chain_b")).distinct()
+    met = joins.common_residues(side(li, "A", "l_partkey"), side(li.filter("l_discount > 0.03"), "X", "l_suppkey"), pairs, ["l_orderkey"])
+    return met.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") - F.col("x_b")).alias("shift"))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_totalprice > 100000) AS dear FROM orders")
+def expected_counts(spark, d):
+    """Counts that two ways of counting agree on; an error otherwise."""
+    o = table(spark, d, "orders")
+    finished, dear = o.groupBy("o_orderstatus").count().filter("o_orderstatus = 'F'"), o.filter("o_totalprice > 100000")
+    joins.assert_counts(o, finished=(F.col("o_orderstatus") == "F", finished.first()["count"]), dear=(F.col("o_totalprice") > 100_000, dear.count()))
+    return o.agg(F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_totalprice") > 100_000).alias("dear"))

@@ -47,18 +47,20 @@ def last_event_wins(spark, d):
 def stream_last_event_wins(spark, d):
     root = f"{shared_folder(spark)}/last-{uuid.uuid4().hex}"
     e = _stream(spark, d).withColumn("task", F.col("user_id") % 20)
-    q = P.merge_last(e, root, f"{root}-state", "task", "ts", "event_id")
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{root}/v{last}").select("task", F.col("event_type").alias("state"), "event_id")
+    P.merge_last(e, root, f"{root}-state", "task", "ts", "event_id").awaitTermination()
+    return P.read_last(spark, root, e.schema, "task", "ts", "event_id").select("task", F.col("event_type").alias("state"), "event_id")
 
 
-@query("SELECT event_id FROM events")
+@query("SELECT DISTINCT event_id // 3 AS task FROM events")
 def stream_first_seen(spark, d):
-    return _drain(P.first_seen(_stream(spark, d), "event_id", "ts", "40 days").select("event_id"), spark, "first")
+    e = _stream(spark, d).withColumn("task", F.floor(F.col("event_id") / 3))
+    return _drain(P.first_seen(e, "task", "ts", "40 days").select("task"), spark, "first")
+
+
+_WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query(_WINDOWS)
 def windowed_progress(spark, d):
     return _plain(P.windowed_counts(_events(spark, d), "ts", "event_type", "1 hour"))
 
@@ -68,7 +70,7 @@ def sliding_progress(spark, d):
     return _plain(P.windowed_counts(_events(spark, d), "ts", "event_type", "1 hour", "30 minutes"))
 
 
-@query()
+@query(_WINDOWS)
 def stream_windowed_progress(spark, d):
     """Windows that the watermark has closed, and from the batch twin those that are still open."""
     closed = _drain(P.windowed_counts(_stream(spark, d, None), "ts", "event_type", "1 hour", late="10 minutes"), spark, "windows")
@@ -93,22 +95,25 @@ def worker_liveness(spark, d):
     return _plain(P.liveness(e, "user_id", "ts", "event_type", F.expr(NOW), 36_000))
 
 
-@query()
+@query("WITH l AS (SELECT user_id::VARCHAR AS worker, max(ts) AS last_seen FROM events GROUP BY 1) SELECT worker, last_seen, 'FRESH' AS status FROM l UNION ALL SELECT worker, last_seen, 'STALE' FROM l WHERE last_seen < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_liveness(spark, d):
     """Each worker's status by its last event, and STALE too if that is an hour before the last of all."""
     e = _stream(spark, d, None).select(F.col("user_id").cast("string").alias("worker"), "ts", "event_type")
     return _drain(P.live_status(e, "worker", "ts", "event_type", 3600, late="0 seconds"), spark, "live")
 
 
-@query("""
+_SESSIONS = """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k""")
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k"""
+
+
+@query(_SESSIONS)
 def worker_sessions(spark, d):
     return _plain(P.sessions(_events(spark, d), "user_id", "ts", "6 hours"))
 
 
-@query()
+@query(_SESSIONS)
 def stream_sessions(spark, d):
     """Sessions that the watermark has closed, and from the batch twin those that are still open."""
     closed = _drain(P.sessions(_stream(spark, d, None), "user_id", "ts", "6 hours", late="1 hour"), spark, "sessions")

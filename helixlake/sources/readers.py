@@ -147,10 +147,11 @@ def alignment_audit(files: DataFrame, key: str, text: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(pdb_id, entity, sequence) of records named `>PDB__ENTITY_n`."""
-    return fasta_records(spark.read.option("lineSep", ">").text(path).select("value"))
+    return fasta_records(spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")))
 
 
 def fasta_records(values: DataFrame) -> DataFrame:
+    """Of the texts between the `>` at line starts."""
     head = F.split("value", "\n")[0]
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", "")
     return values.filter(F.trim("value") != "").select(F.regexp_extract(head, r"^(.+?)__", 1).alias("pdb_id"), F.regexp_extract(head, r"__(.+)$", 1).alias("entity"), body.alias("sequence"))
@@ -219,10 +220,11 @@ def methods(rows: DataFrame, entry: str, order: str, method: str) -> DataFrame:
     return rows.groupBy(entry).agg(F.array_join(ordered, "; ").alias("methods"), F.array_join(F.sort_array(F.collect_set(m)), " | ").alias("methods_sorted"))
 
 
-def first_model(atoms: DataFrame, entry: str, model: str) -> DataFrame:
-    """Atoms of each entry's first model: the least number, or without numbers the first text."""
-    n = F.col(model).try_cast("int")
-    first = atoms.groupBy(entry).agg(F.min(n).alias("n"), F.min(clean_token(F.col(model))).alias("t"))
+def first_model(atoms: DataFrame, entry: str, model: str, *order: str) -> DataFrame:
+    """Atoms of each entry's first model: the least number, or without numbers the first text there is
+    in that order of the rows."""
+    n, text = F.col(model).try_cast("int"), clean_token(F.col(model))
+    first = atoms.groupBy(entry).agg(F.min(n).alias("n"), F.min(F.when(text.isNotNull(), F.struct(*order, text.alias("t")))).alias("f")).select(entry, "n", "f.t")
     met = atoms.join(first, entry)
     return met.filter(F.when(F.col("n").isNotNull(), n == F.col("n")).otherwise(F.col(model).eqNullSafe(F.col("t")))).drop("n", "t")
 

@@ -12,11 +12,14 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    folder, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
-    if not folder and app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="helixlake-")
-    return (folder or _LOCAL[app]).rstrip("/")
+    """The folder named by spark.checkpoint.dir. Where that is unset a session in one process gets a
+    folder of its own (tests); a cluster has to name one. Whoever runs the job clears it."""
+    folder, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not folder and not (app.master == "local" or app.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if not folder and app.applicationId not in _LOCAL:
+        _LOCAL[app.applicationId] = "file://" + tempfile.mkdtemp(prefix="helixlake-")
+    return (folder or _LOCAL[app.applicationId]).rstrip("/")
 
 
 def write_shared(df: DataFrame, label: str) -> DataFrame:

@@ -1,15 +1,19 @@
-"""Structure archives: mmCIF files to typed tables, file by file in parallel."""
+"""Structure archives: mmCIF files to typed tables, file by file in parallel.
+
+A file becomes a row for each of its data blocks, with an array of rows for each wanted category, so
+that a table is an explode away and nothing is shuffled to put columns together again.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, block string, category string, row_no int, item string, value string, issue string"
 #: The tables and their items.
 TABLES = {
     "entry": ("id",),
@@ -22,83 +26,127 @@ TABLES = {
     "pdbx_audit_revision_history": ("ordinal", "data_content_type", "revision_date"),
     "atom_site": ("group_PDB", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_seq_id", "auth_asym_id", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "pdbx_PDB_model_num"),
 }
-_TOKEN = re.compile(r"""^;(?P<text>.*?)^;|#[^\n]*|'(?P<single>(?:[^'\n]|'(?=\S))*)'(?=\s|$)|"(?P<double>(?:[^"\n]|"(?=\S))*)"(?=\s|$)|(?P<bare>\S+)""", re.M | re.S)
-
-
-def tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """(token, quoted) of a file; comments go."""
-    for m in _TOKEN.finditer(text):
-        kind = m.lastgroup
-        if kind:
-            yield (m[kind].rstrip("\n") if kind == "text" else m[kind]), kind != "bare"
-
-
-def rows(text: str) -> Iterator[tuple[str, str, int, str, str | None, str | None]]:
-    """(block, category, row, item, value, issue); a loop with a short last row is an issue."""
-    block, todo, loop, values = "", None, None, []
-
-    def finish():
-        if loop:
-            category = loop[0].split(".")[0]
-            if len(values) % len(loop):
-                yield block, category, 0, "", None, f"{len(values)} values in a loop of {len(loop)} columns"
-                return
-            for i, v in enumerate(values):
-                yield block, category, i // len(loop), loop[i % len(loop)].split(".", 1)[-1], v, None
-
-    for token, quoted in tokens(text):
-        low = token.lower()
-        if not quoted and (low.startswith(("data_", "save_")) or low == "loop_" or token.startswith("_")):
-            if token.startswith("_") and loop is not None and not values:
-                loop.append(token[1:])
-                continue
-            yield from finish()
-            loop, values = None, []
-            if low.startswith("data_"):
-                block = token[5:]
+_TOKEN = re.compile(r"""#[^\n]*|'(?P<single>(?:[^'\n]|'(?=\S))*)'(?=\s|$)|"(?P<double>(?:[^"\n]|"(?=\S))*)"(?=\s|$)|(?P<bare>\S+)""")
+_ODD = re.compile(r"['\"#]|(?:^|\s)(?:_|data_|save_|loop_(?:\s|$))", re.I)
+_MISSING = ("", ".", "?")
+_BLOCKS_AT_ONCE = 64
+
+
+class _Reader:
+    """One file: blocks of categories, each with its columns' values, and what is wrong."""
+
+    def __init__(self, wanted: frozenset[str]):
+        self.wanted, self.blocks = wanted, [("", {}, [])]
+        self.loop: list[str] | None = None
+        self.values: list[str] = []
+        self.item: str | None = None
+
+    def category(self, name: str) -> dict[str, list]:
+        return self.blocks[-1][1].setdefault(name, {})
+
+    def finish(self) -> None:
+        """Close the open loop, if any."""
+        if self.loop:
+            name, width = self.loop[0].split(".")[0], len(self.loop)
+            if len(self.values) % width:
+                self.blocks[-1][2].append((name, f"{len(self.values)} values in a loop of {width} columns"))
+            elif name in self.wanted:
+                self.category(name).update((c.split(".", 1)[-1], self.values[i::width]) for i, c in enumerate(self.loop))
+        self.loop, self.values, self.item = None, [], None
+
+    def token(self, token: str, quoted: bool) -> None:
+        low = token[:5].lower()
+        if quoted or not (low in ("data_", "save_") or token[0] == "_" or token.lower() == "loop_"):
+            if self.loop is not None:
+                self.values.append(token)
+            elif self.item:
+                name, _, column = self.item.partition(".")
+                if name in self.wanted:
+                    self.category(name)[column] = [token]
+                self.item = None
+        elif token[0] == "_" and self.loop is not None and not self.values:
+            self.loop.append(token[1:])
+        else:
+            self.finish()
+            if low == "data_":
+                self.blocks.append((token[5:], {}, []))
+            elif token[0] == "_":
+                self.item = token[1:]
             elif low == "loop_":
-                loop = []
-            elif token.startswith("_"):
-                todo = token[1:]
-        elif loop is not None:
-            values.append(token)
-        elif todo:
-            category, _, item = todo.partition(".")
-            yield block, category, 0, item, token, None
-            todo = None
-    yield from finish()
-
-
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """All wanted items of the files under path, long form; a file is one task's work."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cif").load(path)
+                self.loop = []
+
+    def read(self, text: str) -> list[tuple]:
+        lines = iter(text.split("\n"))
+        for line in lines:
+            if line[:1] == ";":  # text up to a line that starts with another
+                held = [line[1:]]
+                for line in lines:
+                    if line[:1] == ";":
+                        break
+                    held.append(line)
+                else:
+                    line = ""
+                self.token("\n".join(held).replace("\r", ""), True)
+                line = line[1:]
+            if self.loop and not _ODD.search(line):
+                self.values += line.split()
+            else:
+                for m in _TOKEN.finditer(line):
+                    if m.lastgroup:
+                        self.token(m[m.lastgroup], m.lastgroup != "bare")
+        self.finish()
+        return [b for b in self.blocks if b[0] or b[1] or b[2]]
+
+
+def _struct(category: str) -> str:
+    return f"`{category}` array<struct<{','.join(f'`{i}`:string' for i in TABLES[category])}>>"
+
+
+def read_items(spark: SparkSession, path: str, glob: str = "*.cif") -> DataFrame:
+    """The data blocks of the files under path; a file is one task's work."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return items(files.select("path", F.decode("content", "UTF-8").alias("text")))
 
 
-def items(files: DataFrame) -> DataFrame:
-    wanted = {c: frozenset(i) for c, i in TABLES.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, got = [c.split()[0] for c in SCHEMA.split(", ")], []
-        for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                for r in rows(text or ""):
-                    if r[5] or r[3] in wanted.get(r[1], ()):
-                        got.append((path, *r))
-                    if len(got) >= 50_000:
-                        yield pd.DataFrame(got, columns=names)
-                        got = []
-        yield pd.DataFrame(got, columns=names)
-
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
-
-
-def table_of(long: DataFrame, category: str) -> DataFrame:
-    """One category as a table: path, block, row_no and its items; '.' and '?' are null."""
-    wanted = TABLES[category]
-    own = long.filter((F.col("category") == category) & F.col("issue").isNull()).withColumn("value", F.when(~F.col("value").isin("", ".", "?"), F.col("value")))
-    return own.groupBy("path", "block", "row_no").agg(*[F.max(F.when(F.col("item") == i, F.col("value"))).alias(i) for i in wanted])
-
-
-def issues(long: DataFrame) -> DataFrame:
-    return long.filter(F.col("issue").isNotNull()).select("path", "category", "issue")
+def items(files: DataFrame, *categories: str) -> DataFrame:
+    """(path, block, issues, and an array for each of the categories, all of TABLES by default) of
+    files(path, text). A loop with a short last row is an issue and its category stays empty."""
+    names = categories or tuple(TABLES)
+    wanted = frozenset(names)
+
+    def arrays(blocks: list[tuple]) -> Iterator[pa.Array]:
+        for name in names:
+            columns = [b[1].get(name, {}) for b in blocks]
+            sizes = [max(map(len, c.values()), default=0) for c in columns]
+            offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+            flat = [[v for c, n in zip(columns, sizes, strict=True) for v in c.get(i, [None] * n)] for i in TABLES[name]]
+            fields = [pa.array([None if v in _MISSING else v for v in x], pa.string()) for x in flat]
+            yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=list(TABLES[name])))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        blocks = [b for _, b in rows]
+        issues = pa.array([[{"category": c, "issue": i} for c, i in b[2]] for b in blocks], pa.list_(pa.struct([("category", pa.string()), ("issue", pa.string())])))
+        return pa.record_batch([pa.array([p for p, _ in rows], pa.string()), pa.array([b[0] for b in blocks], pa.string()), issues, *arrays(blocks)], names=["path", "block", "issues", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        for part in batches:
+            for path, text in zip(part["path"].to_pylist(), part["text"], strict=True):
+                got += [(path, b) for b in _Reader(wanted).read(text.as_py() or "")]
+                if len(got) >= _BLOCKS_AT_ONCE:
+                    yield batch(got)
+                    got = []
+        if got:
+            yield batch(got)
+
+    schema = "path string, block string, issues array<struct<category:string,issue:string>>, " + ", ".join(map(_struct, names))
+    return files.select("path", "text").mapInArrow(run, schema)
+
+
+def table_of(blocks: DataFrame, category: str) -> DataFrame:
+    """One category as a table: path, block, row_no and its items; '', '.' and '?' are null."""
+    return blocks.select("path", "block", F.posexplode(category).alias("row_no", "r")).select("path", "block", "row_no", "r.*")
+
+
+def issues(blocks: DataFrame) -> DataFrame:
+    return blocks.select("path", "block", F.explode("issues").alias("i")).select("path", "block", "i.*")

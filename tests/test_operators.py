@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from helixlake.functions import scalars
 from helixlake.operators import assignment, coordinates, graph, joins, ranking, sequences, stats
 
 NAN = float("nan")
@@ -89,8 +90,14 @@ def test_components_match_union_find(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     nodes = spark.range(1000).select(F.col("id").alias("k"))
-    got = {r.k: r.component for r in graph.components(nodes, spark.createDataFrame(edges, "a long, b long"), "k").collect()}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {r.k: r.component for r in graph.components(nodes, frame, "k").collect()}
     assert got == {i: find(i) for i in range(1000)}
+    roots = {r.node: r.root for r in graph.component_roots(frame, chunk_edges=50).collect()}  # many chunks
+    assert roots == {i: c for i, c in got.items() if i != c}
+    names = frame.select(*[F.format_string("n%04d", c).alias(c) for c in "ab"])
+    assert {r.node: r.root for r in graph.component_roots(names).collect()} == {f"n{i:04}": f"n{c:04}" for i, c in roots.items()}
+    assert graph.component_roots(frame.limit(0)).isEmpty()
 
 
 def edits(a, b):
@@ -210,6 +217,89 @@ def test_cheapest_matches_all_permutations():
         assert sorted(dealt) == list(range(n)) and abs(sum(cost[i, j] for i, j in enumerate(dealt)) - best) < 1e-9
 
 
+def permuted_errors(pred, true):
+    """The error of every mapping of equal sequences after the best motion, chain by chain."""
+    out = {}
+    names = sorted(pred)
+    for order in itertools.permutations(sorted(true)):
+        mapping = dict(zip(names, order, strict=True))
+        if any(pred[a][0] != true[b][0] for a, b in mapping.items()):
+            continue
+        both = [(pred[a][1][i], true[b][1][i]) for a, b in mapping.items() for i in range(len(pred[a][1]))]
+        p, q = (np.array(x) for x in zip(*both, strict=True))
+        p, q = p - p.mean(axis=0), q - q.mean(axis=0)
+        u, s, vt = np.linalg.svd(p.T @ q)
+        s[2] *= np.sign(np.linalg.det(u @ vt))
+        out[",".join(f"{a}:{b}" for a, b in sorted(mapping.items()))] = math.sqrt(max(0, ((p**2).sum() + (q**2).sum() - 2 * s.sum()) / len(p)))
+    return out
+
+
+def test_mappings_match_all_permutations(spark):
+    rng = np.random.default_rng(12)
+    side, pred_rows, true_rows, want = "chain string, sequence string, seq_id int, x double, y double, z double", [], [], {}
+    for k in range(12):
+        sequences_ = ["ACGU", "ACGU", "ACGU"] + (["GGCC", "GGCC"] if k % 2 else ["UUUU"])
+        base = [rng.normal(size=(8, 3)) * 5 + rng.normal(size=3) * 20 for _ in sequences_]
+        order, pred, true = rng.permutation(len(base)), {}, {}
+        for i, (s, x) in enumerate(zip(sequences_, base, strict=True)):
+            true[f"T{i}"] = (s, x)
+        for i, j in enumerate(order):
+            pred[f"P{i}"] = (sequences_[j], base[j] @ turn(k).T + [40, -9, 3] + rng.normal(size=(8, 3)) * (k % 3))
+        for c, (s, x) in pred.items():
+            pred_rows += [(f"t{k}", "1", c, s, i, *map(float, v)) for i, v in enumerate(x)]
+        for c, (s, x) in true.items():
+            true_rows += [(f"t{k}", c, s, i, *map(float, v)) for i, v in enumerate(x)]
+        want[f"t{k}"] = permuted_errors(pred, true)
+    got = assignment.mapping_options(spark.createDataFrame(pred_rows, f"target string, sample string, {side}").repartition(3), spark.createDataFrame(true_rows, f"target string, {side}"))
+    for r in got.collect():
+        best = min(want[r.target], key=want[r.target].get)
+        assert (r.mapping_key, r.exact, r.issue) == (best, True, "") and abs(r.rmsd - want[r.target][best]) < 1e-6
+
+
+def test_unlike_sequences_are_mapped_for_inspection(spark):
+    p = points(6, 3)
+    side = "chain string, sequence string, seq_id int, x double, y double, z double"
+    pred = atoms_of("t", "1", "A", "ACGUAC", p) + atoms_of("t", "1", "B", "GGGGGG", p + [50, 0, 0])
+    true = atoms_of("t", None, "X", "GGGGGC", p + [50, 0, 0]) + atoms_of("t", None, "Y", "ACGUAA", p)
+    r, = assignment.mapping_options(spark.createDataFrame(pred, f"target string, sample string, {side}"), spark.createDataFrame(true, f"target string, {side}")).collect()
+    assert (r.mapping_key, r.exact, r.issue) == ("A:Y,B:X", False, "sequences differ") and r.rmsd < 1e-6
+    i = spark.createDataFrame([("t", "A", "X", 0.9), ("t", "A", "Y", 0.8), ("t", "B", "X", 0.85), ("u", "A", "X", 1.0), ("u", "B", "X", 1.0)], "target string, pred string, truth string, identity double")
+    assert sorted((r.target, r.pred, r.truth, round(r.identity, 6), r.exact) for r in assignment.unequal_assignment(i).collect()) == [("t", "A", "Y", 0.8, False), ("t", "B", "X", 0.85, False)]
+
+
+def test_percentiles_by_ranges_are_exact(spark):
+    rng = random.Random(4)
+    rows_ = [(rng.choice("ab"), rng.choice([rng.random() * 1000, 7.0, NAN, None])) for _ in range(700)] + [(None, 1.0), (None, 2.0), ("c", None)]
+    df = spark.createDataFrame(rows_, "k string, v double").repartition(5)
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.k: r.percentiles for r in stats.percentiles(df, "v", ["k"], shares).collect()}
+    want = {r.k: r.p for r in df.filter("v IS NOT NULL AND NOT isnan(v)").groupBy("k").agg(F.percentile("v", shares).alias("p")).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k], strict=True))
+    one, = stats.percentiles(df, "v", [], shares).collect()
+    all_, = df.filter("NOT isnan(v)").agg(F.percentile("v", shares).alias("p")).collect()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(one.percentiles, all_.p, strict=True))
+    a, b = (sorted(map(str, x.select(sorted(x.columns)).collect())) for x in (stats.describe_large(df, "v", "k"), stats.describe(df, F.col("v"), "k")))
+    assert a == b
+
+
+def test_labels_follow_the_order_of_keys(spark):
+    keys = [f"k{i:03}" for i in random.Random(1).sample(range(1000), 200)]
+    got = {r.c: r.cluster_id for r in ranking.number_components(spark.createDataFrame([(k,) for k in keys * 2], "c string").repartition(7), "c").distinct().collect()}
+    assert got == {k: f"cluster_{i:04}" for i, k in enumerate(sorted(keys), 1)}
+
+
+def test_documents_are_compared_whole(spark):
+    cases = [('{"a":1,"path":"x"}', '{"path":"y","a":1}', True), ('{"a":1,"b":2}', '{"a":1}', False), ("{bad", "{bad", None), ('{"a":[{"path":"1"},{"b":null}]}', '{"a":[{},{"b":null}]}', True), ('{"a":"\\"path\\":\\"x\\""}', '{"a":""}', False), ("[]", None, None)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    assert [r.s for r in df.select("i", scalars.same_document(F.col("a"), F.col("b"), ["path"]).alias("s")).orderBy("i").collect()] == [c for *_, c in cases]
+
+
+def test_three_failures_stop(spark):
+    e = spark.createDataFrame([("w", i, f) for i, f in enumerate("fofffoff")] + [("v", i, f) for i, f in enumerate("ffo")], "w string, t int, s string")
+    got = rows(ranking.until_failures(e, ["w"], ["t"], F.col("s") == "f").select("w", "t"), "w", "t")
+    assert got == [("v", 0), ("v", 1), ("v", 2)] + [("w", i) for i in range(5)]
+
+
 def test_consensus_breaks_ties(spark):
     o = spark.createDataFrame([("t", c, "k1", 1.0) for c in "abc"] + [("t", "d", "k2", 0.5), ("t", "d", "k1", 0.5)], "target string, cand string, key string, rmsd double")
     got = {r.cand: (r.key, r.tie_break) for r in ranking.consensus(o, "cand", "target", "key", "rmsd").collect()}

@@ -40,6 +40,54 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in res.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_other_queries_have_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
+def names_of_parts():
+    rows = duckdb.sql(f"SELECT p_partkey, upper(replace(p_name, ' ', '')) FROM '{SF}/part.parquet'").fetchall()
+    at = dict(rows)
+    return {k: (s, at[k + 1]) for k, s in rows if k + 1 in at}
+
+
+def aligned(a, b):
+    """Cell by cell: the best (score, matches, -columns) of every two prefixes, and the way back."""
+    best = {(0, 0): (0, 0, 0)}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = []
+            if i and j:
+                s, m, c = best[i - 1, j - 1]
+                ways.append((s + (1 if a[i - 1] == b[j - 1] else -1), m + (a[i - 1] == b[j - 1]), c - 1))
+            ways += [(s - 1, m, c - 1) for s, m, c in ([best[i - 1, j]] if i else []) + ([best[i, j - 1]] if j else [])]
+            if ways:
+                best[i, j] = max(ways)
+    i, j, pairs = len(a), len(b), []
+    while i and j:
+        same = a[i - 1] == b[j - 1]
+        s, m, c = best[i - 1, j - 1]
+        if best[i, j] == (s + (1 if same else -1), m + same, c - 1):
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif best[i, j] == (best[i - 1, j][0] - 1, best[i - 1, j][1], best[i - 1, j][2] - 1):
+            i -= 1
+        else:
+            j -= 1
+    score = best[len(a), len(b)]
+    return (score[1] / -score[2] if score[2] else 1.0), pairs[::-1]
+
+
+def test_alignments_of_parts(spark):
+    want = {k: aligned(a, b) for k, (a, b) in names_of_parts().items()}
+    got = {r.p_partkey: r.identity for r in catalog.QUERIES["seq_identity"](spark, SF).collect()}
+    assert got == {k: round(i, 6) for k, (i, _) in want.items()}
+    maps = sorted((r.p_partkey, r.gt_idx, r.pred_idx) for r in catalog.QUERIES["residue_maps"](spark, SF).collect())
+    assert maps == sorted((k, i, j) for k, (_, pairs) in want.items() for i, j in pairs)
+
+
+def test_report_of_aligned_parts(spark):
+    want = {}
+    for k, (a, b) in names_of_parts().items():
+        identity, pairs = aligned(a + b, a)
+        want[k] = (round(identity, 6), len(pairs), "identical" if identity == 1 else "skipped: too few residues" if len(pairs) < 10 else "aligned")
+    assert {r["sample"]: (r.identity, r.aligned, r.note) for r in catalog.QUERIES["aligned_report"](spark, SF).collect()} == want
+
+
+def test_every_query_is_checked():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"seq_identity", "residue_maps", "aligned_report"}

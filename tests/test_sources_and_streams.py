@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixlake.operators import joins
 from helixlake.plans import q_streaming
 from helixlake.sources import readers, sinks, structures
+from helixlake.sources.shared import shared_folder
 from helixlake.streaming import progress as P
 
 CIF = """data_1ABC
@@ -37,7 +38,16 @@ def test_structure_tokens_and_tables(spark):
     assert structures.table_of(long, "struct").first().title == "O5'x pairs \"here\""
     assert structures.table_of(long, "exptl").first().method == "X-RAY\nDIFFRACTION"
     assert [(r.entity_id, r.type, r.pdbx_strand_id) for r in structures.table_of(long, "entity_poly").orderBy("row_no").collect()] == [("1", "polyribonucleotide", "A,B"), ("2", None, None)]
-    assert [tuple(r) for r in structures.issues(long).collect()] == [("f", "atom_site", "5 values in a loop of 2 columns")]
+    assert [tuple(r) for r in structures.issues(long).collect()] == [("f", "1ABC", "atom_site", "5 values in a loop of 2 columns")]
+
+
+def test_structure_files_are_read(spark):
+    d = tempfile.mkdtemp()
+    open(f"{d}/a.cif", "w").write("data_A\r\nloop_\n_entity.id\n_entity.pdbx_description\n1 'x y' 2\n;two\nlines\n; 3 a#b # no\ndata_B\n_entry.id B\n;open\n")
+    open(f"{d}/b.txt", "w").write("data_C\n_entry.id C\n")
+    blocks = structures.read_items(spark, d)
+    assert [(r.block, r.id, r.pdbx_description) for r in structures.table_of(blocks, "entity").orderBy("row_no").collect()] == [("A", "1", "x y"), ("A", "2", "two\nlines"), ("A", "3", "a#b")]
+    assert [(r.block, r.id) for r in structures.table_of(blocks, "entry").collect()] == [("B", "B")] and structures.issues(blocks).isEmpty()
 
 
 def test_id_and_exclusion_lists(spark):
@@ -97,6 +107,33 @@ def test_release_dates(spark):
     assert got == {"a": ("2021-01-01", "revision", None), "b": ("2019-01-01", "revision", None), "c": ("2018-01-01", "legacy", None), "d": ("2999-01-01", "revision", "date in the future"), "e": ("2020-01-01", "revision", "date conflict")}
 
 
+def test_sequence_files_with_marks_in_headers(spark):
+    d = tempfile.mkdtemp()
+    open(f"{d}/x.fasta", "w").write(">1ABC__1 a > b\nAC\nGU\n>2ABC__x>y\r\nGG\r\n")
+    assert sorted(map(tuple, readers.fasta(spark, d).collect())) == [("1ABC", "1 a > b", "ACGU"), ("2ABC", "x>y", "GG")]
+
+
+def test_first_models(spark):
+    rows = [("n", "2", 0), ("n", "1", 1), ("t", None, 0), ("t", "b", 1), ("t", "a", 2), ("m", "x", 0), ("m", "7", 1)]
+    got = readers.first_model(spark.createDataFrame(rows, "k string, model string, i int"), "k", "model", "i")
+    assert sorted((r.k, r.model) for r in got.collect()) == [("m", "7"), ("n", "1"), ("t", "b")]
+
+
+def test_shared_folder_of_a_cluster_has_to_be_named():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context, Conf()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
+
+
 def test_sinks(spark):
     d = tempfile.mkdtemp()
     df = spark.createDataFrame([("1ABC", "a b", "ACGU", None), ("1ABC", "c", "GG", 2)], "e string, n string, s string, x int")
@@ -118,7 +155,7 @@ def test_streams_agree_with_batch(spark):
     df.repartition(4).write.parquet(f"{d}/in")
     P.merge_last(P.read_stream(spark, f"{d}/in", df.schema, files_per_trigger=1), f"{d}/last", f"{d}/s1", "worker", "ts", "id").awaitTermination()
     want = sorted(map(tuple, P.last_wins(df, "worker", "ts", "id").collect()))
-    assert sorted(map(tuple, spark.read.parquet(f"{d}/last/v3").collect())) == want
+    assert sorted(map(tuple, P.read_last(spark, f"{d}/last", df.schema, "worker", "ts", "id").collect())) == want
     now = F.lit(base + dt.timedelta(seconds=5100))
     states = {r.worker: r.status for r in P.liveness(df.filter("state = 'run'"), "worker", "ts", "state", now, 120).collect()}
     assert set(states.values()) <= {"FRESH", "STALE"} and len(states) == 5
