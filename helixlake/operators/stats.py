@@ -19,34 +19,54 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole)
 
 
-def description(value: Column, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS, at: Column | None = None) -> list[Column]:
+def description(value: Column, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS) -> list[Column]:
     """Aggregates that describe a metric (what isn't finite is missing): coverage is of all rows, the
-    shares under the thresholds are of the rows with a value, and so are all others. `at`: an
-    aggregate of the percentiles, if they come from elsewhere."""
+    shares under the thresholds are of the rows with a value, and so are all others."""
     value = finite_or_null(value)
-    n = F.count(F.lit(1))
-    with_ = F.count(value)
-    out = [n.alias("n_total"), with_.alias("n_with"), (n - with_).alias("n_missing"), _share(with_, n).alias("coverage_percent"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min")]
-    at = F.percentile(value, list(PERCENTILES)) if at is None else at  # one aggregate for all
-    out += [at[i].alias(f"p{round(p * 100)}") for i, p in enumerate(PERCENTILES)]
-    out += [F.max(value).alias("max")]
+    n, with_ = F.count(F.lit(1)), F.count(value)
+    out = [n.alias("n_total"), with_.alias("n_with"), (n - with_).alias("n_missing"), _share(with_, n).alias("coverage_percent"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
     return out + [_share(F.count_if(value <= t), with_).alias(f"pct_le_{t:g}") for t in thresholds]
 
 
-def describe(df: DataFrame, value: Column, *by: str, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS) -> DataFrame:
-    """One row, or one for each group; a null group is called `missing`."""
-    if not by:
-        return df.agg(*description(value, thresholds))
-    return df.groupBy(*[F.coalesce(F.col(b).cast("string"), F.lit("missing")).alias(b) for b in by]).agg(*description(value, thresholds))
+def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Exact percentiles of each group, an array in the order of shares: what F.percentile gives, but
+    from ranks by ranges of (group, value), so that a group may be of any size. `by` may be empty;
+    groups without a finite value are left out."""
+    keys = list(by)
+    per = df.select(*keys, finite_or_null(F.col(value)).alias("__x")).filter(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = counted_before(per, "__n", *keys, "__x")
+    sizes = ranked.groupBy(*keys).agg(F.min("before").alias("__first"), F.sum("__n").alias("__all"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("__all") - 1)).alias("p")) for i, s in enumerate(shares)])
+    met = _beside(ranked, sizes, keys).select(*keys, "__x", "__n", (F.col("before") - F.col("__first")).alias("__at"), F.explode(wanted).alias("w"))
+    holds = lambda rank: (rank >= F.col("__at")) & (rank < F.col("__at") + F.col("__n"))
+    low, high = F.floor("w.p"), F.ceil("w.p")
+    met = met.filter(holds(low) | holds(high))
+    got = met.groupBy(*keys, F.col("w.i").alias("__i")).agg(F.max("w.p").alias("p"), F.max(F.when(holds(low), F.col("__x"))).alias("lo"), F.max(F.when(holds(high), F.col("__x"))).alias("hi"))
+    between = F.col("lo") + (F.col("p") - F.floor("p")) * (F.col("hi") - F.col("lo"))
+    return got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", between.alias("v")))), lambda s: s["v"]).alias("percentiles"))
+
+
+def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what groups has for their keys, nulls alike; all of it without keys."""
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        groups = groups.withColumnRenamed(k, f"__of{i}")
+        same = same & F.col(k).eqNullSafe(F.col(f"__of{i}"))
+    met = rows.join(groups if keys else F.broadcast(groups), same, "left")
+    return met.drop(*[f"__of{i}" for i in range(len(keys))])
 
 
-def describe_large(df: DataFrame, value: str, by: str, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS) -> DataFrame:
-    """describe() for groups whose distinct values don't fit in a task."""
-    rows = df.select(F.coalesce(F.col(by).cast("string"), F.lit("missing")).alias(by), F.col(value).alias("__v"))
-    at = percentiles(rows, "__v", [by], PERCENTILES)
-    plain = rows.groupBy(by).agg(*description(F.col("__v"), thresholds, F.array([F.lit(None).cast("double")] * len(PERCENTILES))))
-    met = plain.join(at, by, "left")
-    return met.withColumns({f"p{round(p * 100)}": F.col("percentiles")[i] for i, p in enumerate(PERCENTILES)}).drop("percentiles")
+def _summed(rows: DataFrame, value: str, keys: Sequence[str], aggs: Sequence[Column], shares: dict[str, float]) -> DataFrame:
+    """One row, or one for each group: the aggregates, and exact percentiles under their names."""
+    base = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+    met = _beside(base, percentiles(rows, value, keys, list(shares.values())), keys)
+    return met.withColumns({n: F.get("percentiles", F.lit(i)) for i, n in enumerate(shares)}).drop("percentiles")
+
+
+def describe(df: DataFrame, value: Column, *by: str, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS) -> DataFrame:
+    """One row, or one for each group; a null group is called `missing`."""
+    rows = df.select(*[F.coalesce(F.col(b).cast("string"), F.lit("missing")).alias(b) for b in by], value.alias("__v"))
+    return _summed(rows, "__v", by, description(F.col("__v"), thresholds), {f"p{round(p * 100)}": p for p in PERCENTILES})
 
 
 def describe_bins(df: DataFrame, value: Column, group: str, labels: Sequence[str]) -> DataFrame:
@@ -63,29 +83,31 @@ def describe_populations(populations: dict[str, DataFrame], value: str) -> DataF
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("population").agg(*description(F.col("v")))
+    return describe(every, F.col("v"), "population")
 
 
-def final_summary(value: Column, excluded: Column, thresholds: Sequence[float] = FINAL_THRESHOLDS) -> list[Column]:
-    """Aggregates of the final report: valid values are those of 0 or more that aren't excluded."""
-    value = finite_or_null(value)
-    v = F.when((value >= 0) & ~F.coalesce(excluded, F.lit(False)), value)
-    n, ok = F.count(F.lit(1)), F.count(v)
-    at = F.percentile(v, [0.25, 0.5, 0.75, 0.9])  # one aggregate for all
-    out = [n.alias("n_total"), ok.alias("n_valid"), (n - ok).alias("n_excluded_or_missing"), _share(ok, n).alias("coverage_percent"), at[1].alias("median"), at[0].alias("q25"), at[2].alias("q75"), (at[2] - at[0]).alias("iqr")]
-    out += [F.avg(v).alias("mean"), at[3].alias("p90"), F.max(v).alias("max")]
-    return out + [_share(F.count_if(v <= t), ok).alias(f"pct_le_{t:g}") for t in thresholds]
+def final_summary(value: Column, thresholds: Sequence[float] = FINAL_THRESHOLDS) -> list[Column]:
+    """Aggregates of the final report over values of which those that don't count are null."""
+    n, ok = F.count(F.lit(1)), F.count(value)
+    out = [n.alias("n_total"), ok.alias("n_valid"), (n - ok).alias("n_excluded_or_missing"), _share(ok, n).alias("coverage_percent"), F.avg(value).alias("mean"), F.max(value).alias("max")]
+    return out + [_share(F.count_if(value <= t), ok).alias(f"pct_le_{t:g}") for t in thresholds]
+
+
+def valid_value(value: Column, excluded: Column) -> Column:
+    """Values of 0 or more that aren't excluded; else null."""
+    v = finite_or_null(value)
+    return F.when((v >= 0) & ~F.coalesce(excluded, F.lit(False)), v)
 
 
 def main_table(df: DataFrame, value: str, excluded: str, time: str, length: str, chains: str) -> DataFrame:
-    """Overall, by time, by length and by number of chains, in one pass of grouping sets. Of the
-    time groups only post_cutoff is reported; `section` tells strata from missing groups."""
-    sets = df.groupingSets([[], [time], [length], [chains]], time, length, chains)
-    got = sets.agg(F.grouping_id().alias("gid"), *final_summary(F.col(value), F.col(excluded)))
-    section = F.when(F.col("gid") == 7, "overall").when(F.col("gid") == 3, "time").when(F.col("gid") == 5, "length").otherwise("chains")
-    group = F.when(F.col("gid") == 7, "all").otherwise(F.coalesce(F.when(F.col("gid") == 3, F.col(time)), F.when(F.col("gid") == 5, F.col(length)), F.when(F.col("gid") == 6, F.col(chains)), F.lit("missing")))
-    out = got.withColumns({"section": section, "group": group}).filter((F.col("section") != "time") | (F.col("group") == "post_cutoff"))
-    return out.select("section", "group", *[c for c in got.columns if c not in (time, length, chains, "gid")])
+    """Overall, by time, by length and by number of chains, in one pass over a row for each of these.
+    Of the time groups only post_cutoff is reported; a null group is called `missing`."""
+    one = lambda section, group: F.struct(F.lit(section).alias("section"), F.coalesce(group, F.lit("missing")).alias("group"))
+    sections = F.array(one("overall", F.lit("all")), one("time", F.col(time)), one("length", F.col(length)), one("chains", F.col(chains)))
+    rows = df.select(F.explode(sections).alias("s"), valid_value(F.col(value), F.col(excluded)).alias("__v")).select("s.section", "s.group", "__v")
+    rows = rows.filter((F.col("section") != "time") | (F.col("group") == "post_cutoff"))
+    got = _summed(rows, "__v", ["section", "group"], final_summary(F.col("__v")), {"q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9})
+    return got.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def joined_set(c: Column, sep: str = ";") -> Column:
@@ -110,27 +132,6 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
     return ranked.crossJoin(F.broadcast(total)).select("x", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "before", "total").select("x", ((F.col("before") + F.col("k")) / F.col("total")).alias("y"))
 
 
-def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """Exact percentiles of each group, an array in the order of shares: what F.percentile gives, but
-    from ranks by ranges of (group, value), so that a group may be of any size. `by` may be empty;
-    groups without a finite value are left out."""
-    keys = list(by)
-    per = df.select(*keys, finite_or_null(F.col(value)).alias("__x")).filter(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = counted_before(per, "__n", *keys, "__x")
-    sizes = ranked.groupBy(*[F.col(k).alias(f"__of{i}") for i, k in enumerate(keys)]).agg(F.min("before").alias("__first"), F.sum("__n").alias("__all"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__of{i}"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("__all") - 1)).alias("p")) for i, s in enumerate(shares)])
-    met = ranked.join(sizes if keys else F.broadcast(sizes), same).select(*keys, "__x", "__n", (F.col("before") - F.col("__first")).alias("__at"), F.explode(wanted).alias("w"))
-    holds = lambda rank: (rank >= F.col("__at")) & (rank < F.col("__at") + F.col("__n"))
-    low, high = F.floor("w.p"), F.ceil("w.p")
-    met = met.filter(holds(low) | holds(high))
-    got = met.groupBy(*keys, F.col("w.i").alias("__i")).agg(F.max("w.p").alias("p"), F.max(F.when(holds(low), F.col("__x"))).alias("lo"), F.max(F.when(holds(high), F.col("__x"))).alias("hi"))
-    between = F.col("lo") + (F.col("p") - F.floor("p")) * (F.col("hi") - F.col("lo"))
-    return got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", between.alias("v")))), lambda s: s["v"]).alias("percentiles"))
-
-
 def exceedance(df: DataFrame, value: Column, thresholds: Sequence[float]) -> DataFrame:
     """How many values are above each threshold, and their share."""
     counts = df.agg(F.count(value).alias("n"), F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count_if(value > t).alias("n_above")) for t in thresholds]).alias("a"))
@@ -146,21 +147,30 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
 
 def distribution(df: DataFrame, value: Column, *, by: str | None = None, thresholds: Sequence[float] = (1, 2, 5)) -> DataFrame:
     """Number, mean, quartiles and shares under thresholds; with `by` also each group's, the total
-    being the row with a null group of a rollup."""
-    n, at = F.count(value), F.percentile(value, [0.25, 0.5, 0.75])
-    aggs = [n.alias("n"), F.avg(value).alias("mean"), *[at[i].alias(a) for i, a in enumerate(("q25", "median", "q75"))], *[_share(F.count_if(value < t), n).alias(f"pct_lt_{t:g}") for t in thresholds]]
-    return df.rollup(by).agg(*aggs) if by else df.agg(*aggs)
+    being the row with a null group, as of a rollup."""
+    v, n = F.col("__v"), F.count("__v")
+    aggs = [n.alias("n"), F.avg(v).alias("mean"), *[_share(F.count_if(v < t), n).alias(f"pct_lt_{t:g}") for t in thresholds]]
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    if by is None:
+        return _summed(df.select(finite_or_null(value).alias("__v")), "__v", [], aggs, shares)
+    both = F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast(df.schema[by].dataType).alias(by)), F.struct(F.lit(False).alias("whole"), F.col(by)))
+    rows = df.select(F.explode(both).alias("s"), finite_or_null(value).alias("__v")).select("s.*", "__v")
+    return _summed(rows, "__v", ["whole", by], aggs, shares).drop("whole")
 
 
 def ratio_stats(df: DataFrame, ratio: Column) -> DataFrame:
     """Mean, median and least of alignment ratios, and the share above 0.9; zeros only count there."""
-    n = F.count(ratio)
-    return df.agg(n.alias("n"), F.avg(ratio).alias("mean"), F.percentile(ratio, 0.5).alias("median"), F.min(ratio).alias("min"), _share(F.count_if(ratio > 0.9), n).alias("pct_above_90"), F.count_if(ratio == 0).alias("n_zero"))
+    v, n = F.col("__v"), F.count("__v")
+    aggs = [n.alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), _share(F.count_if(v > 0.9), n).alias("pct_above_90"), F.count_if(v == 0).alias("n_zero")]
+    return _summed(df.select(finite_or_null(ratio).alias("__v")), "__v", [], aggs, {"median": 0.5})
 
 
 def before_after(df: DataFrame, before: Column, after: Column) -> DataFrame:
-    n = F.count(F.lit(1))
-    return df.agg(n.alias("n"), F.avg(before).alias("mean_before"), F.avg(after).alias("mean_after"), F.percentile(before, 0.5).alias("median_before"), F.percentile(after, 0.5).alias("median_after"), F.avg(before - after).alias("mean_improvement"), F.count_if(before - after > 0).alias("n_improved"), _share(F.count_if(before - after > 0), n).alias("pct_improved"))
+    n, rows = F.count(F.lit(1)), df.select(before.alias("b"), after.alias("a"))
+    gain = F.col("b") - F.col("a")
+    aggs = [n.alias("n"), F.avg("b").alias("mean_before"), F.avg("a").alias("mean_after"), F.avg(gain).alias("mean_improvement"), F.count_if(gain > 0).alias("n_improved"), _share(F.count_if(gain > 0), n).alias("pct_improved")]
+    once = _summed(rows, "b", [], aggs, {"median_before": 0.5})
+    return _beside(once, percentiles(rows, "a", [], [0.5]), []).withColumn("median_after", F.get("percentiles", F.lit(0))).drop("percentiles")
 
 
 def same_multiset(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:

@@ -271,8 +271,8 @@ def quality_filter(spark, d):
 
 
 @query(f"SELECT l_returnflag, {sql_describe('l_extendedprice')} FROM lineitem GROUP BY 1")
-def describe_large(spark, d):
-    return rounded(stats.describe_large(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag"))
+def describe_prices(spark, d):
+    return rounded(stats.describe(table(spark, d, "lineitem"), F.col("l_extendedprice"), "l_returnflag"))
 
 
 @query("""

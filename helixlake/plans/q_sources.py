@@ -297,7 +297,7 @@ def pair_samples(spark, d):
     return readers.samples_of(e, "train", e.filter("vec_id % 3 = 0").select("vec_id"), ["vec_id", "label"])
 
 
-@query("SELECT l_orderkey, count(*) AS n, sum(a.l_partkey - b.k) AS shift FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS k FROM lineitem WHERE l_discount > 0.03 GROUP BY 1, 2) b USING (l_orderkey, l_linenumber) GROUP BY 1")
+@query("SELECT l_orderkey, count(*) AS n, sum(a.l_partkey - b.k)::BIGINT AS shift FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS k FROM lineitem WHERE l_discount > 0.03 GROUP BY 1, 2) b USING (l_orderkey, l_linenumber) GROUP BY 1")
 def common_residues(spark, d):
     li = table(spark, d, "lineitem")
     side = lambda df, c, x: df.groupBy("l_orderkey", F.col("l_linenumber").alias("seq_id")).agg(F.min(x).alias("x")).select("l_orderkey", F.lit(c).alias("chain"), "seq_id", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
