@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import ahocorasick
 import sentencepiece
@@ -23,7 +24,13 @@ def load_pieces(path: str = DEFAULT_MODEL) -> list[tuple[str, float]]:
 
 
 def automaton(pieces: list[str]) -> ahocorasick.Automaton:
-    """Its matches carry the piece's index; those that end at one place come longest first."""
+    """Its matches carry the piece's index; those that end at one place come longest first. A worker
+    builds that of a vocabulary once."""
+    return _automaton(tuple(pieces))
+
+
+@lru_cache(maxsize=2)
+def _automaton(pieces: tuple[str, ...]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for i, piece in enumerate(pieces):
         out.add_word(piece, i)
