@@ -10,7 +10,7 @@ from helixlake.sources.shared import shared_folder, write_shared
 
 __all__ = ["bounded", "mix64", "replacing", "shared_folder", "table", "without_keys", "write_shared"]
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,10 @@ def replacing(df: DataFrame, **columns) -> DataFrame:
 
 
 def bounded(rows: DataFrame) -> DataFrame:
-    """A written table of few short columns, marked for broadcast if it has BROADCAST_ROWS at most, so
+    """A written table, marked for broadcast if its rows, spelled out, have BROADCAST_BYTES at most, so
     that what it is joined to stays where it is; a larger one is joined as Spark sees fit."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    size = rows.agg(F.sum(16 + F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 def without_keys(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:

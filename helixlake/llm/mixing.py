@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, bounded, replacing, table, write_shared
+from .common import BROADCAST_BYTES, bounded, replacing, table, write_shared
 
 BLOCK_ROWS, MOST_BLOCKS, TEMPERATURE, BUCKET_ROWS, SEED = 50, 1_000_000, 0.5, 20_000, 7
 
@@ -174,7 +174,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", *, weights
     spark = docs.sparkSession
     table_rows = [(p, labels[s], x["before"], x["before"] + x["take"], ph["start"], x["share"], x["slots"]) for p, ph in enumerate(plan) for s, x in ph["sources"].items() if x["take"]]
     steps = spark.createDataFrame(table_rows, "p__ int, s__ string, lo__ long, hi__ long, start__ long, share__ long, slots__ array<int>")
-    met = met.join(F.broadcast(steps) if len(table_rows) * period <= BROADCAST_ROWS else steps, F.col("__src").eqNullSafe(F.col("s__")) & (F.col("lo__") <= F.col("__block")) & (F.col("__block") < F.col("hi__"))).withColumn("__k", F.col("__block") - F.col("lo__"))
+    met = met.join(F.broadcast(steps) if 8 * len(table_rows) * period <= BROADCAST_BYTES else steps, F.col("__src").eqNullSafe(F.col("s__")) & (F.col("lo__") <= F.col("__block")) & (F.col("__block") < F.col("hi__"))).withColumn("__k", F.col("__block") - F.col("lo__"))
     k, share = F.col("__k"), F.col("share__")
     in_phase = F.floor(k / share) * period + F.element_at(F.col("slots__"), (k % share + 1).cast("int"))
     slot = F.col("start__") + in_phase
