@@ -3,9 +3,15 @@
 Documents are cut into shards of bounded size, each a row of the written index: its documents'
 keys and lengths, its sorted terms, and their postings. Global statistics (documents, average
 length, document frequencies) come from the index. Queries are taken in blocks of bounded size,
-one after another, each broadcast and forgotten once its hits are written; in every shard a query
-skips blocks of documents, and within the others documents, whose upper bound is under the k-th
-best score that the task has seen. Each task returns k rows a query, and these are merged exactly.
+one after another, each broadcast and forgotten once its hits are written.
+
+In every shard the postings of a query's terms are runs, one for each term and block of documents,
+each with its largest score. A cursor goes through the blocks in the order of documents: the next
+pivot is the first block ahead where the largest scores of the terms that have a run there add up
+to the k-th best score that the task has seen, and all blocks before it are skipped. Pivots are
+found and scored some at a time. Within them terms that together can't reach that score are only
+looked up for documents that others lift near it. Each task returns k rows a query, and these are
+merged exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from .common import table, write_shared
 from .decontaminate import text_words
 
 K, K1, B, MICRO = 10, 1.2, 0.75, 1_000_000
-SHARD_DOCS, SHARD_WORDS, DOC_BLOCK_BITS, SEED_BLOCKS = 8_192, 4_000_000, 7, 3
+SHARD_DOCS, SHARD_WORDS, DOC_BLOCK_BITS, SEED_BLOCKS, PIVOTS_AT_ONCE = 8_192, 4_000_000, 7, 3, 64
 QUERIES_PER_BLOCK, TERMS_PER_BLOCK = 4_000, 1_500_000
 _INDEX = "docs binary, lengths binary, terms binary, counts binary, posting_docs binary, posting_tf binary, n_docs bigint, n_words bigint"
 
@@ -138,7 +144,7 @@ class Shard:
         new[1:] = (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
         self.run_at = np.flatnonzero(new)
         self.run_size = np.diff(np.append(self.run_at, len(block)))
-        self.run_block = block[self.run_at]
+        self.run_block, self.run_owner = block[self.run_at], owner[self.run_at]
         self.run_max = np.maximum.reduceat(self.add, self.run_at) if len(self.add) else np.zeros(0, np.int64)
         runs = np.bincount(owner[self.run_at], minlength=len(size))
         self.runs, self.run_start = runs, np.cumsum(runs) - runs
@@ -152,7 +158,8 @@ class Shard:
             own = slice(self.start[t], self.start[t] + size[t])
             self.dense[i, self.doc[own]] = self.add[own]
 
-    def _sum(self, postings: np.ndarray) -> np.ndarray:
+    def _sum(self, runs: np.ndarray) -> np.ndarray:
+        postings = _ranges(self.run_at[runs], self.run_size[runs])
         return np.bincount(self.doc[postings], self.add[postings], len(self.docs)).astype(np.int64)
 
     def search(self, terms: np.ndarray, top: Top) -> None:
@@ -162,45 +169,51 @@ class Shard:
         if not len(terms):
             return
         runs = _ranges(self.run_start[terms], self.runs[terms])
-        bound = np.bincount(self.run_block[runs], self.run_max[runs], self.blocks)
+        block = self.run_block[runs]
+        bound = np.bincount(block, self.run_max[runs], self.blocks)
         # the most promising blocks first, in full, for a good threshold
-        seeds = np.zeros(self.blocks, bool)
-        seeds[np.argsort(-bound, kind="stable")[:SEED_BLOCKS]] = True
-        seeds &= bound >= top.least
-        own = runs[seeds[self.run_block[runs]]]
-        if len(own):
-            scores = self._sum(_ranges(self.run_at[own], self.run_size[own]))
+        waiting = np.ones(self.blocks, bool)
+        seeds = np.argsort(-bound, kind="stable")[:SEED_BLOCKS]
+        seeds = seeds[bound[seeds] >= top.least]
+        waiting[seeds] = False
+        if len(seeds):
+            scores = self._sum(runs[~waiting[block]])
             found = np.flatnonzero(scores)
             top.offer(scores[found], self.docs[found])
-        live = (bound >= top.least) & ~seeds
-        if not live.any():
-            return
-        # terms that even together stay under the threshold needn't be looked up first
         by = terms[np.argsort(self.top[terms], kind="stable")]
-        few = int(np.searchsorted(np.cumsum(self.top[by]), top.least, "left"))
-        rest, pivot = by[:few], by[few:]
-        if not len(pivot):
-            return
-        own = _ranges(self.run_start[pivot], self.runs[pivot])
-        own = own[live[self.run_block[own]]]
-        scores = self._sum(_ranges(self.run_at[own], self.run_size[own]))
+        reach = np.cumsum(self.top[by])
+        cursor = 0
+        while len(pivots := np.flatnonzero(waiting[cursor:] & (bound[cursor:] >= top.least))[:PIVOTS_AT_ONCE] + cursor):
+            few = int(np.searchsorted(reach, top.least, "left"))
+            if few == len(by):
+                return
+            chosen = np.zeros(self.blocks, bool)
+            chosen[pivots] = True
+            self._score(runs[chosen[block]], by[:few], top)
+            cursor = int(pivots[-1]) + 1
+
+    def _score(self, runs: np.ndarray, few: np.ndarray, top: Top) -> None:
+        """Offer the documents of these runs; terms that even together stay under the threshold are
+        looked up last, where they can still matter."""
+        light = np.zeros(len(self.size), bool)
+        light[few] = True
+        rest = light[self.run_owner[runs]]
+        scores = self._sum(runs[~rest])
         found = np.flatnonzero(scores)
+        total, rest = scores[found], runs[rest]
         if len(rest):
-            more = _ranges(self.run_start[rest], self.runs[rest])
-            slack = np.bincount(self.run_block[more], self.run_max[more], self.blocks)
-            found = found[scores[found] + slack[found >> DOC_BLOCK_BITS] >= top.least]
+            slack = np.bincount(self.run_block[rest], self.run_max[rest], self.blocks)
+            near = total + slack[found >> DOC_BLOCK_BITS] >= top.least
+            found, total = found[near], total[near]
             if not len(found):
                 return
-            dense = self.dense_of[rest]
-            total = scores[found] + self.dense[dense[dense >= 0]][:, found].sum(axis=0, dtype=np.int64)
-            sparse = rest[dense < 0]
+            dense = self.dense_of[few]
+            total = total + self.dense[dense[dense >= 0]][:, found].sum(axis=0, dtype=np.int64)
+            wanted = np.zeros(self.blocks, bool)
+            wanted[found >> DOC_BLOCK_BITS] = True
+            sparse = rest[(self.dense_of[self.run_owner[rest]] < 0) & wanted[self.run_block[rest]]]
             if len(sparse):
-                wanted = np.zeros(len(self.docs), bool)
-                wanted[found] = True
-                postings = _ranges(self.start[sparse], self.size[sparse])
-                total += self._sum(postings[wanted[self.doc[postings]]])[found]
-        else:
-            total = scores[found]
+                total += self._sum(sparse)[found]
         top.offer(total, self.docs[found])
 
 

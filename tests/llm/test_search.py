@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from helixlake.llm import search
 
@@ -73,3 +74,25 @@ def test_nulls_ties_repeats_and_empty(spark):
     assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1)]
     assert search.top_k(df.limit(0), df.limit(0)).count() == 0
     assert search.top_k(df, df.filter("doc_id = 3")).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 64])
+def test_pivots_in_any_number_find_the_same(monkeypatch, at_once):
+    monkeypatch.setattr(search, "PIVOTS_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    words = [np.minimum(rng.zipf(1.3, rng.integers(1, 60)), 500).astype(np.uint64) for _ in range(3000)]
+    df = np.bincount(np.concatenate([np.unique(w) for w in words]).astype(int), minlength=501)
+    average = np.mean([len(w) for w in words])
+    asked = [(i, np.unique(words[i]).view(np.int64).tolist(), df[np.unique(words[i]).astype(int)].tolist()) for i in range(0, 3000, 100)]
+    queries = search.Queries(asked, len(words))
+    shard = search.Shard(search.index_row(list(range(3000)), words), queries, average)
+    every = np.zeros((len(asked), 3000), np.int64)
+    for q in range(len(asked)):
+        terms = shard.row[queries.number[queries.offsets[q] : queries.offsets[q + 1]]]
+        for t in terms:
+            own = slice(shard.start[t], shard.start[t] + shard.size[t])
+            every[q, shard.doc[own]] += shard.add[own]
+        top = search.Top(10)
+        shard.search(terms, top)
+        best = np.lexsort((np.arange(3000), -every[q]))[:10]
+        assert top.docs.tolist() == best.tolist() and top.scores.tolist() == every[q][best].tolist()
