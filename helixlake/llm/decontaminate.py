@@ -26,7 +26,7 @@ from .common import mix64, replacing, table, write_shared
 SIMILARITY, REPETITIONS, SAMPLED_STEPS, MIN_WORDS, SEED = 0.8, 24, 2, 5, 20240229
 ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 5_000, 4_000_000
 MOST_PIECE = 8
-LENGTH_STEP, VOCABULARY_BITS, CHUNK_BYTES, PIECE_BYTES = 1.15, 20, 2 << 20, 4 << 20
+LENGTH_STEP, VOCABULARY_BITS, CHUNK_BYTES, PIECE_BYTES = 1.15, 20, 2 << 20, 256 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
