@@ -163,15 +163,17 @@ def residue_maps(spark, d):
     return sequences.residue_maps(name_pairs(spark, d), "p_partkey", "a", "b")
 
 
-@query("""
-WITH RECURSIVE d AS (SELECT doc_id, n_chars + 2 AS n, doc_id // 1000 AS shard, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS i FROM documents),
-r AS (SELECT doc_id, shard, i, 0 AS batch_no, n AS longest, 1 AS held FROM d WHERE i = 1
-  UNION ALL SELECT d.doc_id, d.shard, d.i, batch_no + (CASE WHEN greatest(longest, n) * (held + 1) > 40000 OR held >= 64 THEN 1 ELSE 0 END), CASE WHEN greatest(longest, n) * (held + 1) > 40000 OR held >= 64 THEN n ELSE greatest(longest, n) END,
-    CASE WHEN greatest(longest, n) * (held + 1) > 40000 OR held >= 64 THEN 1 ELSE held + 1 END FROM r JOIN d ON d.shard = r.shard AND d.i = r.i + 1)
-SELECT doc_id, shard, batch_no FROM r""")
+_FULL = "greatest(longest, n) * (held + 1) > 40000 OR held >= 64"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, n_chars + 2 AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT doc_id, i, 0 AS batch_no, n AS longest, 1 AS held FROM d WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.i, batch_no + (CASE WHEN {_FULL} THEN 1 ELSE 0 END), CASE WHEN {_FULL} THEN n ELSE greatest(longest, n) END, CASE WHEN {_FULL} THEN 1 ELSE held + 1 END FROM r JOIN d ON d.i = r.i + 1)
+SELECT doc_id, batch_no FROM r""")
 def batch_pack(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", (F.floor(F.col("doc_id") / 1000)).alias("shard"))
-    return ranking.pack_batches(docs, "shard", "doc_id", "n_chars", max_tokens=40_000).select("doc_id", "shard", "batch_no")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 250).alias("part"))
+    return ranking.pack_batches(docs, "part", "doc_id", "n_chars", max_tokens=40_000).select("doc_id", "batch_no")
 
 
 @query("""
