@@ -223,7 +223,7 @@ def fit(counted: DataFrame, languages: list[str], *, model_path: str = DEFAULT_M
     if not languages:
         return None
     pieces, spark = [p for p, _ in load_pieces(model_path)], counted.sparkSession
-    own = counted.join(F.broadcast(spark.createDataFrame([(x,) for x in languages], "lang string")), "lang")
+    own = counted.join(F.broadcast(spark.createDataFrame([(x,) for x in languages], "lang string")), "lang").repartition(2 * spark.sparkContext.defaultParallelism)
     table_ = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
     table_[-1] *= UNKNOWN_SHARE
     for _ in range(rounds):
