@@ -56,10 +56,20 @@ def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFram
     return met.drop(*[f"__of{i}" for i in range(len(keys))])
 
 
-def _summed(rows: DataFrame, value: str, keys: Sequence[str], aggs: Sequence[Column], shares: dict[str, float]) -> DataFrame:
-    """One row, or one for each group: the aggregates, and exact percentiles under their names."""
-    base = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
-    met = _beside(base, percentiles(rows, value, keys, list(shares.values())), keys)
+#: Up to so many rows a group's distinct values may meet in one task.
+IN_TASK_ROWS = 2_000_000
+
+
+def _summed(rows: DataFrame, value: str, keys: Sequence[str], aggs: Sequence[Column], shares: dict[str, float], n: int | None = None) -> DataFrame:
+    """One row, or one for each group: the aggregates, and exact percentiles under their names, in one
+    aggregation where no group can be large (n, the most rows of a group, is counted if it isn't
+    given), else from ranks by ranges."""
+    n = rows.count() if n is None else n
+    at = F.percentile(finite_or_null(F.col(value)), list(shares.values())).alias("percentiles")
+    aggs = [*aggs, at] if n <= IN_TASK_ROWS else list(aggs)
+    met = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+    if n > IN_TASK_ROWS:
+        met = _beside(met, percentiles(rows, value, keys, list(shares.values())), keys)
     return met.withColumns({n: F.get("percentiles", F.lit(i)) for i, n in enumerate(shares)}).drop("percentiles")
 
 
@@ -106,7 +116,7 @@ def main_table(df: DataFrame, value: str, excluded: str, time: str, length: str,
     sections = F.array(one("overall", F.lit("all")), one("time", F.col(time)), one("length", F.col(length)), one("chains", F.col(chains)))
     rows = df.select(F.explode(sections).alias("s"), valid_value(F.col(value), F.col(excluded)).alias("__v")).select("s.section", "s.group", "__v")
     rows = rows.filter((F.col("section") != "time") | (F.col("group") == "post_cutoff"))
-    got = _summed(rows, "__v", ["section", "group"], final_summary(F.col("__v")), {"q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9})
+    got = _summed(rows, "__v", ["section", "group"], final_summary(F.col("__v")), {"q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9}, df.count())
     return got.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
@@ -169,8 +179,9 @@ def before_after(df: DataFrame, before: Column, after: Column) -> DataFrame:
     n, rows = F.count(F.lit(1)), df.select(before.alias("b"), after.alias("a"))
     gain = F.col("b") - F.col("a")
     aggs = [n.alias("n"), F.avg("b").alias("mean_before"), F.avg("a").alias("mean_after"), F.avg(gain).alias("mean_improvement"), F.count_if(gain > 0).alias("n_improved"), _share(F.count_if(gain > 0), n).alias("pct_improved")]
-    once = _summed(rows, "b", [], aggs, {"median_before": 0.5})
-    return _beside(once, percentiles(rows, "a", [], [0.5]), []).withColumn("median_after", F.get("percentiles", F.lit(0))).drop("percentiles")
+    n_rows = rows.count()
+    once = _summed(rows, "b", [], aggs, {"median_before": 0.5}, n_rows)
+    return _beside(once, _summed(rows, "a", [], [F.count("a").alias("__n")], {"median_after": 0.5}, n_rows).drop("__n"), [])
 
 
 def same_multiset(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:

@@ -27,11 +27,21 @@ TABLES = {
     "atom_site": ("group_PDB", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_seq_id", "auth_asym_id", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "pdbx_PDB_model_num"),
 }
 _TOKEN = re.compile(r"""#[^\n]*|'(?P<single>(?:[^'\n]|'(?=\S))*)'(?=\s|$)|"(?P<double>(?:[^"\n]|"(?=\S))*)"(?=\s|$)|(?P<bare>\S+)""")
-_ODD = re.compile(r"['\"#]|(?:^|\s)(?:_|data_|save_|loop_(?:\s|$))", re.I)
+_ODD = re.compile(r"#|(?:^|\s)(?:_|data_|save_|loop_(?:\s|$))", re.I)
 _MISSING = ("", ".", "?")
 _BLOCKS_AT_ONCE = 64
 
 
+def _unquote(parts: list[str]) -> bool:
+    """Take the quotes off; whether each quoted value is one of the parts."""
+    for i, part in enumerate(parts):
+        if part[0] in "'\"":
+            if len(part) < 2 or part[-1] != part[0]:
+                return False
+            parts[i] = part[1:-1]
+    return True
+
+
 class _Reader:
     """One file: blocks of categories, each with its columns' values, and what is wrong."""
 
@@ -88,8 +98,15 @@ class _Reader:
                     line = ""
                 self.token("\n".join(held).replace("\r", ""), True)
                 line = line[1:]
-            if self.loop and not _ODD.search(line):
-                self.values += line.split()
+            plain = line.split() if self.loop and not _ODD.search(line) else None
+            if plain is not None and _unquote(plain):
+                self.values += plain
+            elif line[:1] == "_" and " " not in (name := line.rstrip()) and "\t" not in name:
+                if self.loop is not None and not self.values:
+                    self.loop.append(name[1:])
+                else:
+                    self.finish()
+                    self.item = name[1:]
             else:
                 for m in _TOKEN.finditer(line):
                     if m.lastgroup:

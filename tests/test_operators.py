@@ -267,7 +267,7 @@ def test_unlike_sequences_are_mapped_for_inspection(spark):
     assert sorted((r.target, r.pred, r.truth, round(r.identity, 6), r.exact) for r in assignment.unequal_assignment(i).collect()) == [("t", "A", "Y", 0.8, False), ("t", "B", "X", 0.85, False)]
 
 
-def test_percentiles_by_ranges_are_exact(spark):
+def test_percentiles_by_ranges_are_exact(spark, monkeypatch):
     rng = random.Random(4)
     rows_ = [(rng.choice("ab"), rng.choice([rng.random() * 1000, 7.0, NAN, None])) for _ in range(700)] + [(None, 1.0), (None, 2.0), ("c", None)]
     df = spark.createDataFrame(rows_, "k string, v double").repartition(5)
@@ -280,6 +280,10 @@ def test_percentiles_by_ranges_are_exact(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(one.percentiles, all_.p, strict=True))
     r = stats.describe(df, F.col("v"), "k").filter("k = 'c'").first()
     assert (r.n_total, r.n_with, r.p50) == (1, 0, None)
+    every = lambda: [sorted(map(str, x.select(sorted(x.columns)).collect())) for x in (stats.describe(df, F.col("v"), "k"), stats.describe(df, F.col("v")), stats.distribution(df, F.col("v"), by="k"), stats.before_after(df, F.col("v"), F.col("v") + 1))]
+    small = every()
+    monkeypatch.setattr(stats, "IN_TASK_ROWS", 0)
+    assert every() == small
 
 
 def test_labels_follow_the_order_of_keys(spark):
