@@ -42,7 +42,7 @@ def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[f
     low, high = F.floor("w.p"), F.ceil("w.p")
     met = met.filter(holds(low) | holds(high))
     got = met.groupBy(*keys, F.col("w.i").alias("__i")).agg(F.max("w.p").alias("p"), F.max(F.when(holds(low), F.col("__x"))).alias("lo"), F.max(F.when(holds(high), F.col("__x"))).alias("hi"))
-    between = F.col("lo") + (F.col("p") - F.floor("p")) * (F.col("hi") - F.col("lo"))
+    between = F.when(F.floor("p") == F.ceil("p"), F.col("lo")).otherwise((F.ceil("p") - F.col("p")) * F.col("lo") + (F.col("p") - F.floor("p")) * F.col("hi"))
     return got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", between.alias("v")))), lambda s: s["v"]).alias("percentiles"))
 
 

@@ -280,7 +280,7 @@ def test_percentiles_by_ranges_are_exact(spark, monkeypatch):
     assert all(abs(a - b) < 1e-9 for a, b in zip(one.percentiles, all_.p, strict=True))
     r = stats.describe(df, F.col("v"), "k").filter("k = 'c'").first()
     assert (r.n_total, r.n_with, r.p50) == (1, 0, None)
-    every = lambda: [sorted(map(str, x.select(sorted(x.columns)).collect())) for x in (stats.describe(df, F.col("v"), "k"), stats.describe(df, F.col("v")), stats.distribution(df, F.col("v"), by="k"), stats.before_after(df, F.col("v"), F.col("v") + 1))]
+    every = lambda: [sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in x.select(sorted(x.columns)).collect()) for x in (stats.describe(df, F.col("v"), "k"), stats.describe(df, F.col("v")), stats.distribution(df, F.col("v"), by="k"), stats.before_after(df, F.col("v"), F.col("v") + 1))]
     small = every()
     monkeypatch.setattr(stats, "IN_TASK_ROWS", 0)
     assert every() == small
