@@ -30,7 +30,7 @@ from .common import bounded, mix64, replacing, table, without_keys, write_shared
 SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 16, 64
 LEAF = 64
 LANES, SHARD_TEXTS, CELL_TEXTS, RECALL, SPREAD = 4, 4_096, 16_384, 0.995, 4.5
-CHAINS, NEAREST, MARKS_PER_SHINGLE = 2, 8, 4
+CHAINS, NEAREST, MARKS_PER_SHINGLE, PAIRS_AT_ONCE, MARKED_PAIRS_AT_ONCE = 2, 8, 4, 250_000, 20_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -188,7 +188,7 @@ def local_roots(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = L
             m = _cut_at(d)
         if d is None or m < 0:
             mine, others = points[own][:, None], everyone if among_home else guest
-            step = max(1, 2_000_000 // len(own))
+            step = max(1, 2 * PAIRS_AT_ONCE // len(own))
             for at in range(0, len(others), step):
                 some = others[at : at + step]
                 row, col = np.nonzero(_distance(mine, points[some][None, :]) <= radius)
@@ -363,8 +363,8 @@ class Marks:
         for both in np.unique(sizes).tolist():
             own, other = divmod(both, 1 << 40)
             same = np.flatnonzero(sizes == both)
-            for at in range(0, len(same), 100_000):
-                i = same[at : at + 100_000]
+            for at in range(0, len(same), MARKED_PAIRS_AT_ONCE):
+                i = same[at : at + MARKED_PAIRS_AT_ONCE]
                 x, y = self.rows(a[i], own, min(own, other)), self.rows(b[i], other, min(own, other))
                 common = np.minimum(self.n[a[i]] - np.bitwise_count(x & ~y).sum(axis=1), self.n[b[i]] - np.bitwise_count(y & ~x).sum(axis=1))
                 out[i] = common * (1 + similarity) >= similarity * (self.n[a[i]] + self.n[b[i]]) - 1e-9
@@ -382,8 +382,8 @@ def near_pairs(n: np.ndarray, comp: np.ndarray, lanes: list[np.ndarray], home: n
     low = np.searchsorted(size, np.ceil(size[own] * similarity - 1e-9))
     high = np.searchsorted(size, np.floor(size[own] / similarity + 1e-9), "right")
     while at < len(own):
-        stop = at + max(1, 2_000_000 // max(1, int(high[at] - low[at])))
-        while stop > at + 1 and (min(stop, len(own)) - at) * int(high[min(stop, len(own)) - 1] - low[at]) > 4_000_000:
+        stop = at + max(1, PAIRS_AT_ONCE // max(1, int(high[at] - low[at])))
+        while stop > at + 1 and (min(stop, len(own)) - at) * int(high[min(stop, len(own)) - 1] - low[at]) > 2 * PAIRS_AT_ONCE:
             stop = at + (stop - at) // 2
         mine, first, last = own[at:stop], low[at], high[min(stop, len(own)) - 1]
         row, col = np.nonzero(_distance(lanes[0][mine][:, None], lanes[0][None, first:last]) <= one)
