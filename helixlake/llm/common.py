@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixlake.sources.shared import shared_folder, write_shared
 
-__all__ = ["bounded", "mix64", "replacing", "shared_folder", "table", "without_keys", "write_shared"]
+__all__ = ["bounded", "mix64", "replacing", "shared_folder", "table", "unused", "without_keys", "write_shared"]
 
 BROADCAST_BYTES = 64 << 20
 
@@ -24,6 +24,14 @@ def replacing(df: DataFrame, **columns) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(rows: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if its rows, spelled out, have BROADCAST_BYTES at most, so
     that what it is joined to stays where it is; a larger one is joined as Spark sees fit."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, lang_id, line_dedup, mixing, search, simhash, token_count, url_filter, warc
+from . import byte_bpe, chat_format, decontaminate, lang_id, line_dedup, mixing, search, simhash, token_count, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": lang_id.op8_language_id,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
 }
 
 ORACLES = {
