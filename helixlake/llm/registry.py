@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, lang_id, line_dedup, mixing, search, simhash, token_count, url_filter, warc
+from . import byte_bpe, chat_format, collocations, decontaminate, lang_id, line_dedup, mixing, search, simhash, token_count, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": lang_id.op8_language_id,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_collocations": collocations.op11_collocations,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_exact_search": search.ORACLE,
     "op5_warc_revisits": warc.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
