@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, collocations, decontaminate, lang_id, line_dedup, mixing, search, simhash, token_count, url_filter, warc
+from . import byte_bpe, chat_format, collocations, decontaminate, lang_id, line_dedup, mixing, ranked_search, search, simhash, token_count, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_collocations": collocations.op11_collocations,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op5_warc_revisits": warc.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
