@@ -102,7 +102,7 @@ def test_pair_lists_save_postings(monkeypatch):
         read[pairs] = shard.scored
     every = sum(d for r in rows for d in r[3])
     assert hits[True] == hits[False]
-    assert read[True] < 0.8 * read[False] < 0.8 * every, (read, every)
+    assert read[True] < 0.6 * min(read[False], every), (read, every)
 
 
 def _terms_of_text(text):
