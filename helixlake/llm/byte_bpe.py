@@ -3,7 +3,7 @@ texts. A word's bytes are rows (word, position, token); pairs of neighbours meet
 each word's leftmost pair of minimum rank is contracted, and so on until no pair merges. Decoding
 joins tokens to the vocabulary and aggregates their bytes in order.
 
-Words that are as long as LONG_BYTES or longer contract in a round not one pair but all that
+Short words have one number for word and position (64 places each). Words of LONG_BYTES or more contract in a round not one pair but all that
 one-by-one contraction would take before any other: occurrences of the minimum rank from the left,
 none overlapping, up to the first that makes a pair of the same or a lower rank.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,19 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 from .common import replacing, table, unused
 
 LONG_BYTES, WORDS_AT_ONCE, BYTES_AT_ONCE, ROWS_KEPT = 64, 20_000, 200_000, 2_000_000
-CHARS_AT_ONCE, TOKENS_AT_ONCE, MEMO_WORDS, MEMO_BYTES = 1_000_000, 500_000, 200_000, 4_000_000
+CHARS_AT_ONCE, TOKENS_AT_ONCE, MEMO_WORDS, MEMO_TOKENS = 1_000_000, 500_000, 150_000, 2_000_000
 MEMORY_LIMIT = "256MB"
 
 _MERGE_ONE = """
-WITH RECURSIVE s(word, pos, tok, live, round) AS (
-  SELECT word, pos, tok, true, 0 FROM start
+WITH RECURSIVE s(g, tok, live, round) AS (
+  SELECT word * 64 + pos, tok, true, 0 FROM start
   UNION ALL (
-    WITH pairs AS (SELECT word, pos, tok, round, lead(tok) OVER w AS nxt, lag(pos) OVER w AS before FROM s
-                   WHERE live AND round < $rounds WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    best AS (SELECT word, min(rank::BIGINT * 4294967296 + pos) AS b FROM pairs p JOIN merges m ON m.a = p.tok AND m.b = p.nxt GROUP BY word)
-    SELECT p.word, pos, CASE WHEN pos = b & 4294967295 THEN (b >> 32)::INTEGER ELSE tok END, b IS NOT NULL, round + 1
-    FROM pairs p LEFT JOIN best USING (word) WHERE before IS NULL OR b IS NULL OR before <> b & 4294967295))
-SELECT word, pos, tok, live FROM s WHERE NOT live OR round = $rounds ORDER BY word, pos
+    WITH pairs AS (SELECT g, tok, round, lead(tok) OVER w AS nxt, lead(g) OVER w AS after, lag(g) OVER w AS before FROM s
+                   WHERE live AND round < $rounds WINDOW w AS (ORDER BY g)),
+    best AS (SELECT g >> 6 AS word, min(rank * 64 + (g & 63)) AS b FROM pairs p JOIN merges m ON m.a = p.tok AND m.b = p.nxt WHERE after >> 6 = g >> 6 GROUP BY ALL)
+    SELECT g, CASE WHEN g & 63 = b & 63 THEN b >> 6 ELSE tok END, b IS NOT NULL, round + 1
+    FROM pairs LEFT JOIN best ON word = g >> 6 WHERE before IS NULL OR b IS NULL OR before <> ((g >> 6) << 6) + (b & 63)))
+SELECT g >> 6 AS word, g & 63 AS pos, tok, live FROM s WHERE NOT live OR round = $rounds ORDER BY g
 """
 
 _MERGE_MANY = """
@@ -76,6 +77,33 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(rank, pa.int32())})
 
 
+class Memo:
+    """Tokens of words that were met before."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.parts: list[np.ndarray] = [np.zeros(0, np.int32)]
+        self.begins: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.held = 0
+
+    def add(self, words: list[str], tokens: np.ndarray, starts: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.parts.append(tokens)
+        self.begins.append(self.held + starts[:-1])
+        self.sizes.append(np.diff(starts))
+        self.held += len(tokens)
+
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The known words' tokens, one word after another, and where each word's tokens start."""
+        for kept in (self.parts, self.begins, self.sizes):
+            kept[:] = [np.concatenate(kept)]
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        begin, size = self.begins[0][number], self.sizes[0][number]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        return self.parts[0][np.repeat(begin - starts[:-1], size) + np.arange(starts[-1])], starts
+
+
 class Tokenizer:
     """A vocabulary with its tables in a DuckDB of this process; a worker keeps it as long as the broadcast."""
 
@@ -108,13 +136,12 @@ class Tokenizer:
         self.db.unregister("given")
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.ends, self.held = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        self.memo, self.older = Memo(), Memo()
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' tokens, one word after another, and where each word's tokens start."""
         db, sizes = self._open(), np.array([len(w) for w in words], np.int64)
-        many = bool(len(words)) and int(sizes.max()) >= LONG_BYTES
+        many = bool(len(words)) and int(sizes.max()) >= min(LONG_BYTES, 64)
         starts = np.cumsum(sizes) - sizes
         word, pos = np.repeat(np.arange(len(words), dtype=np.int32), sizes), np.arange(sizes.sum()) - np.repeat(starts, sizes)
         rows = pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
@@ -140,25 +167,21 @@ class Tokenizer:
         """Remember the tokens of new words: whole tokens as they are, the others merged, in groups
         of a bounded number of bytes, long ones apart."""
         spelled = [w.encode("utf-8", "surrogatepass") for w in words]
-        known = [self.ranks.get(b) for b in spelled]
-        todo = sorted((i for i, k in enumerate(known) if k is None), key=lambda i: len(spelled[i]))
-        tokens: list = [None if k is None else np.array([k], np.int32) for k in known]
-        group, size = [], 0
-        for n, i in enumerate(todo):
-            group.append(i)
-            size += len(spelled[i])
-            ahead = len(spelled[todo[n + 1]]) if n + 1 < len(todo) else None
-            if ahead is None or len(group) >= WORDS_AT_ONCE or size + ahead > BYTES_AT_ONCE or len(spelled[i]) < LONG_BYTES <= ahead:
-                flat, starts = self.merge([spelled[j] for j in group])
-                for k, j in enumerate(group):
-                    tokens[j] = flat[starts[k] : starts[k + 1]]
-                group, size = [], 0
-        for w in words:
-            self.number[w] = len(self.number)
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        self.flat.append(np.concatenate(tokens))
-        self.ends.append(self.ends[-1][-1] + np.cumsum(sizes))
-        self.held += int(sizes.sum())
+        whole = np.array([self.ranks.get(b, -1) for b in spelled], np.int32)
+        size = np.array([len(b) for b in spelled], np.int64)
+        at = np.flatnonzero(whole >= 0)
+        self.memo.add([words[i] for i in at], whole[at], np.arange(len(at) + 1))
+        todo = np.flatnonzero(whole < 0)
+        todo = todo[np.argsort(size[todo], kind="stable")]
+        first_long = int(np.searchsorted(size[todo], min(LONG_BYTES, 64)))
+        held = np.concatenate([[0], np.cumsum(size[todo])])
+        begin = 0
+        while begin < len(todo):
+            end = min(begin + WORDS_AT_ONCE, max(begin + 1, int(np.searchsorted(held, held[begin] + BYTES_AT_ONCE, "right")) - 1))
+            end = first_long if begin < first_long < end else end
+            group = todo[begin:end]
+            self.memo.add([words[i] for i in group], *self.merge([spelled[i] for i in group]))
+            begin = end
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The text's matches of the pattern, in order, some at a time: the last match of a stretch may go
@@ -194,22 +217,18 @@ class Tokenizer:
     def _tokens(self, parts: list[list[str]], owner: list[int], sizes: np.ndarray) -> np.ndarray:
         if not parts:
             return np.zeros(0, np.int32)
-        if len(self.number) > MEMO_WORDS or self.held > MEMO_BYTES:
-            self._forget()
-        new: dict[str, None] = {}
-        for p in parts:
-            new.update(dict.fromkeys(w for w in p if w not in self.number))
+        if len(self.memo.number) > MEMO_WORDS or self.memo.held > MEMO_TOKENS:
+            self.memo, self.older = Memo(), self.memo  # words in use move on, the others are forgotten
+        new = set().union(*parts).difference(self.memo.number)
+        again = [w for w in new if w in self.older.number] if self.older.number else []
+        if again:
+            self.memo.add(again, *self.older.tokens(again))
+            new.difference_update(again)
         if new:
             self._learn(list(new))
-        self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
-        flat, ends, number = self.flat[0], self.ends[0], self.number
-        words = np.fromiter((number[w] for p in parts for w in p), np.int64, sum(map(len, parts)))
-        begin, size = ends[words], ends[words + 1] - ends[words]
-        stop = np.cumsum(size)
-        at = np.cumsum([len(p) for p in parts])
-        total = np.concatenate([[0], stop])[at]
-        np.add.at(sizes, owner, np.diff(total, prepend=0))
-        return flat[np.repeat(begin - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        tokens, starts = self.memo.tokens(list(chain.from_iterable(parts)))
+        np.add.at(sizes, owner, np.diff(starts[np.cumsum([0, *map(len, parts)])]))
+        return tokens
 
     def decode(self, flat: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
         """The bytes of each run of tokens; None where one isn't in the vocabulary."""
