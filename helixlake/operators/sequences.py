@@ -1,4 +1,5 @@
-"""Sequence similarity: exact joins by edit distance, global identity, residue maps."""
+"""Sequence similarity: exact joins by edit distance, global identity with linear gaps (for affine ones
+see alignment)."""
 
 from __future__ import annotations
 
@@ -109,11 +110,3 @@ def pair_identity(pairs: DataFrame, a: str, b: str, name: str = "identity") -> D
     met = pairs.join(todo, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left")
     return met.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).otherwise(F.col("__id"))).drop("__a", "__b", "__id")
 
-
-def residue_maps(pairs: DataFrame, key: str, truth: str, predicted: str) -> DataFrame:
-    """(key, gt_idx, pred_idx) of aligned residues."""
-    @F.pandas_udf("array<struct<gt_idx:int,pred_idx:int>>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[{"gt_idx": i, "pred_idx": j} for i, j in aligned_residues(p or "", q or "")] for p, q in zip(x, y, strict=True)])
-
-    return pairs.select(key, F.explode(run(truth, predicted)).alias("m")).select(key, "m.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions import scalars as S
-from helixlake.operators import assignment, coordinates, graph, joins, ranking, sequences, stats
+from helixlake.operators import alignment, assignment, coordinates, graph, joins, ranking, sequences, stats
 from helixlake.sources import readers
 
 Tables = dict[str, DataFrame]
@@ -219,9 +219,9 @@ def resource_coverage(needed: DataFrame, sources: Sequence[tuple[str, DataFrame]
 
 
 def aligned_report(pairs: DataFrame) -> DataFrame:
-    """pairs(sample, truth, predicted): identity, matched residues and a note for each sample."""
-    maps = sequences.residue_maps(pairs, "sample", "truth", "predicted").groupBy("sample").agg(F.count(F.lit(1)).alias("aligned"))
-    rows = sequences.pair_identity(pairs, "truth", "predicted").join(maps, "sample", "left").withColumn("aligned", F.coalesce("aligned", F.lit(0)))
+    """pairs(sample, truth, predicted): identity by affine gaps and the longer length, matched residues and a
+    note for each sample."""
+    rows = alignment.report_identity(pairs, "truth", "predicted")
     note = F.when(F.col("identity") == 1, "identical").when(F.col("aligned") < 10, "skipped: too few residues").otherwise("aligned")
     return rows.select("sample", "identity", "aligned", note.alias("note"))
 

@@ -12,7 +12,7 @@ from . import audits
 from .q_coordinates import MAPS_SQL, atoms, halves
 from .q_joins import _sides
 from .q_metrics import CAND, candidates, rounded, sql_final
-from .q_sequences import name_pairs
+from .q_sequences import PAIRS_SQL, affine_sql, name_pairs
 from .q_sources import _cif, _tasks
 from .registry import query, table
 
@@ -209,7 +209,12 @@ def resource_coverage(spark, d):
     return audits.resource_coverage(p, [("existing", named.filter("p_size = 1")), ("cache", named.filter("p_size = 2"))])["counts"]
 
 
-@query()
+_DOUBLED = PAIRS_SQL.replace("upper(replace(x.p_name, ' ', '')) AS a, upper(replace(y.p_name, ' ', '')) AS b", "upper(replace(x.p_name || y.p_name, ' ', '')) AS a, upper(replace(x.p_name, ' ', '')) AS b")
+
+
+@query(f"""
+WITH RECURSIVE {affine_sql(_DOUBLED)}, c AS (SELECT w.p_partkey, count(*) AS n, count(*) FILTER (a[i] = b[j]) AS same FROM w JOIN p ON p.p_partkey = w.p_partkey GROUP BY 1)
+SELECT p.p_partkey AS sample, round(same / length(a), 6) AS identity, n::INT AS aligned, CASE WHEN same = length(a) THEN 'identical' WHEN n < 10 THEN 'skipped: too few residues' ELSE 'aligned' END AS note FROM p JOIN c ON c.p_partkey = p.p_partkey""")
 def aligned_report(spark, d):
     """Each part's name against its own followed by the next part's."""
     p = name_pairs(spark, d)

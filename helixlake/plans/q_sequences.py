@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixlake.functions import scalars as S
-from helixlake.operators import coordinates, joins, ranking, sequences
+from helixlake.operators import alignment, coordinates, joins, ranking, sequences
 
 from .registry import query, table
 
@@ -153,14 +153,46 @@ def name_pairs(spark, d):
     return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
 
 
-@query()
+#: Pairs of names, as name_pairs gives them.
+PAIRS_SQL = "p AS (SELECT x.p_partkey, upper(replace(x.p_name, ' ', '')) AS a, upper(replace(y.p_name, ' ', '')) AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"
+
+
+@query(f"""
+WITH RECURSIVE {PAIRS_SQL}, d AS (SELECT a, b, length(a) AS n, length(b) AS m, 2199023255552 AS s, 1048576 AS k FROM (SELECT DISTINCT a, b FROM p)),
+r AS (SELECT a, b, 0 AS i, list_transform(range(m + 1), lambda j: -j * (s + 1)) AS v FROM d
+  UNION ALL SELECT a, b, i, list_transform(range(m + 1), lambda j: list_max(list_transform(range(j + 1), lambda c: h[c + 1] - (j - c) * (s + 1))))
+  FROM (SELECT r.a, r.b, r.i + 1 AS i, m, s, list_transform(range(m + 1), lambda j: greatest(v[j + 1] - s - 1, CASE WHEN j > 0 THEN v[j] + CASE WHEN r.a[r.i + 1] = r.b[j] THEN s + k ELSE -s END - 1 ELSE v[j + 1] - s - 1 END)) AS h FROM r JOIN d ON d.a = r.a AND d.b = r.b WHERE r.i < n)),
+e AS (SELECT d.*, v[m + 1] - floor((v[m + 1] + k)::DOUBLE / s)::BIGINT * s AS rest FROM r JOIN d ON d.a = r.a AND d.b = r.b AND i = n)
+SELECT p_partkey, p.a, p.b, round(CASE WHEN p.a = p.b THEN 1.0 ELSE ceil(rest::DOUBLE / k) / (ceil(rest::DOUBLE / k) * k - rest) END, 6) AS identity FROM p JOIN e ON e.a = p.a AND e.b = p.b""")
 def seq_identity(spark, d):
     return sequences.pair_identity(name_pairs(spark, d), "a", "b").withColumn("identity", F.round("identity", 6))
 
 
-@query()
+def affine_sql(pairs: str) -> str:
+    """CTEs w (p_partkey, i, j): residues in one column, for pairs p (p_partkey, a, b)."""
+    best = lambda col, *costs: (c := [f"{n}[{col}] - {k}" for n, k in zip("mxy", costs, strict=True)]) and f"CASE WHEN {c[0]} >= greatest({c[1]}, {c[2]}) THEN 0 WHEN {c[1]} >= {c[2]} THEN 1 ELSE 2 END"
+    return f"""{pairs},
+r AS (SELECT p_partkey, 0 AS i, list_transform(range(length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE -100000 END) AS m, list_transform(range(length(b) + 1), lambda j: -100000) AS x, list_transform(range(length(b) + 1), lambda j: CASE WHEN j = 0 THEN -100000 ELSE -2 - j END) AS y FROM p
+  UNION ALL SELECT p_partkey, i, m, x, list_transform(range(len(m)), lambda j: CASE WHEN j = 0 THEN -100000 ELSE list_max(list_transform(range(j), lambda c: greatest(m[c + 1], x[c + 1]) - 2 - j + c)) END)
+  FROM (SELECT p.p_partkey, i + 1 AS i, list_transform(range(len(m)), lambda j: CASE WHEN j = 0 THEN -100000 ELSE greatest(m[j], x[j], y[j]) + CASE WHEN a[i + 1] = b[j] THEN 2 ELSE -1 END END) AS m,
+          list_transform(range(len(m)), lambda j: greatest(m[j + 1] - 3, x[j + 1] - 1, y[j + 1] - 3)) AS x FROM r JOIN p ON p.p_partkey = r.p_partkey WHERE i < length(a))),
+t AS (SELECT p.p_partkey, i, length(b) AS j, {best("length(b) + 1", 0, 0, 0)} AS s FROM r JOIN p ON p.p_partkey = r.p_partkey AND i = length(a)
+  UNION ALL SELECT t.p_partkey, r.i, t.j - (t.s <> 1)::INT, CASE t.s WHEN 0 THEN {best("t.j", 0, 0, 0)} WHEN 1 THEN {best("t.j + 1", 3, 1, 3)} ELSE {best("t.j", 3, 3, 1)} END
+  FROM t JOIN r ON r.p_partkey = t.p_partkey AND r.i = t.i - (t.s <> 2)::INT WHERE t.i > 0 OR t.j > 0),
+w AS (SELECT p_partkey, i, j FROM t WHERE s = 0 AND i > 0 AND j > 0)"""
+
+
+@query(f"WITH RECURSIVE {affine_sql(PAIRS_SQL)} SELECT p_partkey, (i - 1)::INT AS gt_idx, (j - 1)::INT AS pred_idx FROM w")
 def residue_maps(spark, d):
-    return sequences.residue_maps(name_pairs(spark, d), "p_partkey", "a", "b")
+    return alignment.residue_maps(name_pairs(spark, d), "p_partkey", "a", "b")
+
+
+@query(f"""
+WITH RECURSIVE {affine_sql(PAIRS_SQL)}, c AS (SELECT w.p_partkey, count(*) AS n, count(*) FILTER (a[i] = b[j]) AS same FROM w JOIN p ON p.p_partkey = w.p_partkey GROUP BY 1)
+SELECT p.p_partkey, a, b, round(coalesce(same / greatest(length(a), length(b)), 0), 6) AS identity, coalesce(n, 0)::INT AS aligned FROM p LEFT JOIN c ON c.p_partkey = p.p_partkey""")
+def report_identity(spark, d):
+    """By affine gaps and the longer length."""
+    return alignment.report_identity(name_pairs(spark, d), "a", "b").withColumn("identity", F.round("identity", 6))
 
 
 _FULL = "greatest(longest, n) * (held + 1) > 40000 OR held >= 64"
