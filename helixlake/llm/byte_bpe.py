@@ -16,16 +16,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .common import replacing, table, unused
 
 LONG_BYTES, WORDS_AT_ONCE, BYTES_AT_ONCE, ROWS_KEPT = 64, 20_000, 200_000, 2_000_000
 CHARS_AT_ONCE, TOKENS_AT_ONCE, MEMO_WORDS, MEMO_TOKENS = 1_000_000, 500_000, 150_000, 2_000_000
-MEMORY_LIMIT = "256MB"
+SLICE_BYTES, MEMORY_LIMIT = 2 << 20, "256MB"
 
 _MERGE_ONE = """
 WITH RECURSIVE s(g, tok, live, round) AS (
@@ -251,32 +252,52 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
     return Tokenizer(load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN)
 
 
-def encode(docs: DataFrame, text: str = "text", *, name: str = "token_ids", using: Tokenizer | None = None) -> DataFrame:
-    """docs plus the ids (array<int>) of the whole text.
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about SLICE_BYTES of text, or one row."""
+    held = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(held, held[begin] + SLICE_BYTES, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
+def encode(docs: DataFrame, text: str = "text", *, name: str = "token_ids", packed: bool = False, decoded: str | None = None, using: Tokenizer | None = None) -> DataFrame:
+    """docs plus the ids of the whole text: array<int>, or with `packed` binary, 4 bytes an id, the lowest
+    first. With `decoded` the ids are decoded again in the same task, into a column of that name.
 
     A text is cut by the vocabulary's pattern; a match that is a token is that token, else its bytes
     are merged by rank, the leftmost of equal ranks first. There are no special tokens: their
     spelling is text like any other. Null and empty texts have no ids; any length is taken, a
-    part at a time. Rows, repeats and other columns stay; a column of that name is replaced. The
+    part at a time. Rows, repeats and other columns stay; columns of these names are replaced. The
     vocabulary has a fixed size and is broadcast.
     """
     shared, inner = docs.sparkSession.sparkContext.broadcast(using or tokenizer()), unused(docs, "ids")
     rows = docs.withColumn(inner, F.col(text).cast("string"))
-    spelled = rows.columns.index(inner)
-    schema = StructType([*docs.schema.fields, StructField(inner, ArrayType(IntegerType(), False), False)])
+    kind, back = BinaryType() if packed else ArrayType(IntegerType(), False), unused(rows, "back")
+    schema = StructType([*docs.schema.fields, StructField(inner, kind, False), *([StructField(back, BinaryType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using = shared.value
         for batch in batches:
-            flat, starts = using.encode(batch[spelled].to_pylist())
-            ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:spelled], ids], names=[*batch.schema.names[:spelled], inner])
-
-    return replacing(rows.mapInArrow(run, schema), **{name: F.col(inner)}).drop(inner)
+            for begin, end in _slices(batch[batch.num_columns - 1]):
+                part = batch.slice(begin, end - begin)
+                columns = part.columns[:-1]
+                flat, starts = using.encode(part[part.num_columns - 1].to_pylist())
+                if packed:
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((4 * starts).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))]))
+                else:
+                    columns.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32())))
+                if decoded:
+                    columns.append(pa.array(using.decode(flat, starts), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    out = rows.mapInArrow(run, schema)
+    return replacing(out, **{name: F.col(inner)}, **({decoded: F.col(back)} if decoded else {})).drop(*(c for c in (inner, back) if c not in (name, decoded)))
 
 
 def decode(docs: DataFrame, ids: str = "token_ids", *, name: str = "decoded", using: Tokenizer | None = None) -> DataFrame:
-    """docs plus the bytes (binary) that the ids spell, which needn't be whole characters. No ids spell no
+    """docs plus the bytes (binary) that ids (array<int>) spell, which needn't be whole characters. No ids spell no
     bytes; null ids, or an id that the vocabulary lacks, spell null."""
     shared = docs.sparkSession.sparkContext.broadcast(using or tokenizer())
 
@@ -292,20 +313,7 @@ def decode(docs: DataFrame, ids: str = "token_ids", *, name: str = "decoded", us
     return replacing(docs, **{name: run(F.col(ids).cast("array<int>"))})
 
 
-@F.arrow_udf(StringType())
-def ids_digest(lists: pa.Array) -> pa.Array:
-    """SHA-256, in hex, of the ids as little-endian unsigned 32-bit integers; null for null."""
-    import hashlib
-
-    def digest(ids: pa.Scalar) -> str | None:
-        return hashlib.sha256(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() if ids.is_valid else None
-
-    return pa.array([digest(x) for x in lists], pa.string())
-
-
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
-    using = tokenizer()
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), using=using).drop("text")
-    both = decode(coded, using=using)
-    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), packed=True, decoded="decoded").drop("text")
+    return coded.select("doc_id", F.expr("octet_length(token_ids) div 4").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

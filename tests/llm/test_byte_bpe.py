@@ -7,7 +7,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
 
 from helixlake.llm import byte_bpe
 
@@ -115,6 +114,10 @@ def test_query(spark):
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
 
 
-def test_digest_of_nulls(spark):
-    got = spark.createDataFrame([(None,), ([],), ([1, 2],)], "x array<int>").select(byte_bpe.ids_digest(F.col("x")).alias("d")).collect()
-    assert [r.d for r in got] == [None, hashlib.sha256(b"").hexdigest(), hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest()]
+def test_packed_and_decoded_at_once(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 40)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, back string").coalesce(2)
+    got = byte_bpe.encode(docs, packed=True, name="ids", decoded="back")
+    assert got.columns == ["doc_id", "text", "ids", "back"]
+    for r in got.collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == LIBRARY.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
