@@ -1,9 +1,9 @@
 """Collocations: phrases of two words and more whose words come together more often than apart.
 
-Counting goes by length. Texts become chunks of word numbers once; phrases of n words are counted
-where both of their parts of n - 1 words are frequent, which a bitmap of fixed size says (with
-false alarms, that only cost time). A chunk's phrases are counted before they are shuffled, and
-phrases are told apart by their words, never by a hash.
+Texts become chunks of word numbers once. Which phrases can be frequent is found by length: phrases of
+n words whose both parts of n - 1 words can be are counted by their 64-bit hash, and a bitmap of
+bounded size keeps the hashes that come often enough (false alarms only cost time). Then all phrases
+that pass are counted by their words. A chunk's phrases are counted before they are shuffled.
 
 The counts are then a stream in prefix order (by first word, second word, ...; shorter first), cut
 into ranges of bounded size. Going through it in step with its own shorter phrases gives every
@@ -28,10 +28,10 @@ from pyspark.sql.window import Window
 from .common import mix64, table, write_shared
 
 MIN_COUNT, MAX_WORDS, TOP, CONTAINED = 30, 4, 2_000, 80
-CHUNK_WORDS, SLICE_BYTES, RANGE_ROWS, MOST_BITS = 2_000_000, 4 << 20, 200_000, 28
+CHUNK_WORDS, SLICE_BYTES, RANGE_ROWS, MOST_BITS, ROWS_AT_ONCE = 1_000_000, 4 << 20, 200_000, 28, 100_000
 _GAP = b"\xff"  # in no text
 _BREAKS = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + _GAP * 10)
-_CHUNK = "langs array<string>, lang_of binary, words array<binary>, ids binary, own bigint"
+_CHUNK = "langs array<string>, totals array<bigint>, lang_of binary, words array<binary>, ids binary, own bigint"
 
 
 class Chunks:
@@ -71,14 +71,16 @@ class Chunks:
     def take(self, left: int = 0) -> dict:
         ids, spelled = np.concatenate(self.parts), list(self.numbers)
         langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in spelled))}
-        row = {"langs": list(langs), "lang_of": np.array([langs[lang] for lang, _ in spelled], np.int32).tobytes(), "words": [w for _, w in spelled], "ids": ids.tobytes(), "own": len(ids) - left}
+        lang_of, own = np.array([langs[lang] for lang, _ in spelled], np.int32), len(ids) - left
+        totals = np.bincount(lang_of[ids[:own][ids[:own] > 0] - 1], minlength=len(langs)).tolist()
+        row = {"langs": list(langs), "totals": totals, "lang_of": lang_of.tobytes(), "words": [w for _, w in spelled], "ids": ids.tobytes(), "own": own}
         self._clear([spelled[i - 1] if i else ("", b"") for i in ids[len(ids) - left :].tolist()])
         return row
 
 
 def chunks(docs: DataFrame, text: str, lang: str, max_words: int) -> DataFrame:
     """The written chunks of all texts."""
-    schema = pa.schema([("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("words", pa.list_(pa.binary())), ("ids", pa.binary()), ("own", pa.int64())])
+    schema = pa.schema([("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("lang_of", pa.binary()), ("words", pa.list_(pa.binary())), ("ids", pa.binary()), ("own", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Chunks(max_words - 1)
@@ -105,7 +107,7 @@ def _next_hash(begun: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """A bitmap of phrases: says of each frequent one that it's known, and of few others."""
+    """A bitmap of hashes: says of each that was put in that it's known, and of few others."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
@@ -115,86 +117,105 @@ class Known:
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def known(frequent: DataFrame, n: int) -> Known:
-    """The bitmap of a table (lang, phrase): at least 16 bits a phrase up to 2 ** MOST_BITS bits, the most
-    that is broadcast; of more phrases it lets more others pass."""
+def known(frequent: DataFrame) -> Known:
+    """The bitmap of a table of hashes (h): at least 16 bits a hash up to 2 ** MOST_BITS bits, the most
+    that is broadcast; of more hashes it lets more others pass."""
     size = 1 << min(MOST_BITS, max(15, (16 * max(1, frequent.count()) - 1).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = dict.fromkeys(batch["lang"].to_pylist())
-            number = {name: i for i, name in enumerate(langs)}
-            lang_of = np.array([number[x] for x in batch["lang"].to_pylist()], np.int64)
-            words = [p.as_py().split(b" ") for p in batch["phrase"].cast(pa.binary())]
-            whole = None
-            for k in range(n):
-                word = _word_hashes(list(langs), lang_of, [w[k] for w in words])
-                whole = word if whole is None else _next_hash(whole, word)
-            yield pa.record_batch({"bit": (whole & np.uint64(size - 1)).astype(np.int64) + 1})
-
-    places = frequent.select("lang", "phrase").mapInArrow(run, "bit bigint")
-    rows = places.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bit = F.col("h").bitwiseAND(size - 1) + 1
+    rows = frequent.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     bits = np.zeros(size // 8, np.uint8)
     for bucket, part in rows:  # 4,096 bytes each
-        bits[(bucket - 1) * 4096 :][: len(part)] = np.frombuffer(part, np.uint8)[: len(bits)]
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
     return Known(bits)
 
 
-def chunk_phrases(row: dict, n: int, frequent: Known | None) -> pa.RecordBatch:
-    """(lang, phrase, n, a): a chunk's phrases of n words, counted."""
-    ids, own, words = np.frombuffer(row["ids"], np.int32), row["own"], row["words"]
-    lang_of = np.frombuffer(row["lang_of"], np.int32)
-    starts = np.flatnonzero(ids[:own])
-    starts = starts[starts + n <= len(ids)]
-    for k in range(1, n):
-        starts = starts[ids[starts + k] > 0]
-    if frequent is not None:
-        hashes = np.concatenate([[np.uint64(0)], _word_hashes(row["langs"], lang_of, words)])
-        for shift in (0, 1):
-            whole = hashes[ids[starts + shift]]
-            for k in range(1, n - 1):
-                whole = _next_hash(whole, hashes[ids[starts + shift + k]])
-            starts = starts[frequent(whole)]
-    key, first = ids[starts].astype(np.int64), starts
-    for k in range(1, n):
-        _, key = np.unique(key, return_inverse=True)
-        key = key.astype(np.int64) * (len(words) + 1) + ids[starts + k]
-    _, at, counts = np.unique(key, return_index=True, return_counts=True)
-    first = first[at]
-    spelled = pa.array(words, pa.binary())
-    parts = [spelled.take(pa.array(ids[first + k] - 1)) for k in range(n)]
-    phrase = pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]
-    lang = pa.array(row["langs"], pa.string()).take(pa.array(lang_of[ids[first] - 1]))
-    return pa.record_batch({"lang": lang, "phrase": phrase, "a": counts.astype(np.int64)})
-
-
-def phrase_counts(parts: DataFrame, n: int, frequent: Known | None) -> DataFrame:
-    """(lang, phrase, a) over all chunks, for phrases whose parts pass."""
-    shared = parts.sparkSession.sparkContext.broadcast(frequent)
+class Chunk:
+    """A chunk's phrases: where they start and their hashes, by length."""
+
+    def __init__(self, row: dict):
+        self.ids, self.own, self.words = np.frombuffer(row["ids"], np.int32), row["own"], row["words"]
+        self.langs, self.lang_of = row["langs"], np.frombuffer(row["lang_of"], np.int32)
+        word = np.concatenate([np.zeros(1, np.uint64), _word_hashes(self.langs, self.lang_of, self.words)])
+        self.hashes = word[self.ids]
+
+    def phrases(self, filters: list[Known], every: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, starts, hashes) for n from 1 to the number of filters, of phrases that they know; then, or
+        with `every` only, of phrases with one word more that begin and end with known ones."""
+        at, n_ids = np.flatnonzero(self.ids), len(self.ids)
+        whole = self.hashes[at]
+        for n, knows in enumerate(filters, 1):
+            good = knows(whole)
+            at, whole = at[good], whole[good]
+            if not every:
+                yield n, at[at < self.own], whole[at < self.own]
+            if n < len(filters) or every:
+                ends = np.zeros(n_ids + 1, bool)
+                ends[at] = True
+                longer = (at + n < n_ids) & ends[np.minimum(at + 1, n_ids)]
+                at, whole = at[longer], whole[longer]
+                last = self.ids[at + n] > 0
+                at = at[last]
+                whole = _next_hash(whole[last], self.hashes[at + n])
+        if every:
+            own = at < self.own
+            yield len(filters) + 1, at[own], whole[own]
+
+    def counted(self, n: int, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, n, a): phrases of n words by what they say."""
+        key = self.ids[starts].astype(np.int64)
+        for k in range(1, n):
+            _, key = np.unique(key, return_inverse=True)
+            key = key.astype(np.int64) * (len(self.words) + 1) + self.ids[starts + k]
+        _, at, counts = np.unique(key, return_index=True, return_counts=True)
+        spelled, langs = pa.array(self.words, pa.binary()), pa.array(self.langs, pa.string())
+        for begin in range(0, len(at), ROWS_AT_ONCE):
+            first = starts[at[begin : begin + ROWS_AT_ONCE]]
+            parts = [spelled.take(pa.array(self.ids[first + k] - 1)) for k in range(n)]
+            phrase = pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]
+            lang = langs.take(pa.array(self.lang_of[self.ids[first] - 1]))
+            yield pa.record_batch({"lang": lang, "phrase": phrase, "n": np.full(len(first), n, np.int32), "a": counts[begin : begin + ROWS_AT_ONCE].astype(np.int64)})
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch[c][i].as_py() for c in batch.schema.names}
+
+
+def likely(parts: DataFrame, filters: list[Known], min_count: int) -> Known:
+    """The bitmap of phrases with one word more than there are filters, by hashes that come often enough."""
+    shared = parts.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield chunk_phrases({c: batch[c][i].as_py() for c in batch.schema.names}, n, shared.value)
+        for row in _rows(batches):
+            for *_, hashes in Chunk(row).phrases(shared.value, True):
+                found, counts = np.unique(hashes, return_counts=True)
+                for at in range(0, len(found), ROWS_AT_ONCE):
+                    yield pa.record_batch({"h": found[at : at + ROWS_AT_ONCE].view(np.int64), "a": counts[at : at + ROWS_AT_ONCE].astype(np.int64)})
 
-    found = parts.mapInArrow(run, "lang string, phrase binary, a bigint")
-    return found.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a"))
+    counted = parts.drop("totals").mapInArrow(run, "h bigint, a bigint").groupBy("h").agg(F.sum("a").alias("a"))
+    return known(write_shared(counted.filter(F.col("a") >= min_count).select("h"), "likely-phrases"))
 
 
 def frequent_phrases(docs: DataFrame, text: str, lang: str, max_words: int, min_count: int) -> tuple[DataFrame, DataFrame]:
     """All phrases (lang, phrase, n, a) of at most max_words words that come min_count times at least, and the
     words of each language (lang, n)."""
     parts = chunks(docs, text, lang, max_words)
-    words = write_shared(phrase_counts(parts, 1, None), "phrase-words")
-    levels = [words.filter(F.col("a") >= min_count)]
-    for n in range(2, max_words + 1):
-        counted = phrase_counts(parts, n, known(levels[-1], n - 1)).filter(F.col("a") >= min_count)
-        levels.append(write_shared(counted, "phrases"))
-    every = None
-    for n, level in enumerate(levels, 1):
-        level = level.withColumn("n", F.lit(n))
-        every = level if every is None else every.unionByName(level)
-    return every, words.groupBy("lang").agg(F.sum("a").alias("n"))
+    filters: list[Known] = []
+    for _ in range(max_words):
+        filters.append(likely(parts, filters, min_count))
+    shared = parts.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            for n, starts, _ in chunk.phrases(shared.value, False):
+                yield from chunk.counted(n, starts)
+
+    found = parts.drop("totals").mapInArrow(run, "lang string, phrase binary, n int, a bigint")
+    every = found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "n").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
+    totals = parts.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
+    return write_shared(every, "phrases"), totals
 
 
 def lockstep(rows: DataFrame, order: list[str], heads: str, longest: str) -> DataFrame:
