@@ -1,10 +1,9 @@
-"""Window functions: strict rank-1, representatives, choices, packing."""
+"""Window functions: strict rank-1, representatives, choices."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,67 +123,6 @@ def repeatable_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
-def pack_batches(items: DataFrame, shard: str, order: str, length: str, *, special: int = 2, max_tokens: int = 4096, max_items: int = 64) -> DataFrame:
-    """items plus batch_no: batches in input order, by shard and then by `order`. A batch is closed when
-    one more item would take its padded size over max_tokens or its number over max_items; an item
-    over the budget is a batch of its own.
-
-    Shards (of bounded size, set by the caller) are folded in parallel, each from the batch that the
-    one before it leaves open, as far as that is known; again until nothing changes. Packings that
-    begin differently soon close a batch at the same place, so that takes two rounds or three. The
-    result is that of one pass over all items."""
-    kind = items.schema[shard].dataType.simpleString()
-
-    def fold(part: pd.DataFrame) -> tuple[pd.DataFrame, list[int], int, int]:
-        part = part.sort_values(order)
-        longest, held = (int(x) for x in part[["__longest", "__held"]].iloc[0])
-        started, out = 0, []
-        for size in part[length] + special:
-            if not held or max(longest, size) * (held + 1) > max_tokens or held >= max_items:
-                started, longest, held = started + 1, 0, 0
-            longest, held = max(longest, size), held + 1
-            out.append(started)
-        return part, out, int(longest), held
-
-    def state(part: pd.DataFrame) -> pd.DataFrame:
-        _, out, longest, held = fold(part)
-        return pd.DataFrame([(part[shard].iloc[0], out[-1], longest, held)], columns=["shard", "started", "longest", "held"])
-
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        part, out, *_ = fold(part)
-        return part.assign(batch_no=part["__before"] + out - 1).drop(columns=["__longest", "__held", "__before"])
-
-    by_shard = Window.orderBy("shard")  # a row for each shard
-    left = lambda c, default: F.coalesce(F.lag(c).over(by_shard), F.lit(default))
-    carry = items.select(F.col(shard).alias("shard")).distinct().withColumns({"__longest": F.lit(0), "__held": F.lit(0), "__before": F.lit(0).cast("long")})
-    while True:
-        carry = write_shared(carry, "open-batches")
-        met = items.join(carry, F.col(shard).eqNullSafe(F.col("shard"))).drop("shard") if shard != "shard" else items.join(carry, "shard")
-        ends = write_shared(met.groupBy(shard).applyInPandas(state, f"shard {kind}, started int, longest int, held int"), "batches")
-        begun = F.coalesce(F.sum("started").over(by_shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        new = ends.select("shard", left("longest", 0).alias("__longest"), left("held", 0).alias("__held"), begun.alias("__before"))
-        if new.exceptAll(carry.select(new.columns)).isEmpty():
-            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-            return met.groupBy(shard).applyInPandas(number, f"{fields}, batch_no long")
-        carry = new
-
-
-def least_loaded(items: DataFrame, shard: str, order: Sequence[str], weight: str, bins: int) -> DataFrame:
-    """Each item, in order, to the bin with the least weight so far (then the first). Loads start anew
-    with each shard, so over all shards bins differ by at most the sum of the shards' heaviest items."""
-
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        part, loads, out = part.sort_values(list(order)), [0] * bins, []
-        for w in part[weight]:
-            b = loads.index(min(loads))
-            loads[b] += w
-            out.append(b)
-        return part.assign(bin=out)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return items.groupBy(shard).applyInPandas(assign, f"{fields}, bin int")
-
-
 def run_length(events: DataFrame, by: Sequence[str], order: Sequence[str], failed: Column) -> DataFrame:
     """Consecutive failures up to each event."""
     w = Window.partitionBy(*by).orderBy(*order)

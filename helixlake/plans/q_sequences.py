@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixlake.functions import scalars as S
-from helixlake.operators import alignment, coordinates, joins, ranking, sequences
+from helixlake.operators import alignment, coordinates, joins, packing, ranking, sequences
 
 from .registry import query, table
 
@@ -205,18 +205,19 @@ r AS (SELECT doc_id, i, 0 AS batch_no, n AS longest, 1 AS held FROM d WHERE i =
 SELECT doc_id, batch_no FROM r""")
 def batch_pack(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 250).alias("part"))
-    return ranking.pack_batches(docs, "part", "doc_id", "n_chars", max_tokens=40_000).select("doc_id", "batch_no")
+    return packing.pack_batches(docs, "part", "doc_id", "n_chars", max_tokens=40_000).select("doc_id", "batch_no")
 
 
-@query("""
-WITH RECURSIVE d AS (SELECT doc_id, n_chars AS n, doc_id // 1000 AS shard, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY n_chars, doc_id) AS i FROM documents),
-r AS (SELECT doc_id, shard, i, 0 AS bin, [n, 0, 0, 0] AS loads FROM d WHERE i = 1
-  UNION ALL SELECT d.doc_id, d.shard, d.i, list_position(loads, list_min(loads)) - 1, [loads[1] + (CASE WHEN list_position(loads, list_min(loads)) = 1 THEN n ELSE 0 END), loads[2] + (CASE WHEN list_position(loads, list_min(loads)) = 2 THEN n ELSE 0 END), loads[3] + (CASE WHEN list_position(loads, list_min(loads)) = 3 THEN n ELSE 0 END), loads[4] + (CASE WHEN list_position(loads, list_min(loads)) = 4 THEN n ELSE 0 END)]
-    FROM r JOIN d ON d.shard = r.shard AND d.i = r.i + 1)
-SELECT doc_id, shard, bin FROM r""")
+_LEAST = "list_position(loads, list_min(loads))"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY n_chars, doc_id) AS i FROM documents),
+r AS (SELECT doc_id, i, 0 AS bin, [n, 0, 0, 0] AS loads FROM d WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.i, {_LEAST} - 1, [{", ".join(f"loads[{b}] + CASE WHEN {_LEAST} = {b} THEN n ELSE 0 END" for b in range(1, 5))}] FROM r JOIN d ON d.i = r.i + 1)
+SELECT doc_id, bin FROM r""")
 def least_loaded(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", (F.floor(F.col("doc_id") / 1000)).alias("shard"))
-    return ranking.least_loaded(docs, "shard", ["n_chars", "doc_id"], "n_chars", 4).select("doc_id", "shard", "bin")
+    return packing.least_loaded(table(spark, d, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"], "n_chars", 4).select("doc_id", "bin")
 
 
 _NAMES, _LETTERS = ("A", " ade ", "GUA", "5MC", "?", "u"), ("c", " G ", "xx")

@@ -310,24 +310,6 @@ def test_consensus_breaks_ties(spark):
     assert got["d"] == ("k1", True) and got["a"] == ("k1", False)
 
 
-def test_batches_and_loads(spark):
-    items = spark.createDataFrame([(0, i, n) for i, n in enumerate((100, 200, 300, 900, 10))], "shard int, i int, n int")
-    got = rows(ranking.pack_batches(items, "shard", "i", "n", special=2, max_tokens=500, max_items=8).select("i", "batch_no"), "i")
-    assert got == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
-    rng = random.Random(8)
-    sizes, want, longest, held = [rng.choice((5, 40, 90, 300, 700)) for _ in range(400)], [], 0, 0
-    for n in sizes:
-        if not held or max(longest, n + 2) * (held + 1) > 1000 or held >= 6:
-            longest, held = 0, 0
-        want.append((want[-1] if want else -1) + (held == 0))
-        longest, held = max(longest, n + 2), held + 1
-    many = spark.createDataFrame([(i // 7, i, n) for i, n in enumerate(sizes)], "part int, i int, n int").repartition(5)
-    got = rows(ranking.pack_batches(many, "part", "i", "n", special=2, max_tokens=1000, max_items=6).select("i", "batch_no"), "i")
-    assert [b for _, b in got] == want
-    load = rows(ranking.least_loaded(items, "shard", ["i"], "n", 2).select("i", "bin"), "i")
-    assert load == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)]
-
-
 def test_window_mean(spark):
     w = spark.createDataFrame([("s", 0, [[1.0, 2.0], [3.0, 4.0]]), ("s", 1, [[5.0, 6.0], [7.0, 8.0]])], "k string, start int, v array<array<double>>")
     got = rows(coordinates.window_mean(w, "k", "start", "v").select("place", "mean", "coverage"), "place")
