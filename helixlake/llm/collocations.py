@@ -193,7 +193,8 @@ def likely(parts: DataFrame, filters: list[Known], min_count: int) -> Known:
                 for at in range(0, len(found), ROWS_AT_ONCE):
                     yield pa.record_batch({"h": found[at : at + ROWS_AT_ONCE].view(np.int64), "a": counts[at : at + ROWS_AT_ONCE].astype(np.int64)})
 
-    counted = parts.drop("totals").mapInArrow(run, "h bigint, a bigint").groupBy("h").agg(F.sum("a").alias("a"))
+    # chunks are counted already; most hashes come once, and a map of them on this side would only take memory
+    counted = parts.drop("totals").mapInArrow(run, "h bigint, a bigint").repartition("h").groupBy("h").agg(F.sum("a").alias("a"))
     return known(write_shared(counted.filter(F.col("a") >= min_count).select("h"), "likely-phrases"))
 
 
@@ -213,7 +214,8 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, max_words: int, min_
                 yield from chunk.counted(n, starts)
 
     found = parts.drop("totals").mapInArrow(run, "lang string, phrase binary, n int, a bigint")
-    every = found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "n").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
+    found = found.repartition("lang", "phrase").groupBy("lang", "phrase", "n").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
+    every = found.withColumn("phrase", F.col("phrase").cast("string"))
     totals = parts.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
     return write_shared(every, "phrases"), totals
 
