@@ -127,6 +127,24 @@ def resolve_paths(entries: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return met.select(key, "path", F.when(F.col("p2").isNotNull(), F.col("path")).when(F.col("n") == 1, F.col("only")).alias("resolved"), status.alias("status"))
 
 
+def resolve_paths_in_order(entries: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(key, place, path, resolved, status) of entries(key, place, path), places counted from 0, against
+    files(key, path, folder): DIRECT if the path is there, else REBASED to the key's first file (by path) whose
+    folder is the place, else, where the key has as many files as entries, to the file of that place in the
+    order of paths; else MISSING. The folder is null where its name is no number."""
+    every = files.filter(F.col("path").isNotNull()).select(F.col(key).alias("k"), F.col("path").alias("file"), F.col("folder").cast("long").alias("folder"))
+    direct = every.select(F.col("file").alias("there")).distinct()
+    by_folder = every.filter(F.col("folder").isNotNull()).groupBy(F.col("k").alias("k1"), "folder").agg(F.min("file").alias("by_folder"))
+    turn = every.distinct().withColumn("turn", F.row_number().over(Window.partitionBy("k").orderBy("file", "folder")) - 1)
+    in_turn = turn.select(F.col("k").alias("k2"), "turn", F.col("file").alias("by_turn"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("n_files"))
+    met = entries.withColumn("n_entries", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    met = met.join(direct, F.col("path") == F.col("there"), "left").join(by_folder, (F.col(key) == F.col("k1")) & (F.col("place") == F.col("folder")), "left")
+    met = met.join(in_turn, (F.col(key) == F.col("k2")) & (F.col("place") == F.col("turn")) & (F.col("n_entries") == F.col("n_files")), "left")
+    other = F.coalesce("by_folder", "by_turn")
+    status = F.when(F.col("there").isNotNull(), "DIRECT").when(other.isNotNull(), "REBASED").otherwise("MISSING")
+    return met.select(key, "place", "path", F.coalesce("there", other).alias("resolved"), status.alias("status"))
+
+
 def completeness(targets: DataFrame, expected: dict[str, Sequence], observed: DataFrame, target: str) -> DataFrame:
     """Per target the expected, observed, missing, extra and duplicate combinations of the listed
     values (few, known beforehand), e.g. seeds and samples."""

@@ -133,13 +133,22 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: So many rows of one value are emitted by one row.
+TIES = 100_000
+
+
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """(x, y): one row for each finite value, ties kept, y its rank among them over their number. Ranks
-    come from counts of value ranges, so no task sorts all values."""
+    come from counts of value ranges, so no task sorts all values; ties of more than TIES rows are cut into
+    runs of ranks that are dealt to tasks before they become rows."""
     per = df.select(finite_or_null(F.col(value)).alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted_before(per, "n", "x")
-    total = ranked.agg(F.sum("n").alias("total"))
-    return ranked.crossJoin(F.broadcast(total)).select("x", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "before", "total").select("x", ((F.col("before") + F.col("k")) / F.col("total")).alias("y"))
+    total, most = ranked.agg(F.sum("n"), F.max("n")).first()
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / TIES)))
+    runs = ranked.withColumn("run", run).select("x", (F.col("before") + F.col("run") * TIES).alias("before"), F.least(F.lit(TIES), F.col("n") - F.col("run") * TIES).cast("int").alias("n"))
+    runs = runs.repartition("x", "before") if (most or 0) > TIES else runs
+    rows = runs.select("x", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"), "before")
+    return rows.select("x", ((F.col("before") + F.col("k")) / F.lit(total)).alias("y"))
 
 
 def exceedance(df: DataFrame, value: Column, thresholds: Sequence[float]) -> DataFrame:

@@ -38,6 +38,17 @@ def entity_metadata(entities: DataFrame, revisions: DataFrame, legacy: DataFrame
     return {"metadata": rows, "duplicates": stats.duplicate_keys(rows, "target_id"), "conflicts": stats.conflicting_codes(codes, "pdb_id", "code"), "by_code": stats.value_counts(rows, "code")}
 
 
+def split_counts(entities: DataFrame, masked: DataFrame) -> DataFrame:
+    """Entities, chains and entries of each split, and of them those masked by the reference sets, masked within
+    the test set, and left for evaluation (0 in splits that aren't masked)."""
+    rows = entities.select("key", "split", "pdb_id", F.size("chain_ids").alias("n")).join(masked.select("key", "status"), "key", "left")
+    aggs = [F.count(F.lit(1)).alias("n_entities"), F.sum("n").alias("n_chains"), F.countDistinct("pdb_id").alias("n_entries")]
+    for name, status in (("reference", "MASK_REFERENCE"), ("internal", "MASK_INTERNAL"), ("evaluated", "EVALUATE")):
+        of = F.coalesce(F.col("status") == status, F.lit(False))
+        aggs += [F.count_if(of).alias(f"{name}_entities"), F.sum(F.when(of, F.col("n")).otherwise(0)).alias(f"{name}_chains"), F.countDistinct(F.when(of, F.col("pdb_id"))).alias(f"{name}_entries")]
+    return rows.groupBy("split").agg(*aggs)
+
+
 def split_and_mask(entities: DataFrame, train_end, val_end, min_identity: float = 0.8, listing: DataFrame | None = None) -> Tables:
     """entities(pdb_id, entity_id, chain_ids, sequence, release_date, resolution): the split by date,
     similarity of test entities to train and val and to each other (identity over full length;
@@ -59,7 +70,7 @@ def split_and_mask(entities: DataFrame, train_end, val_end, min_identity: float
     masked = graph.mask_redundant(tests.select("key", "pdb_id", "entity_id", "chain_ids", "resolution", "release_date"), hits, inner, "key", "resolution", "release_date")
     chains = masked.select("pdb_id", "entity_id", F.explode("chain_ids").alias("chain_id"), (F.col("status") == "EVALUATE").alias("evaluate"), "status")
     entries = graph.entry_status(chains, "pdb_id", "chain_id", "evaluate")
-    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_entities"), F.sum(F.size("chain_ids")).alias("n_chains"), F.countDistinct("pdb_id").alias("n_entries"))
+    counts = split_counts(rows, masked)
     manifest = rows.select("pdb_id", "split").distinct().join(entries.select("pdb_id", F.col("status").alias("entry_status")), "pdb_id", "left").withColumn("kept", F.coalesce(F.col("entry_status") != "DROP", F.lit(True)))
     out = {"entities": masked, "chains": chains, "entries": entries, "counts": counts, "manifest": manifest}
     return out if listing is None else out | {"placement": placement_plan(manifest.filter("kept").select("pdb_id", "split"), listing)}

@@ -82,7 +82,10 @@ def split_entries(spark, d):
     return _split_tables(spark, d)["entries"].select("pdb_id", "total_chains", "evaluate_count", "status")
 
 
-@query("SELECT CASE WHEN p_size <= 5 THEN 'train' WHEN p_size <= 7 THEN 'val' ELSE 'test' END AS split, count(*) AS n_entities, count(*) AS n_chains, count(DISTINCT p_brand) AS n_entries FROM part GROUP BY 1")
+_MASKS = ", ".join(f"count(*) FILTER (status = '{s}') AS {n}_entities, count(*) FILTER (status = '{s}') AS {n}_chains, count(DISTINCT p.pdb_id) FILTER (status = '{s}') AS {n}_entries" for n, s in (("reference", "MASK_REFERENCE"), ("internal", "MASK_INTERNAL"), ("evaluated", "EVALUATE")))
+
+
+@query(f"WITH RECURSIVE {_SPLIT} SELECT split, count(*) AS n_entities, count(*) AS n_chains, count(DISTINCT p.pdb_id) AS n_entries, {_MASKS} FROM p LEFT JOIN st ON st.key = p.key GROUP BY 1")
 def split_counts(spark, d):
     return _split_tables(spark, d)["counts"]
 

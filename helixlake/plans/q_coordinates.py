@@ -24,7 +24,7 @@ def atoms(spark, d):
 def pairs(spark, d):
     a = atoms(spark, d)
     ref = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    truth = a.join(F.broadcast(ref.select("vec_id")), "vec_id", "left_semi").drop("vec_id")
+    truth = a.join(ref.select("vec_id"), "vec_id", "left_semi").drop("vec_id")
     return a.withColumnsRenamed({c: f"{c}_pred" for c in "xyz"}).join(truth, ["label", "atom"]).drop("label")
 
 
@@ -129,7 +129,7 @@ def halves(spark, d):
     a = atoms(spark, d)
     ref = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("ref"))
     first = F.col("atom") < 10
-    rows = a.join(F.broadcast(ref), "label").select(F.col("label").cast("string").alias("target"), F.col("vec_id").cast("string").alias("sample"), first.alias("first"), F.lit("ACGUACGUACG").alias("sequence"), F.when(first, F.col("atom")).otherwise(F.col("atom") - 10).alias("seq_id"), "x", "y", "z", (F.col("vec_id") == F.col("ref")).alias("is_ref"))
+    rows = a.join(ref, "label").select(F.col("label").cast("string").alias("target"), F.col("vec_id").cast("string").alias("sample"), first.alias("first"), F.lit("ACGUACGUACG").alias("sequence"), F.when(first, F.col("atom")).otherwise(F.col("atom") - 10).alias("seq_id"), "x", "y", "z", (F.col("vec_id") == F.col("ref")).alias("is_ref"))
     pred = rows.withColumn("chain", F.when(F.col("first"), "Y").otherwise("X")).drop("first", "is_ref")
     return pred, rows.filter("is_ref").withColumn("chain", F.when(F.col("first"), "A").otherwise("B")).drop("first", "is_ref", "sample")
 
@@ -159,14 +159,14 @@ def embedding_qa(spark, d):
     return q.select("label", "n", "n_not_finite", "n_zero", *[F.round(c, 6).alias(c) for c in ("min_abs", "max_abs", "min_norm", "max_norm")])
 
 
-_WIN = "w AS (SELECT label AS k, (vec_id % 5) * 2 AS start, vec_id, embedding[1:4] AS a, embedding[5:8] AS b, embedding[9:12] AS c FROM embeddings), pl AS (SELECT k, start + 0 AS place, a AS v FROM w UNION ALL SELECT k, start + 1, b FROM w UNION ALL SELECT k, start + 2, c FROM w)"
-
-
-@query(f"WITH {_WIN} SELECT k, place, count(*) AS coverage, round(avg(v[1]::DOUBLE), 6) + 0.0 AS m1, round(avg(v[4]::DOUBLE), 6) + 0.0 AS m4 FROM pl GROUP BY ALL")
+@query("""
+WITH w AS (SELECT label AS k, (vec_id % 5) * 2 AS start, embedding AS v, unnest([0, 1, 2, 3]) AS i FROM embeddings), x AS (SELECT k, start + i AS place, unnest(v[16 * i + 1:16 * i + 16]) AS value, unnest(range(16))::INT AS dim FROM w)
+SELECT k, place, dim, round(avg(value::DOUBLE), 6) + 0.0 AS mean, count(*) AS coverage FROM x GROUP BY ALL""")
 def window_mean(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("label").alias("k"), (F.col("vec_id") % 5 * 2).alias("start"), F.array(*[F.slice("embedding", s, 4) for s in (1, 5, 9)]).alias("vectors"))
-    m = coordinates.window_mean(e, "k", "start", "vectors")
-    return m.select("k", "place", "coverage", (F.round(F.element_at("mean", 1), 6) + 0.0).alias("m1"), (F.round(F.element_at("mean", 4), 6) + 0.0).alias("m4"))
+    """Four places of 16 numbers for each embedding."""
+    parts = F.array(*[F.slice("embedding", s, 16) for s in (1, 17, 33, 49)])
+    m = coordinates.window_mean(table(spark, d, "embeddings").select(F.col("label").alias("k"), (F.col("vec_id") % 5 * 2).alias("start"), parts.alias("vectors")), "k", "start", "vectors")
+    return m.select("k", "place", "coverage", F.posexplode("mean").alias("dim", "mean")).withColumn("mean", F.round("mean", 6) + 0.0)
 
 
 @query("SELECT count(*) FILTER (label <> 7) AS n_both, count(*) FILTER (label = 7) AS n_absent, 0 AS n_unexpected, count(*) FILTER (label <> 7 AND label IS DISTINCT FROM (vec_id % 10)) AS bad_label FROM embeddings")

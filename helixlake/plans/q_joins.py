@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from helixlake.operators import graph, joins, ranking, sequences, stats
 
@@ -148,6 +149,23 @@ def resolve_paths(spark, d):
     return joins.resolve_paths(entries, docs.filter("lang <> 'de'").drop("doc_id", "lang"), "k")
 
 
+@query("""
+WITH e AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS place, 'm' || l_orderkey || '/' || l_linenumber AS path FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+f AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN path ELSE 'n' || path END AS file, CASE WHEN l_orderkey % 2 = 0 AND l_linenumber <= 2 THEN l_linenumber END AS folder FROM e WHERE NOT (l_orderkey % 5 = 0 AND l_linenumber = 1)),
+b AS (SELECT l_orderkey, folder, min(file) AS file FROM f WHERE folder IS NOT NULL GROUP BY ALL),
+t AS (SELECT l_orderkey, file, row_number() OVER (PARTITION BY l_orderkey ORDER BY file) - 1 AS turn, count(*) OVER (PARTITION BY l_orderkey) AS n FROM f)
+SELECT e.l_orderkey, place, path, CASE WHEN f.file IS NOT NULL THEN path ELSE coalesce(b.file, t.file) END AS resolved, CASE WHEN f.file IS NOT NULL THEN 'DIRECT' WHEN b.file IS NOT NULL OR t.file IS NOT NULL THEN 'REBASED' ELSE 'MISSING' END AS status
+FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM e) e LEFT JOIN f ON f.file = e.path LEFT JOIN b ON b.l_orderkey = e.l_orderkey AND b.folder = place
+LEFT JOIN t ON t.l_orderkey = e.l_orderkey AND turn = place AND t.n = e.n""")
+def resolve_paths_in_order(spark, d):
+    """By folder number, or by the order of files where their number is right."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    e = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().withColumn("place", F.row_number().over(w) - 1).withColumn("path", F.concat(F.lit("m"), "l_orderkey", F.lit("/"), "l_linenumber"))
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    f = e.filter(~((k % 5 == 0) & (n == 1))).select("l_orderkey", F.when(k % 3 == 0, F.col("path")).otherwise(F.concat(F.lit("n"), "path")).alias("path"), F.when((k % 2 == 0) & (n <= 2), n).alias("folder"))
+    return joins.resolve_paths_in_order(e.drop("l_linenumber"), f, "l_orderkey")
+
+
 @query("""
 SELECT c_custkey, coalesce(a.v, b.v) AS v, CASE WHEN a.v IS NOT NULL THEN 'existing' WHEN b.v IS NOT NULL THEN 'cache' ELSE 'unresolved' END AS source_type FROM customer
 LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON b.o_custkey = c_custkey""")

@@ -84,11 +84,13 @@ def mask_documents(spark, d):
     return sinks.mask_documents(o, "o_custkey", "chain", "o_orderstatus")
 
 
-@query("SELECT upper(substr('00' || (o_orderkey % 3000), -4)) AS pdb_id, count(*) AS n FROM orders GROUP BY 1 HAVING length(pdb_id) = 4")
+@query("SELECT pdb_id, row_number() OVER (ORDER BY first) - 1 AS ord, n FROM (SELECT upper(substr('00' || (o_orderkey * 7 % 3000), -4)) AS pdb_id, min(o_orderkey) AS first, count(*) AS n FROM orders GROUP BY 1) WHERE length(pdb_id) = 4")
 def id_list(spark, d):
-    raw = F.expr("right(concat('00', cast(o_orderkey % 3000 as string)), 4)")
-    rows = table(spark, d, "orders").select(raw.alias("id"), F.col("o_orderkey").alias("ord"))
-    return readers.distinct_ids(rows).drop("ord")
+    """Scanned from a written list of several files, a line for each order."""
+    path = _folder(spark, "ids")
+    line = F.concat(F.expr("right(concat('00', cast(o_orderkey * 7 % 3000 as string)), 4)"), F.lit(",x,"), "o_orderstatus")
+    table(spark, d, "orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").select(line.alias("value")).write.text(path)
+    return readers.id_list(spark, path)
 
 
 _PATH = "'/r/pred_output_' || lower('a' || lpad((user_id % 1000)::VARCHAR, 3, '0')) || '_seed_' || (event_id % 3) || '/x/seed_' || (event_id % 3) || CASE WHEN user_id % 10 = 0 AND event_id % 2 = 0 THEN '/predictions/b' ELSE '/predictions/' END"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions.scalars import clean_token, finite_or_null, normalise_id
 from helixlake.operators.joins import assert_unique
+from helixlake.operators.ranking import counted_before
 
 TASK_DDL = "array<struct<name:string,sequences:array<struct<rnaSequence:struct<sequence:string,count:int,unpairedMsaPath:string>>>>>"
 METRIC_DDL = "struct<status:string,rmsd:string,lddt:string,tm_score:string>"
@@ -16,15 +17,21 @@ METRIC_DDL = "struct<status:string,rmsd:string,lddt:string,tm_score:string>"
 
 def id_list(spark: SparkSession, path: str, sep: str = ",", header: str = "pdb_id") -> DataFrame:
     """(pdb_id, ord, n): first column of a delimited text, normalised, blanks and the header dropped,
-    the first of repeated ids kept with the number of its repeats."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    the first of repeated ids kept with the number of its repeats; ord counts ids from 0 in the order in which
+    they are first seen, in the files by name and in each from its first line on.
+
+    A split of a file is read by one task from its first line to its last, so a line's place is its file,
+    where its split begins in it, and its turn in the split, whatever the order in which tasks run."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("turn"))
+    lines = spark.read.text(path).select("value", place.alias("ord"))
     return distinct_ids(lines.select(F.split("value", sep)[0].alias("id"), "ord"), header)
 
 
 def distinct_ids(rows: DataFrame, header: str = "pdb_id") -> DataFrame:
-    """Of (id, ord): normalised ids once, in the order of their first place, with their number."""
+    """Of (id, ord): normalised ids once with their number, counted from 0 in the order of their first place."""
     ids = rows.filter(F.lower(F.trim("id")) != header).select(normalise_id(F.col("id"), underscore=True).alias("pdb_id"), "ord").filter("pdb_id IS NOT NULL")
-    return ids.groupBy("pdb_id").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    ids = ids.groupBy("pdb_id").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
+    return counted_before(ids.withColumn("one", F.lit(1)), "one", "first").select("pdb_id", F.col("before").alias("ord"), "n")
 
 
 def exclusion_list(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:

@@ -314,6 +314,61 @@ def test_window_mean(spark):
     w = spark.createDataFrame([("s", 0, [[1.0, 2.0], [3.0, 4.0]]), ("s", 1, [[5.0, 6.0], [7.0, 8.0]])], "k string, start int, v array<array<double>>")
     got = rows(coordinates.window_mean(w, "k", "start", "v").select("place", "mean", "coverage"), "place")
     assert got == [(0, [1.0, 2.0], 1), (1, [4.0, 5.0], 2), (2, [7.0, 8.0], 1)]
+    odd = spark.createDataFrame([(None, 3, [[1.0], None, [2.0]]), (None, 3, []), ("a", None, [[1.0]]), ("a", 0, None), ("b", 5, [[None]])], w.schema)
+    got = {(r.k, r.place): (r["mean"], r.coverage) for r in coordinates.window_mean(odd, "k", "start", "v").collect()}
+    assert got[None, 3] == ([1.0], 1) and got[None, 5] == ([2.0], 1) and math.isnan(got["b", 5][0][0]) and len(got) == 3
+    with pytest.raises(Exception, match="unlike lengths"):
+        coordinates.window_mean(spark.createDataFrame([("s", 0, [[1.0, 2.0], [3.0]])], w.schema).coalesce(1), "k", "start", "v").collect()
+    assert coordinates.window_mean(w.limit(0), "k", "start", "v").count() == 0
+
+
+def test_window_mean_shuffles_places(spark, monkeypatch):
+    """Many batches: rows of a place meet over batches, and no more of them than places and batches are shuffled."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4, 8))
+    w = spark.createDataFrame([(i % 3, int(i % 7), x[i].tolist()) for i in range(300)], "k int, start int, v array<array<double>>").repartition(3)
+    want = {}
+    for i in range(300):
+        for j in range(4):
+            want.setdefault((i % 3, i % 7 + j), []).append(x[i, j])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        got = {(r.k, r.place): (r["mean"], r.coverage) for r in coordinates.window_mean(w, "k", "start", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want) and all(n == len(want[k]) and np.allclose(m, np.mean(want[k], axis=0)) for k, (m, n) in got.items())
+
+
+def test_dense_cells_are_split(spark, monkeypatch):
+    """Half of the atoms in one cell: the same pairs, and no task's share of a cell much over CELL_ATOMS."""
+    monkeypatch.setattr(coordinates, "CELL_ATOMS", 20)
+    p = np.concatenate([np.random.default_rng(5).uniform(0, 1, size=(150, 3)), points(150, 6)])
+    df = spark.createDataFrame([("s", i, *map(float, x)) for i, x in enumerate(p)] + [("s", 999, None, 1.0, 1.0)], "s string, a int, x double, y double, z double").repartition(4)
+    want = {(i, j) for i in range(300) for j in range(300) if i != j and np.linalg.norm(p[i] - p[j]) < 1.1}
+    got = coordinates.radius_graph(df, "s", "a", 1.1).collect()
+    assert {(r.src, r.dst) for r in got} == want and len(got) == len(want)
+    home, away, keys = coordinates.gridded(df.dropna(), "s", "a", 1.1)
+    shares = [r["count"] for r in home.groupBy(*keys).count().collect()]
+    assert max(shares) < 3 * 20 and sum(shares) == 300
+
+
+def test_ecdf_of_many_ties(spark, monkeypatch):
+    monkeypatch.setattr(stats, "TIES", 7)
+    values = [1.0] * 50 + [2.0] * 7 + [3.0, float("nan"), None] + [4.0] * 8
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    clean = sorted(v for v in values if v is not None and v == v)
+    assert rows(stats.ecdf(df, "v"), "y") == [(v, (i + 1) / len(clean)) for i, v in enumerate(clean)]
+    # three billion of one value: runs of ranks, no row with an array of all
+    monkeypatch.undo()
+    runs = spark.sql("SELECT 3000000000 AS n").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / stats.TIES))).alias("run"))
+    assert runs.count() == 30_000
+
+
+def test_paths_by_order(spark):
+    e = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z"), ("b", 1, None), ("c", 0, "q")], "k string, place int, path string")
+    f = spark.createDataFrame([("a", "x", None), ("a", "m", None), ("b", "n", 0), ("c", None, 1)], "k string, path string, folder int")
+    got = {(r.k, r.place): (r.resolved, r.status) for r in joins.resolve_paths_in_order(e, f, "k").collect()}
+    assert got == {("a", 0): ("x", "DIRECT"), ("a", 1): ("x", "REBASED"), ("b", 0): ("n", "REBASED"), ("b", 1): (None, "MISSING"), ("c", 0): (None, "MISSING")}
 
 
 def test_results_dont_depend_on_partitions(spark):

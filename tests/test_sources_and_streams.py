@@ -1,6 +1,8 @@
 import datetime as dt
 import os
+import random
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +179,24 @@ def test_backfills_over_many_files_agree_with_batch(spark):
     got = [tuple(r) for r in q_streaming.stream_liveness(spark, d).withColumn("last_seen", F.col("last_seen").cast("timestamp")).collect()]
     stale = {(w, t) for w, t, s in got if s == "STALE"}
     assert {(w, t, s) for w, t, s in got if s != "FRESH" or (w, t) not in stale} == want and len({w for w, *_ in got}) == 9
+
+
+def test_ids_in_the_order_of_files_and_splits(spark, tmp_path):
+    """Several files in many splits: first-seen order is that of the files' lines."""
+    rng, lines = random.Random(4), []
+    for k in range(4):
+        own = [f"{rng.randrange(10**4):04}" for _ in range(3_000)]
+        (tmp_path / f"part-{k}.txt").write_text("pdb_id,x\n" + "".join(f"{x},{i}\n" for i, x in enumerate(own)))
+        lines += own
+    seen = list(dict.fromkeys(lines))
+    for conf, value in (("spark.sql.files.maxPartitionBytes", "4096"), ("spark.sql.files.openCostInBytes", "0")):
+        spark.conf.set(conf, value)
+    try:
+        got = readers.id_list(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        found = got.orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.pdb_id for r in found] == seen and [r.ord for r in found] == list(range(len(seen)))
+    assert {r.pdb_id: r.n for r in found} == Counter(lines)
