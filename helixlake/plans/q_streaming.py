@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixlake.operators import stats
 from helixlake.sources.shared import shared_folder
+from helixlake.streaming import ledger
 from helixlake.streaming import progress as P
 
 from .registry import query, table
@@ -47,8 +48,8 @@ def last_event_wins(spark, d):
 def stream_last_event_wins(spark, d):
     root = f"{shared_folder(spark)}/last-{uuid.uuid4().hex}"
     e = _stream(spark, d).withColumn("task", F.col("user_id") % 20)
-    P.merge_last(e, root, f"{root}-state", "task", "ts", "event_id").awaitTermination()
-    return P.read_last(spark, root, e.schema, "task", "ts", "event_id").select("task", F.col("event_type").alias("state"), "event_id")
+    ledger.merge_last(e, root, f"{root}-state", "task", "ts", "event_id").awaitTermination()
+    return ledger.read_last(spark, root, e.schema, "task", "ts", "event_id").select("task", F.col("event_type").alias("state"), "event_id")
 
 
 @query("SELECT DISTINCT event_id // 3 AS task FROM events")
@@ -79,6 +80,20 @@ def stream_windowed_progress(spark, d):
     return closed.unionByName(_plain(P.still_open(twin, e, "ts", F.col("window_start") + F.expr("INTERVAL 1 HOUR"), 600)))
 
 
+@query(_WINDOWS)
+def stream_windows_and_late(spark, d):
+    """Eight batches in no order of time: what windows count and what came late are all events."""
+    root = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    _events(spark, d).repartition(8, "event_id").write.parquet(f"{root}/in")
+    e = P.read_stream(spark, f"{root}/in", _events(spark, d).schema, files_per_trigger=1)
+    ledger.count_windows(e, f"{root}/out", f"{root}/state", "ts", "event_type", width="1 hour", late_seconds=5 * 86_400).awaitTermination()
+    rows, late = ledger.read_windows(spark, f"{root}/out"), ledger.read_late(spark, f"{root}/out")
+    rows = rows.select("window_start", "event_type", "n")
+    if late is not None:
+        rows = rows.unionByName(late.groupBy("window_start", "event_type").agg(F.count(F.lit(1)).alias("n")))
+    return _plain(rows.groupBy("window_start", "event_type").agg(F.sum("n").alias("n")))
+
+
 @query("""
 SELECT count(*) FILTER (event_type <> 'error') AS done, (20000 - count(*) FILTER (event_type <> 'error')) AS remaining, round(count(*) FILTER (event_type <> 'error') / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6), 6) AS rate,
   round((20000 - count(*) FILTER (event_type <> 'error')) / (count(*) FILTER (event_type <> 'error') / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6)), 4) AS minutes_left FROM events""")

@@ -27,3 +27,23 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables under a path whose write has ended."""
+    at, files = _file_system(spark, path)
+    if not files.exists(at):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(at) if x.isDirectory()]
+    return sorted(n for n in names if files.exists(_file_system(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written."""
+    at, files = _file_system(spark, path)
+    files.delete(at, True)

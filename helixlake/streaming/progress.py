@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from helixlake.operators.ranking import first_by
 
@@ -37,24 +36,6 @@ def last_wins(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     return first_by(events, [key], F.desc(ts), F.desc(tie))
 
 
-def merge_last(events: DataFrame, path: str, checkpoint: str, key: str, ts: str, tie: str) -> StreamingQuery:
-    """Keep the last event of each key. The state store holds one row for each; a batch writes only the
-    keys that it changed, to a folder named by the batch, so that one that is run again gives the
-    same. `read_last` reads the latest of each."""
-    rest = [c for c in events.columns if c not in (key, ts, tie)]
-    last = events.groupBy(key).agg(F.max(F.struct(ts, tie, *rest)).alias("m")).select(key, "m.*").select(*events.columns)
-
-    def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return last.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_last(spark: SparkSession, path: str, schema, key: str, ts: str, tie: str) -> DataFrame:
-    """The last event of each key of what merge_last has written; schema is that of its events."""
-    return last_wins(spark.read.schema(schema).parquet(f"{path}/*"), key, ts, tie)
-
-
 def windowed_counts(events: DataFrame, ts: str, state: str, width: str = "1 minute", slide: str | None = None, late: str | None = None) -> DataFrame:
     """Events by window and state; with `late` on a stream."""
     timed = events.withWatermark(ts, late) if late else events
