@@ -1,9 +1,9 @@
 """Collocations: phrases of two words and more whose words come together more often than apart.
 
 Texts become chunks of word numbers once. Which phrases can be frequent is found by length: phrases of
-n words whose both parts of n - 1 words can be are counted by their 64-bit hash, and a bitmap of
-bounded size keeps the hashes that come often enough (false alarms only cost time). Then all phrases
-that pass are counted by their words. A chunk's phrases are counted before they are shuffled.
+n words whose both parts of n - 1 words can be are counted by COUNTED_BITS of their hash, and a bitmap
+of bounded size keeps the hashes that come often enough (false alarms only cost time). Then all
+phrases that pass are counted by their words. A chunk's phrases are counted before they are shuffled.
 
 The counts are then a stream in prefix order (by first word, second word, ...; shorter first), cut
 into ranges of bounded size. Going through it in step with its own shorter phrases gives every
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import mix64, table, write_shared
 
 MIN_COUNT, MAX_WORDS, TOP, CONTAINED = 30, 4, 2_000, 80
-CHUNK_WORDS, SLICE_BYTES, RANGE_ROWS, MOST_BITS, ROWS_AT_ONCE = 1_000_000, 4 << 20, 200_000, 28, 100_000
+CHUNK_WORDS, SLICE_BYTES, RANGE_ROWS, MOST_BITS, COUNTED_BITS, ROWS_AT_ONCE = 1_000_000, 4 << 20, 200_000, 28, 40, 100_000
 _GAP = b"\xff"  # in no text
 _BREAKS = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + _GAP * 10)
 _CHUNK = "langs array<string>, totals array<bigint>, lang_of binary, words array<binary>, ids binary, own bigint"
@@ -189,7 +189,7 @@ def likely(parts: DataFrame, filters: list[Known], min_count: int) -> Known:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             for *_, hashes in Chunk(row).phrases(shared.value, True):
-                found, counts = np.unique(hashes, return_counts=True)
+                found, counts = np.unique(hashes & np.uint64((1 << COUNTED_BITS) - 1), return_counts=True)
                 for at in range(0, len(found), ROWS_AT_ONCE):
                     yield pa.record_batch({"h": found[at : at + ROWS_AT_ONCE].view(np.int64), "a": counts[at : at + ROWS_AT_ONCE].astype(np.int64)})
 
@@ -214,7 +214,7 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, max_words: int, min_
                 yield from chunk.counted(n, starts)
 
     found = parts.drop("totals").mapInArrow(run, "lang string, phrase binary, n int, a bigint")
-    found = found.repartition("lang", "phrase").groupBy("lang", "phrase", "n").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
+    found = found.groupBy("lang", "phrase", "n").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
     every = found.withColumn("phrase", F.col("phrase").cast("string"))
     totals = parts.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
     return write_shared(every, "phrases"), totals
