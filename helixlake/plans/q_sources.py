@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions import scalars as S
 from helixlake.operators import joins
-from helixlake.sources import readers, sinks, structures
+from helixlake.sources import readers, sinks, structure_scan, structures
 from helixlake.sources.shared import shared_folder
 
 from .registry import query, table
@@ -189,6 +189,15 @@ def structure_files(spark, d):
     return atoms.groupBy("block").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum(S.finite_or_null(F.col("Cartn_x"))), 3).alias("sum_x"))
 
 
+@query("SELECT l_orderkey::VARCHAR AS block, count(*) AS n_atoms, round(sum(l_quantity), 3) AS sum_x FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1")
+def structure_splits(spark, d):
+    """One file of all structure texts, its atoms read by splits."""
+    path = _folder(spark, "structures")
+    _cif(spark, d).select("text").coalesce(1).write.text(path)
+    atoms, _ = structure_scan.scan(spark, path, "atom_site", "part-*")
+    return atoms.groupBy("block").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum(S.finite_or_null(F.col("Cartn_x"))), 3).alias("sum_x"))
+
+
 def _id():
     return F.lpad((F.col("o_orderkey") % 3000).cast("string"), 4, "0")
 
