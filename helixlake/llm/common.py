@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.sources.shared import shared_folder, write_shared
 
-__all__ = ["bounded", "mix64", "replacing", "shared_folder", "table", "unused", "without_keys", "write_shared"]
+__all__ = ["bounded", "mix64", "replacing", "shared_folder", "shielded", "table", "unused", "without_keys", "write_shared"]
 
 BROADCAST_BYTES = 64 << 20
 
@@ -32,6 +35,25 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(operator: Callable) -> Callable:
+    """An operator on a frame whose inner columns, named with two underscores before or after, can't meet
+    the frame's own: such ones, and arguments that name them, have other names while it runs."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        away: dict[str, str] = {}
+        for c in df.columns:
+            if c.startswith("__") or c.endswith("__"):
+                away[c] = unused(df, f"apart_{len(away)}")
+        if not away:
+            return operator(df, *args, **options)
+        named = lambda v: away.get(v, v) if isinstance(v, str) else v
+        out = operator(df.withColumnsRenamed(away), *map(named, args), **{k: v if k.startswith("item_") else named(v) for k, v in options.items()})
+        return out.withColumnsRenamed({a: c for c, a in away.items() if a in out.columns})
+
+    return run
+
+
 def bounded(rows: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if its rows, spelled out, have BROADCAST_BYTES at most, so
     that what it is joined to stays where it is; a larger one is joined as Spark sees fit."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, replacing, table, write_shared
+from .common import mix64, replacing, shielded, table, write_shared
 
 SIMILARITY, REPETITIONS, SAMPLED_STEPS, MIN_WORDS, SEED = 0.8, 24, 2, 5, 20240229
 ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 5_000, 4_000_000
@@ -324,6 +324,7 @@ def _blocks(benchmark: DataFrame, item_text: str, item_key: str, options: dict)
             yield _matcher(benchmark.sparkSession, [r[1] for r in rows], make_items([r[2] for r in rows], **options))
 
 
+@shielded
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", *, name: str = "matches", **options) -> DataFrame:
     """docs plus an array of (item_id, n_words, edits, at_word): the benchmark items of which some
     stretch of the whole text is within the allowed edits (in words, (1 - similarity) of the

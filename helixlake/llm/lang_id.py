@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, replacing, table, write_shared
+from .common import bounded, replacing, shielded, table, write_shared
 from .unigram import DEFAULT_MODEL, MARK, MEMO_ENTRIES, automaton, load_pieces
 
 SAMPLE_DOCS, ROUNDS, LANGUAGES_AT_ONCE = 500, 2, 500
@@ -275,6 +275,7 @@ def _likelihoods(spark: SparkSession, model: Model):
     return run
 
 
+@shielded
 def predict(docs: DataFrame, models: Iterable[Model], text: str = "text") -> DataFrame:
     """docs plus lang_pred and score, the predicted language's share of the likelihood of the whole
     text (0 to 1; equal priors, and of equal languages the first by name). Texts that are null or
@@ -299,6 +300,7 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 4 == 2
 
 
+@shielded
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, model_path: str = DEFAULT_MODEL, sample_docs: int = SAMPLE_DOCS, languages_at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """Fit on a sample of at most sample_docs rows for each value of `lang` and predict every row. A
     model has languages_at_once languages at most, about 260 KB each; more are learned and

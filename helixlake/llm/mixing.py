@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, bounded, replacing, table, write_shared
+from .common import BROADCAST_BYTES, bounded, replacing, shielded, table, write_shared
 
 BLOCK_ROWS, MOST_BLOCKS, TEMPERATURE, BUCKET_ROWS, SEED = 50, 1_000_000, 0.5, 20_000, 7
 
@@ -131,6 +131,7 @@ def exact_schedule(blocks: list[int], weights: list[float]) -> dict[str, array]:
     return out
 
 
+@shielded
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", *, weights: dict | None = None, temperature: float = TEMPERATURE, block_rows: int | None = None, period: int | None = None, seed: int = SEED) -> DataFrame:
     """docs plus mix_phase, mix_release and mix_deadline (of its block, in slots of the phase),
     mix_slot (over all phases), and mix_position, by which the mixed corpus is read.

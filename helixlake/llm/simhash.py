@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from helixlake.operators.graph import component_roots
 
-from .common import bounded, mix64, replacing, table, without_keys, write_shared
+from .common import bounded, mix64, replacing, shielded, table, without_keys, write_shared
 
 SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 16, 64
 LEAF = 64
@@ -68,6 +68,7 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
     return [h(joined[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
+@shielded
 def fingerprints(docs: DataFrame, text: str = "text", *, words: int = 4, seed: int = 42, name: str = "fingerprint") -> DataFrame:
     """docs plus the 64-bit SimHash of the whole text as a long. Words are runs of anything but
     ASCII white space, A-Z lower-cased. Null, empty and blank texts have fingerprint 0."""

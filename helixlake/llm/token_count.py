@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import replacing, table
+from .common import replacing, shielded, table
 from .unigram import DEFAULT_MODEL, Memo, automaton, divisible, load_pieces, units
 
 UNKNOWN_PENALTY = 10.0
@@ -65,6 +65,7 @@ class Counter:
         return sum(map(self.memo.__getitem__, parts)) if self.divisible else self.unit("".join(parts)) if parts else 0
 
 
+@shielded
 def count_tokens(docs: DataFrame, text: str = "text", *, model: str = DEFAULT_MODEL, pieces: list[tuple[str, float]] | None = None, byte_fallback: bool = True, name: str = "n_tokens") -> DataFrame:
     """docs plus the number of pieces of the whole text. Spaces become marks and one is put before
     the text; nothing else is normalised. Null and empty texts have 0. An input column of that

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import replacing, table, write_shared
+from .common import replacing, shielded, table, write_shared
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 TRIE_RULES = 1_000_000
@@ -92,6 +92,7 @@ def _judge(spark: SparkSession, rules: list):
     return run
 
 
+@shielded
 def filter_urls(pages: DataFrame, url: str = "url", *, rules=RULES, default: str = "allow", trie_rules: int = TRIE_RULES) -> DataFrame:
     """pages plus host, path, rule and verdict.
 

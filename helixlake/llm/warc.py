@@ -14,12 +14,13 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_folder, table, write_shared
+from .common import bounded, shared_folder, shielded, table, write_shared
 
 RECORDS_PER_FILE, FILE_BYTES = 1_000, 64 << 20
 _END = "\r\n\r\n"
@@ -58,6 +59,7 @@ def revisits(headers: DataFrame, key: str, url: str, min_bytes: int) -> DataFram
     return met.select(F.col(key).alias("__key"), F.col("payload_digest").alias("__digest"), F.col("m.k").alias("refers_to"), F.col("m.u").alias("refers_to_url")).distinct()
 
 
+@shielded
 def resolve(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", *, min_bytes: int = 0) -> DataFrame:
     """pages (key, url, payload) plus payload_bytes, payload_digest, record_type, refers_to and
     refers_to_url.
@@ -89,15 +91,16 @@ def _clean(column):
 
 
 def record_text(key: str, url: str, payload: str, date: str):
-    """Fresh headers and, for responses, the payload. `X-Page-Id` carries the key."""
+    """Fresh headers and, for responses, the payload. `X-Page-Id` carries the key, as it would stand in a form
+    (percent-encoded, so that any text comes back); a null key has none."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("record_type") == "revisit"
-    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    k, spelled = F.coalesce(F.col(key).cast("string"), F.lit("")), lambda c: F.url_encode(c.cast("string"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", record_id(k)), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _clean(F.col(url))), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Refers-To-Target-URI", _clean(F.col("refers_to_url"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(""),
-        line("X-Page-Id", k), line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", (F.when(revisit, 0).otherwise(F.col("payload_bytes")) + len(HTTP)).cast("string")), F.lit("\r\n" + HTTP),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Refers-To-Target-URI", _clean(F.col("refers_to_url"))), line("X-Refers-To-Page-Id", spelled(F.col("refers_to"))))).otherwise(""),
+        F.coalesce(line("X-Page-Id", spelled(F.col(key))), F.lit("")), line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", (F.when(revisit, 0).otherwise(F.col("payload_bytes")) + len(HTTP)).cast("string")), F.lit("\r\n" + HTTP),
     )
     return F.concat(head, F.when(revisit, "").otherwise(F.col(payload)))
 
@@ -155,7 +158,7 @@ def read_archives(spark: SparkSession, path: str, key_type: str = "bigint") -> D
                     revisit, digest = head["warc-type"] == "revisit", head["warc-payload-digest"].removeprefix("sha1:")
                     if not revisit and payload_digest(body) != digest:
                         raise ValueError(f"payload of {head['warc-record-id']} isn't what its header says")
-                    rows.append((head["x-page-id"] or None, head["warc-target-uri"], None if revisit else body, digest, "revisit" if revisit else "response", head["x-refers-to-page-id"] if revisit else None))
+                    rows.append((None if "x-page-id" not in head else unquote_plus(head["x-page-id"]), head["warc-target-uri"], None if revisit else body, digest, "revisit" if revisit else "response", unquote_plus(head["x-refers-to-page-id"]) if revisit else None))
                     size += len(body)
                     if len(rows) == BATCH_RECORDS or size > BATCH_BYTES:
                         yield batch(rows)
