@@ -353,7 +353,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", **options) -> DataFrame:
     """docs without the rows that hold a benchmark item: of each block of items, in turn, those go that
-    hold one of it."""
+    hold one of it. Null and empty texts hold none and stay, as do null and empty items find none; repeated rows
+    go or stay together, and all columns stay as they are. What a block leaves is written before the next."""
     kept, first = docs, True
     for matcher in _blocks(benchmark, item_text, item_key, options):
         kept = kept if first else write_shared(kept, "uncontaminated")
@@ -362,4 +363,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's matches with benchmark items, within the allowed edits."""
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -304,7 +304,9 @@ def held_out(key: str = "doc_id"):
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, model_path: str = DEFAULT_MODEL, sample_docs: int = SAMPLE_DOCS, languages_at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """Fit on a sample of at most sample_docs rows for each value of `lang` and predict every row. A
     model has languages_at_once languages at most, about 260 KB each; more are learned and
-    compared one model after another."""
+    compared one model after another. Rows whose text or language is null are never learned from; texts that are null
+    or have no letter are `und` with score 0. Repeated rows are predicted alike; all columns stay, but
+    those named lang_pred and score, which are replaced."""
     counted = word_counts(training_rows(docs, text, lang, key, held_out(key), sample_docs))
     languages = languages_of(counted)
     parts = (languages[at : at + languages_at_once] for at in range(0, len(languages), languages_at_once))
@@ -312,5 +314,6 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, held-out ones included."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -183,6 +183,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", *, min
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more hold, kept in the largest doc_id only; digests of what is left of each document."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

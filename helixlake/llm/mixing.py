@@ -205,4 +205,5 @@ def _exact(dealt: DataFrame, offsets: DataFrame, labels: list, blocks: list[int]
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix of sources, with its block's release time and deadline."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -273,6 +273,7 @@ def _searcher(shared, average: float, k: int):
 
 
 def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by BM25 for every hundredth document, against all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return top_k(docs, docs.filter(F.col("doc_id") % 100 == 0))
 

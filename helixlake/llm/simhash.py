@@ -564,4 +564,5 @@ def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest doc_id reachable by links of four differing bits at most."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -82,4 +82,5 @@ def count_tokens(docs: DataFrame, text: str = "text", *, model: str = DEFAULT_MO
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of unigram pieces of every whole text."""
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")

@@ -118,6 +118,7 @@ def filter_urls(pages: DataFrame, url: str = "url", *, rules=RULES, default: str
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the longest rule that fits each page's url."""
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -187,6 +187,7 @@ def original_payloads(records: DataFrame) -> DataFrame:
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages with revisits resolved, written and read back: a row for each record."""
     path, pages = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}", table(spark, sf_dir, "pages").select("page_id", "url", "html")
     largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     write_archives(resolve(pages), path, largest=largest)
