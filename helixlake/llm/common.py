@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helixlake.sources.shared import shared_folder, write_shared
 
-__all__ = ["bounded", "mix64", "replacing", "shared_folder", "shielded", "table", "unused", "without_keys", "write_shared"]
+__all__ = ["batches_of", "bounded", "mix64", "replacing", "shared_folder", "shielded", "table", "unused", "without_keys", "write_shared"]
 
 BROADCAST_BYTES = 64 << 20
 
@@ -35,6 +36,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, what is written goes through Python by so many rows at once; for rows of megabytes, of which
+    a batch would else hold all of a split."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shielded(operator: Callable) -> Callable:
     """An operator on a frame whose inner columns, named with two underscores before or after, can't meet
     the frame's own: such ones, and arguments that name them, have other names while it runs."""

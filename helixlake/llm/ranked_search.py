@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_folder, table, write_shared
+from .common import batches_of, shared_folder, table, write_shared
 from .search import Top, _ranges, _terms_of, build_index, document_frequencies
 
 K, PAIR_TERMS, BLOCK_BITS, SEED_BLOCKS, BLOCKS_AT_ONCE = 20, 128, 7, 2, 16
-QUERIES_PER_BLOCK, TERMS_PER_BLOCK = 4_000, 1_500_000
+QUERIES_PER_BLOCK, TERMS_PER_BLOCK, DOCS_AT_ONCE = 4_000, 1_500_000, 2_000
 _INTS = {"docs": np.int64, "terms": np.uint64, "counts": np.int32, "posting_docs": np.int32, "impacts": np.int32, "run_counts": np.int32, "run_block": np.int32, "run_size": np.int32, "run_max": np.int32,
          "hot": np.int32, "pair_a": np.int32, "pair_b": np.int32, "pair_counts": np.int32, "pair_block": np.int32, "pair_max": np.int64}
 _ROW = ", ".join(f"{c} binary" for c in _INTS)
@@ -227,7 +227,9 @@ class Shard:
 def impact_index(docs: DataFrame, text: str = "text", key: str = "doc_id", *, pair_terms: int = PAIR_TERMS, **sizes) -> tuple[DataFrame, DataFrame, int, np.ndarray]:
     """The written index, all terms' document frequencies, the number of documents with a term, and the
     terms that have pair lists (at most pair_terms, those in most documents)."""
-    plain = build_index(docs, text, key, **sizes)
+    spark = docs.sparkSession
+    with batches_of(spark, DOCS_AT_ONCE):
+        plain = build_index(docs, text, key, **sizes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +237,8 @@ def impact_index(docs: DataFrame, text: str = "text", key: str = "doc_id", *, pa
             yield pa.record_batch({"n": pa.array([int((x > 0).sum()) for x in lengths], pa.int64()), "l": pa.array([int(x.sum()) for x in lengths], pa.int64())})
 
     n_docs, n_words = plain.select("lengths").mapInArrow(count, "n bigint, l bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("l"), F.lit(0))).first()
-    frequencies = write_shared(document_frequencies(plain), "term-frequencies")
+    with batches_of(spark, 1):  # a shard
+        frequencies = write_shared(document_frequencies(plain), "term-frequencies")
     often = frequencies.orderBy(F.desc("df"), "term").limit(pair_terms).collect()
     hot = np.array([r["term"] for r in often], np.int64).view(np.uint64)
     weights = np.array([weight(n_docs, r["df"]) for r in often], np.int64)
@@ -247,7 +250,8 @@ def impact_index(docs: DataFrame, text: str = "text", key: str = "doc_id", *, pa
                 row = with_impacts({c: batch[c][i].as_py() for c in batch.schema.names}, n_docs, n_words, hot, weights)
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    return write_shared(plain.drop("n_docs", "n_words").mapInArrow(run, _ROW), "impact-index"), frequencies, n_docs, hot
+    with batches_of(spark, 1):
+        return write_shared(plain.drop("n_docs", "n_words").mapInArrow(run, _ROW), "impact-index"), frequencies, n_docs, hot
 
 
 def query_terms(queries: DataFrame, frequencies: DataFrame, text: str, key: str) -> DataFrame:
@@ -286,7 +290,8 @@ def rank(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "do
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # one block
         shared = docs.sparkSession.sparkContext.broadcast(Queries(sorted(map(tuple, rows)), n_docs, hot))
-        index.mapInArrow(_searcher(shared, len(hot), k), kind).write.mode("append").parquet(path)
+        with batches_of(docs.sparkSession, 1):
+            index.mapInArrow(_searcher(shared, len(hot), k), kind).write.mode("append").parquet(path)
         shared.destroy()
     found = docs.sparkSession.read.schema(kind).parquet(path)
     nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
