@@ -30,7 +30,7 @@ from .common import batches_of, shared_folder, table, write_shared
 from .search import Top, _ranges, _terms_of, build_index, document_frequencies
 
 K, PAIR_TERMS, BLOCK_BITS, SEED_BLOCKS, BLOCKS_AT_ONCE = 20, 128, 7, 2, 16
-QUERIES_PER_BLOCK, TERMS_PER_BLOCK, DOCS_AT_ONCE = 4_000, 1_500_000, 2_000
+QUERIES_PER_BLOCK, TERMS_PER_BLOCK, DOCS_AT_ONCE, SHARD_WORDS = 4_000, 1_500_000, 2_000, 1_000_000
 _INTS = {"docs": np.int64, "terms": np.uint64, "counts": np.int32, "posting_docs": np.int32, "impacts": np.int32, "run_counts": np.int32, "run_block": np.int32, "run_size": np.int32, "run_max": np.int32,
          "hot": np.int32, "pair_a": np.int32, "pair_b": np.int32, "pair_counts": np.int32, "pair_block": np.int32, "pair_max": np.int64}
 _ROW = ", ".join(f"{c} binary" for c in _INTS)
@@ -229,7 +229,7 @@ def impact_index(docs: DataFrame, text: str = "text", key: str = "doc_id", *, pa
     terms that have pair lists (at most pair_terms, those in most documents)."""
     spark = docs.sparkSession
     with batches_of(spark, DOCS_AT_ONCE):
-        plain = build_index(docs, text, key, **sizes)
+        plain = build_index(docs, text, key, **({"shard_words": SHARD_WORDS} | sizes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
