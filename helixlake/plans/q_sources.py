@@ -14,6 +14,10 @@ from helixlake.sources.shared import shared_folder
 from .registry import query, table
 
 
+#: Structure texts of a file that is read whole (some 750 bytes each).
+FILE_BLOCKS = 10_000
+
+
 def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -182,10 +186,11 @@ def structure_issues(spark, d):
 
 @query("SELECT l_orderkey::VARCHAR AS block, count(*) AS n_atoms, round(sum(l_quantity), 3) AS sum_x FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1")
 def structure_files(spark, d):
-    """The structure texts written to files, many blocks each, and read back."""
+    """The structure texts written to files, many blocks each, and read back. A file is one task's work, so its
+    size doesn't grow with the tables."""
     path = _folder(spark, "structures")
-    _cif(spark, d).select("text").write.text(path)
-    atoms = structures.table_of(structures.read_items(spark, path, "part-*"), "atom_site")
+    _cif(spark, d).select("text").write.option("maxRecordsPerFile", FILE_BLOCKS).text(path)
+    atoms = structures.table_of(structures.read_items(spark, path, "part-*", "atom_site"), "atom_site")
     return atoms.groupBy("block").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum(S.finite_or_null(F.col("Cartn_x"))), 3).alias("sum_x"))
 
 

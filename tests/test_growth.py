@@ -12,3 +12,19 @@ def test_blocks_leave_one_by_one():
     blocks = structures._Reader(frozenset({"struct"})).read("data_a\n_struct.title x\ndata_b\nloop_\n_struct.title\n'1 2'\n3\n#\nloop_\n_q.a\n_q.b\n1\n")
     assert next(blocks) == ("a", {"struct": {"title": ["x"]}}, [])
     assert list(blocks) == [("b", {"struct": {"title": ["1 2", "3"]}}, [("q", "1 values in a loop of 2 columns")])]
+
+
+def files_of(monkeypatch, spark, tmp_path, name, **limits):
+    from helixlake.plans import q_sources
+
+    for limit, value in limits.items():
+        monkeypatch.setattr(q_sources, limit, value, raising=False)
+    monkeypatch.setattr(q_sources, "_folder", lambda _spark, _name: f"file://{tmp_path}/{name}")
+    n = catalog.QUERIES[name](spark, SF).count()
+    files = [x for x in os.listdir(tmp_path / name) if x.startswith("part-")]
+    return n, len(files), [open(tmp_path / name / x).read().count("data_") for x in files]
+
+
+def test_structure_files_are_bounded(spark, monkeypatch, tmp_path):
+    n, files, blocks = files_of(monkeypatch, spark, tmp_path, "structure_files", FILE_BLOCKS=100)
+    assert n > 1_000 and files > 10 and max(blocks) <= 100
