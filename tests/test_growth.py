@@ -28,3 +28,8 @@ def files_of(monkeypatch, spark, tmp_path, name, **limits):
 def test_structure_files_are_bounded(spark, monkeypatch, tmp_path):
     n, files, blocks = files_of(monkeypatch, spark, tmp_path, "structure_files", FILE_BLOCKS=100)
     assert n > 1_000 and files > 10 and max(blocks) <= 100
+
+
+def test_structure_issues_reads_no_atoms(spark):
+    plan = catalog.QUERIES["structure_issues"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "atom_site#" not in plan and "entry#" in plan
