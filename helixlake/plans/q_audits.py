@@ -25,10 +25,9 @@ FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
 def structure_manifest(spark, d):
     """Structures of two polymer types whose atoms stand for chains."""
     texts = _cif(spark, d)
-    long = structures.items(texts, "entity_poly", "atom_site")
-    broken = structures.issues(long).select(F.col("path").alias("pdb_id")).distinct().withColumn("bad", F.lit(True))
-    types = structures.table_of(long, "entity_poly").groupBy(F.col("path").alias("pdb_id")).agg(S.is_pure_rna(F.collect_set("type")).alias("pure_rna"))
-    checks = types.join(broken, "pdb_id", "left").select("pdb_id", F.col("bad").isNull().alias("valid"), "pure_rna")
+    # loops of all categories are checked; blocks without an entity still tell of issues
+    blocks = structures.items(texts, "entity_poly").select(F.col("path").alias("pdb_id"), (F.size("issues") > 0).alias("bad"), F.explode_outer("entity_poly").alias("e"))
+    checks = blocks.groupBy("pdb_id").agg((~F.bool_or("bad")).alias("valid"), S.is_pure_rna(F.collect_set("e.type")).alias("pure_rna"), F.count("e").alias("n")).filter("n > 0").drop("n")
     key = F.col("o_orderkey")
     ids = table(spark, d, "orders").select(key.cast("string").alias("pdb_id"), (key % 3 != 0).alias("current"), (key % 3 == 0).alias("legacy"))
     files = texts.select(F.col("path").alias("pdb_id"), F.concat(F.lit("/f/"), "path").alias("path"))

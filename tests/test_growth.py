@@ -33,3 +33,8 @@ def test_structure_files_are_bounded(spark, monkeypatch, tmp_path):
 def test_structure_issues_reads_no_atoms(spark):
     plan = catalog.QUERIES["structure_issues"](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert "atom_site#" not in plan and "entry#" in plan
+
+
+def test_structure_manifest_reads_texts_once(spark):
+    plan = catalog.QUERIES["structure_manifest"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1
