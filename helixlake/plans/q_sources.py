@@ -14,8 +14,8 @@ from helixlake.sources.shared import shared_folder
 from .registry import query, table
 
 
-#: Structure texts of a file that is read whole (some 750 bytes each).
-FILE_BLOCKS = 10_000
+#: Structure texts of a file that is read whole, and of one that is read by splits (some 750 bytes each).
+FILE_BLOCKS, SPLIT_FILE_BLOCKS = 10_000, 500_000
 
 
 def _folder(spark, name: str) -> str:
@@ -197,9 +197,11 @@ def structure_files(spark, d):
 
 @query("SELECT l_orderkey::VARCHAR AS block, count(*) AS n_atoms, round(sum(l_quantity), 3) AS sum_x FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1")
 def structure_splits(spark, d):
-    """One file of all structure texts, its atoms read by splits."""
+    """The structure texts in a file, or in several of SPLIT_FILE_BLOCKS, each of several splits; their atoms read
+    by splits. One task writes a file, so files don't grow with the tables beyond that."""
     path = _folder(spark, "structures")
-    _cif(spark, d).select("text").coalesce(1).write.text(path)
+    files = -(-table(spark, d, "orders").count() // SPLIT_FILE_BLOCKS)
+    _cif(spark, d).select("text").repartition(max(1, files)).write.text(path)
     atoms, _ = structure_scan.scan(spark, path, "atom_site", "part-*")
     return atoms.groupBy("block").agg(F.count(F.lit(1)).alias("n_atoms"), F.round(F.sum(S.finite_or_null(F.col("Cartn_x"))), 3).alias("sum_x"))
 

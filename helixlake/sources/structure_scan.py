@@ -18,13 +18,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixlake.sources.structures import _MISSING, _ODD, _TOKEN, TABLES, _unquote
+from helixlake.sources.structures import _MISSING, _NAMES, _ODD, _TOKEN, TABLES, _found, _items_of, _unquote
 
 STATE_BYTES = 64 << 20
 
@@ -58,10 +59,33 @@ class _State:
         return {c: getattr(self, c) for c in ("block", "block_key", "form", "names", "n", "loop")}
 
 
-def _walk(lines: Iterator[str], inside: bool, to) -> bool:
-    """Tell `to` about the tokens of lines: structure(token), values(list), and of text fields opened(first
-    line), more(line), closed(). Returns whether a text field is open at the end."""
-    for line in lines:
+def _walk(text: str, inside: bool, to) -> bool:
+    """Tell `to` about the tokens of whole lines: structure(token), values(list), and of text fields opened(first
+    line), more(line), closed(). Returns whether a text field is open at the end. Lines of names, and what has no
+    text field, comment or underscore, are taken as a whole; other lines one by one."""
+    at, end, mark, comment, field = 0, len(text), -1, -1, -1
+    while at < end:
+        first = text[at]
+        if not inside and first == "_" and (m := _NAMES.match(text, at)):
+            for name in m[0].split():
+                to.structure(name)
+            at = m.end()
+            continue
+        if not inside and first not in "_#;":
+            mark = mark if mark >= at else _found(text, "_", at)
+            comment = comment if comment >= at else _found(text, "#", at)
+            field = field if field >= at else _found(text, "\n;", at)
+            stop = min(mark, comment, field)
+            if stop < end:
+                stop = text.rfind("\n", at, stop + 1) + 1
+            if stop > at:
+                parts = text[at:stop].split()
+                if _unquote(parts):
+                    to.values(parts)
+                    at = stop
+                    continue
+        stop = _found(text, "\n", at)
+        line, at = text[at:stop], stop + 1
         if inside:
             if line[:1] != ";":
                 to.more(line)
@@ -72,6 +96,11 @@ def _walk(lines: Iterator[str], inside: bool, to) -> bool:
             to.opened(line[1:])
             inside = True
             continue
+        elif line[:1] == "#":
+            continue
+        elif line == "loop_":
+            to.structure(line)
+            continue
         parts = None if _ODD.search(line) else line.split()
         if parts is not None and _unquote(parts):
             to.values(parts)
@@ -187,8 +216,7 @@ class _Rows(_State):
                 self.at += head
             if not self.at % width:
                 n = len(self.held) // width
-                columns = [c.split(".", 1)[-1] for c in self.names]
-                values = {c: self.held[i : n * width : width] for i, c in enumerate(columns) if c in self.items}
+                values = {c: self.held[i : n * width : width] for i, c in enumerate(_items_of(tuple(self.names))) if c in self.items}
                 self._put("row", n, row_no=list(range(self.at // width, self.at // width + n)), **values)
                 del self.held[: n * width]
                 self.at += n * width
@@ -246,15 +274,15 @@ class _Rows(_State):
             self.flush(end=True)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[str]]]:
-    """Lines of a partition with their split (file, start), in order."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], str]]:
+    """Lines of a partition with their split (file, start), in order, each with its end."""
     for batch in batches:
-        fids, starts, lines = (batch[k].to_pylist() for k in range(3))
-        begin = 0
-        for i in range(1, len(lines) + 1):
-            if i == len(lines) or fids[i] != fids[begin] or starts[i] != starts[begin]:
-                yield (fids[begin], starts[begin]), lines[begin:i]
-                begin = i
+        if not batch.num_rows:
+            continue
+        fids, starts = (batch[k].to_numpy() for k in range(2))
+        cuts = (np.flatnonzero((np.diff(fids) != 0) | (np.diff(starts) != 0)) + 1).tolist()
+        for begin, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield (int(fids[begin]), int(starts[begin])), "\n".join(batch[2].slice(begin, stop - begin).to_pylist()) + "\n"
 
 
 def _bounded(rows: DataFrame, what: str) -> list:
@@ -299,7 +327,7 @@ def scan(spark: SparkSession, path: str, category: str, glob: str = "*.cif") ->
                     if now is not None:
                         yield done()
                     key, now, inside = at, _Outline(at[1]), at in odd
-                inside = _walk(iter(part), inside, now)
+                inside = _walk(part, inside, now)
             if now is not None:
                 yield done()
 
@@ -333,7 +361,7 @@ def scan(spark: SparkSession, path: str, category: str, glob: str = "*.cif") ->
                     raise RuntimeError("splits changed between two readings; set spark.sql.files.minPartitionNum")
                 state, last = begun.get(at, (None, True))
                 key, now, inside = at, _Rows(at[1], state, category, items, out), at in odd
-            inside = _walk(iter(part), inside, now)
+            inside = _walk(part, inside, now)
             now.flush()
             stamp()
             if len(out["kind"]) > 20_000:

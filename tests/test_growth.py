@@ -38,3 +38,8 @@ def test_structure_issues_reads_no_atoms(spark):
 def test_structure_manifest_reads_texts_once(spark):
     plan = catalog.QUERIES["structure_manifest"](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_structure_splits_writes_in_parallel(spark, monkeypatch, tmp_path):
+    n, files, blocks = files_of(monkeypatch, spark, tmp_path, "structure_splits", SPLIT_FILE_BLOCKS=500)
+    assert n > 1_000 and files == 3 and sum(blocks) == 1_500
