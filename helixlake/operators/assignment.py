@@ -8,8 +8,11 @@ and never sees a point.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ _SUMS = ["n", *[f"p{c}" for c in _XYZ], *[f"t{c}" for c in _XYZ], *[f"p{a}t{b}"
 def cheapest(cost: np.ndarray) -> list[int]:
     """The column of each row of a square cost table, of least sum (shortest augmenting paths)."""
     n = len(cost)
+    if n == 1:
+        return [0]
     u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
     for i in range(1, n + 1):
         match[0], j, least, way, used = i, 0, np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
@@ -157,11 +162,28 @@ def mapping_options(predicted: DataFrame, truth: DataFrame, *, rounds: int = 20,
 
 def unequal_assignment(identities: DataFrame) -> DataFrame:
     """identities(target, pred, truth, identity): the pairs of least summed 1 - identity where both
-    sides have as many chains; a pair without an identity has 0. Such maps never pass by themselves."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        cost = 1 - part.pivot_table(index="pred", columns="truth", values="identity", aggfunc="max").sort_index(axis=0).sort_index(axis=1).fillna(0.0)
-        even = cost.shape[0] == cost.shape[1]
-        rows = [(part["target"].iloc[0], cost.index[i], cost.columns[j], 1 - float(cost.iat[i, j])) for i, j in enumerate(cheapest(cost.to_numpy()))] if even else []
-        return pd.DataFrame(rows, columns=["target", "pred", "truth", "identity"])
-
-    return identities.groupBy("target").applyInPandas(run, "target string, pred string, truth string, identity double").withColumn("exact", F.lit(False))
+    sides have as many chains; a pair without an identity has 0. Such maps never pass by themselves.
+    Targets go to Python many at once, each as a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets, sizes = batch["target"], batch["rows"].value_lengths().to_numpy()
+            flat = batch["rows"].flatten()
+            preds, truths, values = (flat.field(k).to_pylist() for k in range(3))
+            out: list[tuple] = []
+            at = 0
+            for i, n in enumerate(sizes.tolist()):
+                p, t = sorted(set(preds[at : at + n])), sorted(set(truths[at : at + n]))
+                if len(p) == len(t):
+                    row, column = {c: k for k, c in enumerate(p)}, {c: k for k, c in enumerate(t)}
+                    cost = np.ones((len(p), len(t)))
+                    for a, b, v in zip(preds[at : at + n], truths[at : at + n], values[at : at + n], strict=True):
+                        cost[row[a], column[b]] = 1 - v
+                    out += [(i, p[k], t[j], 1 - float(cost[k, j])) for k, j in enumerate(cheapest(cost))]
+                at += n
+            if out:
+                number, p, t, v = zip(*out, strict=True)
+                yield pa.record_batch([targets.take(pa.array(number)), pa.array(p, pa.string()), pa.array(t, pa.string()), pa.array(v, pa.float64())], names=["target", "pred", "truth", "identity"])
+
+    met = identities.filter("pred IS NOT NULL AND truth IS NOT NULL AND identity IS NOT NULL AND NOT isnan(identity)").groupBy("target", "pred", "truth").agg(F.max("identity").alias("identity"))
+    rows = met.groupBy(F.col("target").cast("string").alias("target")).agg(F.collect_list(F.struct("pred", "truth", F.col("identity").cast("double").alias("identity"))).alias("rows"))
+    return rows.mapInArrow(run, "target string, pred string, truth string, identity double").withColumn("exact", F.lit(False))

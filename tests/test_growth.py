@@ -43,3 +43,22 @@ def test_structure_manifest_reads_texts_once(spark):
 def test_structure_splits_writes_in_parallel(spark, monkeypatch, tmp_path):
     n, files, blocks = files_of(monkeypatch, spark, tmp_path, "structure_splits", SPLIT_FILE_BLOCKS=500)
     assert n > 1_000 and files == 3 and sum(blocks) == 1_473
+
+
+def test_unequal_assignment_by_batches(spark):
+    import itertools
+    import random
+
+    from helixlake.operators import assignment
+
+    rng = random.Random(5)
+    best = {(f"t{k}", f"p{i}", f"q{j}"): rng.random() for k in range(60) for i in range(k % 4 + 1) for j in range(k % 4 + (1 if k % 5 else 2))}
+    df = assignment.unequal_assignment(spark.createDataFrame([(*k, v) for k, v in best.items()] + [("t1", "p0", "q0", 0.0)], "target string, pred string, truth string, identity double"))
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().analyzed().toString()
+    want = set()
+    for k in range(60):
+        n = k % 4 + 1
+        if k % 5:
+            way = max(itertools.permutations(range(n)), key=lambda m: sum(best[f"t{k}", f"p{i}", f"q{j}"] for i, j in enumerate(m)))
+            want |= {(f"t{k}", f"p{i}", f"q{j}", round(best[f"t{k}", f"p{i}", f"q{j}"], 9)) for i, j in enumerate(way)}
+    assert {(r.target, r.pred, r.truth, round(r.identity, 9)) for r in df.collect()} == want
