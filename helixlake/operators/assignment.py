@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,20 +107,21 @@ def best_mappings(sums: np.ndarray, group: np.ndarray, rounds: int) -> dict[tupl
     return out
 
 
-def _choose(rows: pd.DataFrame, rounds: int, tolerance: float) -> list[tuple]:
-    """(mapping_key, rmsd, exact, issue) of one candidate: rows of chain pairs with their sums."""
-    preds, trues = sorted(rows["chain_a"].unique()), sorted(rows["chain_b"].unique())
-    at = tuple(np.searchsorted(names, rows[c].to_numpy()) for names, c in ((preds, "chain_a"), (trues, "chain_b")))
+def _choose(chains_a: list[str], chains_b: list[str], sequences_a: list[str], identity: list, exact: bool, numbers: np.ndarray, rounds: int, tolerance: float) -> list[tuple]:
+    """(mapping_key, rmsd, exact, issue) of one candidate, of chain pairs with their sums."""
+    preds, trues = sorted(set(chains_a)), sorted(set(chains_b))
+    row, column = {c: i for i, c in enumerate(preds)}, {c: i for i, c in enumerate(trues)}
+    at = [row[c] for c in chains_a], [column[c] for c in chains_b]
     sums = np.zeros((len(preds), len(trues), len(_SUMS)))
-    sums[at] = rows[_SUMS].fillna(0.0).to_numpy(float)
+    sums[at] = numbers
     name = lambda m: ",".join(f"{p}:{trues[j]}" for p, j in zip(preds, m, strict=True))
-    if not rows["exact"].iloc[0]:
+    if not exact:
         cost = np.ones((len(preds), len(trues)))
-        cost[at] = 1 - rows["identity"].to_numpy(float)
+        cost[at] = 1 - np.array(identity, float)
         dealt = cheapest(cost)
         whole = sums[range(len(dealt)), dealt].sum(axis=0)
         return [(name(dealt), float(motions(whole)[2]) if whole[0] >= 3 else None, False, SEQUENCES_DIFFER)]
-    of = dict(zip(rows["chain_a"], rows["sequence"], strict=True))
+    of = dict(zip(chains_a, sequences_a, strict=True))
     _, group = np.unique([of[c] for c in preds], return_inverse=True)
     found = best_mappings(sums, group, rounds)
     if not found:
@@ -153,11 +153,24 @@ def mapping_options(predicted: DataFrame, truth: DataFrame, *, rounds: int = 20,
     sums = points.groupBy(*candidate, "chain_a", "chain_b").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x).alias(c) for c, x in zip(_SUMS[1:], every, strict=True)])
     table = pairs.join(sums, [*candidate, "chain_a", "chain_b"], "left").withColumnRenamed("seq_a", "sequence").drop("seq_b")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *found) for found in _choose(rows, rounds, tolerance)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, out, at = batch["rows"].flatten(), [], 0
+            told = [flat.field(c).to_pylist() for c in ("chain_a", "chain_b", "sequence", "identity", "exact")]
+            numbers = np.column_stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _SUMS]) if len(flat) else np.zeros((0, len(_SUMS)))
+            numbers[np.isnan(numbers)] = 0.0
+            for i, n in enumerate(batch["rows"].value_lengths().to_pylist()):
+                a, b, sequence, identity, exact = (x[at : at + n] for x in told)
+                out += [(i, *found) for found in _choose(a, b, sequence, identity, exact[0], numbers[at : at + n], rounds, tolerance)]
+                at += n
+            if out:
+                number, key, error, exact, issue = zip(*out, strict=True)
+                of = [batch[c].take(pa.array(number)) for c in candidate]
+                yield pa.record_batch([*of, pa.array(key, pa.string()), pa.array(error, pa.float64()), pa.array(exact, pa.bool_()), pa.array(issue, pa.string())], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
+    told = table.groupBy(*[F.col(c).cast("string").alias(c) for c in candidate]).agg(F.collect_list(F.struct("chain_a", "chain_b", "sequence", "identity", "exact", *_SUMS)).alias("rows"))
     uneven = both.filter(~F.col("even")).select(*candidate, F.lit(None).cast("string").alias("mapping_key"), F.lit(None).cast("double").alias("rmsd"), F.lit(False).alias("exact"), F.lit(COUNTS_DIFFER).alias("issue"))
-    return table.groupBy(*candidate).applyInPandas(run, SCHEMA).unionByName(uneven)
+    return told.mapInArrow(run, SCHEMA).unionByName(uneven)
 
 
 def unequal_assignment(identities: DataFrame) -> DataFrame:
