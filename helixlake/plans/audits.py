@@ -170,9 +170,9 @@ def base_chain_map(inputs: DataFrame, truth: DataFrame, signatures: DataFrame) -
     return {"map": rows, "targets": graph.accept_maps(met, "pdb_id", unique_sequences=F.col("status") == "EXACT_UNIQUE", complete=F.col("chain_a").isNotNull() & F.col("chain_b").isNotNull(), consistent=F.col("consistent"))}
 
 
-def coordinate_chain_map(predicted: DataFrame, truth: DataFrame, lengths: DataFrame, *, min_coverage: float = 0.5, min_dominance: float = 0.8) -> Tables:
+def coordinate_chain_map(predicted: DataFrame, truth: DataFrame, lengths: DataFrame, *, min_coverage: float = 0.5, min_dominance: float = 0.8, tolerance: float = 1e-6) -> Tables:
     """Chain maps by coordinates: the choice of each candidate, its target's variants, and acceptance."""
-    options = assignment.mapping_options(predicted, truth)
+    options = assignment.mapping_options(predicted, truth, tolerance=tolerance)
     chosen = ranking.consensus(options.filter("mapping_key IS NOT NULL"), "sample", "target", "mapping_key", "rmsd")
     variants = stats.variants(chosen, "target", "mapping_key")
     covered = stats.chain_coverage(truth.select("target", "chain"), lengths, ["target", "chain"], "length", min_coverage)

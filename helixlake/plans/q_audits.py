@@ -164,7 +164,7 @@ def base_chain_map(spark, d):
 @query(f"WITH {MAPS_SQL}, v AS (SELECT label, mapping_key, count(*) AS n FROM best GROUP BY 1, 2), m AS (SELECT label, max(n) / sum(n) AS dominance FROM v GROUP BY 1) SELECT label::VARCHAR AS target, CASE WHEN dominance >= 0.8 THEN 'PASS' ELSE 'REVIEW' END AS status, CASE WHEN dominance >= 0.8 THEN '' ELSE 'dominance' END AS reasons FROM m")
 def coordinate_chain_map(spark, d):
     pred, truth = halves(spark, d)
-    return audits.coordinate_chain_map(pred, truth, truth.select("target", "chain").distinct().withColumn("length", F.lit(11)))["targets"]
+    return audits.coordinate_chain_map(pred, truth, truth.select("target", "chain").distinct().withColumn("length", F.lit(11)), tolerance=0.0)["targets"]
 
 
 @query("""
