@@ -7,9 +7,11 @@ number of home points and guests. Each cell goes on with a tree of its own over
 returns links to the smallest member of each local component, never all pairs. The components of
 these links are found by rounds of joins over written tables.
 
-Radii that reach a Jaccard similarity of 0.8 are too wide for a tree to prune anything. For these,
-`similar_texts` deals longer fingerprints to shards by some of their bits, again and again until a
-pair has met with the wanted probability, and verifies what is near by its shingles.
+Radii that reach a Jaccard similarity of 0.8 are too wide for the triangle inequality to rule out
+anything. For these, `similar_texts` grows a forest of vantage-point trees over longer fingerprints:
+each has its own vantage points and deals every point to one leaf, without guests, and there are as many
+trees as a pair needs to meet in a leaf with the wanted probability. What is near in a leaf is
+verified by its shingles.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .common import bounded, mix64, replacing, shielded, table, without_keys, wr
 
 SHARD_POINTS, MIN_DEPTH, MAX_DEPTH, SAMPLE_PER_SHARD = 65_536, 4, 16, 64
 LEAF = 64
-LANES, SHARD_TEXTS, CELL_TEXTS, RECALL, SPREAD = 4, 4_096, 16_384, 0.995, 4.5
+LANES, SHARD_TEXTS, CELL_TEXTS, RECALL, SPREAD = 4, 16_384, 32_768, 0.995, 4.5
+PROBES = 4_096
 CHAINS, NEAREST, MARKS_PER_SHINGLE, PAIRS_AT_ONCE, MARKED_PAIRS_AT_ONCE = 2, 8, 4, 250_000, 20_000
 _LANES = np.uint64(0x0101010101010101)
 
@@ -99,6 +102,11 @@ def _distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def _wide_distance(points: np.ndarray, v) -> np.ndarray:
+    """Differing bits of points of several words, a row each."""
+    return np.bitwise_count(points ^ v).sum(axis=1, dtype=np.int64)
+
+
 def _cut_at(d: np.ndarray) -> int:
     """The distance m that splits d into d <= m and d > m, both with members; -1 if it can't."""
     m = int(np.sort(d)[(len(d) - 1) // 2])
@@ -321,6 +329,57 @@ def differing_bits(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+class ForestTree:
+    """A vantage-point tree over points of several words, a row each: of a node's sample those at most as
+    far from a random one as the median go to one side, the rest to the other."""
+
+    def __init__(self, sample: np.ndarray, depth: int, rng: np.random.Generator):
+        self.depth, self.rng = depth, rng
+        self.points: list[np.ndarray] = []
+        self.cuts: list[int] = []
+        self.sides: list[tuple[int, int]] = []
+        self._grow(sample, depth)
+        self.vantage, self.cut, self.side = np.array(self.points), np.array(self.cuts), np.array(self.sides)
+        del self.points, self.cuts, self.sides, self.rng
+
+    def _grow(self, sample: np.ndarray, depth: int) -> int:
+        at, m = len(self.cuts), -1
+        v = sample[self.rng.integers(len(sample))]
+        if depth and len(sample) > 1:
+            d = _wide_distance(sample, v)
+            m = _cut_at(d)
+        self.points.append(v), self.cuts.append(m), self.sides.append((at, at))
+        if m >= 0:
+            self.sides[at] = (self._grow(sample[d <= m], depth - 1), self._grow(sample[d > m], depth - 1))
+        return at
+
+    def leaves(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each point; leaves lead to themselves."""
+        at = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            far = _wide_distance(points, self.vantage[at]) > self.cut[at]
+            at = self.side[at, far.astype(np.int64)]
+        return at
+
+
+def forest(sample: np.ndarray, depth: int, similarity: float, seed: int) -> list[ForestTree]:
+    """As many trees as points of the sample need to meet partners of that similarity (as many random
+    bits turned) in a leaf with probability RECALL. Where even twice as many as even splits would
+    need are too few, as among points that lie closer than such partners, trees are less deep."""
+    rng, p = np.random.default_rng(seed), differing_bits(similarity)
+    points = sample[rng.integers(len(sample), size=PROBES)]
+    turned = np.packbits(rng.random((PROBES, 64 * sample.shape[1])) < p, axis=1).view(np.uint64)
+    partners, together = points ^ turned, 1 - math.acos(1 - 2 * p) / math.pi
+    for d in range(depth, 0, -1):
+        trees, apart = [], np.ones(PROBES, bool)
+        while len(trees) < 2 * math.log(1 - RECALL) / math.log(1 - together**d):
+            trees.append(ForestTree(sample, d, rng))
+            apart[apart] = trees[-1].leaves(points[apart]) != trees[-1].leaves(partners[apart])
+            if apart.mean() <= 1 - RECALL:
+                return trees
+    return [ForestTree(sample, 0, rng)]
+
+
 def _sampled(lanes: list[np.ndarray], positions: np.ndarray) -> np.ndarray:
     """The bits at these positions of the lanes, as one number."""
     out = np.zeros(len(lanes[0]), np.uint64)
@@ -438,20 +497,19 @@ def _chained(points: DataFrame, similarity: float, seed: int) -> DataFrame:
 
 def _candidates(points: DataFrame, total: int, similarity: float, most: int, seed: int, shard_texts: int, cell_texts: int) -> DataFrame:
     """(a, b, more) by name, see near_pairs, of points (sig, n, comp, f0..., and marks if they are to be
-    used). In each repetition a point goes to the shard that some of its bits name. Of a shard with
-    more than cell_texts the points are cut into chunks, and what isn't of the shard's largest
-    component meets them all."""
-    bits = max(0, math.ceil(math.log2(max(1, total / shard_texts))))
-    meet = (1 - differing_bits(similarity)) ** bits
-    repetitions = 1 if meet == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
-    rng = np.random.default_rng(seed + 1)
-    positions = [rng.permutation(64 * LANES)[:bits] for _ in range(repetitions)]
+    used). In each tree of the forest (`turn`) a point goes to the leaf (`shard`) that its distances from
+    the vantage points lead to. Of a leaf with more than cell_texts the points are cut into chunks, and
+    what isn't of the leaf's largest component meets them all."""
+    depth = max(0, math.ceil(math.log2(max(1, total / shard_texts))))
+    sample = points.select(*_F).orderBy(F.xxhash64(*_F)).limit(SAMPLE_PER_SHARD << depth).toArrow()
+    sample = np.column_stack([_unsigned(sample[c]) for c in _F])
+    shared = points.sparkSession.sparkContext.broadcast(forest(sample, depth, similarity, seed + 1) if len(sample) else [])
 
     def keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lanes = [batch[c].to_numpy().view(np.uint64) for c in _F]
-            for i, p in enumerate(positions):
-                yield pa.record_batch({"turn": np.full(batch.num_rows, i, np.int32), "shard": _sampled(lanes, p).view(np.int64), **{c: batch[c] for c in names}})
+            fps = np.column_stack([batch[c].to_numpy().view(np.uint64) for c in _F])
+            for i, tree in enumerate(shared.value):
+                yield pa.record_batch({"turn": np.full(batch.num_rows, i, np.int32), "shard": tree.leaves(fps), **{c: batch[c] for c in names}})
 
     where, columns = "turn int, shard bigint", tuple(c for c in ("sig", "n", "comp", *_F, "marks") if c in points.columns)
     few = points.mapInArrow(lambda b: keys(b, ("comp",)), f"{where}, comp bigint")
@@ -516,9 +574,9 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", *, w
     runs of so many words have at least that Jaccard similarity; component_id is the smallest key
     reachable. Null, empty and blank texts have the empty set, and are alike.
 
-    Equal sets are one point with a SimHash of 256 bits. Points meet in shards named by some of
-    their bits, in as many repetitions as a pair of the least similarity needs to meet with
-    probability RECALL; nearer pairs meet more surely. What is near by size and bits is verified
+    Equal sets are one point with a SimHash of 256 bits. Points meet in the leaves of vantage-point
+    trees, of as many as a pair of the least similarity needs to meet with probability
+    RECALL; nearer pairs meet more surely. What is near by size and bits is verified
     exactly. Chains of neighbours connect large groups of near copies first; then each point
     names its `nearest` near points of other components. What has more near points goes round
     again, with bit maps of its shingles that rule out most pairs of less similarity, with the

@@ -180,6 +180,38 @@ def test_sampled_bits_meet_as_often_as_planned():
     assert abs(met / (n * 64 * simhash.LANES) - p) < 0.01
 
 
+def test_forest_of_vantage_points_meets_similar_points():
+    """Leaves come from distances to vantage points, are of like sizes, and pairs at the least similarity meet."""
+    rng = np.random.default_rng(9)
+    points = rng.integers(0, 2**64, (8_000, simhash.LANES), dtype=np.uint64)
+    turned = rng.random((8_000, 64 * simhash.LANES)) < simhash.differing_bits(0.8)
+    partners = points ^ np.packbits(turned, axis=1).view(np.uint64)
+    trees = simhash.forest(points[:1_024], 4, 0.8, 5)
+    met = np.zeros(len(points), bool)
+    for tree in trees:
+        leaves = tree.leaves(points)
+        met |= leaves == tree.leaves(partners)
+        for at in range(20):  # the way by hand
+            node = 0
+            while tree.side[node, 0] != node:
+                d = sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(points[at], tree.vantage[node], strict=True))
+                node = tree.side[node, int(d > tree.cut[node])]
+            assert node == leaves[at]
+        assert len(np.unique(leaves)) == 16 and np.unique(leaves, return_counts=True)[1].max() < 2 * 8_000 / 16
+    assert met.mean() > 0.99 and len(trees) < 34
+
+
+def test_forest_of_points_closer_than_partners():
+    """Points of which all pairs are nearer than the least similarity: less deep trees, or one leaf for all."""
+    rng = np.random.default_rng(9)
+    points = np.zeros((500, simhash.LANES), np.uint64)
+    points[:, 0] = np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)
+    trees = simhash.forest(points, 8, 0.8, 5)
+    partners = points ^ np.packbits(rng.random((500, 64 * simhash.LANES)) < simhash.differing_bits(0.8), axis=1).view(np.uint64)
+    assert np.any([tree.leaves(points) == tree.leaves(partners) for tree in trees], axis=0).mean() > 0.97
+    assert len(simhash.forest(points[:1].repeat(9, axis=0), 3, 0.8, 5)) == 1
+
+
 def test_marks_rule_out_no_similar_pair():
     rng = np.random.default_rng(6)
     sets = []
