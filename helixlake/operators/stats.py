@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from helixlake.functions.scalars import finite_or_null
 from helixlake.operators.ranking import counted_before, first_by
+from helixlake.sources.shared import write_shared
 
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 DESCRIBE_THRESHOLDS, FINAL_THRESHOLDS = (2, 4, 5, 10), (2, 5, 10, 20)
@@ -28,19 +29,21 @@ def description(value: Column, thresholds: Sequence[float] = DESCRIBE_THRESHOLDS
     return out + [_share(F.count_if(value <= t), with_).alias(f"pct_le_{t:g}") for t in thresholds]
 
 
-def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float], times: str | None = None) -> DataFrame:
     """Exact percentiles of each group, an array in the order of shares: what F.percentile gives, but
     from ranks by ranges of (group, value), so that a group may be of any size. `by` may be empty;
-    groups without a finite value are left out."""
+    groups without a finite value are left out. With `times` df has each value of a group once, and
+    how often it comes."""
     keys = list(by)
-    per = df.select(*keys, finite_or_null(F.col(value)).alias("__x")).filter(F.col("__x").isNotNull()).groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    per = df.select(*keys, finite_or_null(F.col(value)).alias("__x"), (F.col(times) if times else F.lit(1)).alias("__n")).filter(F.col("__x").isNotNull())
+    per = per if times else per.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
     ranked = counted_before(per, "__n", *keys, "__x")
     sizes = ranked.groupBy(*keys).agg(F.min("before").alias("__first"), F.sum("__n").alias("__all"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("__all") - 1)).alias("p")) for i, s in enumerate(shares)])
-    met = _beside(ranked, sizes, keys).select(*keys, "__x", "__n", (F.col("before") - F.col("__first")).alias("__at"), F.explode(wanted).alias("w"))
     holds = lambda rank: (rank >= F.col("__at")) & (rank < F.col("__at") + F.col("__n"))
+    met = _beside(ranked, sizes, keys).withColumn("__at", F.col("before") - F.col("__first"))
+    met = met.select(*keys, "__x", "__n", "__at", F.explode(F.filter(wanted, lambda w: holds(F.floor(w["p"])) | holds(F.ceil(w["p"])))).alias("w"))
     low, high = F.floor("w.p"), F.ceil("w.p")
-    met = met.filter(holds(low) | holds(high))
     got = met.groupBy(*keys, F.col("w.i").alias("__i")).agg(F.max("w.p").alias("p"), F.max(F.when(holds(low), F.col("__x"))).alias("lo"), F.max(F.when(holds(high), F.col("__x"))).alias("hi"))
     between = F.when(F.floor("p") == F.ceil("p"), F.col("lo")).otherwise((F.ceil("p") - F.col("p")) * F.col("lo") + (F.col("p") - F.floor("p")) * F.col("hi"))
     return got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", between.alias("v")))), lambda s: s["v"]).alias("percentiles"))
@@ -96,11 +99,12 @@ def describe_populations(populations: dict[str, DataFrame], value: str) -> DataF
     return describe(every, F.col("v"), "population")
 
 
-def final_summary(value: Column, thresholds: Sequence[float] = FINAL_THRESHOLDS) -> list[Column]:
-    """Aggregates of the final report over values of which those that don't count are null."""
-    n, ok = F.count(F.lit(1)), F.count(value)
-    out = [n.alias("n_total"), ok.alias("n_valid"), (n - ok).alias("n_excluded_or_missing"), _share(ok, n).alias("coverage_percent"), F.avg(value).alias("mean"), F.max(value).alias("max")]
-    return out + [_share(F.count_if(value <= t), ok).alias(f"pct_le_{t:g}") for t in thresholds]
+def final_summary(value: Column, times: Column, thresholds: Sequence[float] = FINAL_THRESHOLDS) -> list[Column]:
+    """Aggregates of the final report over values, each with how often it comes; those that don't count are null."""
+    counted = lambda c: F.coalesce(F.sum(F.when(c, times)), F.lit(0))
+    n, ok = F.sum(times), counted(value.isNotNull())
+    out = [n.alias("n_total"), ok.alias("n_valid"), (n - ok).alias("n_excluded_or_missing"), _share(ok, n).alias("coverage_percent"), F.when(ok > 0, F.sum(value * times) / ok).alias("mean"), F.max(value).alias("max")]
+    return out + [_share(counted(value <= t), ok).alias(f"pct_le_{t:g}") for t in thresholds]
 
 
 def valid_value(value: Column, excluded: Column) -> Column:
@@ -110,13 +114,22 @@ def valid_value(value: Column, excluded: Column) -> Column:
 
 
 def main_table(df: DataFrame, value: str, excluded: str, time: str, length: str, chains: str) -> DataFrame:
-    """Overall, by time, by length and by number of chains, in one pass over a row for each of these.
+    """Overall, by time, by length and by number of chains. Rows are counted once by their groups and
+    value; only these counts are dealt to the four sections and counted again by section, group and value.
     Of the time groups only post_cutoff is reported; a null group is called `missing`."""
     one = lambda section, group: F.struct(F.lit(section).alias("section"), F.coalesce(group, F.lit("missing")).alias("group"))
-    sections = F.array(one("overall", F.lit("all")), one("time", F.col(time)), one("length", F.col(length)), one("chains", F.col(chains)))
-    rows = df.select(F.explode(sections).alias("s"), valid_value(F.col(value), F.col(excluded)).alias("__v")).select("s.section", "s.group", "__v")
-    rows = rows.filter((F.col("section") != "time") | (F.col("group") == "post_cutoff"))
-    got = _summed(rows, "__v", ["section", "group"], final_summary(F.col("__v")), {"q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9}, df.count())
+    sections = F.array(one("overall", F.lit("all")), one("time", F.col("__t")), one("length", F.col("__l")), one("chains", F.col("__c")))
+    every = df.select(F.col(time).alias("__t"), F.col(length).alias("__l"), F.col(chains).alias("__c"), valid_value(F.col(value), F.col(excluded)).alias("__v"))
+    every = every.groupBy("__t", "__l", "__c", "__v").agg(F.count(F.lit(1)).alias("__times"))
+    rows = every.select(F.explode(F.filter(sections, lambda s: (s["section"] != "time") | (s["group"] == "post_cutoff"))).alias("s"), "__v", "__times").select("s.section", "s.group", "__v", "__times")
+    keys, shares = ["section", "group"], {"q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9}
+    rows = write_shared(rows.groupBy(*keys, "__v").agg(F.sum("__times").alias("__times")), "strata")
+    aggs = final_summary(F.col("__v"), F.col("__times"))
+    if rows.count() > IN_TASK_ROWS:
+        got = _beside(rows.groupBy(*keys).agg(*aggs), percentiles(rows, "__v", keys, list(shares.values()), "__times"), keys)
+    else:
+        got = rows.groupBy(*keys).agg(*aggs, F.percentile("__v", list(shares.values()), F.col("__times")).alias("percentiles"))
+    got = got.withColumns({n: F.get("percentiles", F.lit(i)) for i, n in enumerate(shares)}).drop("percentiles")
     return got.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 

@@ -96,3 +96,20 @@ def test_chain_assignment_takes_the_nearer_of_close_mappings(spark, tmp_path):
     columns = ["target", "sample", "mapping_key", "rmsd", "support", "tie_break"]
     want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES['chain_assignment']})").fetchall())
     assert sorted(map(tuple, catalog.QUERIES["chain_assignment"](spark, str(tmp_path)).select(*columns).collect())) == want
+
+
+def test_main_table_counts_values_before_it_deals_them_to_sections(spark, monkeypatch):
+    from helixlake.operators import stats
+
+    df = spark.range(6000).selectExpr("CAST(id % 7 AS DOUBLE) AS v", "id % 11 = 0 AS x", "IF(id % 3 = 0, 'post_cutoff', 'pre') AS t", "CAST(id % 2 AS STRING) AS l", "IF(id % 5 = 0, NULL, CAST(id % 5 AS STRING)) AS c")
+    written, write = [], stats.write_shared
+    monkeypatch.setattr(stats, "write_shared", lambda rows, name: written.append(write(rows, name)) or written[-1])
+    once = {(r.section, r.group): r for r in stats.main_table(df, "v", "x", "t", "l", "c").collect()}
+    assert written[0].count() <= 9 * 8  # nine groups, seven values and null
+    monkeypatch.setattr(stats, "IN_TASK_ROWS", 10)
+    assert {(r.section, r.group): r for r in stats.main_table(df, "v", "x", "t", "l", "c").collect()} == once
+    rows = [r for r in df.collect() if r.c is None]
+    good = sorted(r.v for r in rows if not r.x)
+    got = once["chains", "missing"]
+    assert (got.n_total, got.n_valid, got["median"], got["max"]) == (len(rows), len(good), (good[(len(good) - 1) // 2] + good[len(good) // 2]) / 2, 6.0)
+    assert abs(got.mean - sum(good) / len(good)) < 1e-9 and abs(got.pct_le_2 - 100 * sum(v <= 2 for v in good) / len(good)) < 1e-9
