@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from helixlake.functions import scalars as S
 from helixlake.operators import alignment, assignment, coordinates, graph, joins, ranking, sequences, stats
@@ -160,14 +161,17 @@ def base_chain_map(inputs: DataFrame, truth: DataFrame, signatures: DataFrame) -
     """inputs and truth(pdb_id, chain_id, sequence), signatures(pdb_id, consistent): chains paired by
     sequence, what is left one to one with its identity, and PASS or REVIEW with reasons."""
     pairs = joins.pair_equal_sequences(inputs, truth, "pdb_id", "sequence", "chain_id")
-    left = joins.pair_residual(pairs, "pdb_id")
-    name = lambda df, c, s: df.select("pdb_id", F.col("chain_id").alias(c), F.col("sequence").alias(s))
-    left = sequences.pair_identity(left.join(name(inputs, "chain_a", "seq_a"), ["pdb_id", "chain_a"]).join(name(truth, "chain_b", "seq_b"), ["pdb_id", "chain_b"]), "seq_a", "seq_b")
-    done = left.select("pdb_id", "chain_a", "chain_b", F.lit("RESIDUAL").alias("status"), "identity")
-    rows = joins.drop_ids(joins.drop_ids(pairs, done.select("pdb_id", "chain_a"), "pdb_id", "chain_a"), done.select("pdb_id", "chain_b"), "pdb_id", "chain_b")
-    rows = rows.select("pdb_id", "chain_a", "chain_b", "status", F.when(F.col("status") != "NO_MATCH", 1.0).alias("identity")).unionByName(done)
+    w = Window.partitionBy("pdb_id")
+    only_a, only_b = F.col("chain_b").isNull(), F.col("chain_a").isNull()
+    other = lambda side, c: F.max(F.when(side, F.col(c))).over(w)
+    two = F.col("pdb_id").isNotNull() & (F.count_if(only_a).over(w) == 1) & (F.count_if(only_b).over(w) == 1) & other(only_a, "chain_a").isNotNull() & other(only_b, "chain_b").isNotNull()
+    rows = pairs.withColumns({"two": two, "other": other(only_b, "chain_b"), "seq_b": other(only_b, "sequence")}).filter(~(F.col("two") & only_b))
+    paired = F.col("two") & only_a
+    rows = rows.select("pdb_id", "chain_a", F.when(paired, F.col("other")).otherwise(F.col("chain_b")).alias("chain_b"), F.when(paired, "RESIDUAL").otherwise(F.col("status")).alias("status"), F.when(paired, F.col("sequence")).alias("seq_a"), F.when(paired, F.col("seq_b")).alias("seq_b"))
+    identity = F.when(F.col("status") == "RESIDUAL", F.col("identity")).when(F.col("status") != "NO_MATCH", 1.0)
+    done = sequences.pair_identity(rows, "seq_a", "seq_b").select("pdb_id", "chain_a", "chain_b", "status", identity.alias("identity"))
     met = rows.join(signatures, "pdb_id", "left")
-    return {"map": rows, "targets": graph.accept_maps(met, "pdb_id", unique_sequences=F.col("status") == "EXACT_UNIQUE", complete=F.col("chain_a").isNotNull() & F.col("chain_b").isNotNull(), consistent=F.col("consistent"))}
+    return {"map": done, "targets": graph.accept_maps(met, "pdb_id", unique_sequences=F.col("status") == "EXACT_UNIQUE", complete=F.col("chain_a").isNotNull() & F.col("chain_b").isNotNull(), consistent=F.col("consistent"))}
 
 
 def coordinate_chain_map(predicted: DataFrame, truth: DataFrame, lengths: DataFrame, *, min_coverage: float = 0.5, min_dominance: float = 0.8, tolerance: float = 1e-6) -> Tables:

@@ -113,3 +113,17 @@ def test_main_table_counts_values_before_it_deals_them_to_sections(spark, monkey
     got = once["chains", "missing"]
     assert (got.n_total, got.n_valid, got["median"], got["max"]) == (len(rows), len(good), (good[(len(good) - 1) // 2] + good[len(good) // 2]) / 2, 6.0)
     assert abs(got.mean - sum(good) / len(good)) < 1e-9 and abs(got.pct_le_2 - 100 * sum(v <= 2 for v in good) / len(good)) < 1e-9
+
+
+def test_chain_map_reads_each_table_once(spark):
+    from helixlake.plans import audits
+
+    a = spark.createDataFrame([("p", "A", "ACGU"), ("p", "B", "AC"), ("q", "A", "AC"), ("q", "B", "G"), ("r", "A", "C"), (None, "A", "C")], "pdb_id string, chain_id string, sequence string")
+    b = spark.createDataFrame([("p", "X", "ACGU"), ("p", "Y", "AG"), ("q", "X", "AC"), ("r", "X", "U"), ("r", "Y", "UU"), (None, "X", "G")], "pdb_id string, chain_id string, sequence string")
+    got = audits.base_chain_map(a, b, spark.createDataFrame([(x, True) for x in "pqr"], "pdb_id string, consistent boolean"))
+    rows = {(r.pdb_id, r.chain_a, r.chain_b, r.status, r.identity) for r in got["map"].collect()}
+    want = {("p", "A", "X", "EXACT_UNIQUE", 1.0), ("p", "B", "Y", "RESIDUAL", 0.5), ("q", "A", "X", "EXACT_UNIQUE", 1.0), ("q", "B", None, "NO_MATCH", None)}
+    want |= {("r", "A", None, "NO_MATCH", None), ("r", None, "X", "NO_MATCH", None), ("r", None, "Y", "NO_MATCH", None), (None, "A", None, "NO_MATCH", None), (None, None, "X", "NO_MATCH", None)}
+    assert rows == want
+    assert {r.pdb_id: r.reasons for r in got["targets"].collect()} == {"p": "unique_sequences", "q": "unique_sequences;complete", "r": "unique_sequences;complete", None: "unique_sequences;complete;consistent"}
+    assert got["targets"]._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
