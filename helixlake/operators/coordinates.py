@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 XYZ, CELL_ATOMS = ("x", "y", "z"), 1_000
+#: Samples of so many atoms at most are one cell.
+SAMPLE_ATOMS = 64
 _FIT = "struct<rmsd:double,rotation:array<double>>"
 
 
@@ -72,14 +74,19 @@ def displacement(pairs: DataFrame, sample: str) -> DataFrame:
 def gridded(atoms: DataFrame, sample: str, atom: str, radius: float) -> tuple[DataFrame, DataFrame, list[str]]:
     """Atoms at home in the cells of a grid whose edge is the radius, the same atoms as guests of the cells
     around, and the columns that both are to meet on. Of two cells that touch only one has the other's
-    atoms as guests. A cell of more than CELL_ATOMS atoms is dealt out to parts, each with all guests."""
-    cell = {f"c{c}": F.floor(F.col(c) / radius).cast("long") for c in XYZ}
-    home = atoms.select(F.col(sample).alias("sample"), F.col(atom).alias("src"), *XYZ).withColumns(cell)
+    atoms as guests. A cell of more than CELL_ATOMS atoms is dealt out to parts, each with all guests. A
+    sample of SAMPLE_ATOMS atoms at most is one cell, without cells around: its atoms go out once, not 14 times."""
+    small = F.coalesce(F.col("atoms") <= SAMPLE_ATOMS, F.lit(False))
+    cell = {f"c{c}": F.when(small, F.lit(0)).otherwise(F.floor(F.col(c) / radius)).cast("long") for c in XYZ}
+    home = atoms.select(F.col(sample).alias("sample"), F.col(atom).alias("src"), *XYZ)
+    home = home.join(home.groupBy("sample").agg(F.count(F.lit(1)).alias("atoms")), "sample", "left").withColumns({**cell, "small": small}).drop("atoms")
     dense = home.groupBy("sample", *cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_ATOMS).withColumn("parts", F.ceil(F.col("n") / CELL_ATOMS).cast("int")).drop("n")
     steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
-    step = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip(cell, s, strict=True)]) for s in steps]))
+    around = F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip(cell, s, strict=True)]) for s in steps])
+    step = F.explode(F.when(F.col("small"), F.slice(around, steps.index((0, 0, 0)) + 1, 1)).otherwise(around))
     away = home.withColumnsRenamed({"src": "dst"} | {c: f"{c}2" for c in XYZ}).withColumn("step", step)
-    away = away.withColumn("inside", F.expr("step = struct(0L AS cx, 0L AS cy, 0L AS cz)")).withColumns({c: F.col(c) + F.col(f"step.{c}") for c in cell}).drop("step")
+    away = away.withColumn("inside", F.expr("step = struct(0L AS cx, 0L AS cy, 0L AS cz)")).withColumns({c: F.col(c) + F.col(f"step.{c}") for c in cell}).drop("step", "small")
+    home = home.drop("small")
     keys = ["sample", *cell]
     home = home.join(dense, keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("src", *XYZ), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     away = away.join(dense, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")

@@ -127,3 +127,16 @@ def test_chain_map_reads_each_table_once(spark):
     assert rows == want
     assert {r.pdb_id: r.reasons for r in got["targets"].collect()} == {"p": "unique_sequences", "q": "unique_sequences;complete", "r": "unique_sequences;complete", None: "unique_sequences;complete;consistent"}
     assert got["targets"]._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
+
+
+def test_atoms_of_small_samples_go_out_once(spark):
+    from helixlake.operators import coordinates
+
+    xyz = [((7 * i) % 5 / 2, (3 * i) % 4 / 2, i % 7 / 2) for i in range(70)]
+    df = spark.createDataFrame([(s, i, *xyz[i]) for s, n in ((1, 20), (2, 64), (3, 70)) for i in range(n)], "s int, a int, x double, y double, z double")
+    home, away, _ = coordinates.gridded(df, "s", "a", 1.1)
+    count = lambda rows: {r["sample"]: r["count"] for r in rows.groupBy("sample").count().collect()}
+    assert count(home) == {1: 20, 2: 64, 3: 70} and count(away) == {1: 20, 2: 64, 3: 14 * 70}
+    near = lambda p, q: sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) < 1.1 * 1.1
+    want = sorted((s, i, j) for s, n in ((1, 20), (2, 64), (3, 70)) for i in range(n) for j in range(n) if i != j and near(xyz[i], xyz[j]))
+    assert sorted(map(tuple, coordinates.radius_graph(df, "s", "a", 1.1).collect())) == want
