@@ -62,7 +62,9 @@ def split_and_mask(entities: DataFrame, train_end, val_end, min_identity: float
     tests = rows.filter("split = 'test'")
     reps = lambda df: df.groupBy("search").agg(F.min("key").alias("target"))
     known = reps(rows.filter("split IN ('train', 'val')")).withColumnRenamed("search", "b")
-    hits = tests.select(F.col("key").alias("query"), F.col("search").alias("a")).join(both, "a").join(known, "b").select("query", "target", "identity", F.lit(1.0).alias("qcov"), F.lit(1.0).alias("tcov"))
+    # the best hit is that of the sequence: copies don't meet all sequences like theirs
+    best = ranking.best_hits(both.join(known, "b").select("a", "target", "identity", F.lit(1.0).alias("qcov"), F.lit(1.0).alias("tcov")), ["a"], ["target"])
+    hits = tests.select(F.col("key").alias("query"), F.col("search").alias("a")).join(best, "a").drop("a")
     # copies meet through their representative, not each other
     mine = reps(tests)
     copies = tests.join(mine, "search").filter("key <> target").select(F.col("key").alias("query"), "target", F.lit(1.0).alias("identity"))

@@ -140,3 +140,19 @@ def test_atoms_of_small_samples_go_out_once(spark):
     near = lambda p, q: sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) < 1.1 * 1.1
     want = sorted((s, i, j) for s, n in ((1, 20), (2, 64), (3, 70)) for i in range(n) for j in range(n) if i != j and near(xyz[i], xyz[j]))
     assert sorted(map(tuple, coordinates.radius_graph(df, "s", "a", 1.1).collect())) == want
+
+
+def test_an_entity_meets_its_best_hit_only(spark, monkeypatch):
+    from datetime import date
+
+    from helixlake.operators import graph
+    from helixlake.plans import audits
+
+    known = [("p", str(i), ["A"], "ACGTACGTAC"[:9] + c, date(2020, 1, 1), 1.0) for i, c in enumerate("ACGTN")]
+    copies = [("q", str(i), ["A"], "ACGTACGTAC", date(2024, 1, 1), 1.0) for i in range(6)]
+    df = spark.createDataFrame(known + copies, "pdb_id string, entity_id string, chain_ids array<string>, sequence string, release_date date, resolution double")
+    hits, mask = [], graph.mask_redundant
+    monkeypatch.setattr(graph, "mask_redundant", lambda rows, reference, *rest: hits.append(reference) or mask(rows, reference, *rest))
+    got = audits.split_and_mask(df, date(2021, 1, 1), date(2022, 1, 1))["entities"].collect()
+    assert hits[0].count() == 6
+    assert {(r.key, r.status, r.match) for r in got} == {(f"q#{i}", "MASK_REFERENCE", "p#1") for i in range(6)}
