@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.operators.ranking import first_by
 
+PIECE_ROWS = 100_000
+
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = 64) -> DataFrame:
     """With None all files that are there make one batch: for backfills by watermark, as files
@@ -59,8 +63,33 @@ def liveness(events: DataFrame, worker: str, ts: str, state: str, now, stale_sec
     return last.select(worker, F.col("m.t").alias("last_seen"), status.alias("status"))
 
 
+def last_of_pieces(events: DataFrame, worker: str, ts: str, state: str) -> DataFrame:
+    """(worker, ts, state) of a worker's last event in each piece of a partition of about PIECE_ROWS events."""
+    rows = events.select(worker, ts, state)
+
+    def last(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = pa.Table.from_batches(batches).combine_chunks()
+        key = piece[0].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        time = piece[1].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+        order = np.lexsort((time, key))
+        yield from piece.take(pa.array(order[np.append(key[order][1:] != key[order][:-1], True)])).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= PIECE_ROWS:
+                yield from last(held)
+                held, n = [], 0
+        if n:
+            yield from last(held)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def live_status(events: DataFrame, worker: str, ts: str, state: str, stale_seconds: int = 120, late: str | None = None) -> DataFrame:
-    """Stream: a worker's status when it reports, and STALE once it hasn't for so long (event time)."""
+    """Stream: a worker's status when it reports, and STALE once it hasn't for so long (event time). Of a
+    piece of a batch only each worker's last event is shuffled: it alone can be the last of the batch."""
     out = "worker string, last_seen timestamp, status string"
 
     def update(key, frames: Iterator[pd.DataFrame], state_) -> Iterator[pd.DataFrame]:
@@ -80,7 +109,7 @@ def live_status(events: DataFrame, worker: str, ts: str, state: str, stale_secon
         state_.setTimeoutTimestamp(max(seen // 1000 + stale_seconds * 1000, state_.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"worker": [str(key[0])], "last_seen": [pd.Timestamp(seen, unit="us")], "status": [status]})
 
-    return events.withWatermark(ts, late or f"{stale_seconds} seconds").groupBy(worker).applyInPandasWithState(update, out, "seen long, status string", "append", "EventTimeTimeout")
+    return last_of_pieces(events, worker, ts, state).withWatermark(ts, late or f"{stale_seconds} seconds").groupBy(worker).applyInPandasWithState(update, out, "seen long, status string", "append", "EventTimeTimeout")
 
 
 def resume(manifest: DataFrame, results: DataFrame, keys: list[str], valid) -> DataFrame:

@@ -156,3 +156,11 @@ def test_an_entity_meets_its_best_hit_only(spark, monkeypatch):
     got = audits.split_and_mask(df, date(2021, 1, 1), date(2022, 1, 1))["entities"].collect()
     assert hits[0].count() == 6
     assert {(r.key, r.status, r.match) for r in got} == {(f"q#{i}", "MASK_REFERENCE", "p#1") for i in range(6)}
+
+
+def test_last_events_of_pieces(spark, monkeypatch):
+    from helixlake.streaming import progress
+
+    df = spark.createDataFrame([(w, i, f"s{i}") for i in (3, 9, 1, 7) for w in ("a", None, "b")], "w string, t long, s string").coalesce(1).selectExpr("w", "timestamp_seconds(t) AS t", "s")
+    assert {(r.w, r.s) for r in progress.last_of_pieces(df, "w", "t", "s").collect()} == {(w, "s9") for w in ("a", None, "b")}
+    assert progress.last_of_pieces(df, "w", "t", "s").count() == 3
