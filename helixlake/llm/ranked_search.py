@@ -251,7 +251,7 @@ def impact_index(docs: DataFrame, text: str = "text", key: str = "doc_id", *, pa
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     with batches_of(spark, 1):
-        return write_shared(plain.drop("n_docs", "n_words").mapInArrow(run, _ROW), "impact-index"), frequencies, n_docs, hot
+        return write_shared(plain.drop("n_docs", "n_words").mapInArrow(run, _ROW), "impact-index", group_rows=1), frequencies, n_docs, hot
 
 
 def query_terms(queries: DataFrame, frequencies: DataFrame, text: str, key: str) -> DataFrame:

@@ -68,7 +68,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", *, sha
         if ids:
             yield pa.RecordBatch.from_pylist([index_row(ids, words)], schema=schema)
 
-    return write_shared(docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, _INDEX), "search-index")
+    return write_shared(docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, _INDEX), "search-index", group_rows=1)
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:

@@ -22,10 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or _LOCAL[app.applicationId]).rstrip("/")
 
 
-def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table and read back, which ends its lineage."""
+def write_shared(df: DataFrame, label: str, *, group_rows: int | None = None) -> DataFrame:
+    """df written as a table and read back, which ends its lineage. Writers and readers hold a whole row
+    group, so rows of megabytes go into groups of group_rows."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    options = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

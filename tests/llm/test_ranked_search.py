@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from helixlake.llm import ranked_search
@@ -111,6 +112,15 @@ def _terms_of_text(text):
     return _terms_of(pa.scalar(text))
 
 
+def test_shards_are_row_groups(spark):
+    """A task holds one shard, however many its files have."""
+    d = spark.createDataFrame([x for x in made() if x[0] is not None], "doc_id long, text string").coalesce(1)
+    index, *_ = ranked_search.impact_index(d, shard_docs=50)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert len(files) < len(groups) == index.count() and set(groups) == {1}
+
+
 def test_query_equals_sql(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
