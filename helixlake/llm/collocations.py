@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix64, table, write_shared
+from .common import batches_of, mix64, table, write_shared
 
 MIN_COUNT, MAX_WORDS, TOP, CONTAINED = 30, 4, 2_000, 80
-CHUNK_WORDS, SLICE_BYTES, RANGE_ROWS, MOST_BITS, COUNTED_BITS, ROWS_AT_ONCE = 1_000_000, 4 << 20, 200_000, 28, 40, 100_000
+CHUNK_WORDS, SLICE_BYTES, RANGE_ROWS, MOST_BITS, COUNTED_BITS, ROWS_AT_ONCE, DOCS_AT_ONCE = 1_000_000, 4 << 20, 200_000, 28, 40, 100_000, 2_000
 _GAP = b"\xff"  # in no text
 _BREAKS = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + _GAP * 10)
 _CHUNK = "langs array<string>, totals array<bigint>, lang_of binary, words array<binary>, ids binary, own bigint"
@@ -79,7 +79,7 @@ class Chunks:
 
 
 def chunks(docs: DataFrame, text: str, lang: str, max_words: int) -> DataFrame:
-    """The written chunks of all texts."""
+    """The written chunks of all texts, each a row group of its own: a task that reads them holds one."""
     schema = pa.schema([("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("lang_of", pa.binary()), ("words", pa.list_(pa.binary())), ("ids", pa.binary()), ("own", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,8 @@ def chunks(docs: DataFrame, text: str, lang: str, max_words: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([held.take()], schema=schema)
 
     named = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
-    return write_shared(docs.select(named, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, _CHUNK), "phrase-chunks")
+    with batches_of(docs.sparkSession, DOCS_AT_ONCE):
+        return write_shared(docs.select(named, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, _CHUNK), "phrase-chunks", group_rows=1)
 
 
 def _word_hashes(langs: list[str], lang_of: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -195,7 +196,10 @@ def likely(parts: DataFrame, filters: list[Known], min_count: int) -> Known:
 
     # chunks are counted already; most hashes come once, and a map of them on this side would only take memory
     counted = parts.drop("totals").mapInArrow(run, "h bigint, a bigint").repartition("h").groupBy("h").agg(F.sum("a").alias("a"))
-    return known(write_shared(counted.filter(F.col("a") >= min_count).select("h"), "likely-phrases"))
+    with batches_of(parts.sparkSession, 1):  # a chunk
+        frequent = write_shared(counted.filter(F.col("a") >= min_count).select("h"), "likely-phrases")
+    shared.destroy()
+    return known(frequent)
 
 
 def frequent_phrases(docs: DataFrame, text: str, lang: str, max_words: int, min_count: int) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +221,10 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, max_words: int, min_
     found = found.groupBy("lang", "phrase", "n").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
     every = found.withColumn("phrase", F.col("phrase").cast("string"))
     totals = parts.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
-    return write_shared(every, "phrases"), totals
+    with batches_of(parts.sparkSession, 1):
+        every = write_shared(every, "phrases")
+    shared.destroy()
+    return every, totals
 
 
 def lockstep(rows: DataFrame, order: list[str], heads: str, longest: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from helixlake.llm import collocations
@@ -50,6 +51,16 @@ def made(n=300):
     return rows + [(None, "en"), ("", None), ("new york city hall " * 5_000, "xx"), ("aa " * 9_000, "xx")]
 
 
+def test_chunks_are_row_groups(spark):
+    """A task holds one chunk, however many its files have."""
+    long = "a b c d " * (collocations.CHUNK_WORDS // 4)
+    docs = spark.createDataFrame([(long, "en")] * 3, "text string, lang string").coalesce(1)
+    parts = collocations.chunks(docs, "text", "lang", 4)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in parts.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert len(files) < len(groups) == parts.count() and set(groups) == {1}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_everything_counts(spark, monkeypatch, small):
     """Small chunks, slices, ranges and bitmaps change nothing."""
