@@ -6,12 +6,13 @@ length, document frequencies) come from the index. Queries are taken in blocks o
 one after another, each broadcast and forgotten once its hits are written.
 
 In every shard the postings of a query's terms are runs, one for each term and block of documents,
-each with its largest score. A cursor goes through the blocks in the order of documents: the next
-pivot is the first block ahead where the largest scores of the terms that have a run there add up
-to the k-th best score that the task has seen, and all blocks before it are skipped. Pivots are
-found and scored some at a time. Within them terms that together can't reach that score are only
-looked up for documents that others lift near it. Each task returns k rows a query, and these are
-merged exactly.
+each with its largest score. Terms that many of a shard's documents have are bounded by document
+instead, together, by a matrix product for many queries at once. A cursor goes through the blocks in
+the order of documents: the next pivot is the first block ahead where the largest scores of the
+terms that have a run there, and the largest bound of the frequent terms, add up to the k-th best
+score that the task has seen, and all blocks before it are skipped. Pivots are found and scored
+some at a time. Within them frequent terms are only looked up for documents that others lift near
+it. Each task returns k rows a query, and these are merged exactly.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, write_shared
+from .common import batches_of, table, write_shared
 from .decontaminate import text_words
 
 K, K1, B, MICRO = 10, 1.2, 0.75, 1_000_000
 SHARD_DOCS, SHARD_WORDS, DOC_BLOCK_BITS, SEED_BLOCKS, PIVOTS_AT_ONCE = 8_192, 4_000_000, 7, 3, 64
-QUERIES_PER_BLOCK, TERMS_PER_BLOCK = 4_000, 1_500_000
+QUERIES_PER_BLOCK, TERMS_PER_BLOCK, QUERIES_AT_ONCE, FREQUENT, MOST_FREQUENT = 4_000, 1_500_000, 128, 32, 512
+OVER = 1.001  # more than all rounding of 32-bit sums of MOST_FREQUENT scores
 _INDEX = "docs binary, lengths binary, terms binary, counts binary, posting_docs binary, posting_tf binary, n_docs bigint, n_words bigint"
 
 
@@ -132,10 +134,11 @@ class Shard:
         begin = (np.cumsum(counts) - counts)[at[hit]]
         size = counts[at[hit]]
         take = _ranges(begin, size)
-        self.doc = np.frombuffer(row["posting_docs"], np.int32)[take]
+        self.doc = np.frombuffer(row["posting_docs"], np.int32)[take].astype(np.int64)
         tf = np.frombuffer(row["posting_tf"], np.int32)[take].astype(np.float64)
         norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
         self.add = np.rint(MICRO * np.repeat(queries.idf[hit], size) * (tf * (K1 + 1) / (tf + norm[self.doc]))).astype(np.int64)
+        self.weight = self.add.astype(np.float64)  # whole as well; what bincount takes
         self.size, self.start = size, np.cumsum(size) - size
         # runs of postings of one term in one block of documents, and the largest score in each
         owner = np.repeat(np.arange(len(size)), size)
@@ -148,83 +151,74 @@ class Shard:
         self.run_max = np.maximum.reduceat(self.add, self.run_at) if len(self.add) else np.zeros(0, np.int64)
         runs = np.bincount(owner[self.run_at], minlength=len(size))
         self.runs, self.run_start = runs, np.cumsum(runs) - runs
-        self.top = np.maximum.reduceat(self.add, self.start) if len(size) else np.zeros(0, np.int64)
         self.blocks = (len(self.docs) >> DOC_BLOCK_BITS) + 1
+        # rows of frequent terms by document, and no less than these as 32-bit floats
+        common = np.flatnonzero(size > len(self.docs) // FREQUENT)
+        common = common[np.argsort(-size[common], kind="stable")[:MOST_FREQUENT]]
         self.dense_of = np.full(len(size), -1)
-        common = np.flatnonzero(size > len(self.docs) // 8)
         self.dense_of[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), len(self.docs)), np.int32)
+        self.dense = np.zeros((len(common), self.blocks << DOC_BLOCK_BITS), np.int32)
         for i, t in enumerate(common):
             own = slice(self.start[t], self.start[t] + size[t])
             self.dense[i, self.doc[own]] = self.add[own]
+        self.over = self.dense.astype(np.float32) * np.float32(OVER)
 
-    def _sum(self, runs: np.ndarray) -> np.ndarray:
-        postings = _ranges(self.run_at[runs], self.run_size[runs])
-        return np.bincount(self.doc[postings], self.add[postings], len(self.docs)).astype(np.int64)
+    def lifts(self, asked: list[np.ndarray]) -> np.ndarray:
+        """For each query what its frequent terms add to every document, or a little more."""
+        has = np.zeros((len(asked), len(self.dense)), np.float32)
+        for i, terms in enumerate(asked):
+            dense = self.dense_of[terms[terms >= 0]]
+            has[i, dense[dense >= 0]] = 1
+        return has @ self.over
 
-    def search(self, terms: np.ndarray, top: Top) -> None:
+    def _sum(self, postings: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc[postings], self.weight[postings], self.blocks << DOC_BLOCK_BITS)
+
+    def search(self, terms: np.ndarray, top: Top, lift: np.ndarray | None = None) -> None:
         """Offer every document that can be among the k best. Scores are whole numbers, so sums
-        are exact and bounds are safe."""
+        are exact and bounds are safe. `lift` is the query's row of lifts(), if that is there."""
         terms = terms[terms >= 0]
         if not len(terms):
             return
-        runs = _ranges(self.run_start[terms], self.runs[terms])
+        lift = self.lifts([terms])[0] if lift is None else lift
+        dense = self.dense_of[terms]
+        rare, dense = terms[dense < 0], dense[dense >= 0]
+        runs = _ranges(self.run_start[rare], self.runs[rare])
         block = self.run_block[runs]
-        bound = np.bincount(block, self.run_max[runs], self.blocks)
-        # the most promising blocks first, in full, for a good threshold
+        bound = np.bincount(block, self.run_max[runs], self.blocks) + lift.reshape(self.blocks, -1).max(axis=1)
+        # the most promising blocks first, for a good threshold
         waiting = np.ones(self.blocks, bool)
         seeds = np.argsort(-bound, kind="stable")[:SEED_BLOCKS]
         seeds = seeds[bound[seeds] >= top.least]
         waiting[seeds] = False
         if len(seeds):
-            scores = self._sum(runs[~waiting[block]])
-            found = np.flatnonzero(scores)
-            top.offer(scores[found], self.docs[found])
-        by = terms[np.argsort(self.top[terms], kind="stable")]
-        reach = np.cumsum(self.top[by])
+            self._score(seeds, rare, runs, block, lift, dense, top)
         cursor = 0
         while len(pivots := np.flatnonzero(waiting[cursor:] & (bound[cursor:] >= top.least))[:PIVOTS_AT_ONCE] + cursor):
-            few = int(np.searchsorted(reach, top.least, "left"))
-            if few == len(by):
-                return
-            chosen = np.zeros(self.blocks, bool)
-            chosen[pivots] = True
-            self._score(runs[chosen[block]], by[:few], top)
+            self._score(pivots, rare, runs, block, lift, dense, top)
             cursor = int(pivots[-1]) + 1
 
-    def _score(self, runs: np.ndarray, few: np.ndarray, top: Top) -> None:
-        """Offer the documents of these runs; terms that even together stay under the threshold are
-        looked up last, where they can still matter."""
-        light = np.zeros(len(self.size), bool)
-        light[few] = True
-        rest = light[self.run_owner[runs]]
-        scores = self._sum(runs[~rest])
-        found = np.flatnonzero(scores)
-        total, rest = scores[found], runs[rest]
-        if len(rest):
-            slack = np.bincount(self.run_block[rest], self.run_max[rest], self.blocks)
-            near = total + slack[found >> DOC_BLOCK_BITS] >= top.least
-            found, total = found[near], total[near]
-            if not len(found):
-                return
-            dense = self.dense_of[few]
-            total = total + self.dense[dense[dense >= 0]][:, found].sum(axis=0, dtype=np.int64)
-            wanted = np.zeros(self.blocks, bool)
-            wanted[found >> DOC_BLOCK_BITS] = True
-            sparse = rest[(self.dense_of[self.run_owner[rest]] < 0) & wanted[self.run_block[rest]]]
-            if len(sparse):
-                total += self._sum(sparse)[found]
-        top.offer(total, self.docs[found])
-
-
-def query_terms(queries: DataFrame, index: DataFrame, text: str, key: str) -> DataFrame:
+    def _score(self, pivots: np.ndarray, rare: np.ndarray, runs: np.ndarray, block: np.ndarray, lift: np.ndarray, dense: np.ndarray, top: Top) -> None:
+        """Offer the documents of these blocks; frequent terms are looked up last, where they can still matter."""
+        chosen = np.zeros(self.blocks, bool)
+        chosen[pivots] = True
+        own = runs[chosen[block]]
+        whole = 2 * len(own) > len(runs)  # then few terms' postings are faster to list than many runs of them
+        total = self._sum(_ranges(self.start[rare], self.size[rare]) if whole else _ranges(self.run_at[own], self.run_size[own]))
+        near = np.flatnonzero(total.reshape(self.blocks, -1)[pivots] + lift.reshape(self.blocks, -1)[pivots] >= top.least)
+        if len(near):
+            found = (pivots[near >> DOC_BLOCK_BITS] << DOC_BLOCK_BITS) + (near & ((1 << DOC_BLOCK_BITS) - 1))
+            top.offer(total[found].astype(np.int64) + self.dense[np.ix_(dense, found)].sum(axis=0, dtype=np.int64), self.docs[found])
+
+
+def query_terms(queries: DataFrame, frequencies: DataFrame, text: str, key: str) -> DataFrame:
     """(query, terms, dfs): the distinct terms of each query that some document has."""
     @F.arrow_udf("array<bigint>")
     def split(texts: pa.Array) -> pa.Array:
         return pa.array([np.unique(_terms_of(t)).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
     terms = queries.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query"), F.explode(split(F.col(text).cast("string"))).alias("term")).distinct()
-    met = terms.join(document_frequencies(index), "term")
+    met = terms.join(frequencies, "term")
     return met.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.df").alias("dfs"))
 
 
@@ -240,7 +234,9 @@ def top_k(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "d
     """
     index = build_index(docs, text, key, **sizes)
     n_docs, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
-    asked = write_shared(query_terms(queries, index, text, key), "search-queries")
+    with batches_of(docs.sparkSession, 1):  # a shard
+        frequencies = write_shared(document_frequencies(index), "search-frequencies")
+    asked = write_shared(query_terms(queries, frequencies, text, key), "search-queries")
     n, terms = asked.agg(F.count("*"), F.sum(F.size("terms"))).first()
     blocks = max(1, -(-n // QUERIES_PER_BLOCK), -(-(terms or 0) // TERMS_PER_BLOCK))
     average, found = (n_words or 0) / max(1, n_docs or 0), None
@@ -248,7 +244,8 @@ def top_k(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "d
         rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # one block
         shared = docs.sparkSession.sparkContext.broadcast(Queries(sorted(map(tuple, rows)), n_docs or 0))
         hits = index.mapInArrow(_searcher(shared, average, k), "query_id bigint, doc_id bigint, micro bigint")
-        hits = write_shared(hits, "search-hits")
+        with batches_of(docs.sparkSession, 1):
+            hits = write_shared(hits, "search-hits")
         shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("micro"), "doc_id"))
@@ -263,8 +260,11 @@ def _searcher(shared, average: float, k: int):
             for i in range(batch.num_rows):
                 shard = Shard({n: batch[n][i].as_py() for n in batch.schema.names}, queries, average)
                 numbers = shard.row[queries.number]
-                for q, top in enumerate(tops):
-                    shard.search(numbers[queries.offsets[q] : queries.offsets[q + 1]], top)
+                asked = np.split(numbers, queries.offsets[1:-1])
+                for at in range(0, len(tops), QUERIES_AT_ONCE):
+                    some = slice(at, at + QUERIES_AT_ONCE)
+                    for terms, top, lift in zip(asked[some], tops[some], shard.lifts(asked[some]), strict=True):
+                        shard.search(terms, top, lift)
         sizes = [len(t.docs) for t in tops]
         if sum(sizes):
             yield pa.record_batch({"query_id": np.repeat(np.array(queries.ids, np.int64), sizes), "doc_id": np.concatenate([t.docs for t in tops]), "micro": np.concatenate([t.scores for t in tops])})

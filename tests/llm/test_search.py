@@ -96,3 +96,32 @@ def test_pivots_in_any_number_find_the_same(monkeypatch, at_once):
         shard.search(terms, top)
         best = np.lexsort((np.arange(3000), -every[q]))[:10]
         assert top.docs.tolist() == best.tolist() and top.scores.tolist() == every[q][best].tolist()
+
+
+def test_frequent_terms_are_summed_at_once():
+    """Their postings aren't listed for each query, and the bound of their sums is no less than the sums."""
+    rng = np.random.default_rng(4)
+    words = [np.concatenate([rng.choice(np.arange(1, 41), rng.integers(5, 30)), rng.integers(100, 40_000, 10)]).astype(np.uint64) for _ in range(2_000)]
+    found, df = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+    asked = [(i, np.unique(words[i]).view(np.int64).tolist(), df[np.searchsorted(found, np.unique(words[i]))].tolist()) for i in range(0, 2_000, 40)]
+    queries = search.Queries(asked, len(words))
+    shard = search.Shard(search.index_row(list(range(2_000)), words), queries, np.mean([len(w) for w in words]))
+    seen, monkey, every = [], search.Shard._sum, 0
+    lists = np.split(shard.row[queries.number], queries.offsets[1:-1])
+    lifts = shard.lifts(lists)
+    try:
+        search.Shard._sum = lambda self, postings: (seen.append(len(postings)), monkey(self, postings))[1]
+        for terms, lift in zip(lists, lifts, strict=True):
+            assert (lift >= shard.dense[shard.dense_of[terms][shard.dense_of[terms] >= 0]].sum(axis=0)).all()
+            top = search.Top(10)
+            shard.search(terms, top, lift)
+            sums = np.zeros(2_000, np.int64)
+            for t in terms:
+                own = slice(shard.start[t], shard.start[t] + shard.size[t])
+                sums[shard.doc[own]] += shard.add[own]
+            best = np.lexsort((np.arange(2_000), -sums))[:10]
+            assert top.docs.tolist() == best.tolist() and top.scores.tolist() == sums[best].tolist()
+            every += shard.size[terms].sum()
+    finally:
+        search.Shard._sum = monkey
+    assert sum(seen) < every / 50
