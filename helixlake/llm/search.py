@@ -30,7 +30,7 @@ from .decontaminate import text_words
 
 K, K1, B, MICRO = 10, 1.2, 0.75, 1_000_000
 SHARD_DOCS, SHARD_WORDS, DOC_BLOCK_BITS, SEED_BLOCKS, PIVOTS_AT_ONCE = 8_192, 4_000_000, 7, 3, 64
-QUERIES_PER_BLOCK, TERMS_PER_BLOCK, QUERIES_AT_ONCE, FREQUENT, MOST_FREQUENT = 4_000, 1_500_000, 128, 32, 512
+QUERIES_PER_BLOCK, TERMS_PER_BLOCK, DOCS_AT_ONCE, QUERIES_AT_ONCE, FREQUENT, MOST_FREQUENT = 4_000, 1_500_000, 2_000, 128, 32, 512
 OVER = 1.001  # more than all rounding of 32-bit sums of MOST_FREQUENT scores
 _INDEX = "docs binary, lengths binary, terms binary, counts binary, posting_docs binary, posting_tf binary, n_docs bigint, n_words bigint"
 
@@ -232,7 +232,8 @@ def top_k(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "d
     key are hits of their own. Rows that share no term aren't hits, so null and empty texts neither
     find nor are found. Queries that share a key are one query. Rows of null key are left out.
     """
-    index = build_index(docs, text, key, **sizes)
+    with batches_of(docs.sparkSession, DOCS_AT_ONCE):
+        index = build_index(docs, text, key, **sizes)
     n_docs, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
     with batches_of(docs.sparkSession, 1):  # a shard
         frequencies = write_shared(document_frequencies(index), "search-frequencies")
